@@ -1,0 +1,86 @@
+"""Token-level column functions: the default token counter (UD2), word tokens
+for unigram overlap (SC13), and the pluggable tokenizer hook."""
+
+from typing import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .text import WS29
+
+# ---------------------------------------------------------------------------
+# Fixed values
+# ---------------------------------------------------------------------------
+# A default token is a maximal run of characters that are not whitespace in
+# the str.isspace() sense; the class is spelled with \x{...} escapes, which
+# Java and RE2 both read.
+_WS_CLASS = "".join(f"\\x{{{ord(c):04x}}}" for c in WS29)
+TOKEN_PATTERN = f"[^{_WS_CLASS}]+"
+
+# Unigram-overlap tokens: lower-case, every run of characters outside a-z0-9
+# is a separator.
+OVERLAP_SEPARATOR = "[^a-z0-9]+"
+
+# Contractions split by the word tokenizer before overlap scoring. Only splits
+# that cut an alphanumeric run change the overlap tokens: "n't" endings and
+# the fixed pairs below (cannot, gimme, gonna, gotta, lemme, wanna, 'tis, 'twas).
+CONTRACTION_RULES = [
+    (r"(?i)([a-z])(n't)\b", "$1 $2"),
+    (r"(?i)\b(can)(not)\b", "$1 $2"),
+    (r"(?i)\b(gim)(me)\b", "$1 $2"),
+    (r"(?i)\b(gon)(na)\b", "$1 $2"),
+    (r"(?i)\b(got)(ta)\b", "$1 $2"),
+    (r"(?i)\b(lem)(me)\b", "$1 $2"),
+    (r"(?i)\b(wan)(na)(?=\s)", "$1 $2"),
+    (r"(?i)(^|\s)('t)(is|was)\b", "$1$2 $3"),
+]
+# ---------------------------------------------------------------------------
+
+
+def _c(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def word_tokens(c) -> Column:
+    """Whitespace-delimited tokens as an array (default tokenizer)."""
+    return F.regexp_extract_all(_c(c), F.lit(TOKEN_PATTERN), F.lit(0))
+
+
+def token_count(c) -> Column:
+    """UD2 default: number of whitespace-delimited tokens."""
+    return F.regexp_count(_c(c), F.lit(TOKEN_PATTERN))
+
+
+TokenCounter = Callable[[Column], Column]
+
+
+def pandas_token_counter(make_tokenizer: Callable[[], Callable[[str], list]]) -> TokenCounter:
+    """Wrap a real tokenizer as a token counter (an Arrow-batched pandas UDF).
+
+    ``make_tokenizer`` is called once per Python worker; it returns a function
+    text -> token ids. Use only where the whitespace count is not enough.
+    """
+    import pandas as pd
+
+    cache: dict = {}
+
+    @F.pandas_udf("long")
+    def _count(s: pd.Series) -> pd.Series:
+        tok = cache.get("t")
+        if tok is None:
+            tok = cache["t"] = make_tokenizer()
+        return s.map(lambda x: None if x is None else len(tok(x)))
+
+    return lambda c: _count(_c(c))
+
+
+def overlap_tokens(c, split_contractions: bool = True) -> Column:
+    """SC13: tokens for unigram overlap: strip, strip quotes, split the
+    contractions the word tokenizer splits, lower-case, keep runs of a-z0-9."""
+    from .text import strip_quotes
+    t = strip_quotes(c)
+    if split_contractions:
+        for pat, rep in CONTRACTION_RULES:
+            t = F.regexp_replace(t, F.lit(pat), F.lit(rep))
+    t = F.regexp_replace(F.lower(t), F.lit(OVERLAP_SEPARATOR), F.lit(" "))
+    return F.filter(F.split(t, " "), lambda x: x != F.lit(""))
