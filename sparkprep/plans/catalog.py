@@ -566,3 +566,70 @@ FROM (
       SELECT idx, unnest(t) AS tok, generate_subscripts(t, 1) AS i
       FROM (SELECT idx, {_toks_sql('text')} AS t FROM ({_render_full_sql()})))))
 GROUP BY block_id HAVING count(*) = 2048""", "examples"), ("WN3",))
+
+
+# ---------------------------------------------------------------------------
+# SK1 / SK2 / SK3 / SR4 / SO1 over files: write outputs by shard, read back
+# ---------------------------------------------------------------------------
+from ..session import scratch_path  # noqa: E402
+from ..sources import files as S  # noqa: E402
+
+
+def _outputs(spark, sf_dir):
+    """Stage-1 style outputs keyed by example, with their shard."""
+    sh = _shards(spark, sf_dir)
+    return sh.join(fx.examples(spark, sf_dir).select("idx", F.col("news").alias("text")), "idx")
+
+
+def _sk1(spark, sf_dir):
+    path = scratch_path(spark, "sk1-json")
+    S.write_outputs(_outputs(spark, sf_dir), path, "json")
+    return S.read_outputs(spark, path, "json")
+
+
+add("sk1_write_read_json_shards", _sk1, fx.with_fixtures(
+    f"SELECT s.idx, s.shard, e.news AS text FROM ({SHARD_SQL}) s JOIN examples e ON e.idx = s.idx", "examples"),
+    ("SK1",))
+
+
+def _sk2(spark, sf_dir):
+    path = scratch_path(spark, "sk2-txt")
+    S.write_outputs(_outputs(spark, sf_dir), path, "txt")
+    return S.read_outputs(spark, path, "txt")
+
+
+add("sk2_so1_write_read_line_shards", _sk2, fx.with_fixtures(
+    f"SELECT s.idx, s.shard, trim(replace(e.news, chr(10), ' '), {O.WS}) AS text "
+    f"FROM ({SHARD_SQL}) s JOIN examples e ON e.idx = s.idx", "examples"), ("SK2", "SO1", "SR4", "SC6"))
+
+
+def _sk3(spark, sf_dir):
+    path = scratch_path(spark, "sk3-merged")
+    S.write_merged(_outputs(spark, sf_dir), path, "txt")
+    return S.read_lines(spark, path, pos="idx")
+
+
+add("sk3_merged_lines", _sk3, fx.with_fixtures(
+    f"SELECT idx, trim(replace(news, chr(10), ' '), {O.WS}) AS text FROM examples", "examples"),
+    ("SK3", "SR4"))
+
+
+# ---------------------------------------------------------------------------
+# The same row-local operators on a stream of the documents table
+# ---------------------------------------------------------------------------
+def _stream(spark, sf_dir):
+    from ..streaming.rows import stream_through
+    schema = fx.table(spark, sf_dir, "documents").schema
+
+    def transform(docs):
+        ex = docs.select(F.col("doc_id").alias("idx"), F.col("text").alias("news"),
+                         F.split_part("text", F.lit("."), F.lit(1)).alias("headline"))
+        m = build_messages(ex, "hg", T.INFER)
+        return m.select("idx", render(prompt_messages("messages"), add_generation_prompt=True).alias("prompt"))
+
+    sink = stream_through(spark, sf_dir, schema, transform, glob="documents.parquet")
+    return spark.read.parquet(sink)
+
+
+add("st1_stream_render_prompts", _stream,
+    fx.with_fixtures(_prompt_sql("hg", T.INFER), "examples"), ("PJ1", "PJ2", "PJ3"))
