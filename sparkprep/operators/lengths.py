@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tokens import token_count, word_tokens
+from ..functions.tokens import concat_token_count, token_count, word_tokens
 from .order import with_running_total
 
 
@@ -20,9 +20,20 @@ def length_profile(df: DataFrame, messages: str = "messages", counter=token_coun
 def pair_length_profile(df: DataFrame, counter=token_count) -> DataFrame:
     """AG2: max prompt tokens, and the max over prompt+chosen and
     prompt+rejected (texts concatenated first, then counted), in one pass."""
-    pc = counter(F.concat("prompt", "chosen"))
-    pr = counter(F.concat("prompt", "rejected"))
-    return df.agg(F.max(counter("prompt")).cast("bigint").alias("max_prompt_tokens"),
+    if counter is token_count:
+        # each text is tokenized once; concatenations are counted exactly
+        # from the parts (a token may fuse across the joint)
+        counted = df.select("prompt", "chosen", "rejected", token_count("prompt").alias("_p"),
+                            token_count("chosen").alias("_c"), token_count("rejected").alias("_r"))
+        p = F.col("_p")
+        pc = concat_token_count("prompt", "chosen", p, F.col("_c"))
+        pr = concat_token_count("prompt", "rejected", p, F.col("_r"))
+        df = counted
+    else:
+        p = counter("prompt")
+        pc = counter(F.concat("prompt", "chosen"))
+        pr = counter(F.concat("prompt", "rejected"))
+    return df.agg(F.max(p).cast("bigint").alias("max_prompt_tokens"),
                   F.greatest(F.max(pc), F.max(pr)).cast("bigint").alias("max_pair_tokens"))
 
 
@@ -42,19 +53,25 @@ def pack(df: DataFrame, text: str = "text", order_by=("idx",), block: int = 2048
     then exploded into the blocks it touches, and each block is gathered by a
     grouped aggregation whose groups hold at most ``block`` tokens.
     """
-    with_tok = df.select(*order_by, tokens(text).alias("_t")).withColumn("_n", F.size("_t"))
-    started = with_running_total(with_tok.where(F.col("_n") > 0), list(order_by), "_n", name="_s")
-    first = F.floor(F.col("_s") / block)
-    last = F.floor((F.col("_s") + F.col("_n") - 1) / block)
-    pieces = (started.withColumn("block_id", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint")))))
+    order = list(order_by)
+    # phase 1: start offsets from (key, length) only -- the texts do not go
+    # through the two-phase running sum, only a few numbers per row do
+    lens = df.select(*order, token_count(text).alias("_n")).where(F.col("_n") > 0)
+    starts = with_running_total(lens, order, "_n", name="_s")
+    # phase 2: rejoin the texts by key (unique), cut each row into the blocks it touches
+    rows = df.select(*order, text).join(starts, order)
+    first = F.floor(F.col("_s") / block).cast("bigint")
+    last = F.floor((F.col("_s") + F.col("_n") - 1) / block).cast("bigint")
+    pieces = rows.select("_s", "_n", tokens(text).alias("_t"),
+                         F.explode(F.sequence(first, last)).alias("block_id"))
     lo = F.greatest(F.col("block_id") * block, F.col("_s"))
     hi = F.least((F.col("block_id") + 1) * block, F.col("_s") + F.col("_n"))
     pieces = pieces.select("block_id", "_s",
                            F.slice("_t", (lo - F.col("_s") + 1).cast("int"), (hi - lo).cast("int")).alias("_piece"))
     blocks = (pieces.groupBy("block_id")
-              .agg(F.array_sort(F.collect_list(F.struct("_s", "_piece"))).alias("_parts"))
-              .select("block_id", F.flatten(F.transform("_parts", lambda x: x["_piece"])).alias("tokens")))
-    blocks = blocks.withColumn("n_tokens", F.size("tokens").cast("bigint"))
+              .agg(F.collect_list(F.struct("_s", "_piece")).alias("_parts"),
+                   F.sum(F.size("_piece")).cast("bigint").alias("n_tokens")))
     if not keep_partial:
         blocks = blocks.where(F.col("n_tokens") == block)
-    return blocks
+    return blocks.select("block_id", "n_tokens",
+                         F.flatten(F.transform(F.array_sort("_parts"), lambda x: x["_piece"])).alias("tokens"))

@@ -68,8 +68,11 @@ def render(messages, add_generation_prompt: bool = False,
 
 
 def explode_messages(df: DataFrame, keep=("idx",), messages: str = "messages") -> DataFrame:
-    """Long form (keep..., pos, role, content): one row per message."""
-    return df.select(*keep, F.posexplode(messages).alias("pos", "m")).select(
+    """Long form (keep..., pos, role, content): one row per message.
+
+    posexplode_outer: with a plain posexplode the optimizer infers a
+    size(messages) > 0 filter and evaluates the whole message array twice."""
+    return df.select(*keep, F.posexplode_outer(messages).alias("pos", "m")).where(F.col("pos").isNotNull()).select(
         *keep, F.col("pos").cast("bigint").alias("pos"), F.col("m.role").alias("role"),
         F.col("m.content").alias("content"))
 

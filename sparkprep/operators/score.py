@@ -37,10 +37,16 @@ def rouge1(df: DataFrame, hyp: str = "hyp", ref: str = "ref", key: str = "pair_i
     sides = df.select(*keys, F.array(
         F.struct(F.lit(0).alias("side"), overlap_tokens(hyp, split_contractions).alias("toks")),
         F.struct(F.lit(1).alias("side"), overlap_tokens(ref, split_contractions).alias("toks"))).alias("_s"))
-    toks = (sides.select(*keys, F.explode("_s").alias("_x"))
+    # explode_outer: a plain explode makes the optimizer infer a size(_s) > 0
+    # filter and push it (with both tokenizations inside) below the project
+    toks = (sides.select(*keys, F.explode_outer("_s").alias("_x"))
             .select(*keys, F.col("_x.side").alias("side"), F.explode_outer("_x.toks").alias("tok")))
     if stem:
-        vocab = stem_vocabulary(toks.where(F.col("tok").isNotNull()))
+        from ..session import shared_dir
+        shared_dir(df.sparkSession)
+        # the vocabulary is small next to the token stream: stem it once,
+        # keep it in the shared folder, and broadcast it if its size allows
+        vocab = stem_vocabulary(toks.where(F.col("tok").isNotNull())).checkpoint(eager=True)
         n_vocab = vocab.count()
         vocab = F.broadcast(vocab) if n_vocab <= STEM_BROADCAST_MAX_TOKENS else vocab
         toks = (toks.join(vocab, "tok", "left")

@@ -118,7 +118,9 @@ def read_string_list(spark: SparkSession, path: str, pos: str = "pos", text: str
     Each file is one whole-text row (the format cannot be split)."""
     raw = spark.read.text(path, wholetext=True)
     arr = F.from_json(F.col("value"), "array<string>")
-    return (raw.select(F.posexplode(arr).alias(pos, text))
+    # posexplode_outer + null filter: the JSON is parsed once (a plain
+    # posexplode adds an inferred size(from_json(...)) > 0 filter)
+    return (raw.select(F.posexplode_outer(arr).alias(pos, text)).where(F.col(pos).isNotNull())
             .withColumn(pos, F.col(pos).cast("bigint")))
 
 
@@ -195,7 +197,8 @@ def read_rank_files(spark: SparkSession, directory: str, fmt: str, key: str = "i
     rank_of = F.regexp_extract(F.col("_metadata.file_path"), r"rank-(\d+)\.", 1).cast("int")
     if fmt == "json":
         raw = spark.read.text(paths, wholetext=True).select(rank_of.alias("shard"), "value")
-        rows = raw.select("shard", F.posexplode(F.from_json("value", "array<string>")).alias("pos", text))
+        rows = (raw.select("shard", F.posexplode_outer(F.from_json("value", "array<string>")).alias("pos", text))
+                .where(F.col("pos").isNotNull()))
         return merge_shards(rows, "shard", "pos", key).select(key, text)
     raw = spark.read.text(paths)
     lines = _scan_order(raw.select(full_strip("value").alias(text), rank_of.alias("shard"), "_metadata"))
