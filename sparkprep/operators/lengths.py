@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import concat_token_count, token_count, word_tokens
-from .order import with_running_total
+from .order import _integral_key, running_total_table, with_running_total
+
+
+def let(value, body):
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def length_profile(df: DataFrame, messages: str = "messages", counter=token_count) -> DataFrame:
@@ -57,17 +62,30 @@ def pack(df: DataFrame, text: str = "text", order_by=("idx",), block: int = 2048
     # phase 1: start offsets from (key, length) only -- the texts do not go
     # through the two-phase running sum, only a few numbers per row do
     lens = df.select(*order, token_count(text).alias("_n")).where(F.col("_n") > 0)
-    starts = with_running_total(lens, order, "_n", name="_s")
+    key = _integral_key(df, order)
+    starts = (running_total_table(lens, key, "_n", name="_s") if key is not None
+              else with_running_total(lens, order, "_n", name="_s"))
     # phase 2: rejoin the texts by key (unique), cut each row into the blocks it touches
     rows = df.select(*order, text).join(starts, order)
     first = F.floor(F.col("_s") / block).cast("bigint")
     last = F.floor((F.col("_s") + F.col("_n") - 1) / block).cast("bigint")
-    pieces = rows.select("_s", "_n", tokens(text).alias("_t"),
-                         F.explode(F.sequence(first, last)).alias("block_id"))
-    lo = F.greatest(F.col("block_id") * block, F.col("_s"))
-    hi = F.least((F.col("block_id") + 1) * block, F.col("_s") + F.col("_n"))
-    pieces = pieces.select("block_id", "_s",
-                           F.slice("_t", (lo - F.col("_s") + 1).cast("int"), (hi - lo).cast("int")).alias("_piece"))
+    s, n = F.col("_s"), F.col("_n")
+
+    def pieces_of(t):
+        def piece(b):
+            lo = F.greatest(b * block, s)
+            hi = F.least((b + 1) * block, s + n)
+            return F.struct(b.alias("block_id"),
+                            F.slice(t, (lo - s + 1).cast("int"), (hi - lo).cast("int")).alias("_piece"))
+        return F.transform(F.sequence(first, last), piece)
+
+    # Tokenize once per row and cut all of the row's pieces in one
+    # projection; the token array is bound as a lambda variable (let) so the
+    # optimizer cannot inline the tokenizer into the per-block lambda, and
+    # only the small pieces are exploded (the full array is never copied
+    # into each exploded row).
+    cut = rows.select("_s", let(tokens(text), pieces_of).alias("_pieces"))
+    pieces = cut.select("_s", F.inline_outer("_pieces")).where(F.col("block_id").isNotNull())
     blocks = (pieces.groupBy("block_id")
               .agg(F.collect_list(F.struct("_s", "_piece")).alias("_parts"),
                    F.sum(F.size("_piece")).cast("bigint").alias("n_tokens")))

@@ -235,11 +235,70 @@ def merge_shards(df: DataFrame, shard: str = "shard", pos: str = "pos", name: st
             .withColumn(name, F.col("_soff") + F.col(pos)).drop("_soff"))
 
 
+# Target number of value buckets for the integral-key path; the per-bucket
+# totals (one row per bucket) are collected and broadcast.
+_TARGET_BUCKETS = 4096
+
+
+def _integral_key(df: DataFrame, order_by) -> str | None:
+    from pyspark.sql.types import IntegralType
+    if isinstance(order_by, (list, tuple)) and len(order_by) == 1:
+        order_by = order_by[0]
+    if isinstance(order_by, str) and isinstance(df.schema[order_by].dataType, IntegralType):
+        return order_by
+    return None
+
+
+def _running_by_value_buckets(df: DataFrame, key: str, weight: Column | None, name: str) -> DataFrame:
+    """Exclusive running sum (or count) in ``key`` order for an integral key.
+
+    Rows are bucketed by key value (``bucket = (key - min) // width``), which
+    is deterministic, so no sampling pass, range shuffle or checkpoint is
+    needed: per-bucket totals (at most ~4,096 rows) become offsets, and the
+    in-bucket sum is a window over one bucket. A unique key bounds each bucket
+    by ``width`` rows; with duplicated keys ties share a bucket.
+    """
+    spark = df.sparkSession
+    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    if lo is None:
+        return df.withColumn(name, F.lit(None).cast("bigint"))
+    width = max(1, -(-(int(hi) - int(lo) + 1) // _TARGET_BUCKETS))
+    w = F.lit(1) if weight is None else weight
+    b = df.withColumn("_b", ((F.col(key) - F.lit(int(lo))) / F.lit(width)).cast("long")).withColumn("_w", w)
+    totals = sorted((r["_b"], int(r["t"] or 0)) for r in b.groupBy("_b").agg(F.sum("_w").alias("t")).collect())
+    rows, acc = [], 0
+    for bk, t in totals:
+        rows.append((bk, acc))
+        acc += t
+    offs = spark.createDataFrame(rows, "_b long, _off bigint")
+    win = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return (b.join(F.broadcast(offs), "_b")
+            .withColumn(name, (F.col("_off") + F.coalesce(F.sum("_w").over(win), F.lit(0))).cast("bigint"))
+            .drop("_b", "_w", "_off"))
+
+
+def running_total_table(narrow: DataFrame, key: str, weight: str, name: str = "start") -> DataFrame:
+    """(key, weight) -> (key, weight, exclusive running sum) for a unique
+    integral key. The narrow table is checkpointed once to the shared folder
+    (its producer, often expensive, runs once); the bucketed sum then reads
+    only the checkpoint."""
+    shared_dir(narrow.sparkSession)
+    fixed = narrow.checkpoint(eager=True)
+    return _running_by_value_buckets(fixed, key, F.col(weight), name)
+
+
 def with_running_total(df: DataFrame, order_by, weight: str, name: str = "start",
                        partitions: int | None = None) -> DataFrame:
-    """Exclusive running sum of ``weight`` in ``order_by`` order (two-phase,
-    like ``with_position``). Within a partition the sum is a window over that
-    partition only; across partitions it comes from the per-partition totals."""
+    """Exclusive running sum of ``weight`` in ``order_by`` order.
+
+    Integral single-column keys use value buckets (no sort of the whole
+    table); other keys use the two-phase sorted form: within a partition the
+    sum is a window over that partition only, across partitions it comes from
+    the per-partition totals."""
+    key = _integral_key(df, order_by)
+    if key is not None:
+        narrow = running_total_table(df.select(key, weight), key, weight, name)
+        return df.join(narrow.drop(weight), key)
     tagged = sorted_checkpoint(df, _cols(order_by), partitions)
     offs = _offsets(tagged, F.col(weight))
     w = (Window.partitionBy("_pid").orderBy("_mid")
