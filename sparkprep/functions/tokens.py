@@ -55,8 +55,8 @@ def word_tokens(c) -> Column:
 
 
 def token_count(c) -> Column:
-    """UD2 default: number of whitespace-delimited tokens."""
-    return F.size(word_tokens(c))
+    """UD2 default: number of whitespace-delimited tokens (null for null)."""
+    return F.when(_c(c).isNotNull(), F.size(word_tokens(c)))
 
 
 def _edge_is_token(c, first: bool) -> Column:

@@ -636,3 +636,39 @@ def _stream(spark, sf_dir):
 
 add("st1_stream_render_prompts", _stream,
     fx.with_fixtures(_prompt_sql("hg", T.INFER), "examples"), ("PJ1", "PJ2", "PJ3"))
+
+
+# ---------------------------------------------------------------------------
+# SC1-SC12 together over whole documents
+# ---------------------------------------------------------------------------
+def _scalars(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents")
+    first = F.split_part("text", F.lit("."), F.lit(1))
+    return d.select(
+        "doc_id",
+        TX.to_text(F.when(d.doc_id % 2 == 0, d.n_chars)).alias("n_chars_text"),               # SC1
+        F.char_length(TX.full_strip("text")).cast("bigint").alias("stripped_chars"),          # SC2, SC7
+        TX.strip_quotes(F.concat(F.lit(' "'), first, F.lit('" '))).alias("unquoted"),         # SC3, SC4
+        TX.numeral_count("text").cast("bigint").alias("n_numerals"),                          # SC5, SC10
+        F.md5(TX.flatten_newlines("text")).alias("flat_md5"),                                 # SC6
+        F.md5(TX.suffix_from("text", 10)).alias("suffix_md5"),                                # SC8
+        F.col("text").contains("the").alias("has_the"),                                       # SC9
+        F.size(F.split("text", " ")).cast("bigint").alias("n_space_parts"),                   # SC10
+        F.array_join(F.slice(F.split("text", " "), 2, 3), "|").alias("words_2_to_4"),         # SC11
+        F.greatest(d.n_chars, F.char_length("text").cast("bigint")).alias("max_len"),         # SC12
+    )
+
+
+add("sc_scalar_functions", _scalars, f"""
+SELECT doc_id,
+       coalesce(CAST(CASE WHEN doc_id % 2 = 0 THEN n_chars END AS VARCHAR), 'None') AS n_chars_text,
+       CAST(length(trim(text, {O.WS})) AS BIGINT) AS stripped_chars,
+       trim(trim(' "' || split_part(text, '.', 1) || '" ', {O.WS}), '"') AS unquoted,
+       CAST(len(regexp_extract_all(text, '{PAT}')) AS BIGINT) AS n_numerals,
+       md5(replace(text, chr(10), ' ')) AS flat_md5,
+       md5(substr(text, 11)) AS suffix_md5,
+       contains(text, 'the') AS has_the,
+       CAST(len(string_split(text, ' ')) AS BIGINT) AS n_space_parts,
+       array_to_string(list_slice(string_split(text, ' '), 2, 4), '|') AS words_2_to_4,
+       greatest(n_chars, CAST(length(text) AS BIGINT)) AS max_len
+FROM documents""", ("SC1", "SC2", "SC3", "SC4", "SC5", "SC6", "SC7", "SC8", "SC9", "SC10", "SC11", "SC12"))

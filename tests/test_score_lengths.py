@@ -95,3 +95,12 @@ def test_pairs_by_gap_ties_lowest_rep(spark):
                                "idx long, rep long, score double, candidate string")
     got = {r.idx: r for r in pairs_by_gap(df, 0.05, prompt=None).collect()}
     assert set(got) == {1} and (got[1].chosen, got[1].rejected, got[1].chosen_rep, got[1].rejected_rep) == ("a", "c", 1, 3)
+
+
+def test_pluggable_token_counter(spark):
+    from sparkprep.functions.tokens import pandas_token_counter, token_count
+    df = spark.createDataFrame([("a b  c",), ("",), (None,), ("one",)], "t string")
+    counter = pandas_token_counter(lambda: (lambda s: s.split()))
+    got = [r[0] for r in df.select(counter("t")).collect()]
+    assert got == [3, 0, None, 1]
+    assert [r[0] for r in df.select(token_count("t")).collect()] == [3, 0, None, 1]
