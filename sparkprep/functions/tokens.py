@@ -83,7 +83,12 @@ def pandas_token_counter(make_tokenizer: Callable[[], Callable[[str], list]]) ->
     text -> token ids. Use only where the whitespace count is not enough.
     """
     import pandas as pd
+    from pyspark.sql import SparkSession
+    from ..session import ship_package
 
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)
     cache: dict = {}
 
     @F.pandas_udf("long")

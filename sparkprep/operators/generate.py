@@ -65,6 +65,8 @@ def batch_generate(df: DataFrame, make_model: ModelFactory, prompt: str = "promp
     more times) until its cleaned output holds exactly one numeral; the last
     output is kept if none does. Adds ``out`` (raw text) and ``attempts``."""
     from pyspark.sql.types import IntegerType, StringType, StructType
+    from ..session import ship_package
+    ship_package(df.sparkSession)
     schema = StructType(list(df.schema.fields)).add(out, StringType()).add("attempts", IntegerType())
 
     def run(batches: Iterator) -> Iterator:

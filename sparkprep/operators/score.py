@@ -15,6 +15,8 @@ def stem_vocabulary(tokens: DataFrame, tok: str = "tok") -> DataFrame:
     """(tok, stem) for the distinct tokens; the stemmer runs once per distinct
     token in an Arrow-batched pandas UDF."""
     import pandas as pd
+    from ..session import ship_package
+    ship_package(tokens.sparkSession)
 
     @F.pandas_udf("string")
     def _stem(s: pd.Series) -> pd.Series:

@@ -140,6 +140,8 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
                             "pos": pa.array(range(pos, pos + n), pa.int64()), **cols})
                         pos += n
 
+    from ..session import ship_package
+    ship_package(spark)
     rows = paths.mapInArrow(read_shards, f"shard int, pos bigint, {PAIR_SCHEMA}")
     return merge_shards(rows, "shard", "pos", "idx").drop("shard", "pos")
 
