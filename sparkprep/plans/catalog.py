@@ -120,10 +120,9 @@ LANG_TASK = {"en": "hg", "fr": "nr", "de": "rationale_hg_stg1_ecnc", "es": "rati
 
 
 def _by_task_column(spark, sf_dir):
-    ex = fx.examples(spark, sf_dir)
-    docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "lang")
+    ex = fx.examples(spark, sf_dir, extra=("lang",))
     task = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in LANG_TASK.items()], F.lit("hg"))
-    df = ex.join(docs, "idx").withColumn("task", task)
+    df = ex.withColumn("task", task)
     m = messages_by_task_column(df, T.template_table(spark), "task", T.TRAIN, keep=("idx",))
     routed = T.route(m, "task")
     return explode_messages(routed, keep=("idx", "task", "stage", "output_format", "rationale_column"))

@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # examples: one example record per document (news, headline, ... , ecnc)
 # ---------------------------------------------------------------------------
-def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def examples(spark: SparkSession, sf_dir: str, extra=()) -> DataFrame:
+    """``extra`` names further documents columns to carry along."""
     d = table(spark, sf_dir, "documents")
     part = lambda n: F.split_part(d.text, F.lit("."), F.lit(n))
     n_chars = d.n_chars.cast("string")
@@ -35,6 +36,7 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(" "), n_chars, F.lit(" - 1 ")).alias("rationale_cal"),
         F.when(d.doc_id % 11 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit(" "), d.source, F.lit(" "), d.lang, F.lit(" "))).alias("ecnc"),
+        *extra,
     )
 
 
@@ -58,7 +60,8 @@ FROM documents"""
 # ---------------------------------------------------------------------------
 def sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    n = d.select(F.count(F.lit(1))).scalar()  # uncorrelated scalar subquery
+    # uncorrelated scalar subquery, counted from the file as stored
+    n = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select(F.count(F.lit(1))).scalar()
     return (d.where(F.col("doc_id") * 10 < n * 9)
             .select(F.col("doc_id").alias("idx"),
                     F.concat(F.lit(" focus "), F.col("source"), F.lit(" ")).alias("text")))
