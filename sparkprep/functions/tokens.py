@@ -37,6 +37,8 @@ CONTRACTION_RULES = [
     (r"(?i)\b(wan)(na)(?=\s)", "$1 $2"),
     (r"(?i)(^|\s)('t)(is|was)\b", "$1$2 $3"),
 ]
+# A literal (lower-case) substring every match of the rule above contains.
+CONTRACTION_KEYS = ["n't", "cannot", "gimme", "gonna", "gotta", "lemme", "wanna", "'t"]
 # ---------------------------------------------------------------------------
 
 
@@ -107,7 +109,18 @@ def overlap_tokens(c, split_contractions: bool = True) -> Column:
     from .text import strip_quotes
     t = strip_quotes(c)
     if split_contractions:
+        # A rule can only match where its key occurs, and the rules only
+        # insert spaces, so the regex chain runs only on texts whose
+        # lower-cased original holds some key: same result, no regex pass
+        # on most texts. (One guard, not one per rule: nesting a guard per
+        # rule would double the expression at every step.)
+        low = F.lower(t)
+        any_key = low.contains(CONTRACTION_KEYS[0])
+        for key in CONTRACTION_KEYS[1:]:
+            any_key = any_key | low.contains(key)
+        chained = t
         for pat, rep in CONTRACTION_RULES:
-            t = F.regexp_replace(t, F.lit(pat), F.lit(rep))
+            chained = F.regexp_replace(chained, F.lit(pat), F.lit(rep))
+        t = F.when(any_key, chained).otherwise(t)
     t = F.regexp_replace(F.lower(t), F.lit(OVERLAP_SEPARATOR), F.lit(" "))
     return F.filter(F.split(t, " "), lambda x: x != F.lit(""))

@@ -87,3 +87,12 @@ def test_running_total(spark):
         want[i] = acc
         acc += i % 5
     assert got == want
+
+
+def test_empty_inputs(spark):
+    empty = spark.createDataFrame([], "idx long, w long")
+    assert OR.with_position(empty, ["idx"]).count() == 0
+    assert OR.with_position(empty, ["idx"], partition_by=["w"]).count() == 0
+    assert OR.split_exact(empty, "idx", 0.02).count() == 0
+    assert OR.assign_shard(empty, 4).count() == 0
+    assert OR.with_running_total(empty, ["idx"], "w").count() == 0
