@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import flatten_newlines, full_strip
-from ..operators.order import merge_shards, with_position
+from ..operators.order import merge_shards
 
 # The field names of an example record; "masked headline" is
 # renamed to masked_headline on read.
@@ -34,6 +34,33 @@ def _scan_order(df: DataFrame) -> DataFrame:
             .drop("_metadata"))
 
 
+def _position_in_scan(tagged: DataFrame, split_cols: list, name: str) -> DataFrame:
+    """Position of each row in the order (split_cols..., row within split),
+    without moving the data.
+
+    Inside one file split rows keep their order and take consecutive
+    ``monotonically_increasing_id`` values, and a file scan assigns rows to
+    tasks deterministically, so the ids are the same whenever the scan is
+    recomputed. Rows are counted per split (one row per split, collected),
+    the counts become offsets in split order, and a row's position is its
+    split's offset plus its distance from the split's first id. The offset
+    table has one row per input split and is broadcast.
+    """
+    spark = tagged.sparkSession
+    per_split = (tagged.groupBy(*split_cols)
+                 .agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_m0")).collect())
+    rows, acc = [], 0
+    for r in sorted(per_split, key=lambda r: tuple(r[c] for c in split_cols)):
+        rows.append((*[r[c] for c in split_cols], int(r["_m0"]), acc))
+        acc += int(r["_cnt"])
+    fields = [tagged.schema[c] for c in split_cols] + [
+        T.StructField("_m0", T.LongType()), T.StructField("_soff", T.LongType())]
+    table = spark.createDataFrame(rows, T.StructType(fields))
+    return (tagged.join(F.broadcast(table), split_cols)
+            .withColumn(name, F.col("_soff") + F.col("_mid") - F.col("_m0"))
+            .drop("_m0", "_soff", "_mid"))
+
+
 # ---------------------------------------------------------------------------
 # Parquet tables
 # ---------------------------------------------------------------------------
@@ -91,7 +118,7 @@ def read_records(spark: SparkSession, path: str, fields=RECORD_FIELDS, idx: str
             c = F.when(c == "true", "True").when(c == "false", "False").otherwise(c)
         cols.append(c.alias(f.replace(" ", "_")))
     ordered = _scan_order(raw.select(*cols, "_metadata"))
-    return with_position(ordered, ["_file", "_block", "_mid"], name=idx).drop("_file", "_block", "_mid")
+    return _position_in_scan(ordered, ["_file", "_block"], idx).drop("_file", "_block")
 
 
 def records_to_table(spark: SparkSession, path: str, out: str, fields=RECORD_FIELDS) -> DataFrame:
@@ -114,8 +141,8 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     state = os.path.join(path, "state.json")
     if not os.path.exists(state):
         df = spark.read.schema(PAIR_SCHEMA).parquet(path)
-        return with_position(_scan_order(df.select("*", "_metadata")), ["_file", "_block", "_mid"],
-                             name="idx").drop("_file", "_block", "_mid")
+        return _position_in_scan(_scan_order(df.select("*", "_metadata")), ["_file", "_block"],
+                                 "idx").drop("_file", "_block")
     with open(state) as f:
         files = [d["filename"] for d in json.load(f).get("_data_files", [])]
     paths = spark.createDataFrame([(i, os.path.join(path, fn)) for i, fn in enumerate(files)],
@@ -168,7 +195,7 @@ def read_lines(spark: SparkSession, path: str, pos: str = "pos", text: str = "te
     raw = spark.read.text(path)
     t = full_strip("value") if strip else F.col("value")
     ordered = _scan_order(raw.select(t.alias(text), "_metadata"))
-    return with_position(ordered, ["_file", "_block", "_mid"], name=pos).drop("_file", "_block", "_mid")
+    return _position_in_scan(ordered, ["_file", "_block"], pos).drop("_file", "_block")
 
 
 # ---------------------------------------------------------------------------
@@ -202,8 +229,7 @@ def read_outputs(spark: SparkSession, path: str, fmt: str = "json", key: str = "
     lines = _scan_order(raw.select(full_strip("value").alias(text), F.col(shard).cast("int").alias(shard),
                                    "_metadata"))
     lines = lines.withColumn("_name", F.element_at(F.split("_file", "/"), -1))
-    return with_position(lines, [shard, "_name", "_block", "_mid"], name=key).drop(
-        "_file", "_name", "_block", "_mid")
+    return _position_in_scan(lines, [shard, "_name", "_block"], key).drop("_file", "_name", "_block")
 
 
 def write_merged(df: DataFrame, path: str, fmt: str = "json", key: str = "idx", text: str = "text",
@@ -238,4 +264,4 @@ def read_rank_files(spark: SparkSession, directory: str, fmt: str, key: str = "i
         return merge_shards(rows, "shard", "pos", key).select(key, text)
     raw = spark.read.text(paths)
     lines = _scan_order(raw.select(full_strip("value").alias(text), rank_of.alias("shard"), "_metadata"))
-    return with_position(lines, ["shard", "_block", "_mid"], name=key).select(key, text)
+    return _position_in_scan(lines, ["shard", "_block"], key).select(key, text)

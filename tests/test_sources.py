@@ -76,3 +76,18 @@ def test_read_pairs_arrow_dataset(spark, tmp_path):
     (d / "state.json").write_text(json.dumps({"_data_files": files}))
     got = [(r.idx, r.news) for r in S.read_pairs(spark, str(d)).orderBy("idx").collect()]
     assert got == [(0, "n00"), (1, "n01"), (2, "n02"), (3, "n10"), (4, "n11"), (5, "n12")]
+
+
+def test_read_lines_across_many_splits(spark, tmp_path):
+    p = tmp_path / "big.txt"
+    lines = [f" line {i} " + "x" * (i % 50) for i in range(60000)]
+    p.write_text("\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 * 1024))
+    try:
+        df = S.read_lines(spark, str(p))
+        assert df.rdd.getNumPartitions() > 10
+        got = {r.pos: r.text for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {i: l.strip() for i, l in enumerate(lines)}
