@@ -42,9 +42,14 @@ def _num_partitions(df: DataFrame, partitions: int | None) -> int:
 
 
 def sorted_checkpoint(df: DataFrame, order_by, partitions: int | None = None) -> DataFrame:
-    """Range-partition + sort by ``order_by``, tag (_pid, _mid), checkpoint."""
+    """Range-partition + sort by ``order_by``, tag (_pid, _mid), checkpoint.
+
+    A seeded random value is the last sort key: rows that tie on the order
+    key (ordered arbitrarily anyway) can then be split over several range
+    partitions, so even a key shared by a large share of the rows does not
+    land in one task. The checkpoint fixes whatever order was drawn."""
     shared_dir(df.sparkSession)
-    order = _cols(order_by)
+    order = _cols(order_by) + [F.rand(17)]
     n = _num_partitions(df, partitions)
     tagged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())

@@ -96,3 +96,14 @@ def test_empty_inputs(spark):
     assert OR.split_exact(empty, "idx", 0.02).count() == 0
     assert OR.assign_shard(empty, 4).count() == 0
     assert OR.with_running_total(empty, ["idx"], "w").count() == 0
+
+
+def test_tied_hot_key_is_split_across_partitions(spark):
+    # a third of the rows share one order key; positions stay a permutation
+    rows = [(i, 0 if i % 3 == 0 else i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, k long")
+    out = OR.with_position(df, ["k"], partitions=8)
+    got = sorted(r.pos for r in out.collect())
+    assert got == list(range(3000))
+    hot = OR.sorted_checkpoint(df, ["k"], 8).where("k = 0").groupBy("_pid").count().collect()
+    assert len(hot) > 1
