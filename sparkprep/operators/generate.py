@@ -48,6 +48,20 @@ def echo_model() -> EchoModel:
     return EchoModel()
 
 
+# Models already built in this Python worker, by factory name. With worker
+# reuse (Spark's default) a model is loaded once per worker, not per task.
+_MODELS: dict = {}
+
+
+def _model_for(make_model: ModelFactory):
+    name = f"{getattr(make_model, '__module__', '')}.{getattr(make_model, '__qualname__', '')}"
+    if "<lambda>" in name or "<locals>" in name or name == ".":
+        return make_model()  # not nameable: one per task
+    if name not in _MODELS:
+        _MODELS[name] = make_model()
+    return _MODELS[name]
+
+
 def _chunks(seq, size):
     for i in range(0, len(seq), size):
         yield seq[i:i + size]
@@ -70,7 +84,8 @@ def batch_generate(df: DataFrame, make_model: ModelFactory, prompt: str = "promp
     schema = StructType(list(df.schema.fields)).add(out, StringType()).add("attempts", IntegerType())
 
     def run(batches: Iterator) -> Iterator:
-        model = make_model()
+        from sparkprep.operators.generate import _model_for
+        model = _model_for(make_model)
         for pdf in batches:
             prompts = pdf[prompt].fillna("None").astype(str).tolist()
             texts, tries = [], []
@@ -107,6 +122,18 @@ def generate(df: DataFrame, make_model: ModelFactory, messages: str = "messages"
     return raw.select(key, "rep", "prompt", strip_prompt("generated", "prompt").alias("text"), "attempts")
 
 
+def preview_generate(df: DataFrame, make_model: ModelFactory, sample_num: int, messages: str = "messages",
+                     key: str = "idx", seed: int = 42, num_check: bool = False) -> DataFrame:
+    """GN4 preview: ``sample_num`` seeded examples generated (with the numeral
+    retry if asked) beside their user content and ground truth."""
+    from .order import preview
+    few = preview(df.select(key, messages), key, sample_num, seed)
+    out = generate(few, make_model, messages, 1, num_check=num_check, key=key)
+    truth = few.select(key, F.element_at(messages, 2)["content"].alias("user"),
+                       F.element_at(messages, 3)["content"].alias("ground_truth"))
+    return truth.join(out.select(key, F.col("text").alias("generated"), "attempts"), key)
+
+
 def select_attempt(df: DataFrame, key: str = "idx", attempt: str = "attempt", text: str = "text",
                    max_attempt: int = MAX_RETRIES, num_check: bool = True) -> DataFrame:
     """WN2: per key, the first attempt whose text has exactly one numeral;

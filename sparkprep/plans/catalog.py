@@ -671,3 +671,23 @@ SELECT doc_id,
        array_to_string(list_slice(string_split(text, ' '), 2, 4), '|') AS words_2_to_4,
        greatest(n_chars, CAST(length(text) AS BIGINT)) AS max_len
 FROM documents""", ("SC1", "SC2", "SC3", "SC4", "SC5", "SC6", "SC7", "SC8", "SC9", "SC10", "SC11", "SC12"))
+
+
+def _preview_gen(spark, sf_dir):
+    m = build_messages(fx.examples(spark, sf_dir), "hg", T.INFER)
+    out = G.preview_generate(m, G.echo_model, 5, num_check=True)
+    return out.select("idx", "user", "ground_truth", "generated", F.col("attempts").cast("bigint").alias("attempts"))
+
+
+def _preview_gen_sql():
+    user, asst = T.layout("hg", T.INFER)
+    inner = _prompt_sql("hg", T.INFER, source="few", keys=f"idx, {O.content(user)} AS user, {O.content(asst)} AS ground_truth")
+    return fx.with_fixtures(
+        f"SELECT idx, user, ground_truth, CASE WHEN L % 7 <> 0 THEN 'answer ' || (L + L % 4) "
+        f"ELSE 'answer ' || L || ' and 20' END AS generated, "
+        f"CAST(CASE WHEN L % 7 <> 0 THEN L % 4 ELSE 20 END AS BIGINT) AS attempts "
+        f"FROM (SELECT idx, user, ground_truth, length(prompt) AS L FROM ({inner}))",
+        "examples", extra={"few": f"SELECT * FROM examples ORDER BY {MD5.format(k='idx')}, idx LIMIT 5"})
+
+
+add("gn4_preview_generate", _preview_gen, _preview_gen_sql(), ("GN4", "OS3"))

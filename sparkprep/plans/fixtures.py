@@ -199,7 +199,8 @@ SQL = {
 }
 
 
-def with_fixtures(sql: str, *names: str) -> str:
-    """Prefix an oracle query with the fixture CTEs it names."""
-    ctes = ",\n".join(f"{n} AS ({SQL[n]}\n)" for n in names)
-    return f"WITH {ctes}\n{sql}" if names else sql
+def with_fixtures(sql: str, *names: str, extra: dict | None = None) -> str:
+    """Prefix an oracle query with the fixture CTEs it names (then ``extra``
+    CTEs, name -> SQL, which may refer to them)."""
+    parts = [f"{n} AS ({SQL[n]}\n)" for n in names] + [f"{n} AS ({q})" for n, q in (extra or {}).items()]
+    return ("WITH " + ",\n".join(parts) + "\n" + sql) if parts else sql
