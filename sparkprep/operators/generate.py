@@ -117,7 +117,7 @@ def generate(df: DataFrame, make_model: ModelFactory, messages: str = "messages"
     positional, so it can be re-joined in any order.
     """
     prompts = df.select(key, render(prompt_messages(messages), add_generation_prompt=True).alias("prompt"))
-    reps = replicate(prompts, k).drop("pos")
+    reps = replicate(prompts, k, key=key).drop("pos")
     raw = batch_generate(reps, make_model, "prompt", batch_size, num_check)
     return raw.select(key, "rep", "prompt", strip_prompt("generated", "prompt").alias("text"), "attempts")
 

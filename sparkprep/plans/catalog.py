@@ -691,3 +691,81 @@ def _preview_gen_sql():
 
 
 add("gn4_preview_generate", _preview_gen, _preview_gen_sql(), ("GN4", "OS3"))
+
+
+# ---------------------------------------------------------------------------
+# End-to-end flows
+# ---------------------------------------------------------------------------
+from . import flows as FL  # noqa: E402
+
+
+def _flow_sft(spark, sf_dir):
+    out = FL.supervised_examples(fx.examples(spark, sf_dir), "nr", block=1024)
+    return out.select("block_id", "n_tokens", F.array_join("tokens", " ").alias("text"))
+
+
+add("flow_supervised_examples", _flow_sft, fx.with_fixtures(f"""
+SELECT CAST(block_id AS BIGINT) AS block_id, CAST(count(*) AS BIGINT) AS n_tokens,
+       string_agg(tok, ' ' ORDER BY g) AS text
+FROM (
+  SELECT tok, g, g // 1024 AS block_id FROM (
+    SELECT tok, row_number() OVER (ORDER BY idx, i) - 1 AS g FROM (
+      SELECT idx, unnest(t) AS tok, generate_subscripts(t, 1) AS i
+      FROM (SELECT idx, {_toks_sql('text')} AS t FROM ({_render_full_sql('nr')})))))
+GROUP BY block_id HAVING count(*) = 1024""", "examples"), ("PJ1", "PJ3", "WN3"))
+
+
+def _flow_pref(spark, sf_dir):
+    return FL.preference_sets(fx.pairs(spark, sf_dir), PAIR_TASK).select(
+        "pair_id", "split", "prompt_tokens", "chosen_tokens", "rejected_tokens", "prompt", "chosen", "rejected")
+
+
+def _flow_pref_sql():
+    split = (f"SELECT pair_id, CASE WHEN row_number() OVER (ORDER BY {MD5.format(k='pair_id')}, pair_id) <= "
+             "ceil(0.02 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM pairs")
+    fit = _fit_sql_body()
+    return fx.with_fixtures(
+        f"SELECT f.*, s.split FROM ({fit}) f JOIN ({split}) s USING (pair_id)", "pairs")
+
+
+def _fit_sql_body():
+    return f"""
+SELECT pair_id, CAST(len(p2) AS BIGINT) AS prompt_tokens, CAST(len(c2) AS BIGINT) AS chosen_tokens,
+       CAST(len(r2) AS BIGINT) AS rejected_tokens, array_to_string(p2, ' ') AS prompt,
+       array_to_string(c2, ' ') AS chosen, array_to_string(r2, ' ') AS rejected
+FROM (
+  SELECT pair_id, p2,
+         CASE WHEN len(p2) + lng > 1536 THEN list_slice(c, 1, 512) ELSE c END AS c2,
+         CASE WHEN len(p2) + lng > 1536 THEN list_slice(r, 1, 512) ELSE r END AS r2
+  FROM (
+    SELECT pair_id, c, r, lng,
+           CASE WHEN len(p) + lng > 1536 THEN list_slice(p, greatest(len(p) - 1024 + 1, 1), greatest(len(p) - 1024 + 1, 1) + 1024 - 1)
+                ELSE p END AS p2
+    FROM (SELECT pair_id, {_toks_sql('prompt')} AS p, {_toks_sql('chosen')} AS c, {_toks_sql('rejected')} AS r,
+                 greatest(len({_toks_sql('chosen')}), len({_toks_sql('rejected')})) AS lng
+          FROM ({TEMPLATED_SQL}))))"""
+
+
+add("flow_preference_sets", _flow_pref, _flow_pref_sql(), ("OS2", "PJ4", "PJ5", "TR2"))
+
+STG1, STG2 = "rationale_hg_stg1_ecnc", "rationale_hg_stg2_ecnc"
+
+
+def _flow_two_stage(spark, sf_dir):
+    return FL.two_stage_inference(fx.examples(spark, sf_dir), STG1, STG2, G.echo_model, k=2, num_check=True)
+
+
+def _flow_two_stage_sql():
+    s1 = _prompt_sql(STG1, T.INFER)
+    stage1 = (f"SELECT idx, CASE WHEN L % 7 <> 0 AND L % 4 = 0 THEN 'answer ' || L ELSE 'answer ' || L || ' and 0' END "
+              f"AS rationale FROM (SELECT idx, length(prompt) AS L FROM ({s1}))")
+    src = f"(SELECT e.*, s.rationale AS rationale_hg_stg1 FROM examples e JOIN ({stage1}) s ON e.idx = s.idx)"
+    s2 = _prompt_sql(STG2, T.INFER, source=src, keys="idx, rationale_hg_stg1 AS rationale")
+    return fx.with_fixtures(
+        "SELECT idx, CAST(rep AS BIGINT) AS rep, CASE WHEN L % 7 <> 0 THEN 'answer ' || (L + L % 4) "
+        "ELSE 'answer ' || L || ' and 20' END AS text, rationale "
+        f"FROM (SELECT idx, rationale, length(prompt) AS L FROM ({s2})), (SELECT unnest(range(2)) AS rep)",
+        "examples")
+
+
+add("flow_two_stage_inference", _flow_two_stage, _flow_two_stage_sql(), ("GN3", "GN4", "JN3", "GN1", "GN2", "PJ7"))
