@@ -75,14 +75,14 @@ def _row_groups(path: str) -> int | None:
         return None
 
 
-# Spread a single-file input only when each core would get at least this much.
-SPREAD_MIN_BYTES_PER_CORE = 1 << 20
+# Spread a single-file input only when it holds at least this much.
+SPREAD_MIN_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Read a Parquet table. A scan splits by row group, so a single file with
     fewer row groups than the session's parallelism is read by that many
-    tasks only; if it is big enough to matter (>= 1 MiB per core) it is
+    tasks only; if it is big enough to matter (>= 1 MiB) it is
     spread round-robin over the cores before any CPU-heavy projection.
     Directories and multi-row-group files are left as they are (their splits
     already give parallelism), as are small files (a shuffle costs more than
@@ -90,7 +90,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     groups = _row_groups(path)
     par = spark.sparkContext.defaultParallelism
-    if groups is not None and groups < par and os.path.getsize(path) >= par * SPREAD_MIN_BYTES_PER_CORE:
+    if groups is not None and groups < par and os.path.getsize(path) >= SPREAD_MIN_BYTES:
         df = df.repartition(par)
     return df
 
