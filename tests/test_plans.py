@@ -35,3 +35,28 @@ def test_scan_prunes_columns(spark):
 def test_rouge_has_no_pairwise_join(spark):
     plan = _plan(all_queries()["ag3_rouge1"].build(spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+PYTHON_OK = ("gn3_", "gn4_", "ag3_rouge1_stemmed", "flow_two_stage")
+
+
+def _all_plans(spark):
+    out = {}
+    for name, q in all_queries().items():
+        df = q.build(spark, SF)
+        out[name] = df._jdf.queryExecution().executedPlan().toString()
+    return out
+
+
+def test_all_query_plans(spark):
+    import re
+    for name, plan in _all_plans(spark).items():
+        # every Window has a partition spec: "Window [exprs], [partition], [order]"
+        for line in plan.split("\n"):
+            if "Window [" in line:
+                m = re.search(r"Window \[.*?\], \[([^\]]*)\]", line)
+                assert m and m.group(1).strip(), f"{name}: window without partitioning: {line[:200]}"
+        assert "CartesianProduct" not in plan, name
+        assert "BroadcastNestedLoopJoin" not in plan, name
+        if not name.startswith(PYTHON_OK):
+            assert "PythonUDF" not in plan and "EvalPython" not in plan and "MapInPandas" not in plan, name
