@@ -107,3 +107,18 @@ def test_tied_hot_key_is_split_across_partitions(spark):
     assert got == list(range(3000))
     hot = OR.sorted_checkpoint(df, ["k"], 8).where("k = 0").groupBy("_pid").count().collect()
     assert len(hot) > 1
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.integers(min_value=0, max_value=400), st.integers(min_value=1, max_value=12))
+def test_shard_then_merge_is_identity(spark, n, shards):
+    df = spark.range(n).withColumnRenamed("id", "idx")
+    sh = OR.assign_shard(df, shards)
+    sizes = {r.shard: r["count"] for r in sh.groupBy("shard").count().collect()}
+    assert sum(sizes.values()) == n
+    within = OR.with_position(sh, ["idx"], partition_by=["shard"], name="pos", partitions=5)
+    merged = OR.merge_shards(within, "shard", "pos", "m").collect()
+    assert sorted((r.m, r.idx) for r in merged) == [(i, i) for i in range(n)]
