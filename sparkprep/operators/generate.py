@@ -114,7 +114,9 @@ def generate(df: DataFrame, make_model: ModelFactory, messages: str = "messages"
     """Stage inference over a table: PJ2 -> PJ3 -> GN1 (k per row) -> GN3 -> PJ7.
 
     Returns (key, rep, prompt, text, attempts): the output is keyed, never
-    positional, so it can be re-joined in any order.
+    positional, so it can be re-joined in any order. A sampling model gives
+    new texts each time the plan runs: write or checkpoint the output before
+    using it more than once.
     """
     prompts = df.select(key, render(prompt_messages(messages), add_generation_prompt=True).alias("prompt"))
     reps = replicate(prompts, k, key=key).drop("pos")

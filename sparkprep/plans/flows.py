@@ -38,8 +38,14 @@ def two_stage_inference(records: DataFrame, stage1_task: str, stage2_task: str,
     text)."""
     if T.task_kind(stage1_task).stage != 1 or T.task_kind(stage2_task).stage != 2:
         raise ValueError("expected a stage-1 task and a stage-2 task")
+    from ..session import shared_dir
     m1 = build_messages(records, stage1_task, T.INFER)
     s1 = generate(m1, make_model, k=k, batch_size=batch_size).select("idx", "rep", "text")
+    # Stage-1 outputs are used twice (stage-2 prompts and the returned
+    # rationale); a sampling model must not run twice, so they are written
+    # once to the shared folder (reliable checkpoint) and read from there.
+    shared_dir(records.sparkSession)
+    s1 = s1.checkpoint(eager=True)
     m2 = stage2_inputs(records, s1, stage2_task, k=k)
     s2 = generate(m2.withColumn("_key", F.col("idx") * k + F.col("rep")), make_model, k=1,
                   batch_size=batch_size, num_check=num_check, key="_key")
