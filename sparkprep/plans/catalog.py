@@ -52,7 +52,7 @@ from ..operators import generate as G  # noqa: E402
 from ..operators import order as OR  # noqa: E402
 from ..operators.align import replicate, zip_join  # noqa: E402
 from ..operators.lengths import length_profile, pack, pair_length_profile, truncate_left  # noqa: E402
-from ..operators.messages import messages_by_task_column, prompt_messages, render  # noqa: E402
+from ..operators.messages import IM_END, messages_by_task_column, prompt_messages, render  # noqa: E402
 from ..operators.pairs import fit_pair, pairs_by_gap, template_pairs  # noqa: E402
 from ..operators.score import number_accuracy, rouge1  # noqa: E402
 
@@ -104,7 +104,7 @@ def _templated_sql():
     sys_text = TX.sql_str(T.SYSTEM_TEXTS[(PAIR_TASK, T.TRAIN)])
     prompt = (O.chatml([("'system'", sys_text)]) + " || " +
               O.chatml([("'user'", "'news: ' || " + O.to_text("news"))], True))
-    eos = f"'{T.__dict__.get('EOS', '<|im_end|>')}' || chr(10)"
+    eos = f"'{IM_END}' || chr(10)"
     return (f"SELECT pair_id, {prompt} AS prompt, {O.to_text('chosen')} || {eos} AS chosen, "
             f"{O.to_text('rejected')} || {eos} AS rejected FROM pairs")
 

@@ -40,9 +40,27 @@ GOLDEN = [
     ("rationale_nr_stg2_ec", T.INFER, "news: The news. masked headline: ____ head gen r2", "5"),
     ("rationale_nr_stg2_ecnc", T.TRAIN, "news: The news.\n\nNone", "5"),
     ("rationale_nr_stg2_ecnc", T.INFER, "news: The news.\n\ngen r2", "5"),
+    ("hg", T.INFER, "news: The news.", "Head 5"),
+    ("rationale_hg_stg1_emp", T.TRAIN, "news: The news.", "focus: focus it"),
+    ("rationale_hg_stg1_emp", T.INFER, "news: The news.", "focus: focus it"),
+    ("rationale_hg_stg1_ec", T.INFER, "news: The news.", "summary: sum focus: focus it calculation:  2+3 "),
+    ("rationale_hg_stg1_ecnc", T.INFER, "news: The news.", "None"),
+    ("rationale_hg_stg2_emp", T.TRAIN, "news: The news. focus: focus it", "Head 5"),
+    ("rationale_hg_stg2_emp", T.INFER, "news: The news. gen r1", "Head 5"),
+    ("rationale_hg_stg2_ec", T.TRAIN, "news: The news. summary: sum focus: focus it calculation:  2+3 ", "Head 5"),
+    ("rationale_hg_stg2_ec", T.INFER, "news: The news. gen r1", "Head 5"),
+    ("nr", T.INFER, "news: The news. masked headline: ____ head", "5"),
+    ("rationale_nr_stg1_ec", T.INFER, "news: The news. masked headline: ____ head",
+     "summary: sum focus: focus it calculation: 2+3"),
+    ("rationale_nr_stg1_ecnc", T.TRAIN, "news: The news. masked headline: ____ head", "None"),
+    ("rationale_nr_stg1_ecnc", T.INFER, "news: The news. masked headline: ____ head", "None"),
 ]
 
 
+def test_goldens_cover_all_28_layouts():
+    assert {(t, m) for t, m, _, _ in GOLDEN} == {(t, m) for t in T.TASKS for m in T.MODES}
+
+
 @pytest.mark.parametrize("task,mode,user,assistant", GOLDEN)
 def test_message_goldens(rec, task, mode, user, assistant):
     m = _msgs(rec, task, mode)
