@@ -124,3 +124,48 @@ def overlap_tokens(c, split_contractions: bool = True) -> Column:
         t = F.when(any_key, chained).otherwise(t)
     t = F.regexp_replace(F.lower(t), F.lit(OVERLAP_SEPARATOR), F.lit(" "))
     return F.filter(F.split(t, " "), lambda x: x != F.lit(""))
+
+
+def tokenizer_file_counter(path: str, add_special_tokens: bool = False) -> TokenCounter:
+    """UD2 with a real tokenizer: a tokenizer JSON file (the ``tokenizers``
+    format) loaded once per Python worker; each Arrow batch is encoded in one
+    batched call. Returns a ``Column -> Column`` token counter for
+    ``length_profile`` / ``pair_length_profile``. The file is shipped to the
+    executors with ``addFile`` (no shared file system needed)."""
+    import os
+    import pandas as pd
+    from pyspark.sql import SparkSession
+    from ..session import ship_package
+
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)
+        active.sparkContext.addFile(path)
+    name = os.path.basename(path)
+
+    @F.pandas_udf("long")
+    def _count(s: pd.Series) -> pd.Series:
+        from sparkprep.functions.tokens import _load_tokenizer
+        tok = _load_tokenizer(path, name)
+        mask = s.notna()
+        out = pd.Series([None] * len(s), index=s.index, dtype="object")
+        if mask.any():
+            enc = tok.encode_batch(s[mask].tolist(), add_special_tokens=add_special_tokens)
+            out[mask] = [len(e.ids) for e in enc]
+        return out.astype("Int64")
+
+    return lambda c: _count(_c(c))
+
+
+_TOKENIZERS: dict = {}
+
+
+def _load_tokenizer(path: str, name: str):
+    tok = _TOKENIZERS.get(path)
+    if tok is None:
+        import os
+        from pyspark import SparkFiles
+        from tokenizers import Tokenizer
+        local = path if os.path.exists(path) else SparkFiles.get(name)
+        tok = _TOKENIZERS[path] = Tokenizer.from_file(local)
+    return tok

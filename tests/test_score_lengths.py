@@ -104,3 +104,23 @@ def test_pluggable_token_counter(spark):
     got = [r[0] for r in df.select(counter("t")).collect()]
     assert got == [3, 0, None, 1]
     assert [r[0] for r in df.select(token_count("t")).collect()] == [3, 0, None, 1]
+
+
+def test_tokenizer_file_counter(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers, trainers
+    from sparkprep.functions.tokens import tokenizer_file_counter
+    from sparkprep.operators.lengths import length_profile
+    from sparkprep.operators.messages import build_messages
+    tok = Tokenizer(models.WordPiece(unk_token="[UNK]"))
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    texts = ["the headline has 5 words", "news about numbers and words", "a b c"]
+    tok.train_from_iterator(texts, trainers.WordPieceTrainer(vocab_size=60, special_tokens=["[UNK]"]))
+    path = str(tmp_path / "tok.json")
+    tok.save(path)
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    counter = tokenizer_file_counter(path)
+    got = [r[0] for r in df.select(counter("t")).collect()]
+    assert got == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts] + [None]
+    ex = spark.createDataFrame([(0, texts[0], "h 5")], "idx long, news string, headline string")
+    prof = length_profile(build_messages(ex, "hg"), counter=counter).first()
+    assert prof.max_assistant_tokens == len(tok.encode("h 5", add_special_tokens=False).ids)
