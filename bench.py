@@ -32,18 +32,22 @@ def main() -> None:
     qs["pj1_hg_train"].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}
+    jobs: dict[str, int] = {}
     failed: dict[str, str] = {}
+    sc = spark.sparkContext
     for n in names:
+        sc.setJobGroup(n, n)
         t0 = time.perf_counter()
         try:
             qs[n].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
             times[n] = round(time.perf_counter() - t0, 3)
+            jobs[n] = len(sc.statusTracker().getJobIdsForGroup(n))
         except Exception as e:  # keep going; report which failed
             failed[n] = f"{type(e).__name__}: {str(e)[:200]}"
     sf = os.path.basename(sf_dir).replace("sf", "")
     out = {"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
-           "cpus": cpus, "n_queries": len(times)}
+           "cpus": cpus, "n_queries": len(times), "spark_jobs": jobs}
     if failed:
         out["failed"] = failed
     print(json.dumps(out))

@@ -148,6 +148,10 @@ def shuffle_position(df: DataFrame, key: str, seed: int = 42, name: str = "pos")
 
 
 _BUCKET_CHARS = 4  # 16^4 = 65,536 hash buckets, counted in one small aggregate
+# A boundary bucket up to this many rows is ranked in one task (its size is
+# known from the bucket counts); a larger one (many duplicated keys) uses the
+# two-phase position.
+_ONE_TASK_RANK_MAX_ROWS = 1_000_000
 
 
 def split_exact(df: DataFrame, key: str, test_fraction: float = 0.02, seed: int = 42,
@@ -164,10 +168,10 @@ def split_exact(df: DataFrame, key: str, test_fraction: float = 0.02, seed: int
                     hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect())
     total = sum(n for _, n in counts)
     n_test = math.ceil(test_fraction * total) if total else 0
-    acc, boundary, need = 0, None, 0
+    acc, boundary, need, bsize = 0, None, 0, 0
     for b, n in counts:
         if acc + n >= n_test:
-            boundary, need = b, n_test - acc
+            boundary, need, bsize = b, n_test - acc, n
             break
         acc += n
     if boundary is None or n_test == 0:
@@ -175,7 +179,12 @@ def split_exact(df: DataFrame, key: str, test_fraction: float = 0.02, seed: int
         return hashed.withColumn(name, lab).drop("_h", "_b")
     outside = (hashed.where(F.col("_b") != boundary)
                .withColumn(name, F.when(F.col("_b") < boundary, "test").otherwise("train")))
-    inside = with_position(hashed.where(F.col("_b") == boundary), ["_h", key], name="_r")
+    in_bucket = hashed.where(F.col("_b") == boundary)
+    if bsize <= _ONE_TASK_RANK_MAX_ROWS:
+        rank = F.row_number().over(Window.orderBy("_h", key)) - 1
+        inside = in_bucket.withColumn("_r", rank)
+    else:
+        inside = with_position(in_bucket, ["_h", key], name="_r")
     inside = inside.withColumn(name, F.when(F.col("_r") < need, "test").otherwise("train")).drop("_r")
     return outside.unionByName(inside).drop("_h", "_b")
 

@@ -122,3 +122,11 @@ def test_shard_then_merge_is_identity(spark, n, shards):
     within = OR.with_position(sh, ["idx"], partition_by=["shard"], name="pos", partitions=5)
     merged = OR.merge_shards(within, "shard", "pos", "m").collect()
     assert sorted((r.m, r.idx) for r in merged) == [(i, i) for i in range(n)]
+
+
+def test_split_exact_large_boundary_bucket_path(spark, monkeypatch):
+    monkeypatch.setattr(OR, "_ONE_TASK_RANK_MAX_ROWS", 0)
+    df = spark.range(500).withColumnRenamed("id", "k")
+    test = {r.k for r in OR.split_exact(df, "k", 0.1).collect() if r.split == "test"}
+    order = [r.k for r in df.orderBy(OR.shuffle_key("k", 42), "k").collect()]
+    assert test == set(order[:50])
