@@ -78,38 +78,45 @@ def with_position(df: DataFrame, order_by, partition_by=None, name: str = "pos",
     consistently (the positions are a permutation)."""
     group = _cols(partition_by) if partition_by else []
     tagged = sorted_checkpoint(df, group + _cols(order_by), partitions)
-    offs = _offsets(tagged)
+    spark = df.sparkSession
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), _ROW_BITS)
-    gpos = F.col("_off") + local
-    with_g = tagged.join(F.broadcast(offs), "_pid").withColumn("_gpos", gpos)
     if not group:
-        return with_g.withColumn(name, F.col("_gpos")).drop("_pid", "_mid", "_off", "_gpos")
+        offs = _offsets(tagged)
+        return (tagged.join(F.broadcast(offs), "_pid").withColumn(name, F.col("_off") + local)
+                .drop("_pid", "_mid", "_off"))
 
     gnames = [f"_g{i}" for i in range(len(group))]
-    g = with_g
+    g = tagged.withColumn("_loc", local)
     for gn, gc in zip(gnames, group):
         g = g.withColumn(gn, gc)
-    # start of each group inside each partition (a window bounded by one partition)
-    w = Window.partitionBy("_pid", *gnames)
-    g = g.withColumn("_lstart", F.min("_gpos").over(w))
-    # per partition: first group and its start, last group and its start.
-    # One row per partition, collected; groups running over a boundary take
-    # their start from the partition where they begin.
-    spark = df.sparkSession
+    # local index of each group's first row inside each partition (a window
+    # bounded by one range partition, so a hot group is still split)
+    g = g.withColumn("_lstart", F.min("_loc").over(Window.partitionBy("_pid", *gnames)))
+    # One pass, one row per partition (collected): its row count, its first
+    # and last group, and where the last group starts. Counts give the
+    # partition offsets; a group running over a boundary takes its start
+    # from the partition where it begins.
     key = F.struct(*gnames)
     ends = (g.groupBy("_pid")
-            .agg(F.min_by(key, "_gpos").alias("first"), F.min("_gpos").alias("fstart"),
-                 F.max_by(key, "_gpos").alias("last"), F.max_by("_lstart", "_gpos").alias("lstart"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min_by(key, "_loc").alias("first"),
+                 F.max_by(key, "_loc").alias("last"), F.max_by("_lstart", "_loc").alias("lstart"))
             .collect())
-    carry, prev_last, prev_start = [], None, None
+    offs, carry, acc, prev_last, prev_start = [], [], 0, None, None
     for r in sorted(ends, key=lambda r: r["_pid"]):
+        pid, off = int(r["_pid"]), acc
+        acc += int(r["n"])
+        offs.append((pid, off))
         first, last = tuple(r["first"]), tuple(r["last"])
-        first_start = int(r["fstart"])
+        first_start = off  # the partition's first row has local index 0
         if prev_last is not None and first == prev_last:
             first_start = prev_start
-            carry.append((int(r["_pid"]), *first, first_start))
+            carry.append((pid, *first, first_start))
         prev_last = last
-        prev_start = first_start if last == first else int(r["lstart"])
+        prev_start = first_start if last == first else off + int(r["lstart"])
+    offs_df = spark.createDataFrame(offs or [(0, 0)], "_pid int, _off bigint")
+    g = g.join(F.broadcast(offs_df), "_pid")
+    start = F.col("_off") + F.col("_lstart")
+    drop = ["_pid", "_mid", "_loc", "_off", "_lstart", *gnames]
     if carry:
         fields = ", ".join(["_cpid int"] + [f"_c{gn} {g.schema[gn].dataType.simpleString()}" for gn in gnames]
                            + ["_cstart bigint"])
@@ -118,14 +125,9 @@ def with_position(df: DataFrame, order_by, partition_by=None, name: str = "pos",
         for gn in gnames:
             cond = cond & F.col(gn).eqNullSafe(F.col(f"_c{gn}"))
         g = g.join(F.broadcast(carry_df), cond, "left")
-        start = F.coalesce(F.col("_cstart"), F.col("_lstart"))
-    else:
-        start = F.col("_lstart")
-    out = g.withColumn(name, F.col("_gpos") - start)
-    drop = ["_pid", "_mid", "_off", "_gpos", "_lstart", *gnames]
-    if carry:
+        start = F.coalesce(F.col("_cstart"), start)
         drop += ["_cpid", "_cstart"] + [f"_c{gn}" for gn in gnames]
-    return out.drop(*drop)
+    return g.withColumn(name, F.col("_off") + F.col("_loc") - start).drop(*drop)
 
 
 # ---------------------------------------------------------------------------
