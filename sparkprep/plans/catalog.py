@@ -579,8 +579,7 @@ from ..sources import files as S  # noqa: E402
 
 def _outputs(spark, sf_dir):
     """Stage-1 style outputs keyed by example, with their shard."""
-    sh = _shards(spark, sf_dir)
-    return sh.join(fx.examples(spark, sf_dir).select("idx", F.col("news").alias("text")), "idx")
+    return OR.assign_shard(fx.examples(spark, sf_dir).select("idx", F.col("news").alias("text")), 8)
 
 
 def _sk1(spark, sf_dir):
