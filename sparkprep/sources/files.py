@@ -75,8 +75,10 @@ def _row_groups(path: str) -> int | None:
         return None
 
 
-# Spread a single-file input only when it holds at least this much.
+# Spread a single-file input only when it holds at least this much, and give
+# each task at least SPREAD_BYTES_PER_TASK of it.
 SPREAD_MIN_BYTES = 1 << 20
+SPREAD_BYTES_PER_TASK = 256 << 10
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -90,8 +92,9 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     groups = _row_groups(path)
     par = spark.sparkContext.defaultParallelism
-    if groups is not None and groups < par and os.path.getsize(path) >= SPREAD_MIN_BYTES:
-        df = df.repartition(par)
+    size = os.path.getsize(path) if groups is not None else 0
+    if groups is not None and groups < par and size >= SPREAD_MIN_BYTES:
+        df = df.repartition(max(groups, min(par, size // SPREAD_BYTES_PER_TASK)))
     return df
 
 
