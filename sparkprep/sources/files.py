@@ -268,3 +268,14 @@ def read_rank_files(spark: SparkSession, directory: str, fmt: str, key: str = "i
     raw = spark.read.text(paths)
     lines = _scan_order(raw.select(full_strip("value").alias(text), rank_of.alias("shard"), "_metadata"))
     return _position_in_scan(lines, ["shard", "_block"], key).select(key, text)
+
+
+def read_gold(spark: SparkSession, gt_path: str, type_path: str, strict: bool = True) -> DataFrame:
+    """Gold numerals and their type flags, two line files aligned by line
+    position -> (idx, gt, num_type). Gold stays text (leading zeros occur).
+    With ``strict`` differing line counts raise; otherwise the shorter file
+    decides (as zip does)."""
+    from ..operators.align import zip_join
+    gt = read_lines(spark, gt_path, pos="idx", text="gt")
+    ty = read_lines(spark, type_path, pos="idx", text="_t").select("idx", F.col("_t").cast("int").alias("num_type"))
+    return zip_join(gt, ty, "idx", strict=strict).select("idx", "gt", "num_type")

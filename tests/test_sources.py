@@ -91,3 +91,14 @@ def test_read_lines_across_many_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == {i: l.strip() for i, l in enumerate(lines)}
+
+
+def test_read_gold_checks_lengths(spark, tmp_path):
+    import pytest
+    (tmp_path / "gt.txt").write_text("007\n12\n3")
+    (tmp_path / "type.txt").write_text("1\n0\n0\n1\n0\n")
+    with pytest.raises(ValueError):
+        S.read_gold(spark, str(tmp_path / "gt.txt"), str(tmp_path / "type.txt"))
+    got = sorted(tuple(r) for r in S.read_gold(spark, str(tmp_path / "gt.txt"), str(tmp_path / "type.txt"),
+                                                strict=False).collect())
+    assert got == [(0, "007", 1), (1, "12", 0), (2, "3", 0)]
