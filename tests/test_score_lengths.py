@@ -124,3 +124,13 @@ def test_tokenizer_file_counter(spark, tmp_path):
     ex = spark.createDataFrame([(0, texts[0], "h 5")], "idx long, news string, headline string")
     prof = length_profile(build_messages(ex, "hg"), counter=counter).first()
     assert prof.max_assistant_tokens == len(tok.encode("h 5", add_special_tokens=False).ids)
+
+
+def test_rouge_local_and_aggregated_paths_agree(spark):
+    rows = [(i, ("word%d " % (i % 7)) * (i % 40) + "the end", "the end " + ("word%d " % (i % 5)) * (i % 30))
+            for i in range(120)] + [(500, None, "x y"), (501, "", "")]
+    df = spark.createDataFrame(rows, "pair_id long, hyp string, ref string")
+    local = {r.pair_id: tuple(r[1:]) for r in rouge1(df).collect()}
+    agg = {r.pair_id: tuple(r[1:]) for r in rouge1(df, local_max_chars=0).collect()}
+    mixed = {r.pair_id: tuple(r[1:]) for r in rouge1(df, local_max_chars=60).collect()}
+    assert local == agg == mixed and len(local) == 122
