@@ -279,3 +279,13 @@ def read_gold(spark: SparkSession, gt_path: str, type_path: str, strict: bool =
     gt = read_lines(spark, gt_path, pos="idx", text="gt")
     ty = read_lines(spark, type_path, pos="idx", text="_t").select("idx", F.col("_t").cast("int").alias("num_type"))
     return zip_join(gt, ty, "idx", strict=strict).select("idx", "gt", "num_type")
+
+
+def write_split(df: DataFrame, path: str, split: str = "split", mode: str = "overwrite") -> None:
+    """The {train, test} container as one Parquet table partitioned by split."""
+    df.write.mode(mode).partitionBy(split).parquet(path)
+
+
+def read_split(spark: SparkSession, path: str, which: str, split: str = "split") -> DataFrame:
+    """One split of a ``write_split`` table; the filter prunes to its folder."""
+    return spark.read.parquet(path).where(F.col(split) == which)

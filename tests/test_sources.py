@@ -102,3 +102,13 @@ def test_read_gold_checks_lengths(spark, tmp_path):
     got = sorted(tuple(r) for r in S.read_gold(spark, str(tmp_path / "gt.txt"), str(tmp_path / "type.txt"),
                                                 strict=False).collect())
     assert got == [(0, "007", 1), (1, "12", 0), (2, "3", 0)]
+
+
+def test_split_container_prunes(spark, tmp_path):
+    from sparkprep.operators.order import split_exact
+    df = spark.range(200).withColumnRenamed("id", "pair_id")
+    S.write_split(split_exact(df, "pair_id", 0.1), str(tmp_path / "sets"))
+    test = S.read_split(spark, str(tmp_path / "sets"), "test")
+    assert test.count() == 20
+    plan = test._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and "(split" in plan
