@@ -91,14 +91,12 @@ def pandas_token_counter(make_tokenizer: Callable[[], Callable[[str], list]]) ->
     active = SparkSession.getActiveSession()
     if active is not None:
         ship_package(active)
-    cache: dict = {}
 
     @F.pandas_udf("long")
     def _count(s: pd.Series) -> pd.Series:
-        tok = cache.get("t")
-        if tok is None:
-            tok = cache["t"] = make_tokenizer()
-        return s.map(lambda x: None if x is None else len(tok(x)))
+        from sparkprep.functions.tokens import _tokenizer_for
+        tok = _tokenizer_for(make_tokenizer)
+        return s.map(lambda x: None if x is None else len(tok(x))).astype("Int64")
 
     return lambda c: _count(_c(c))
 
@@ -160,6 +158,16 @@ def tokenizer_file_counter(path: str, add_special_tokens: bool = False) -> Token
 _TOKENIZERS: dict = {}
 
 
+def _tokenizer_for(make_tokenizer):
+    """One tokenizer per Python worker for a nameable factory (else per batch)."""
+    name = f"{getattr(make_tokenizer, '__module__', '')}.{getattr(make_tokenizer, '__qualname__', '')}"
+    if "<lambda>" in name or "<locals>" in name or name == ".":
+        return make_tokenizer()
+    if name not in _TOKENIZERS:
+        _TOKENIZERS[name] = make_tokenizer()
+    return _TOKENIZERS[name]
+
+
 def _load_tokenizer(path: str, name: str):
     tok = _TOKENIZERS.get(path)
     if tok is None:

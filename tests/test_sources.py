@@ -112,3 +112,19 @@ def test_split_container_prunes(spark, tmp_path):
     assert test.count() == 20
     plan = test._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(split" in plan and "(split" in plan
+
+
+def test_stage2_from_files(spark, tmp_path):
+    """Record array + stage-1 sidecar (JSON array, 2 generations per record,
+    one short) -> stage-2 inference messages keyed by (idx, rep)."""
+    from sparkprep.operators.align import stage2_inputs
+    from sparkprep.operators.messages import explode_messages
+    recs = [{"news": f" n{i} ", "headline": f"h{i}", "masked headline": "m", "ans": i, "summary": "s",
+             "rationale_hg": "r", "rationale_cal": "c", "ecnc": "e"} for i in range(4)]
+    (tmp_path / "records.json").write_text(json.dumps(recs))
+    (tmp_path / "rank-c.json").write_text(json.dumps([f" gen{p} " for p in range(7)]))
+    ex = S.read_records(spark, str(tmp_path / "records.json"))
+    side = S.read_string_list(spark, str(tmp_path / "rank-c.json"))
+    m = explode_messages(stage2_inputs(ex, side, "rationale_hg_stg2_ecnc", k=2), keep=("idx", "rep"))
+    users = {(r.idx, r.rep): r.content for r in m.where("role = 'user'").collect()}
+    assert users == {(p // 2, p % 2): f"news: n{p // 2}\n\ngen{p}" for p in range(7)}
