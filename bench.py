@@ -2,7 +2,10 @@
 and print one JSON line with seconds per query and their sum.
 
 Each query is executed in full through the no-op sink (all rows produced,
-nothing collected to the driver). A small warm-up query runs first, untimed.
+nothing collected to the driver). Warm runs are timed: every query first runs
+once, untimed, on the smallest test tables ($BENCH_WARMUP_DIR, default
+/root/testdata/sf0.001) so JVM JIT and Spark's code-generation cache are warm;
+set BENCH_WARMUP_DIR="" to time cold runs instead.
 """
 
 from __future__ import annotations
@@ -28,8 +31,13 @@ def main() -> None:
     qs = all_queries()
     names = [n for n in qs if not only or any(n.startswith(o) for o in only)]
 
-    # warm-up (JVM, codegen, Python workers); not timed
-    qs["pj1_hg_train"].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
+    # warm-up (JVM JIT, generated-code cache, Python workers); not timed
+    warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001").rstrip("/")
+    for n in (names if warm_dir else ["pj1_hg_train"]):
+        try:
+            qs[n].build(spark, warm_dir or sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception:
+            pass  # reported by the timed run
 
     times: dict[str, float] = {}
     jobs: dict[str, int] = {}
@@ -47,7 +55,8 @@ def main() -> None:
     sf = os.path.basename(sf_dir).replace("sf", "")
     out = {"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
-           "cpus": cpus, "n_queries": len(times), "spark_jobs": jobs}
+           "cpus": cpus, "n_queries": len(times), "spark_jobs": jobs,
+           "warmup": f"each query once at {warm_dir}" if warm_dir else "cold"}
     if failed:
         out["failed"] = failed
     print(json.dumps(out))
