@@ -251,9 +251,12 @@ def merge_shards(df: DataFrame, shard: str = "shard", pos: str = "pos", name: st
             .withColumn(name, F.col("_soff") + F.col(pos)).drop("_soff"))
 
 
-# Target number of value buckets for the integral-key path; the per-bucket
+# Value buckets for the integral-key path: about _ROWS_PER_BUCKET rows each,
+# at least _MIN_BUCKETS and at most _MAX_BUCKETS of them; the per-bucket
 # totals (one row per bucket) are collected and broadcast.
-_TARGET_BUCKETS = 4096
+_ROWS_PER_BUCKET = 1_000_000
+_MIN_BUCKETS = 4096
+_MAX_BUCKETS = 1_000_000
 
 
 def _integral_key(df: DataFrame, order_by) -> str | None:
@@ -271,14 +274,16 @@ def _running_by_value_buckets(df: DataFrame, key: str, weight: Column | None, na
     Rows are bucketed by key value (``bucket = (key - min) // width``), which
     is deterministic, so no sampling pass, range shuffle or checkpoint is
     needed: per-bucket totals (at most ~4,096 rows) become offsets, and the
-    in-bucket sum is a window over one bucket. A unique key bounds each bucket
-    by ``width`` rows; with duplicated keys ties share a bucket.
+    in-bucket sum is a window over one bucket. The bucket count grows with the
+    row count (about a million rows per bucket), and a unique key bounds each
+    bucket by ``width`` rows; with duplicated keys ties share a bucket.
     """
     spark = df.sparkSession
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    lo, hi, rows = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
     if lo is None:
         return df.withColumn(name, F.lit(None).cast("bigint"))
-    width = max(1, -(-(int(hi) - int(lo) + 1) // _TARGET_BUCKETS))
+    buckets = min(max(_MIN_BUCKETS, -(-int(rows) // _ROWS_PER_BUCKET)), _MAX_BUCKETS)
+    width = max(1, -(-(int(hi) - int(lo) + 1) // buckets))
     w = F.lit(1) if weight is None else weight
     b = df.withColumn("_b", ((F.col(key) - F.lit(int(lo))) / F.lit(width)).cast("long")).withColumn("_w", w)
     totals = sorted((r["_b"], int(r["t"] or 0)) for r in b.groupBy("_b").agg(F.sum("_w").alias("t")).collect())
