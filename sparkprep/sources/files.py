@@ -34,6 +34,10 @@ def _scan_order(df: DataFrame) -> DataFrame:
             .drop("_metadata"))
 
 
+# Offset tables up to this many splits are broadcast; larger ones are joined.
+_BROADCAST_MAX_SPLITS = 200_000
+
+
 def _position_in_scan(tagged: DataFrame, split_cols: list, name: str) -> DataFrame:
     """Position of each row in the order (split_cols..., row within split),
     without moving the data.
@@ -56,7 +60,9 @@ def _position_in_scan(tagged: DataFrame, split_cols: list, name: str) -> DataFra
     fields = [tagged.schema[c] for c in split_cols] + [
         T.StructField("_m0", T.LongType()), T.StructField("_soff", T.LongType())]
     table = spark.createDataFrame(rows, T.StructType(fields))
-    return (tagged.join(F.broadcast(table), split_cols)
+    if len(rows) <= _BROADCAST_MAX_SPLITS:
+        table = F.broadcast(table)
+    return (tagged.join(table, split_cols)
             .withColumn(name, F.col("_soff") + F.col("_mid") - F.col("_m0"))
             .drop("_m0", "_soff", "_mid"))
 
