@@ -11,9 +11,14 @@ into one task). It is computed in two phases:
    into running offsets, and add them through a broadcast of that table, whose
    size is the partition count.
 
-Per-group position works on the same globally sorted data: a group that runs
-across a partition boundary takes its start from a second table with at most
-one row per partition. A hot group is therefore split over many tasks.
+Per-group position works on the same globally sorted data: the start of a
+group inside a partition is a window over (partition, group), and a group
+that runs across a partition boundary takes its start from a table with at
+most one row per partition. A hot group is therefore split over many tasks.
+
+Running sums over an integral key use value buckets instead (no sort of the
+whole table); positions of rows read from files need no shuffle at all (see
+``sources.files``).
 """
 
 from __future__ import annotations
@@ -44,12 +49,15 @@ def _num_partitions(df: DataFrame, partitions: int | None) -> int:
 def sorted_checkpoint(df: DataFrame, order_by, partitions: int | None = None) -> DataFrame:
     """Range-partition + sort by ``order_by``, tag (_pid, _mid), checkpoint.
 
-    A seeded random value is the last sort key: rows that tie on the order
-    key (ordered arbitrarily anyway) can then be split over several range
+    A hash of the whole row is the last sort key: rows that tie on the order
+    key (ordered arbitrarily anyway) are then split over several range
     partitions, so even a key shared by a large share of the rows does not
-    land in one task. The checkpoint fixes whatever order was drawn."""
+    land in one task unless the rows are exact duplicates. The hash is
+    deterministic (unlike a random value it does not depend on the order in
+    which rows arrive), so a re-run task routes every row the same way."""
     shared_dir(df.sparkSession)
-    order = _cols(order_by) + [F.rand(17)]
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    order = _cols(order_by) + [row_hash]
     n = _num_partitions(df, partitions)
     tagged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
