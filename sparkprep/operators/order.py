@@ -56,8 +56,7 @@ def sorted_checkpoint(df: DataFrame, order_by, partitions: int | None = None) ->
     deterministic (unlike a random value it does not depend on the order in
     which rows arrive), so a re-run task routes every row the same way."""
     shared_dir(df.sparkSession)
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    order = _cols(order_by) + [row_hash]
+    order = _cols(order_by) + [row_hash(df)]
     n = _num_partitions(df, partitions)
     tagged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
@@ -141,6 +140,12 @@ def with_position(df: DataFrame, order_by, partition_by=None, name: str = "pos",
 # ---------------------------------------------------------------------------
 # OS1-OS4: seeded order, exact split, preview, first row
 # ---------------------------------------------------------------------------
+def row_hash(df: DataFrame) -> Column:
+    """Deterministic hash of a whole row: the last tiebreak wherever rows that
+    tie on the order key must still be ordered the same way on every run."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def shuffle_key(key, seed: int = 42) -> Column:
     """Hash that defines the seeded permutation: md5('<seed>:<key>')."""
     k = F.col(key) if isinstance(key, str) else key
@@ -149,7 +154,7 @@ def shuffle_key(key, seed: int = 42) -> Column:
 
 def shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """OS1: a reproducible permutation (range-partitioned sort on the hash)."""
-    return df.orderBy(shuffle_key(key, seed), F.col(key))
+    return df.orderBy(shuffle_key(key, seed), F.col(key), row_hash(df))
 
 
 def shuffle_position(df: DataFrame, key: str, seed: int = 42, name: str = "pos") -> DataFrame:
@@ -191,7 +196,7 @@ def split_exact(df: DataFrame, key: str, test_fraction: float = 0.02, seed: int
                .withColumn(name, F.when(F.col("_b") < boundary, "test").otherwise("train")))
     in_bucket = hashed.where(F.col("_b") == boundary)
     if bsize <= _ONE_TASK_RANK_MAX_ROWS:
-        rank = F.row_number().over(Window.orderBy("_h", key)) - 1
+        rank = F.row_number().over(Window.orderBy("_h", key, row_hash(df))) - 1
         inside = in_bucket.withColumn("_r", rank)
     else:
         inside = with_position(in_bucket, ["_h", key], name="_r")
@@ -201,7 +206,7 @@ def split_exact(df: DataFrame, key: str, test_fraction: float = 0.02, seed: int
 
 def preview(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     """OS3: k distinct rows in seeded order (a top-k, so the limit is the feature)."""
-    return df.orderBy(shuffle_key(key, seed), F.col(key)).limit(k)
+    return df.orderBy(shuffle_key(key, seed), F.col(key), row_hash(df)).limit(k)
 
 
 def first_row(df: DataFrame, key: str = "idx") -> DataFrame:
