@@ -52,7 +52,8 @@ def pack(df: DataFrame, text: str = "text", order_by=("idx",), block: int = 2048
          keep_partial: bool = False, tokens=word_tokens) -> DataFrame:
     """WN3: concatenate the token sequences of all rows in ``order_by`` order
     and cut the stream into blocks of ``block`` tokens, no separator token.
-    The last, partial block is dropped unless ``keep_partial``.
+    The last, partial block is dropped unless ``keep_partial``. ``order_by``
+    must identify rows uniquely (texts are re-joined to their offsets by it).
 
     Each row's start offset in the stream is a two-phase running sum; a row is
     then exploded into the blocks it touches, and each block is gathered by a
@@ -61,7 +62,8 @@ def pack(df: DataFrame, text: str = "text", order_by=("idx",), block: int = 2048
     order = list(order_by)
     # phase 1: start offsets from (key, length) only -- the texts do not go
     # through the two-phase running sum, only a few numbers per row do
-    lens = df.select(*order, token_count(text).alias("_n")).where(F.col("_n") > 0)
+    count = token_count(text) if tokens is word_tokens else F.size(tokens(text))
+    lens = df.select(*order, count.alias("_n")).where(F.col("_n") > 0)
     key = _integral_key(df, order)
     starts = (running_total_table(lens, key, "_n", name="_s") if key is not None
               else with_running_total(lens, order, "_n", name="_s"))
