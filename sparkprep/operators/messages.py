@@ -97,6 +97,11 @@ def messages_by_task_column(df: DataFrame, templates: DataFrame, task_col: str =
         cond = F.col(task_col) == F.lit(task)
         user = F.when(cond, _content(u)) if user is None else user.when(cond, _content(u))
         asst = F.when(cond, _content(a)) if asst is None else asst.when(cond, _content(a))
+    # an unknown task (or one whose columns are missing) fails the job, as an
+    # unknown task name fails at plan time when the task is a parameter
+    bad = F.raise_error(F.concat(F.lit("unknown task or missing columns for task: "),
+                                 F.coalesce(F.col(task_col), F.lit("NULL"))))
+    user, asst = user.otherwise(bad.cast("string")), asst.otherwise(bad.cast("string"))
     msgs = F.array(message("system", F.col("_system")), message("user", user),
                    message("assistant", asst))
     return joined.select(*keep, F.col(task_col), msgs.alias("messages"))

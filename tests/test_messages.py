@@ -109,3 +109,13 @@ def test_task_kind_routing():
     assert (k.stage, k.output_format, k.rationale_column) == (1, "json", "rationale_hg_stg1")
     k = T.task_kind("rationale_nr_stg2_ec")
     assert (k.stage, k.output_format, k.rationale_column) == (2, "txt", "rationale_nr_stg1")
+
+
+def test_task_column_unknown_task_fails(spark, rec):
+    from sparkprep.operators.messages import messages_by_task_column
+    tpl = T.template_table(spark)
+    ok = rec.withColumn("task", F.lit("nr"))
+    assert messages_by_task_column(ok, tpl).first().messages[2].content == "5"
+    bad = rec.withColumn("task", F.lit("nope"))
+    with pytest.raises(Exception):
+        messages_by_task_column(bad, tpl).collect()
