@@ -78,12 +78,14 @@ FROM documents WHERE doc_id * 10 < 9 * (SELECT count(*) FROM documents)"""
 # Each join is on a unique key, so the result is linear in the input.
 # ---------------------------------------------------------------------------
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The offsets sit in the join conditions, not in the sides, so all three
+    # sides are the same scan (same pushed filters) and share one exchange.
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     lab = table(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id")
     g = d.join(lab, "doc_id")
-    c = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("chosen"))
-    r = d.select((F.col("doc_id") - 2).alias("doc_id"), F.col("text").alias("rejected"))
-    return (g.join(c, "doc_id").join(r, "doc_id")
+    c = d.select(F.col("doc_id").alias("c_id"), F.col("text").alias("chosen"))
+    r = d.select(F.col("doc_id").alias("r_id"), F.col("text").alias("rejected"))
+    return (g.join(c, F.col("c_id") == F.col("doc_id") + 1).join(r, F.col("r_id") == F.col("doc_id") + 2)
             .select(F.col("doc_id").alias("pair_id"), F.col("text").alias("news"), "chosen", "rejected"))
 
 
@@ -158,8 +160,9 @@ SELECT event_id AS idx,
 def rouge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     a = c.select("conv_id", "turn", F.col("text").alias("hyp"))
-    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("ref"))
-    return (a.join(b, ["conv_id", "turn"])
+    b = c.select(F.col("conv_id").alias("b_conv"), F.col("turn").alias("b_turn"), F.col("text").alias("ref"))
+    cond = (F.col("b_conv") == F.col("conv_id")) & (F.col("b_turn") == F.col("turn") + 1)
+    return (a.join(b, cond)
             .select((F.col("conv_id") * 100 + F.col("turn")).alias("pair_id"), "hyp", "ref"))
 
 
