@@ -110,9 +110,14 @@ def batch_generate(df: DataFrame, make_model: ModelFactory, prompt: str = "promp
 
 
 def generate(df: DataFrame, make_model: ModelFactory, messages: str = "messages", k: int = 1,
-             batch_size: int = 16, num_check: bool = False, key: str = "idx") -> DataFrame:
+             batch_size: int = 16, num_check: bool = False, key: str = "idx",
+             partitions: int | None = None) -> DataFrame:
     """Stage inference over a table: PJ2 -> PJ3 -> GN1 (k per row) -> GN3 -> PJ7.
 
+    ``partitions`` (the counterpart of a worker-process count) spreads the
+    prompts evenly over that many tasks, each running one model instance;
+    by default the input's partitioning is kept (no shuffle).
+
     Returns (key, rep, prompt, text, attempts): the output is keyed, never
     positional, so it can be re-joined in any order. A sampling model gives
     new texts each time the plan runs: write or checkpoint the output before
@@ -120,6 +125,8 @@ def generate(df: DataFrame, make_model: ModelFactory, messages: str = "messages"
     """
     prompts = df.select(key, render(prompt_messages(messages), add_generation_prompt=True).alias("prompt"))
     reps = replicate(prompts, k, key=key).drop("pos")
+    if partitions:
+        reps = reps.repartition(partitions)
     raw = batch_generate(reps, make_model, "prompt", batch_size, num_check)
     return raw.select(key, "rep", "prompt", strip_prompt("generated", "prompt").alias("text"), "attempts")
 

@@ -55,3 +55,10 @@ def test_generate_with_retry(spark):
             assert (r.attempts, r.text) == (n % 4, f"answer {n + n % 4}")
         else:
             assert (r.attempts, r.text) == (20, f"answer {n} and 20")
+
+
+def test_generate_partitions(spark):
+    ex = spark.createDataFrame([(i, "x" * i, "h") for i in range(1, 40)], "idx long, news string, headline string")
+    m = build_messages(ex, "hg", T.INFER)
+    out = G.generate(m, G.echo_model, k=2, partitions=3)
+    assert out.rdd.getNumPartitions() == 3 and out.count() == 78
