@@ -128,3 +128,13 @@ def test_stage2_from_files(spark, tmp_path):
     m = explode_messages(stage2_inputs(ex, side, "rationale_hg_stg2_ecnc", k=2), keep=("idx", "rep"))
     users = {(r.idx, r.rep): r.content for r in m.where("role = 'user'").collect()}
     assert users == {(p // 2, p % 2): f"news: n{p // 2}\n\ngen{p}" for p in range(7)}
+
+
+def test_select_shard_prunes_files(spark, tmp_path):
+    from sparkprep.operators.order import select_shard
+    df = spark.createDataFrame([(i, i // 10, f"t{i}") for i in range(40)], "idx long, shard int, text string")
+    S.write_outputs(df, str(tmp_path / "out"), "json")
+    one = select_shard(S.read_outputs(spark, str(tmp_path / "out"), "json"), 2)
+    assert sorted(r.idx for r in one.collect()) == list(range(20, 30))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan
