@@ -130,3 +130,15 @@ def test_split_exact_large_boundary_bucket_path(spark, monkeypatch):
     test = {r.k for r in OR.split_exact(df, "k", 0.1).collect() if r.split == "test"}
     order = [r.k for r in df.orderBy(OR.shuffle_key("k", 42), "k").collect()]
     assert test == set(order[:50])
+
+
+def test_position_with_two_group_columns(spark):
+    import random
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice(["a", "b", None]), 0 if rnd.random() < 0.5 else rnd.randint(1, 3), rnd.random())
+            for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, g1 string, g2 int, v double")
+    got = {r.id: r.pos for r in OR.with_position(df, ["v", "id"], partition_by=["g1", "g2"], partitions=7).collect()}
+    w = Window.partitionBy("g1", "g2").orderBy("v", "id")
+    want = {r.id: r.rn - 1 for r in df.select("id", F.row_number().over(w).alias("rn")).collect()}
+    assert got == want
