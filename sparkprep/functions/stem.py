@@ -1,8 +1,12 @@
-"""Porter (1980) suffix stripping, applied once per distinct token (SC14).
-
-This is the published algorithm without later extensions; scores computed
-with an extended variant can differ slightly on some words. Only tokens longer
-than three characters are stemmed, as unigram-overlap scorers do.
+"""Porter suffix stripping, applied once per distinct token (SC14).
+
+Two modes: ``"extended"`` (default) adds the later refinements that the
+widely used NLTK implementation applies by default -- a few irregular forms,
+``ies``/``ied`` on four-letter words, ``y -> i`` only after a consonant that
+is not the first letter, the ``bli``/``logi``/``fulli``/``lessli`` rules and
+two-letter consonant-vowel-consonant ends; ``"original"`` is the published
+1980 algorithm. Only tokens longer than three characters are stemmed, as
+unigram-overlap scorers do.
 """
 
 from __future__ import annotations
@@ -43,7 +47,9 @@ def _double_cons(w: str) -> bool:
     return len(w) >= 2 and w[-1] == w[-2] and _cons(w, len(w) - 1)
 
 
-def _cvc(w: str) -> bool:
+def _cvc(w: str, extended: bool = False) -> bool:
+    if extended and len(w) == 2:
+        return not _cons(w, 0) and _cons(w, 1)
     if len(w) < 3:
         return False
     return (_cons(w, len(w) - 3) and not _cons(w, len(w) - 2) and _cons(w, len(w) - 1)
@@ -63,18 +69,30 @@ _STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "an
           ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
           ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"),
           ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
+_STEP2_EXTENDED = [(("bli", "ble") if suf == "abli" else (suf, rep)) for suf, rep in _STEP2] + [
+    ("fulli", "ful"), ("lessli", "less")]
+# Irregular forms mapped directly in the extended mode.
+_IRREGULAR = {"skies": "sky", "sky": "sky", "dying": "die", "lying": "lie", "tying": "tie",
+              "news": "news", "innings": "inning", "inning": "inning", "outings": "outing",
+              "outing": "outing", "cannings": "canning", "canning": "canning", "howe": "howe",
+              "proceed": "proceed", "exceed": "exceed", "succeed": "succeed"}
 _STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"),
           ("ful", ""), ("ness", "")]
 _STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent",
           "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
 
-def porter_stem(word: str) -> str:
+def porter_stem(word: str, mode: str = "extended") -> str:
+    ext = mode == "extended"
+    if ext and word in _IRREGULAR:
+        return _IRREGULAR[word]
     w = word
     if len(w) <= 2:
         return w
     # step 1a
-    if w.endswith("sses"):
+    if ext and w.endswith("ies") and len(w) == 4:
+        w = w[:-1]
+    elif w.endswith("sses"):
         w = w[:-2]
     elif w.endswith("ies"):
         w = w[:-2]
@@ -84,7 +102,9 @@ def porter_stem(word: str) -> str:
         w = w[:-1]
     # step 1b
     flag = False
-    if w.endswith("eed"):
+    if ext and w.endswith("ied"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("eed"):
         if _m(w[:-3]) > 0:
             w = w[:-1]
     elif w.endswith("ed") and _has_vowel(w[:-2]):
@@ -96,13 +116,20 @@ def porter_stem(word: str) -> str:
             w += "e"
         elif _double_cons(w) and w[-1] not in "lsz":
             w = w[:-1]
-        elif _m(w) == 1 and _cvc(w):
+        elif _m(w) == 1 and _cvc(w, ext):
             w += "e"
     # step 1c
-    if w.endswith("y") and _has_vowel(w[:-1]):
-        w = w[:-1] + "i"
-    # steps 2, 3
-    w = _replace(w, _STEP2, lambda s: _m(s) > 0)
+    if w.endswith("y"):
+        stem = w[:-1]
+        if (len(stem) > 1 and _cons(stem, len(stem) - 1)) if ext else _has_vowel(stem):
+            w = stem + "i"
+    # step 2
+    if ext and w.endswith("logi"):
+        if _m(w[:-3]) > 0:
+            w = w[:-1]
+    else:
+        w = _replace(w, _STEP2_EXTENDED if ext else _STEP2, lambda s: _m(s) > 0)
+    # step 3
     w = _replace(w, _STEP3, lambda s: _m(s) > 0)
     # step 4
     for suf in _STEP4:
@@ -114,7 +141,7 @@ def porter_stem(word: str) -> str:
     # step 5a
     if w.endswith("e"):
         stem = w[:-1]
-        if _m(stem) > 1 or (_m(stem) == 1 and not _cvc(stem)):
+        if _m(stem) > 1 or (_m(stem) == 1 and not _cvc(stem, ext)):
             w = stem
     # step 5b
     if _m(w) > 1 and _double_cons(w) and w.endswith("l"):

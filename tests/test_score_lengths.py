@@ -50,7 +50,17 @@ def test_rouge_stemmed(spark):
     ("generalization", "gener"), ("replacement", "replac"), ("adoption", "adopt"), ("controlling", "control"),
 ])
 def test_porter(word, stem):
-    assert porter_stem(word) == stem
+    assert porter_stem(word, mode="original") == stem
+
+
+@pytest.mark.parametrize("word,original,extended", [
+    ("dies", "di", "die"), ("ties", "ti", "tie"), ("lying", "ly", "lie"), ("skies", "ski", "sky"),
+    ("cried", "cri", "cri"), ("died", "di", "die"), ("news", "new", "news"), ("analogi", "analogi", "analog"),
+    ("hopefulli", "hopefulli", "hope"), ("sensibli", "sensibli", "sensibl"), ("cats", "cat", "cat"),
+])
+def test_porter_modes(word, original, extended):
+    assert porter_stem(word, mode="original") == original
+    assert porter_stem(word) == extended
 
 
 def test_number_accuracy(spark):
