@@ -768,3 +768,22 @@ def _flow_two_stage_sql():
 
 
 add("flow_two_stage_inference", _flow_two_stage, _flow_two_stage_sql(), ("GN3", "GN4", "JN3", "GN1", "GN2", "PJ7"))
+
+
+def _flow_gap(spark, sf_dir):
+    return FL.gap_pairs_templated(fx.candidates(spark, sf_dir), "hg", 0.05).select(
+        "idx", F.col("chosen_rep").cast("bigint").alias("chosen_rep"),
+        F.col("rejected_rep").cast("bigint").alias("rejected_rep"), "prompt", "chosen", "rejected")
+
+
+def _flow_gap_sql():
+    sys_text = TX.sql_str(T.SYSTEM_TEXTS[("hg", T.TRAIN)])
+    prompt = (O.chatml([("'system'", sys_text)]) + " || " +
+              O.chatml([("'user'", "'news: ' || " + O.to_text("news"))], True))
+    eos = f"'{IM_END}' || chr(10)"
+    return (f"SELECT idx, CAST(chosen_rep AS BIGINT) AS chosen_rep, CAST(rejected_rep AS BIGINT) AS rejected_rep, "
+            f"{prompt} AS prompt, {O.to_text('chosen')} || {eos} AS chosen, "
+            f"{O.to_text('rejected')} || {eos} AS rejected FROM ({_by_gap_sql()})")
+
+
+add("flow_gap_pairs_templated", _flow_gap, _flow_gap_sql(), ("XP1", "AG3", "PJ4", "PJ5"))

@@ -53,3 +53,15 @@ def two_stage_inference(records: DataFrame, stage1_task: str, stage2_task: str,
                       (F.col("_key") % k).cast("bigint").alias("rep"), "text")
             .join(s1.select("idx", F.col("rep").cast("bigint").alias("rep"), F.col("text").alias("rationale")),
                   ["idx", "rep"]))
+
+
+def gap_pairs_templated(candidates: DataFrame, task: str, min_gap: float, key: str = "idx",
+                        rep: str = "rep", ref: str = "ref", candidate: str = "candidate") -> DataFrame:
+    """XP1 then PJ4: score every candidate against its reference text (ROUGE-1
+    F), keep prompts whose best and worst candidates differ by ``min_gap``,
+    and template the (news, chosen, rejected) pairs for the preference stage."""
+    from ..operators.pairs import pairs_by_gap
+    from ..operators.score import rouge1
+    scores = rouge1(candidates, candidate, ref, [key, rep]).select(key, rep, F.col("f1").alias("score"))
+    pairs = pairs_by_gap(candidates.join(scores, [key, rep]), min_gap, key, rep, "score", candidate, ref)
+    return template_pairs(pairs, task, keep=(key, "chosen_rep", "rejected_rep"))
