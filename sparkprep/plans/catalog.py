@@ -787,3 +787,32 @@ def _flow_gap_sql():
 
 
 add("flow_gap_pairs_templated", _flow_gap, _flow_gap_sql(), ("XP1", "AG3", "PJ4", "PJ5"))
+
+
+# ---------------------------------------------------------------------------
+# SR1 / SR2 over data derived from the tables: write in key order, read back
+# ---------------------------------------------------------------------------
+_REC_COLS = "idx, news, headline, masked_headline, ans, summary, rationale_hg, rationale_cal, ecnc"
+
+
+def _sr1(spark, sf_dir):
+    path = scratch_path(spark, "sr1-records")
+    S.write_records(fx.examples(spark, sf_dir), path)
+    return S.read_records(spark, path, fmt="lines").select(*[c.strip() for c in _REC_COLS.split(",")])
+
+
+add("sr1_records_jsonl_roundtrip", _sr1, fx.with_fixtures(f"SELECT {_REC_COLS} FROM examples", "examples"),
+    ("SR1",))
+
+
+def _sr2(spark, sf_dir):
+    path = scratch_path(spark, "sr2-pairs")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (fx.pairs(spark, sf_dir).repartitionByRange(n, "pair_id").sortWithinPartitions("pair_id")
+     .select("news", "chosen", "rejected").write.parquet(path))
+    return S.read_pairs(spark, path).select("idx", "news", "chosen", "rejected")
+
+
+add("sr2_pairs_parquet_roundtrip", _sr2, fx.with_fixtures(
+    "SELECT CAST(row_number() OVER (ORDER BY pair_id) - 1 AS BIGINT) AS idx, news, chosen, rejected FROM pairs",
+    "pairs"), ("SR2",))

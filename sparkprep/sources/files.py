@@ -107,8 +107,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # SR1: JSON array of record objects
 # ---------------------------------------------------------------------------
-def read_records(spark: SparkSession, path: str, fields=RECORD_FIELDS, idx: str = "idx") -> DataFrame:
-    """SR1: a JSON array of objects -> rows in file order with ``idx``.
+def read_records(spark: SparkSession, path: str, fields=RECORD_FIELDS, idx: str = "idx",
+                 fmt: str = "array") -> DataFrame:
+    """SR1: a JSON array of objects (``fmt="array"``) or JSON Lines
+    (``fmt="lines"``, splittable) -> rows in file order with ``idx``.
 
     Every field is read as text (str() semantics): integers keep their form,
     a column of JSON booleans becomes True/False, a missing field or null
@@ -117,8 +119,9 @@ def read_records(spark: SparkSession, path: str, fields=RECORD_FIELDS, idx: str
     ``records_to_table`` and read the table from then on.
     """
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    inferred = spark.read.option("multiLine", True).json(path).schema
+    multi = fmt == "array"
+    raw = spark.read.schema(schema).option("multiLine", multi).json(path)
+    inferred = spark.read.option("multiLine", multi).json(path).schema
     bool_cols = {f.name for f in inferred.fields if isinstance(f.dataType, T.BooleanType)}
     cols = []
     for f in fields:
@@ -130,6 +133,16 @@ def read_records(spark: SparkSession, path: str, fields=RECORD_FIELDS, idx: str
     return _position_in_scan(ordered, ["_file", "_block"], idx).drop("_file", "_block")
 
 
+def write_records(df: DataFrame, path: str, key: str = "idx", fields=RECORD_FIELDS, mode: str = "overwrite") -> None:
+    """Records as JSON Lines in key order (range-partitioned, so part files in
+    name order hold consecutive keys); ``read_records(fmt="lines")`` reads
+    them back with the same positions."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    cols = [F.col(f.replace(" ", "_")).alias(f) for f in fields]
+    (df.repartitionByRange(n, key).sortWithinPartitions(key)
+     .select(*cols).write.mode(mode).option("ignoreNullFields", "false").json(path))
+
+
 def records_to_table(spark: SparkSession, path: str, out: str, fields=RECORD_FIELDS) -> DataFrame:
     """Convert a record array once to Parquet with ``idx``; later reads split."""
     read_records(spark, path, fields).write.mode("overwrite").parquet(out)
