@@ -32,6 +32,13 @@ from pyspark.sql import Window
 from ..session import shared_dir
 
 _ROW_BITS = 33
+# Tables built on the driver (offsets, carried starts) are broadcast only up
+# to this many rows; a larger one is joined like any other table.
+_BROADCAST_MAX_ROWS = 1_000_000
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= _BROADCAST_MAX_ROWS else table
 
 
 def _cols(cols) -> list[Column]:
@@ -75,7 +82,7 @@ def _offsets(tagged: DataFrame, weight: Column | None = None) -> DataFrame:
         acc += int(r["n"] or 0)
     if not rows:
         rows = [(0, 0)]
-    return spark.createDataFrame(rows, "_pid int, _off bigint")
+    return _small(spark.createDataFrame(rows, "_pid int, _off bigint"), len(rows))
 
 
 def with_position(df: DataFrame, order_by, partition_by=None, name: str = "pos",
@@ -89,7 +96,7 @@ def with_position(df: DataFrame, order_by, partition_by=None, name: str = "pos",
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), _ROW_BITS)
     if not group:
         offs = _offsets(tagged)
-        return (tagged.join(F.broadcast(offs), "_pid").withColumn(name, F.col("_off") + local)
+        return (tagged.join(offs, "_pid").withColumn(name, F.col("_off") + local)
                 .drop("_pid", "_mid", "_off"))
 
     gnames = [f"_g{i}" for i in range(len(group))]
@@ -121,7 +128,7 @@ def with_position(df: DataFrame, order_by, partition_by=None, name: str = "pos",
         prev_last = last
         prev_start = first_start if last == first else off + int(r["lstart"])
     offs_df = spark.createDataFrame(offs or [(0, 0)], "_pid int, _off bigint")
-    g = g.join(F.broadcast(offs_df), "_pid")
+    g = g.join(_small(offs_df, len(offs)), "_pid")
     start = F.col("_off") + F.col("_lstart")
     drop = ["_pid", "_mid", "_loc", "_off", "_lstart", *gnames]
     if carry:
@@ -131,7 +138,7 @@ def with_position(df: DataFrame, order_by, partition_by=None, name: str = "pos",
         cond = F.col("_pid") == F.col("_cpid")
         for gn in gnames:
             cond = cond & F.col(gn).eqNullSafe(F.col(f"_c{gn}"))
-        g = g.join(F.broadcast(carry_df), cond, "left")
+        g = g.join(_small(carry_df, len(carry)), cond, "left")
         start = F.coalesce(F.col("_cstart"), start)
         drop += ["_cpid", "_cstart"] + [f"_c{gn}" for gn in gnames]
     return g.withColumn(name, F.col("_off") + F.col("_loc") - start).drop(*drop)
@@ -260,7 +267,7 @@ def merge_shards(df: DataFrame, shard: str = "shard", pos: str = "pos", name: st
         rows.append((s, acc))
         acc += n
     offs = spark.createDataFrame(rows or [(0, 0)], f"{shard} int, _soff bigint")
-    return (df.join(F.broadcast(offs), shard)
+    return (df.join(_small(offs, len(rows)), shard)
             .withColumn(name, F.col("_soff") + F.col(pos)).drop("_soff"))
 
 
@@ -306,7 +313,7 @@ def _running_by_value_buckets(df: DataFrame, key: str, weight: Column | None, na
         acc += t
     offs = spark.createDataFrame(rows, "_b long, _off bigint")
     win = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return (b.join(F.broadcast(offs), "_b")
+    return (b.join(_small(offs, len(rows)), "_b")
             .withColumn(name, (F.col("_off") + F.coalesce(F.sum("_w").over(win), F.lit(0))).cast("bigint"))
             .drop("_b", "_w", "_off"))
 
@@ -338,6 +345,6 @@ def with_running_total(df: DataFrame, order_by, weight: str, name: str = "start"
     w = (Window.partitionBy("_pid").orderBy("_mid")
          .rowsBetween(Window.unboundedPreceding, -1))
     local = F.coalesce(F.sum(weight).over(w), F.lit(0))
-    return (tagged.join(F.broadcast(offs), "_pid")
+    return (tagged.join(offs, "_pid")
             .withColumn(name, (F.col("_off") + local).cast("bigint"))
             .drop("_pid", "_mid", "_off"))
