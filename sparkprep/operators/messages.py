@@ -19,6 +19,9 @@ from . import templates as T
 IM_START = "<|im_start|>"
 IM_END = "<|im_end|>"
 
+# A caller-supplied template table is broadcast only up to this many rows.
+_TEMPLATE_BROADCAST_MAX_ROWS = 10_000
+
 
 def _content(parts: list) -> Column:
     cols = [F.lit(p) if isinstance(p, str) else text_part(p.name, p.strip) for p in parts]
@@ -86,8 +89,10 @@ def messages_by_task_column(df: DataFrame, templates: DataFrame, task_col: str =
     size is fixed and known before the join. User and assistant contents are
     a CASE over the 14 layouts.
     """
-    tpl = F.broadcast(templates.filter(F.col("mode") == mode)
-                      .select(F.col("task").alias("_tpl_task"), F.col("system").alias("_system")))
+    tpl = (templates.filter(F.col("mode") == mode)
+           .select(F.col("task").alias("_tpl_task"), F.col("system").alias("_system")))
+    if tpl.count() <= _TEMPLATE_BROADCAST_MAX_ROWS:  # one row per task: 14 for the defaults
+        tpl = F.broadcast(tpl)
     joined = df.join(tpl, F.col(task_col) == F.col("_tpl_task"), "left")
     user = asst = None
     for task in T.TASKS:
