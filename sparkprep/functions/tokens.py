@@ -121,7 +121,9 @@ def overlap_tokens(c, split_contractions: bool = True) -> Column:
             chained = F.regexp_replace(chained, F.lit(pat), F.lit(rep))
         t = F.when(any_key, chained).otherwise(t)
     t = F.regexp_replace(F.lower(t), F.lit(OVERLAP_SEPARATOR), F.lit(" "))
-    return F.filter(F.split(t, " "), lambda x: x != F.lit(""))
+    # array_remove, not filter(): higher-order functions are evaluated
+    # without code generation, and would pull this whole expression with them
+    return F.array_remove(F.split(t, " "), "")
 
 
 def tokenizer_file_counter(path: str, add_special_tokens: bool = False) -> TokenCounter:

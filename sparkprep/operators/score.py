@@ -26,11 +26,6 @@ def stem_vocabulary(tokens: DataFrame, tok: str = "tok") -> DataFrame:
     return tokens.select(tok).distinct().withColumn("stem", _stem(F.col(tok)))
 
 
-# Rows whose two texts are both at most this many characters are scored
-# inside the row (no shuffle); longer rows go through the token aggregation.
-LOCAL_MAX_CHARS = 1024
-
-
 def _empty():
     return F.array().cast("array<string>")
 
@@ -46,38 +41,53 @@ def _scores(df: DataFrame, keys: list) -> DataFrame:
                      F.round(f, 6).alias("f1"))
 
 
-def _overlap_in_row(h, r):
-    """sum over distinct tokens t of hyp of min(count in hyp, count in ref)."""
-    count_in = lambda arr, t: F.size(F.filter(arr, lambda y: y == t))
-    return F.aggregate(F.array_distinct(h), F.lit(0).cast("bigint"),
-                       lambda acc, t: acc + F.least(count_in(h, t), count_in(r, t)).cast("bigint"))
+def sorted_overlap(h, r):
+    """Multiset intersection size of two token arrays inside one row: sort
+    both, then walk them together (equal: count and advance both; otherwise
+    advance the smaller). Linear after the sorts, no shuffle. The sorted
+    arrays are bound once as lambda variables so the walk reads them, not
+    re-sorts them, at each step."""
+    def walk(x):
+        hs, rs = x["hs"], x["rs"]
+        nh, nr = F.size(hs), F.size(rs)
+        start = F.struct(F.lit(1).alias("i"), F.lit(1).alias("j"), F.lit(0).cast("bigint").alias("o"))
+
+        def step(acc, _):
+            i, j, o = acc["i"], acc["j"], acc["o"]
+            a, b = F.element_at(hs, i), F.element_at(rs, j)
+            return (F.when((i > nh) | (j > nr), acc)
+                    .when(a == b, F.struct((i + 1).alias("i"), (j + 1).alias("j"), (o + 1).alias("o")))
+                    .when(a < b, F.struct((i + 1).alias("i"), j.alias("j"), o.alias("o")))
+                    .otherwise(F.struct(i.alias("i"), (j + 1).alias("j"), o.alias("o"))))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(nh + nr, F.lit(1))), start, step, lambda acc: acc["o"])
+
+    bound = F.array(F.struct(F.array_sort(h).alias("hs"), F.array_sort(r).alias("rs")))
+    return F.element_at(F.transform(bound, walk), 1)
 
 
 def rouge1(df: DataFrame, hyp: str = "hyp", ref: str = "ref", key: str = "pair_id",
-           stem: bool = False, split_contractions: bool = True,
-           local_max_chars: int = LOCAL_MAX_CHARS) -> DataFrame:
+           stem: bool = False, split_contractions: bool = True, method: str | None = None) -> DataFrame:
     """AG3: ROUGE-1 precision, recall and F per row (``ref`` is the target).
 
-    Short rows (both texts at most ``local_max_chars`` characters -- headlines,
-    the common case) are scored inside the row with array functions: no
-    shuffle at all. Longer rows are counted per (row, token) with a grouped
-    aggregation (partial aggregation before the shuffle), then summed per row:
+    ``method="merge"`` (default without stemming) scores each row inside the
+    row: sorted token arrays walked together, no shuffle at all, whatever the
+    text length. ``method="aggregate"`` (always used with ``stem``, whose
+    stems come from a vocabulary join) counts per (row, token) with a grouped
+    aggregation (partial aggregation before the shuffle), then sums per row:
     no pairwise join of token lists, and a frequent token only meets its own
-    row. Rows whose texts have no tokens score 0. With ``stem`` every row
-    takes the aggregation path (stems come from a vocabulary join).
+    row. Both give the same numbers; rows without tokens score 0.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    if not stem and local_max_chars > 0:
-        short = ((F.coalesce(F.char_length(hyp), F.lit(0)) <= local_max_chars) &
-                 (F.coalesce(F.char_length(ref), F.lit(0)) <= local_max_chars))
-        local = (df.where(short)
-                 .select(*keys,
+    method = method or ("aggregate" if stem else "merge")
+    if method == "merge" and not stem:
+        toks = df.select(*keys,
                          F.coalesce(overlap_tokens(hyp, split_contractions), _empty()).alias("_h"),
                          F.coalesce(overlap_tokens(ref, split_contractions), _empty()).alias("_r"))
-                 .select(*keys, _overlap_in_row(F.col("_h"), F.col("_r")).alias("overlap"),
-                         F.size("_h").alias("n_hyp"), F.size("_r").alias("n_ref")))
-        long = _rouge_by_aggregation(df.where(~short), hyp, ref, keys, False, split_contractions)
-        return _scores(local, keys).unionByName(long)
+        counted = toks.select(*keys, sorted_overlap(F.col("_h"), F.col("_r")).alias("overlap"),
+                              F.size("_h").alias("n_hyp"), F.size("_r").alias("n_ref"))
+        return _scores(counted, keys)
+    if method not in ("merge", "aggregate"):
+        raise ValueError("method must be 'merge' or 'aggregate'")
     return _rouge_by_aggregation(df, hyp, ref, keys, stem, split_contractions)
 
 

@@ -136,11 +136,11 @@ def test_tokenizer_file_counter(spark, tmp_path):
     assert prof.max_assistant_tokens == len(tok.encode("h 5", add_special_tokens=False).ids)
 
 
-def test_rouge_local_and_aggregated_paths_agree(spark):
+def test_rouge_merge_and_aggregate_methods_agree(spark):
     rows = [(i, ("word%d " % (i % 7)) * (i % 40) + "the end", "the end " + ("word%d " % (i % 5)) * (i % 30))
-            for i in range(120)] + [(500, None, "x y"), (501, "", "")]
+            for i in range(120)] + [(500, None, "x y"), (501, "", ""), (502, "b a b a c", "a b c c")]
     df = spark.createDataFrame(rows, "pair_id long, hyp string, ref string")
-    local = {r.pair_id: tuple(r[1:]) for r in rouge1(df).collect()}
-    agg = {r.pair_id: tuple(r[1:]) for r in rouge1(df, local_max_chars=0).collect()}
-    mixed = {r.pair_id: tuple(r[1:]) for r in rouge1(df, local_max_chars=60).collect()}
-    assert local == agg == mixed and len(local) == 122
+    merge = {r.pair_id: tuple(r[1:]) for r in rouge1(df).collect()}
+    agg = {r.pair_id: tuple(r[1:]) for r in rouge1(df, method="aggregate").collect()}
+    assert merge == agg and len(merge) == 123
+    assert merge[502][0] == 3  # {a, b, c} with b twice in hyp, c twice in ref
