@@ -123,7 +123,7 @@ def generate(df: DataFrame, make_model: ModelFactory, messages: str = "messages"
     new texts each time the plan runs: write or checkpoint the output before
     using it more than once.
     """
-    prompts = df.select(key, render(prompt_messages(messages), add_generation_prompt=True).alias("prompt"))
+    prompts = df.select(key, render(prompt_messages(messages), add_generation_prompt=True, n=2).alias("prompt"))
     reps = replicate(prompts, k, key=key).drop("pos")
     if partitions:
         reps = reps.repartition(partitions)

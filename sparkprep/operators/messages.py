@@ -61,12 +61,24 @@ def prompt_messages(messages) -> Column:
 
 
 def render(messages, add_generation_prompt: bool = False,
-           start: str = IM_START, end: str = IM_END) -> Column:
-    """PJ3: messages -> one prompt string in ChatML-style delimiters."""
+           start: str = IM_START, end: str = IM_END, n: int | None = None) -> Column:
+    """PJ3: messages -> one prompt string in ChatML-style delimiters.
+
+    With ``n`` (the known number of messages, e.g. 3 for an example, 2 for a
+    prompt) the string is one code-generated ``concat``; without it a
+    ``transform`` handles any length (higher-order functions run without
+    code generation)."""
     m = F.col(messages) if isinstance(messages, str) else messages
-    body = F.array_join(
-        F.transform(m, lambda x: F.concat(F.lit(start), x["role"], F.lit("\n"), x["content"],
-                                          F.lit(end + "\n"))), "")
+    if n is not None:
+        parts = []
+        for i in range(1, n + 1):
+            e = F.element_at(m, i)
+            parts += [F.lit(start), e["role"], F.lit("\n"), e["content"], F.lit(end + "\n")]
+        body = F.concat(*parts)
+    else:
+        body = F.array_join(
+            F.transform(m, lambda x: F.concat(F.lit(start), x["role"], F.lit("\n"), x["content"],
+                                              F.lit(end + "\n"))), "")
     return F.concat(body, F.lit(start + "assistant\n")) if add_generation_prompt else body
 
 

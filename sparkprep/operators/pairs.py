@@ -23,9 +23,9 @@ def template_pairs(df: DataFrame, task: str, eos: str = IM_END, keep=("pair_id",
     if task not in PAIR_TASKS:
         raise ValueError(f"no preference template for task {task!r}; expected one of {PAIR_TASKS}")
     texts = system_texts or T.SYSTEM_TEXTS
-    system = render(F.array(message("system", F.lit(texts[(task, T.TRAIN)]))))
+    system = render(F.array(message("system", F.lit(texts[(task, T.TRAIN)]))), n=1)
     user = render(F.array(message("user", F.concat(F.lit("news: "), to_text("news")))),
-                  add_generation_prompt=True)
+                  add_generation_prompt=True, n=1)
     suffix = F.lit(eos + "\n")
     return df.select(*keep,
                      F.concat(system, user).alias("prompt"),

@@ -60,7 +60,7 @@ from ..operators.score import number_accuracy, rouge1  # noqa: E402
 def flagship(spark, sf_dir):
     ex = fx.examples(spark, sf_dir)
     m = build_messages(ex, "rationale_hg_stg1_ecnc", T.INFER)
-    return m.select("idx", render(prompt_messages("messages"), add_generation_prompt=True).alias("prompt"))
+    return m.select("idx", render(prompt_messages("messages"), add_generation_prompt=True, n=2).alias("prompt"))
 
 
 def _prompt_sql(task, mode, source="examples", keys="idx"):
@@ -77,7 +77,7 @@ add("pj2_pj3_render_prompt_ecnc_infer", flagship,
 def _render_full(spark, sf_dir):
     ex = fx.examples(spark, sf_dir)
     m = build_messages(ex, "hg", T.TRAIN)
-    return m.select("idx", render("messages").alias("text"))
+    return m.select("idx", render("messages", n=3).alias("text"))
 
 
 def _render_full_sql(task="hg", mode=T.TRAIN):
@@ -626,7 +626,7 @@ def _stream(spark, sf_dir):
         ex = docs.select(F.col("doc_id").alias("idx"), F.col("text").alias("news"),
                          F.split_part("text", F.lit("."), F.lit(1)).alias("headline"))
         m = build_messages(ex, "hg", T.INFER)
-        return m.select("idx", render(prompt_messages("messages"), add_generation_prompt=True).alias("prompt"))
+        return m.select("idx", render(prompt_messages("messages"), add_generation_prompt=True, n=2).alias("prompt"))
 
     sink = stream_through(spark, sf_dir, schema, transform, glob="documents.parquet")
     return spark.read.parquet(sink)

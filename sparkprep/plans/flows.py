@@ -18,7 +18,7 @@ from ..operators.pairs import fit_pair, template_pairs
 def supervised_examples(records: DataFrame, task: str, block: int = 2048, key: str = "idx") -> DataFrame:
     """§3.1: records -> chat examples -> rendered text -> packed blocks."""
     m = build_messages(records, task, T.TRAIN, keep=(key,))
-    return pack(m.select(key, render("messages").alias("text")), "text", [key], block)
+    return pack(m.select(key, render("messages", n=3).alias("text")), "text", [key], block)
 
 
 def preference_sets(pairs: DataFrame, task: str, key: str = "pair_id", test_fraction: float = 0.02,

@@ -119,3 +119,10 @@ def test_task_column_unknown_task_fails(spark, rec):
     bad = rec.withColumn("task", F.lit("nope"))
     with pytest.raises(Exception):
         messages_by_task_column(bad, tpl).collect()
+
+
+def test_render_fixed_length_matches_general(rec):
+    m = build_messages(rec, "nr", T.TRAIN)
+    a, b, c, d = m.select(render("messages"), render("messages", n=3),
+                          render(prompt_messages("messages"), True), render(prompt_messages("messages"), True, n=2)).first()
+    assert a == b and c == d
