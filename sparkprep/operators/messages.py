@@ -64,10 +64,11 @@ def render(messages, add_generation_prompt: bool = False,
            start: str = IM_START, end: str = IM_END, n: int | None = None) -> Column:
     """PJ3: messages -> one prompt string in ChatML-style delimiters.
 
-    With ``n`` (the known number of messages, e.g. 3 for an example, 2 for a
-    prompt) the string is one code-generated ``concat``; without it a
-    ``transform`` handles any length (higher-order functions run without
-    code generation)."""
+    With ``n`` (the known number of messages) the string is one ``concat`` of
+    the message fields instead of a ``transform`` over the array. The two give
+    the same text; measured here, neither is faster in general (the concat
+    form was slower feeding the packing step), so the default is the
+    general form."""
     m = F.col(messages) if isinstance(messages, str) else messages
     if n is not None:
         parts = []
