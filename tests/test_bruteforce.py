@@ -45,3 +45,18 @@ def test_rouge_against_python(spark, name, stem):
             want[cid * 100 + turn] = _rouge(hyp, ref, stem)
     got = {r.pair_id: (r.precision, r.recall, r.f1) for r in all_queries()[name].build(spark, SF).collect()}
     assert got == want
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+_WORDS = st.lists(st.sampled_from(["a", "b", "ab", "the", "cat", "Cat!", "x1", "42", "don't", "cannot"]),
+                  max_size=30).map(" ".join)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(_WORDS, _WORDS), min_size=1, max_size=25))
+def test_rouge_merge_matches_python_counter(spark, pairs):
+    from sparkprep.operators.score import rouge1
+    df = spark.createDataFrame([(i, h, r) for i, (h, r) in enumerate(pairs)], "pair_id long, hyp string, ref string")
+    got = {r.pair_id: (r.precision, r.recall, r.f1) for r in rouge1(df).collect()}
+    assert got == {i: _rouge(h, r, False) for i, (h, r) in enumerate(pairs)}
