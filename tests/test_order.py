@@ -142,3 +142,16 @@ def test_position_with_two_group_columns(spark):
     w = Window.partitionBy("g1", "g2").orderBy("v", "id")
     want = {r.id: r.rn - 1 for r in df.select("id", F.row_number().over(w).alias("rn")).collect()}
     assert got == want
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 50)), min_size=0, max_size=300),
+       st.integers(min_value=1, max_value=9))
+def test_position_in_group_property(spark, rows, parts):
+    df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(rows)], "id long, g int, v int")
+    got = {r.id: r.pos for r in OR.with_position(df, ["v", "id"], partition_by=["g"], partitions=parts).collect()}
+    want = {}
+    for g in {g for g, _ in rows}:
+        ids = sorted((v, i) for i, (gg, v) in enumerate(rows) if gg == g)
+        want.update({i: p for p, (_, i) in enumerate(ids)})
+    assert got == want
