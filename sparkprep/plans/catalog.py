@@ -628,7 +628,12 @@ def _stream(spark, sf_dir):
         m = build_messages(ex, "hg", T.INFER)
         return m.select("idx", render(prompt_messages("messages"), add_generation_prompt=True).alias("prompt"))
 
-    sink = stream_through(spark, sf_dir, schema, transform, glob="documents.parquet")
+    import os
+    table_path = f"{sf_dir.rstrip('/')}/documents.parquet"
+    if os.path.isdir(table_path):   # a table stored as a folder of part files
+        sink = stream_through(spark, table_path, schema, transform)
+    else:                           # a single file: stream its folder, filtered by name
+        sink = stream_through(spark, sf_dir, schema, transform, glob="documents.parquet")
     return spark.read.parquet(sink)
 
 
