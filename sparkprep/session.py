@@ -79,6 +79,8 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
+    # The zip is only read by the driver, which serves it to the executors
+    # through addPyFile; no executor reads this folder.
     out = os.path.join(tempfile.mkdtemp(prefix="sparkprep-pkg-"), "sparkprep.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for d, _, files in os.walk(pkg_dir):
