@@ -155,3 +155,13 @@ def test_position_in_group_property(spark, rows, parts):
         ids = sorted((v, i) for i, (gg, v) in enumerate(rows) if gg == g)
         want.update({i: p for p, (_, i) in enumerate(ids)})
     assert got == want
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.integers(min_value=0, max_value=600), st.floats(min_value=0.0, max_value=1.0),
+       st.integers(min_value=1, max_value=7))
+def test_split_exact_property(spark, n, frac, parts):
+    df = spark.range(n).withColumnRenamed("id", "k").repartition(parts)
+    test = {r.k for r in OR.split_exact(df, "k", frac, seed=7).collect() if r.split == "test"}
+    order = [r.k for r in spark.range(n).withColumnRenamed("id", "k").orderBy(OR.shuffle_key("k", 7), "k").collect()]
+    assert test == set(order[: math.ceil(frac * n)])
