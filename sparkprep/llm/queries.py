@@ -4,11 +4,17 @@ of those that SQL can express."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import licenses, mixing
+from . import decontaminate, licenses, mixing, quality, shards, tokencount
 from .common import table
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -18,9 +24,32 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return d.withColumn("over_limit", F.col("n_tokens") > tokencount.LIMIT)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return d.select("doc_id", "item_id", "matched", "length")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.materialise(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_mixing": op2_mixing,
+    "op4_token_counts": op4_token_counts,
+    "op5_decontamination": op5_decontamination,
+    "op6_quality_rules": op6_quality_rules,
+    "op10_training_shards": op10_training_shards,
 }
 
 ORACLE_SQL = {
