@@ -8,7 +8,7 @@ pre-token's own count:
 1. distinct pre-tokens of all texts, with their frequency (one aggregation);
 2. each distinct pre-token is tokenized once; the counts are a written table;
 3. the per-document frequencies are joined to the counts and summed. The
-   ``HEAD`` most frequent pre-tokens (a fixed number, so a proven bound) are
+   most frequent pre-tokens (at most ``HEAD``, so a proven bound) are
    shipped to the tasks and summed while the text is read; the others, few in
    any natural corpus, go through an ordinary shuffle join.
 
@@ -109,14 +109,28 @@ def vocabulary(docs: DataFrame, path: str) -> DataFrame:
     return saved(v.mapInArrow(tokenized, "token string, freq long, n long"), "token-vocabulary")
 
 
+def most_frequent(vocab: DataFrame, most: int) -> DataFrame:
+    """The rows above the lowest frequency that keeps them at ``most`` or fewer.
+    The frequency is found from counts per frequency step (a few hundred rows),
+    so nothing is sorted and the driver never sees more than it asked for."""
+    step = F.floor(F.log2("freq") * 8).cast("int")
+    left, lowest = most, None
+    for r in vocab.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        left -= r.n
+        if left < 0:
+            break
+        lowest = r.step
+    return vocab.filter(step >= lowest) if lowest is not None else vocab.limit(0)
+
+
 def token_counts(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every row of ``docs``."""
     spark = docs.sparkSession
     shipped(spark)
     check_model(path)
     vocab = vocabulary(docs, path)
-    known = spark.sparkContext.broadcast(
-        {r.token: r.n for r in vocab.orderBy(F.desc("freq"), "token").limit(head).select("token", "n").collect()})
+    top = most_frequent(vocab, head).select("token", "n").toArrow()
+    known = spark.sparkContext.broadcast(dict(zip(top["token"].to_pylist(), top["n"].to_pylist())))
 
     def run(batches):
         import pyarrow as pa
