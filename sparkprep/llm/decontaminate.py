@@ -30,7 +30,7 @@ MIN_MATCH = 11
 SUBSTITUTION = -2
 CONTEXT = 40          # words kept on either side of a document's hits
 JOIN_GAP = 120        # hits closer than this share one stretch of context
-BITMAP_BITS = 23
+BITMAP_BITS = 25      # two bits of it stand for a seed
 
 
 def seeds(h):
@@ -97,7 +97,9 @@ def stretches(docs: DataFrame, bitmap) -> DataFrame:
         import numpy as np
         import pyarrow as pa
         cache, bits = WordHash(), np.frombuffer(bitmap.value, dtype=np.uint8)
-        shift = np.uint64(64 - BITMAP_BITS)
+        here = lambda slot: (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
+        second, low = np.uint64(64 - 2 * BITMAP_BITS), np.uint64((1 << BITMAP_BITS) - 1)
+        first = np.uint64(64 - BITMAP_BITS)
         for b in batches:
             rows = []
             for i, th, t in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(),
@@ -105,8 +107,8 @@ def stretches(docs: DataFrame, bitmap) -> DataFrame:
                 h = hash_words(words(t or b""), cache)
                 at, seed = [], []
                 for s in seeds(h):
-                    slot = (s >> shift).astype(np.int64)
-                    ok = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+                    ok = np.flatnonzero(here((s >> first).astype(np.int64)))
+                    ok = ok[here(((s[ok] >> second) & low).astype(np.int64)) == 1]
                     at.append(ok)
                     seed.append(s[ok])
                 if not at or not sum(map(len, at)):
@@ -155,7 +157,9 @@ def contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     shipped(spark)
     bench = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     bs = saved(benchmark_seeds(bench), "benchmark-seeds")
-    slots = bs.select(F.shiftrightunsigned("seed", 64 - BITMAP_BITS).cast("int").alias("s")).distinct()
+    first = F.shiftrightunsigned("seed", 64 - BITMAP_BITS)
+    second = F.shiftrightunsigned("seed", 64 - 2 * BITMAP_BITS).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    slots = bs.select(F.explode(F.array(first, second)).cast("int").alias("s")).distinct()
     bits = bytearray(1 << BITMAP_BITS - 3)
     for r in slots.toLocalIterator():       # at most 2^BITMAP_BITS numbers
         bits[r.s >> 3] |= 1 << (r.s & 7)
