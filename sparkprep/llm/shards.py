@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import id_text, saved, shipped
-from .tokencount import check_model, encode_pieces, fast_pre_tokens
+from .tokencount import check_model, fast_pre_tokens
 
 LENGTH = 1024
 PER_SHARD = 8192
@@ -50,7 +50,8 @@ class PieceIds(dict):
         import numpy as np
         if len(self) >= self.LIMIT:
             self.clear()
-        ids = self[token] = np.array(encode_pieces(self.sp, [token])[0], dtype="<u2").tobytes()
+        found = self.sp.encode(token[1:]) or [self.sp.piece_to_id("▁")]
+        ids = self[token] = np.array(found, dtype="<u2").tobytes()
         return ids
 
 
