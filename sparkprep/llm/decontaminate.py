@@ -159,7 +159,7 @@ def contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     bs = saved(benchmark_seeds(bench), "benchmark-seeds")
     first = F.shiftrightunsigned("seed", 64 - BITMAP_BITS)
     second = F.shiftrightunsigned("seed", 64 - 2 * BITMAP_BITS).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    slots = bs.select(F.explode(F.array(first, second)).cast("int").alias("s")).distinct()
+    slots = bs.select(F.explode(F.array(first.cast("int"), second.cast("int"))).alias("s")).distinct()
     bits = bytearray(1 << BITMAP_BITS - 3)
     for r in slots.toLocalIterator():       # at most 2^BITMAP_BITS numbers
         bits[r.s >> 3] |= 1 << (r.s & 7)

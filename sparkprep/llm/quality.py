@@ -31,7 +31,7 @@ GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
 SMALLEST = 1e-4                             # smaller values share the zero bin
 FENCE = 3.0                                 # widths of the quartile range
 # measure -> (lowest upper limit, highest lower limit or None)
-CEILING = {"word_len": 15.0, "symbol_share": 0.1, "dup_line_share": 0.5, "repeat_share": 0.1}
+CEILING = {"word_len": 15.0, "symbol_share": 0.1, "dup_line_share": 0.5, "repeat_share": 0.2}
 FLOOR = {"word_len": 2.0}
 MEASURES = tuple(CEILING)
 
