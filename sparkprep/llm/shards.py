@@ -18,13 +18,15 @@ columns do not matter; an empty table writes no shards and gives no rows.
 from __future__ import annotations
 
 import zlib
+from array import array
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import id_text, saved, shipped
-from .tokencount import check_model, fast_pre_tokens
+from .tokencount import check_model, encode_pieces, fast_pre_tokens
 
 LENGTH = 1024
 PER_SHARD = 8192
@@ -38,24 +40,59 @@ def stride(length: int = LENGTH) -> int:
 
 
 class PieceIds(dict):
-    """pre-token -> its ids as little-endian 16-bit bytes, remembered up to a limit."""
-    LIMIT = 500_000
+    """pre-token -> its ids as little-endian 16-bit bytes, remembered up to a
+    limit and kept between the tasks of one Python worker."""
+    LIMIT = 1_000_000
+    _by_path: dict[str, PieceIds] = {}
 
     def __init__(self, path: str):
         import sentencepiece
         super().__init__()
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def __missing__(self, token: str) -> bytes:
-        import numpy as np
-        if len(self) >= self.LIMIT:
+    @classmethod
+    def of(cls, path: str) -> PieceIds:
+        if path not in cls._by_path:
+            cls._by_path[path] = cls(path)
+        return cls._by_path[path]
+
+    def learn(self, tokens: set[str]) -> None:
+        """Tokenize the tokens not known yet, all in one call."""
+        new = [t for t in tokens if t not in self]
+        if len(self) + len(new) > self.LIMIT:
             self.clear()
-        found = self.sp.encode(token[1:]) or [self.sp.piece_to_id("▁")]
-        ids = self[token] = np.array(found, dtype="<u2").tobytes()
-        return ids
+            new = list(tokens)
+        for t, ids in zip(new, encode_pieces(self.sp, new)):
+            self[t] = array("H", ids).tobytes()
+
+
+# Sequences wait compressed until they are written; a dictionary trained on a
+# bounded sample (the first texts) makes up for their shortness.
+DICTIONARY_BYTES, SAMPLE_TEXTS, SAMPLE_SEQUENCES, LEVEL = 1 << 16, 2000, 1500, 6
+
+
+class Packer:
+    """Compresses and restores the ids of one sequence."""
+
+    def __init__(self, dictionary: bytes):
+        import zstandard
+        d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        self.pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=d).compress
+        self.unpack = zstandard.ZstdDecompressor(dict_data=d).decompress
+
+
+def trained(docs: DataFrame, path: str, length: int) -> bytes:
+    """A compression dictionary, or none where the sample is too small."""
+    import zstandard
+    plain = Packer(b"")
+    rows = sequences(docs.limit(SAMPLE_TEXTS), path, length).select("ids").limit(SAMPLE_SEQUENCES).collect()
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [plain.unpack(bytes(r.ids)) for r in rows]).as_bytes()
+    except zstandard.ZstdError:
+        return b""
 
 
-def sequences(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
+def sequences(docs: DataFrame, path: str, length: int = LENGTH, dictionary: bytes = b"") -> DataFrame:
     """doc_ids, n_tokens, ids (compressed bytes): fixed-length sequences in the
     order of the input's tasks. A text may span sequences."""
     shipped(docs.sparkSession)
@@ -63,7 +100,7 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
-        ids_of = PieceIds(path)
+        ids_of, pack = PieceIds.of(path), Packer(dictionary).pack
         end = END.to_bytes(2, "little")
         buffer, owners = bytearray(), []        # owners: (doc_id, end of its ids in buffer)
         size = 2 * length
@@ -80,7 +117,7 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                         break
                     first += 1
                 piece = bytes(buffer[k * size:upto])
-                out.append((own, len(piece) // 2, zlib.compress(piece.ljust(size, bytes([PAD])), 1)))
+                out.append((own, len(piece) // 2, pack(piece.ljust(size, bytes([PAD])))))
             del buffer[:n * size]
             owners[:] = [(d, e - n * size) for d, e in owners[first:]]
             return pa.RecordBatch.from_arrays(
@@ -88,10 +125,14 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                  pa.array([x[2] for x in out], pa.binary())], names=["doc_ids", "n_tokens", "ids"])
 
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                buffer += b"".join([ids_of[t] for t in fast_pre_tokens(text)])
-                buffer += end
-                owners.append((doc_id, len(buffer)))
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                texts = [fast_pre_tokens(t) for t in part.column("text").to_pylist()]
+                ids_of.learn(set(chain.from_iterable(texts)))
+                for doc_id, tokens in zip(part.column("doc_id").to_pylist(), texts):
+                    buffer += b"".join(map(ids_of.__getitem__, tokens))
+                    buffer += end
+                    owners.append((doc_id, len(buffer)))
                 if len(buffer) >= 256 * size:
                     yield cut(len(buffer) // size)
         if buffer:
@@ -146,13 +187,14 @@ def slotted(seqs: DataFrame, key: int = KEY, per_shard: int = PER_SHARD, length:
                           "offset": (F.col("slot") % per_shard) * stride(length)}), n
 
 
-def write_shards(slots: DataFrame, n: int, path: str, per_shard: int = PER_SHARD) -> None:
+def write_shards(slots: DataFrame, n: int, path: str, dictionary: bytes, per_shard: int = PER_SHARD) -> None:
     """One file per shard (part number = shard number) of raw records."""
     def unpacked(batches):
         import pyarrow as pa
+        unpack = Packer(dictionary).unpack
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([zlib.decompress(x) for x in b.column("ids").to_pylist()], pa.binary())], names=["ids"])
+                [pa.array([unpack(x) for x in b.column("ids").to_pylist()], pa.binary())], names=["ids"])
 
     shards = max(1, -(-n // per_shard))
     (slots.select("slot", "shard", "ids").repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
@@ -184,13 +226,15 @@ def materialise(docs: DataFrame, path: str, out: str | None = None, key: int = K
     folder) and return one row per sequence: slot, shard, offset, n_tokens,
     crc (of the record's ids) and doc_ids."""
     spark = docs.sparkSession
-    seqs = saved(sequences(docs, path, length), "sequences")
+    dictionary = trained(docs, path, length)
+    seqs = saved(sequences(docs, path, length, dictionary), "sequences")
     slots, n = slotted(seqs, key, per_shard, length)
     if n:
-        write_shards(slots, n, out or scratch_path(spark, "shards"), per_shard)
+        write_shards(slots, n, out or scratch_path(spark, "shards"), dictionary, per_shard)
 
     @F.pandas_udf("long")
     def crc_of(ids):
-        return ids.map(lambda x: zlib.crc32(zlib.decompress(x)))
+        unpack = Packer(dictionary).unpack
+        return ids.map(lambda x: zlib.crc32(unpack(x)))
 
     return slots.select("slot", "shard", "offset", "n_tokens", crc_of("ids").alias("crc"), "doc_ids")
