@@ -23,7 +23,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHash, hash_words, id_text, saved, shingle_hashes, shipped, text_bytes, words
@@ -200,53 +200,53 @@ def components(links: DataFrame) -> DataFrame:
     return stars.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that are links: signatures, then full sets."""
     sig = lambda c: classes.select(F.col("cls").alias(c), F.col("sig").alias(f"g{c}"))
     near = saved(_agreement(pairs.join(sig("a"), "a").join(sig("b"), "b")), "near-pairs")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct() \
-        .join(classes.select("cls", "rep", "set_hash"), "cls")
-    texts = saved(_texts(docs, saved(wanted, "near-classes")), "near-texts")
     side = lambda c: texts.select(F.col("cls").alias(c), F.col("text").alias(f"t{c}"))
     return _similar(near.join(side("b"), "b").join(side("a"), "a"))
 
 
 def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between classes, enough of them for the components."""
+    """Links (a, b) between classes, enough of them for the components.
+
+    Round after round every bucket compares its next leaders (1, 4, 16, ...)
+    with its members of other components, until each bucket's members are in
+    one component or were all leaders once. Pairs are compared once."""
+    spark = docs.sparkSession
     bands = saved(classes.select("cls", F.explode("bands").alias("band")), "bands")
     size = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    members = saved(bands.join(size, "band"), "shared-bands")
-    weight = members.groupBy("cls").agg(F.sum("n").alias("weight"))
-    members = saved(members.select("cls", "band").join(weight, "cls"), "members")
-    spark = docs.sparkSession
+    shared = saved(bands.join(size, "band"), "shared-bands")
+    weight = shared.groupBy("cls").agg(F.sum("n").alias("weight"))
+    members = saved(shared.select("cls", "band").join(weight, "cls"), "members")
+    texts = saved(_texts(docs, saved(members.select("cls").distinct().join(
+        classes.select("cls", "rep", "set_hash"), "cls"), "member-classes")), "member-texts")
     links = spark.createDataFrame([], "a long, b long")
-    tested, led, of = links, spark.createDataFrame([], "cls long, band long"), None
+    tested, of, leading = links, None, 1
     while True:
-        m = members
-        if of is not None:
-            m = m.join(of, "cls", "left").join(led, ["cls", "band"], "left_anti") \
-                .withColumn("component", F.coalesce("component", "cls"))
-        else:
-            m = m.withColumn("component", F.col("cls"))
-        # buckets whose members, but for former leaders, are not all in one component
-        leaders = (m.groupBy("band").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"),
-            F.max(F.struct("weight", (-F.col("cls")).alias("cls"), "component")).alias("x"))
-            .filter("lo <> hi")
-            .select("band", (-F.col("x.cls")).alias("leader"), F.col("x.component").alias("led_component")))
-        leaders = saved(leaders, "leaders")
-        pairs = (m.join(leaders, "band").filter("component <> led_component")
+        m = members.withColumn("component", F.col("cls")) if of is None else \
+            members.join(of, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        mixed = m.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                      F.count("*").alias("n")).filter("lo <> hi")
+        if of is not None:      # who led in earlier rounds has met everybody in the bucket
+            mixed = mixed.filter(F.col("n") > leading // 4 + 1)
+        m = saved(m.join(mixed.select("band"), "band"), "open-bands")
+        if m.isEmpty():
+            return links
+        place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "cls"))
+        leaders = (m.withColumn("place", place).filter(F.col("place") <= leading)
+                   .select("band", F.col("cls").alias("leader"), F.col("component").alias("lc")))
+        pairs = (m.join(leaders, "band").filter("component <> lc")
                  .select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
                  .join(tested, ["a", "b"], "left_anti"))
         pairs = saved(pairs, "pairs")
-        if leaders.isEmpty():
-            return links
-        led = saved(led.union(leaders.select(F.col("leader").alias("cls"), "band")), "led")
-        if pairs.isEmpty():
-            continue
         tested = saved(tested.union(pairs), "tested")
-        links = saved(links.union(_linked(pairs, classes, docs)), "class-links")
-        of = components(links).select(F.col("id").alias("cls"), "component")
+        found = saved(_linked(pairs, classes, texts), "class-links")
+        if of is None or not found.isEmpty():
+            links = saved(links.union(found), "class-links")
+            of = saved(components(links).select(F.col("id").alias("cls"), "component"), "class-components")
+        leading *= 4
 
 
 def groups(docs: DataFrame) -> DataFrame:
