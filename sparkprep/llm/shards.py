@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import id_text, saved, shipped
-from .tokencount import check_model, encode_pieces, fast_pre_tokens
+from .tokencount import PRE_TOKEN, check_model
 
 LENGTH = 1024
 PER_SHARD = 8192
@@ -40,8 +40,8 @@ def stride(length: int = LENGTH) -> int:
 
 
 class PieceIds(dict):
-    """pre-token -> its ids as little-endian 16-bit bytes, remembered up to a
-    limit and kept between the tasks of one Python worker."""
+    """pre-token without its first space -> its ids as little-endian 16-bit
+    bytes, remembered up to a limit and kept between the tasks of one worker."""
     LIMIT = 1_000_000
     _by_path: dict[str, PieceIds] = {}
 
@@ -62,13 +62,24 @@ class PieceIds(dict):
         if len(self) + len(new) > self.LIMIT:
             self.clear()
             new = list(tokens)
-        for t, ids in zip(new, encode_pieces(self.sp, new)):
-            self[t] = array("H", ids).tobytes()
+        space = [self.sp.piece_to_id("▁")]
+        for t, ids in zip(new, self.sp.encode(new, num_threads=1)):
+            self[t] = array("H", ids or space).tobytes()
+
+
+def keys_of(text: str | None) -> list[str]:
+    """The keys of a text's pre-tokens: the tokenizer puts a space in front of
+    its input anyway."""
+    if not text:
+        return []
+    if "  " in text or "▁" in text or text[0] == " " or text[-1] == " ":
+        return [t[1:] for t in PRE_TOKEN.findall(" " + text)]
+    return text.split(" ")
 
 
 # Sequences wait compressed until they are written; a dictionary trained on a
 # bounded sample (the first texts) makes up for their shortness.
-DICTIONARY_BYTES, SAMPLE_TEXTS, SAMPLE_SEQUENCES, LEVEL = 1 << 16, 2000, 1500, 6
+DICTIONARY_BYTES, SAMPLE_TEXTS, SAMPLE_SEQUENCES, LEVEL = 1 << 16, 500, 1500, 6
 
 
 class Packer:
@@ -85,7 +96,8 @@ def trained(docs: DataFrame, path: str, length: int) -> bytes:
     """A compression dictionary, or none where the sample is too small."""
     import zstandard
     plain = Packer(b"")
-    rows = sequences(docs.limit(SAMPLE_TEXTS), path, length).select("ids").limit(SAMPLE_SEQUENCES).collect()
+    first = docs.sparkSession.createDataFrame(id_text(docs).take(SAMPLE_TEXTS), "doc_id long, text string")
+    rows = sequences(first, path, length).select("ids").take(SAMPLE_SEQUENCES)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [plain.unpack(bytes(r.ids)) for r in rows]).as_bytes()
     except zstandard.ZstdError:
@@ -93,7 +105,7 @@ def trained(docs: DataFrame, path: str, length: int) -> bytes:
 
 
 def sequences(docs: DataFrame, path: str, length: int = LENGTH, dictionary: bytes = b"") -> DataFrame:
-    """doc_ids, n_tokens, ids (compressed bytes): fixed-length sequences in the
+    """doc_ids, n_tokens, ids (compressed bytes) and crc: fixed-length sequences in the
     order of the input's tasks. A text may span sequences."""
     shipped(docs.sparkSession)
     check_model(path)
@@ -117,17 +129,19 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH, dictionary: byte
                         break
                     first += 1
                 piece = bytes(buffer[k * size:upto])
-                out.append((own, len(piece) // 2, pack(piece.ljust(size, bytes([PAD])))))
+                full = piece.ljust(size, bytes([PAD]))
+                out.append((own, len(piece) // 2, pack(full), zlib.crc32(full)))
             del buffer[:n * size]
             owners[:] = [(d, e - n * size) for d, e in owners[first:]]
             return pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.list_(pa.int64())), pa.array([x[1] for x in out], pa.int32()),
-                 pa.array([x[2] for x in out], pa.binary())], names=["doc_ids", "n_tokens", "ids"])
+                 pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.int64())],
+                names=["doc_ids", "n_tokens", "ids", "crc"])
 
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                texts = [fast_pre_tokens(t) for t in part.column("text").to_pylist()]
+                texts = [keys_of(t) for t in part.column("text").to_pylist()]
                 ids_of.learn(set(chain.from_iterable(texts)))
                 for doc_id, tokens in zip(part.column("doc_id").to_pylist(), texts):
                     buffer += b"".join(map(ids_of.__getitem__, tokens))
@@ -138,7 +152,7 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH, dictionary: byte
         if buffer:
             yield cut(-(-len(buffer) // size))
 
-    return id_text(docs).mapInArrow(run, "doc_ids array<long>, n_tokens int, ids binary")
+    return id_text(docs).mapInArrow(run, "doc_ids array<long>, n_tokens int, ids binary, crc long")
 
 
 def feistel(index, n: int, key: int = KEY):
@@ -231,10 +245,4 @@ def materialise(docs: DataFrame, path: str, out: str | None = None, key: int = K
     slots, n = slotted(seqs, key, per_shard, length)
     if n:
         write_shards(slots, n, out or scratch_path(spark, "shards"), dictionary, per_shard)
-
-    @F.pandas_udf("long")
-    def crc_of(ids):
-        unpack = Packer(dictionary).unpack
-        return ids.map(lambda x: zlib.crc32(unpack(x)))
-
-    return slots.select("slot", "shard", "offset", "n_tokens", crc_of("ids").alias("crc"), "doc_ids")
+    return slots.select("slot", "shard", "offset", "n_tokens", "crc", "doc_ids")
