@@ -8,10 +8,10 @@
    a group of edited copies, the original). A pair's signatures must agree well
    (signature verification), then the full shingle sets decide.
 3. Components by alternating large-star and small-star over the links.
-4. Classes of one bucket that are still in different components are compared
-   with the bucket's next leaders until every pair is either inside a component
-   or has been compared: no link between components is lost, while groups whose
-   members already hang together cost one comparison per member and bucket.
+4. Classes of one bucket that are still in different components go on to finer
+   buckets and further leaders (see ``class_links``), so that links which no
+   leader shows are found as well, while groups whose members already hang
+   together cost one comparison per member and bucket.
 
 At ``LINK`` = 85 % similarity a pair misses all bands with probability 4e-7.
 
@@ -33,6 +33,8 @@ LINK = 85                  # percent of the union
 BANDS, ROWS = 25, 5
 AGREE = 86                 # of 125 minima; 85 % similar sets agree less with p < 1e-6
 SEED = 7
+SMALL = 16                 # members that a bucket compares without a leader
+LEVELS = 4                 # bands that a bucket's members share at most
 WANTED_BITS = 24           # of the bitmap of ids whose texts are read again
 
 
@@ -208,45 +210,77 @@ def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
     return _similar(near.join(side("b"), "b").join(side("a"), "a"))
 
 
+def _open(buckets: DataFrame, of: DataFrame | None) -> DataFrame:
+    """Buckets (key, last, cls, weight) whose members are in several components,
+    with component and n, the bucket's size."""
+    b = buckets.withColumn("component", F.col("cls")) if of is None else \
+        buckets.join(of, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    mixed = b.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                 F.count("*").alias("n")).filter("lo <> hi")
+    return b.join(mixed.select("key", "n"), "key")
+
+
+def _pairs(members: DataFrame, leaders: DataFrame) -> DataFrame:
+    lead = leaders.select("key", F.col("cls").alias("leader"), F.col("component").alias("lc"))
+    return (members.join(lead, "key").filter("component <> lc")
+            .select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")))
+
+
+def _leaders(opened: DataFrame, most: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "cls"))
+    return opened.withColumn("place", place).filter(F.col("place") <= most)
+
+
 def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between classes, enough of them for the components.
 
-    Round after round every bucket compares its next leaders (1, 4, 16, ...)
-    with its members of other components, until each bucket's members are in
-    one component or were all leaders once. Pairs are compared once."""
+    First every bucket compares its members with its leader. Buckets whose
+    members are still in several components follow: small ones compare the
+    members across components; large ones are dealt again into buckets of two
+    (three, ``LEVELS``) shared bands, where chance meetings fall apart while
+    links, which share many bands, still meet (all miss with p < 1e-4 at the
+    threshold itself), and start over. What is large at the last level takes
+    more and more leaders until every member has met every other component."""
     spark = docs.sparkSession
-    bands = saved(classes.select("cls", F.explode("bands").alias("band")), "bands")
-    size = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = saved(bands.join(size, "band"), "shared-bands")
+    bands = saved(classes.select("cls", F.posexplode("bands").alias("last", "key")), "bands")
+    size = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = saved(bands.join(size, "key"), "shared-bands")
     weight = shared.groupBy("cls").agg(F.sum("n").alias("weight"))
-    members = saved(shared.select("cls", "band").join(weight, "cls"), "members")
-    texts = saved(_texts(docs, saved(members.select("cls").distinct().join(
+    shared = saved(shared.select("cls", "last", "key").join(weight, "cls"), "weighted-bands")
+    texts = saved(_texts(docs, saved(shared.select("cls").distinct().join(
         classes.select("cls", "rep", "set_hash"), "cls"), "member-classes")), "member-texts")
-    links = spark.createDataFrame([], "a long, b long")
-    tested, of, leading = links, None, 1
+    links = tested = spark.createDataFrame([], "a long, b long")
+    of, buckets, level, leading = None, shared, 1, 1
+    opened = saved(_open(buckets, of), "open-bands")
+    pairs = _pairs(opened, _leaders(opened, 1))
     while True:
-        m = members.withColumn("component", F.col("cls")) if of is None else \
-            members.join(of, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        mixed = m.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                      F.count("*").alias("n")).filter("lo <> hi")
-        if of is not None:      # who led in earlier rounds has met everybody in the bucket
-            mixed = mixed.filter(F.col("n") > leading // 4 + 1)
-        m = saved(m.join(mixed.select("band"), "band"), "open-bands")
-        if m.isEmpty():
-            return links
-        place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "cls"))
-        leaders = (m.withColumn("place", place).filter(F.col("place") <= leading)
-                   .select("band", F.col("cls").alias("leader"), F.col("component").alias("lc")))
-        pairs = (m.join(leaders, "band").filter("component <> lc")
-                 .select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
-                 .join(tested, ["a", "b"], "left_anti"))
-        pairs = saved(pairs, "pairs")
+        pairs = saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = saved(tested.union(pairs), "tested")
-        found = saved(_linked(pairs, classes, texts), "class-links")
+        found = saved(_linked(pairs, classes, texts), "found-links")
         if of is None or not found.isEmpty():
             links = saved(links.union(found), "class-links")
             of = saved(components(links).select(F.col("id").alias("cls"), "component"), "class-components")
-        leading *= 4
+        opened = saved(_open(buckets, of), "open-bands")
+        if leading > 1:             # who led before has met everybody in the bucket
+            opened = opened.filter(F.col("n") > leading // 4 + 1)
+        if opened.isEmpty():
+            return links
+        small, large = opened.filter(F.col("n") <= SMALL), opened.filter(F.col("n") > SMALL)
+        if leading > 1:
+            pairs = _pairs(opened, _leaders(opened, leading))
+            leading *= 4
+            continue
+        pairs = _pairs(small, small)
+        if level < LEVELS:
+            finer = (large.select("cls", "weight", F.col("key").alias("k"), F.col("last").alias("upto"))
+                     .join(shared.select("cls", "key", "last"), "cls").filter("last > upto")
+                     .select("cls", "last", F.xxhash64("k", "key").alias("key"), "weight"))
+            buckets, level = saved(finer, "finer-bands"), level + 1
+            opened = saved(_open(buckets, of), "open-bands")
+            pairs = pairs.union(_pairs(opened, _leaders(opened, 1)))
+        else:
+            buckets, leading = saved(large.select("cls", "last", "key", "weight"), "last-bands"), 4
+            pairs = pairs.union(_pairs(large, _leaders(large, 1)))
 
 
 def groups(docs: DataFrame) -> DataFrame:
