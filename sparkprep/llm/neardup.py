@@ -8,10 +8,10 @@
    a group of edited copies, the original). A pair's signatures must agree well
    (signature verification), then the full shingle sets decide.
 3. Components by alternating large-star and small-star over the links.
-4. Classes of one bucket that are still in different components go on to finer
-   buckets and further leaders (see ``class_links``), so that links which no
-   leader shows are found as well, while groups whose members already hang
-   together cost one comparison per member and bucket.
+4. In buckets whose members are still in different components, the members of
+   different components are compared block by block on their full sets, and the
+   components are joined once more: no link between components is lost, while
+   groups that hang together cost one comparison per member and bucket.
 
 At ``LINK`` = 85 % similarity a pair misses all bands with probability 4e-7.
 
@@ -23,7 +23,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHash, hash_words, id_text, saved, shingle_hashes, shipped, text_bytes, words
@@ -33,8 +33,8 @@ LINK = 85                  # percent of the union
 BANDS, ROWS = 25, 5
 AGREE = 86                 # of 125 minima; 85 % similar sets agree less with p < 1e-6
 SEED = 7
-SMALL = 16                 # members that a bucket compares without a leader
-LEVELS = 4                 # bands that a bucket's members share at most
+BLOCK = 384                # members of an open bucket that one task holds, twice at most
+STRIP = 16_384             # shingles looked at together inside a block
 WANTED_BITS = 24           # of the bitmap of ids whose texts are read again
 
 
@@ -211,8 +211,8 @@ def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
 
 
 def _open(buckets: DataFrame, of: DataFrame | None) -> DataFrame:
-    """Buckets (key, last, cls, weight) whose members are in several components,
-    with component and n, the bucket's size."""
+    """Buckets (key, cls, weight) whose members are in several components, with
+    component and n, the bucket's size."""
     b = buckets.withColumn("component", F.col("cls")) if of is None else \
         buckets.join(of, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     mixed = b.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
@@ -220,67 +220,109 @@ def _open(buckets: DataFrame, of: DataFrame | None) -> DataFrame:
     return b.join(mixed.select("key", "n"), "key")
 
 
-def _pairs(members: DataFrame, leaders: DataFrame) -> DataFrame:
-    lead = leaders.select("key", F.col("cls").alias("leader"), F.col("component").alias("lc"))
-    return (members.join(lead, "key").filter("component <> lc")
-            .select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")))
+def block_links(rows: list[tuple]) -> list[tuple[int, int]]:
+    """Links between members (cls, component, side, text) of different
+    components, just enough to connect what is connected. Sides 0 and 1 are two
+    blocks of a bucket, of which only pairs across are looked at; with one side,
+    all are. Intersections of all pairs are products of 0/1 matrices over the
+    shingles that occur twice, a strip of columns at a time."""
+    import numpy as np
+    cache = WordHash()
+    sets = [shingle_set(r[3], cache) for r in rows]
+    size = np.array([len(x) for x in sets], np.int64)
+    comp = np.array([r[1] for r in rows], np.int64)
+    side = np.array([r[2] for r in rows])
+    owner = np.repeat(np.arange(len(rows)), size)
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[col] > 1
+    owner, col = owner[shared], col[shared]
+    both = np.zeros((len(rows), len(rows)), np.float32)
+    if len(col):
+        order = np.argsort(col, kind="stable")
+        owner = owner[order]
+        col = np.cumsum(np.append(0, np.diff(col[order]) > 0))          # numbered without holes
+        for lo in range(0, int(col[-1]) + 1, STRIP):
+            at = slice(*np.searchsorted(col, [lo, lo + STRIP]))
+            strip = np.zeros((len(rows), min(STRIP, int(col[-1]) + 1 - lo)), np.float32)
+            strip[owner[at], col[at] - lo] = 1
+            both += strip @ strip.T
+    both = both.astype(np.int64)
+    ok = 100 * both >= LINK * (size[:, None] + size[None, :] - both)
+    ok &= comp[:, None] != comp[None, :]
+    if side.any():
+        ok &= side[:, None] != side[None, :]
+    root = {c: c for c in comp.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for x, y in zip(*(v.tolist() for v in np.nonzero(np.triu(ok)))):
+        a, b = find(int(comp[x])), find(int(comp[y]))
+        if a != b:
+            root[a] = b
+            out.append((rows[x][0], rows[y][0]))
+    return out
+
 
+def _compared(opened: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) across components inside the open buckets. A bucket is cut
+    into blocks of about ``BLOCK`` members, and every two blocks meet in one
+    group, so a group is small however large the bucket."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    d = (opened.select("key", "cls", "component", own.alias("own"), blocks.alias("blocks"))
+         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "component",
+                 (F.col("own") > F.least("own", "other")).cast("int").alias("side")))
+
+    def run(batches):
+        import pyarrow as pa
+        group, rows = None, []
+
+        def done():
+            found = block_links(rows) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "cls", "component", "side")]
+            for k, i, j, cls, component, side, text in zip(*cols, text_bytes(batch.column("text"))):
+                if group != (k, i, j):
+                    if rows:
+                        yield done()
+                    group, rows = (k, i, j), []
+                rows.append((cls, component, side, text))
+        if rows:
+            yield done()
 
-def _leaders(opened: DataFrame, most: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "cls"))
-    return opened.withColumn("place", place).filter(F.col("place") <= most)
+    return (d.join(texts, "cls").select("key", "i", "j", "cls", "component", "side", "text")
+            .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long"))
 
 
 def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between classes, enough of them for the components.
 
-    First every bucket compares its members with its leader. Buckets whose
-    members are still in several components follow: small ones compare the
-    members across components; large ones are dealt again into buckets of two
-    (three, ``LEVELS``) shared bands, where chance meetings fall apart while
-    links, which share many bands, still meet (all miss with p < 1e-4 at the
-    threshold itself), and start over. What is large at the last level takes
-    more and more leaders until every member has met every other component."""
-    spark = docs.sparkSession
-    bands = saved(classes.select("cls", F.posexplode("bands").alias("last", "key")), "bands")
+    First every bucket compares its members with its leader: that joins nearly
+    all groups. In buckets whose members are still in several components, all
+    members of different components are compared, block by block, on their full
+    sets; only links that join components leave a block."""
+    bands = saved(classes.select("cls", F.explode("bands").alias("key")), "bands")
     size = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = saved(bands.join(size, "key"), "shared-bands")
     weight = shared.groupBy("cls").agg(F.sum("n").alias("weight"))
-    shared = saved(shared.select("cls", "last", "key").join(weight, "cls"), "weighted-bands")
-    texts = saved(_texts(docs, saved(shared.select("cls").distinct().join(
+    buckets = saved(shared.select("cls", "key").join(weight, "cls"), "weighted-bands")
+    texts = saved(_texts(docs, saved(buckets.select("cls").distinct().join(
         classes.select("cls", "rep", "set_hash"), "cls"), "member-classes")), "member-texts")
-    links = tested = spark.createDataFrame([], "a long, b long")
-    of, buckets, level, leading = None, shared, 1, 1
+    leaders = buckets.groupBy("key").agg(F.max(F.struct("weight", (-F.col("cls")).alias("c"))).alias("x")) \
+        .select("key", (-F.col("x.c")).alias("leader"))
+    pairs = (buckets.join(leaders, "key").filter("cls <> leader")
+             .select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct())
+    links = saved(_linked(pairs, classes, texts), "leader-links")
+    of = saved(components(links).select(F.col("id").alias("cls"), "component"), "class-components")
     opened = saved(_open(buckets, of), "open-bands")
-    pairs = _pairs(opened, _leaders(opened, 1))
-    while True:
-        pairs = saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = saved(tested.union(pairs), "tested")
-        found = saved(_linked(pairs, classes, texts), "found-links")
-        if of is None or not found.isEmpty():
-            links = saved(links.union(found), "class-links")
-            of = saved(components(links).select(F.col("id").alias("cls"), "component"), "class-components")
-        opened = saved(_open(buckets, of), "open-bands")
-        if leading > 1:             # who led before has met everybody in the bucket
-            opened = opened.filter(F.col("n") > leading // 4 + 1)
-        if opened.isEmpty():
-            return links
-        small, large = opened.filter(F.col("n") <= SMALL), opened.filter(F.col("n") > SMALL)
-        if leading > 1:
-            pairs = _pairs(opened, _leaders(opened, leading))
-            leading *= 4
-            continue
-        pairs = _pairs(small, small)
-        if level < LEVELS:
-            finer = (large.select("cls", "weight", F.col("key").alias("k"), F.col("last").alias("upto"))
-                     .join(shared.select("cls", "key", "last"), "cls").filter("last > upto")
-                     .select("cls", "last", F.xxhash64("k", "key").alias("key"), "weight"))
-            buckets, level = saved(finer, "finer-bands"), level + 1
-            opened = saved(_open(buckets, of), "open-bands")
-            pairs = pairs.union(_pairs(opened, _leaders(opened, 1)))
-        else:
-            buckets, leading = saved(large.select("cls", "last", "key", "weight"), "last-bands"), 4
-            pairs = pairs.union(_pairs(large, _leaders(large, 1)))
+    return links.union(saved(_compared(opened, texts).distinct(), "block-links"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
