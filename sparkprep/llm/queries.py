@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, neardup, quality, repeats, shards, tokencount, toxicity
+from . import decontaminate, licenses, lm, mixing, neardup, quality, repeats, shards, tokencount, toxicity
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_repeated_bytes": op7_repeated_bytes,
+    "op8_lm_score": op8_lm_score,
     "op9_toxicity": op9_toxicity,
     "op10_training_shards": op10_training_shards,
 }
