@@ -44,7 +44,7 @@ FOLDS, HELD_OUT = 5, 1
 HEAD = 40_000               # leaves of the word tree
 SLOTS = 1 << 19             # per context order
 ORDERS = 3                  # hashed contexts besides the empty one
-MIX_PARTS, MIX_PART = 16, 3     # texts whose second hash part is 3 of 16 train the mixer
+MIX_PARTS, MIX_PART = 16, 1     # texts in 1 of 16 hash parts train the mixer, the others the counts
 BLOCK = 1024                # decisions per online step
 RATE = 0.02
 GATES, BUCKETS = 16, 33
@@ -155,16 +155,16 @@ class Mixer:
     def cost(self, x, gate, bit):
         """log10 probability of each decision."""
         import numpy as np
-        z = np.einsum("ij,ij->i", x, self.weights[gate])
-        z = np.clip(z, -12, 12)
+        z = np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -12, 12)
         p = 1 / (1 + np.exp(-z))
         if self.refined is not None:
-            place = (z + 12) * ((BUCKETS - 1) / 24)
-            lo = np.minimum(place.astype(np.int64), BUCKETS - 2)
+            place = (z + 12) * np.float32((BUCKETS - 1) / 24)
+            lo = np.minimum(place.astype(np.int32), BUCKETS - 2)
             part = place - lo
             flat, at = self.refined, gate * BUCKETS + lo
-            p = 0.5 * (p + flat[at] * (1 - part) + flat[at + 1] * part)
-        p = np.clip(p, 1e-6, 1 - 1e-6)
+            low = flat[at]
+            p = np.float32(0.5) * (p + low + (flat[at + 1] - low) * part)
+        p = np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6))
         return np.log10(np.where(bit == 1, p, 1 - p))
 
     def learn(self, x, gate, bit, seen):
@@ -190,11 +190,19 @@ class Mixer:
         if seen is not None:
             z = np.tile(np.linspace(-12, 12, BUCKETS), GATES)
             prior = 1 / (1 + np.exp(-z))
-            self.refined = ((seen[1] + 20 * prior) / (seen[0] + 20)).astype(np.float64)
+            self.refined = ((seen[1] + 20 * prior) / (seen[0] + 20)).astype(np.float32)
         return self
 
 
-def chunks(symbols, first, most: int = 60_000):
+CHUNK = 10_000              # symbols whose decisions are in memory together
+
+
+def slices(batch, rows: int = 512):
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def chunks(symbols, first, most: int = CHUNK):
     """Slices of a long symbol array with their contexts (which look back
     across the cuts): bounded memory however long a text is."""
     ctx = contexts(symbols, first)
@@ -239,25 +247,25 @@ def fitted(rows: DataFrame, columns: tuple, symbols_of, tree: Tree) -> Mixer:
     def count(batches):
         import pyarrow as pa
         tree = shipped_tree.value
-        held = [np.zeros((2, z), np.uint32) for z in sizes]
+        held = [np.zeros(2 * z, np.uint32) for z in sizes]      # of slot s: bit 0 at 2s, bit 1 at 2s + 1
         any_rows = False
         for b in batches:
             any_rows = any_rows or b.num_rows > 0
-            for part in _pieces(symbols_of(b)):
+            for part in (p for x in slices(b) for p in _pieces(symbols_of(x))):
                 s, first, _ = _sequence_arrays(part)
-                for _, s, ctx in chunks(s, first):
+                for _, s, ctx in chunks(s, first, 6 * CHUNK):
                     node, bit, who = tree.decisions(s)
                     for k in range(ORDERS + 1):
                         at = node if k == 0 else slots(ctx[k - 1], node, who)
-                        for v in (0, 1):
-                            held[k][v] += np.bincount(at[bit == v], minlength=sizes[k]).astype(np.uint32)
+                        n = np.bincount(2 * at + bit)
+                        held[k][:len(n)] += n.astype(np.uint32)
         if any_rows:        # a row per table and part of it, so that sums meet in many tasks
             step = 1 << 16
             for k, t in enumerate(held):
                 for lo in range(0, sizes[k], step):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([k], pa.int32()), pa.array([lo], pa.int32()),
-                         pa.array([np.ascontiguousarray(t[:, lo:lo + step]).tobytes()], pa.binary())],
+                         pa.array([t[2 * lo:2 * (lo + step)].tobytes()], pa.binary())],
                         names=["k", "lo", "n"])
 
     def summed(batches):
@@ -276,7 +284,7 @@ def fitted(rows: DataFrame, columns: tuple, symbols_of, tree: Tree) -> Mixer:
                    .repartition("k", "lo").mapInArrow(summed, schema), "bit-counts")
     counts = [np.zeros((2, z), np.float64) for z in sizes]
     for r in tables.toLocalIterator():          # a fixed number of rows
-        n = np.frombuffer(bytes(r.n), np.uint64).reshape(2, -1)
+        n = np.frombuffer(bytes(r.n), np.uint64).reshape(-1, 2).T
         counts[r.k][:, r.lo:r.lo + n.shape[1]] += n
     model = Mixer(tree, counts)
     shipped_model = spark.sparkContext.broadcast(model)
@@ -288,7 +296,7 @@ def fitted(rows: DataFrame, columns: tuple, symbols_of, tree: Tree) -> Mixer:
         m.weights = m.weights.copy()
         seen, n = np.zeros((2, GATES * BUCKETS)), 0
         for b in batches:
-            for part in _pieces(symbols_of(b)):
+            for part in (p for x in slices(b) for p in _pieces(symbols_of(x))):
                 s, first, _ = _sequence_arrays(part)
                 for _, s, ctx in chunks(s, first):
                     x, gate, bit, _ = m.inputs(s, ctx)
@@ -337,25 +345,21 @@ def token_table(d: DataFrame) -> DataFrame:
     """token (bytes), c (in training texts), freq (in all), of all words."""
     def run(batches):
         import pyarrow as pa
-        seen, train = Counter(), Counter()
+        seen = Counter(), Counter()         # of training texts, of the others
 
         def out():
-            keys = list(seen)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array([train[k] for k in keys], pa.int64()),
-                 pa.array([seen[k] for k in keys], pa.int64())], names=["token", "c", "freq"])
-        for b in batches:
+            for own, counts in zip((1, 0), seen):
+                n = list(counts.values())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(counts), pa.binary()), pa.array(n if own else [0] * len(n), pa.int64()),
+                     pa.array(n, pa.int64())], names=["token", "c", "freq"])
+                counts.clear()
+        for b in (x for batch in batches for x in slices(batch)):
             for t, held in zip(text_bytes(b.column("text")), b.column("held_out").to_pylist()):
-                w = words(t or b"")
-                seen.update(w)
-                if not held:
-                    train.update(w)
-            if len(seen) > 500_000:
-                yield out()
-                seen.clear()
-                train.clear()
-        if seen:
-            yield out()
+                seen[held].update(words(t or b""))
+            if len(seen[0]) + len(seen[1]) > 500_000:
+                yield from out()
+        yield from out()
     return (d.select("text", "held_out").mapInArrow(run, "token binary, c long, freq long")
             .groupBy("token").agg(F.sum("c").alias("c"), F.sum("freq").alias("freq")))
 
@@ -437,7 +441,7 @@ def scored(docs: DataFrame) -> DataFrame:
         (heads, c), model = shipped_head.value, shipped_words.value
         base = np.log10((c + 0.5) / denominator)
         get = heads.get
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch)):
             n_tokens, n_known, base_sum, sequences, rare, freq, size = [], [], [], [], [], [], []
             for t in text_bytes(b.column("text")):
                 w = words(t or b"")
