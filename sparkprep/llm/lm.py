@@ -42,6 +42,7 @@ from .tokencount import most_frequent
 
 FOLDS, HELD_OUT = 5, 1
 HEAD = 40_000               # leaves of the word tree
+SHIPPED = 200_000           # rare tokens whose scores the tasks hold
 SLOTS = 1 << 19             # per context order
 ORDERS = 3                  # hashed contexts besides the empty one
 MIX_PARTS, MIX_PART = 16, 1     # texts in 1 of 16 hash parts train the mixer, the others the counts
@@ -83,15 +84,17 @@ def huffman(freq: list[int]):
 
 class Tree:
     def __init__(self, freq: list[int]):
+        import numpy as np
         self.start, self.length, self.nodes, self.bits, self.n_nodes = huffman(freq)
+        self.spread = self.nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def decisions(self, symbols):
-        """node, bit and place in ``symbols`` of every decision."""
+        """node, its hash, bit and place in ``symbols`` of every decision."""
         import numpy as np
         n = self.length[symbols]
         who = np.repeat(np.arange(len(symbols)), n)
         at = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + self.start[symbols][who]
-        return self.nodes[at], self.bits[at], who
+        return self.nodes[at], self.spread[at], self.bits[at], who
 
 
 def contexts(symbols, first):
@@ -107,15 +110,14 @@ def contexts(symbols, first):
         prev[k:] = symbols[:-k].astype(np.uint64) + np.uint64(1)
         prev[place < k] = 0
         acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + prev + np.uint64(k))
-        out.append(acc)
+        out.append(acc * np.uint64(0xD6E8FEB86659FD93))
     return out
 
 
-def slots(context, node, who):
+def slots(context, spread, who):
     """Slot of each decision in a context's table."""
     import numpy as np
-    h = (context[who] + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+    return ((context[who] + spread) >> np.uint64(64 - SLOTS.bit_length() + 1)).view(np.int64)
 
 
 # ---- model -----------------------------------------------------------------
@@ -139,12 +141,12 @@ class Mixer:
     def inputs(self, symbols, ctx):
         """Stretched predictions (decisions x predictors), gate, bit, owner."""
         import numpy as np
-        node, bit, who = self.tree.decisions(symbols)
+        node, spread, bit, who = self.tree.decisions(symbols)
         x = np.empty((len(node), ORDERS + 1), np.float32)
         x[:, 0] = self.st[0][node]
         gate = np.zeros(len(node), np.int64)
         for k in range(1, ORDERS + 1):
-            s = slots(ctx[k - 1], node, who)
+            s = slots(ctx[k - 1], spread, who)
             x[:, k] = self.st[k][s]
             if k == 1:
                 gate += self.conf[k][s]
@@ -254,9 +256,9 @@ def fitted(rows: DataFrame, columns: tuple, symbols_of, tree: Tree) -> Mixer:
             for part in (p for x in slices(b) for p in _pieces(symbols_of(x))):
                 s, first, _ = _sequence_arrays(part)
                 for _, s, ctx in chunks(s, first, 6 * CHUNK):
-                    node, bit, who = tree.decisions(s)
+                    node, spread, bit, who = tree.decisions(s)
                     for k in range(ORDERS + 1):
-                        at = node if k == 0 else slots(ctx[k - 1], node, who)
+                        at = node if k == 0 else slots(ctx[k - 1], spread, who)
                         n = np.bincount(2 * at + bit)
                         held[k][:len(n)] += n.astype(np.uint32)
         if any_rows:        # a row per table and part of it, so that sums meet in many tasks
@@ -423,8 +425,8 @@ def scored(docs: DataFrame) -> DataFrame:
             c = b.column("c").to_numpy(zero_copy_only=False)
             cost = np.log10(known_share * c / rare_total
                             + (1 - known_share) * np.power(10.0, np.maximum(cost_of(shipped_spell.value, spell_symbols(b)), -300)))
-            yield pa.RecordBatch.from_arrays([b.column("token"), b.column("c"), pa.array(cost, pa.float64())],
-                                             names=["token", "c", "cost"])
+            yield pa.RecordBatch.from_arrays([b.column("token"), b.column("c"), b.column("freq"), pa.array(cost, pa.float64())],
+                                             names=["token", "c", "freq", "cost"])
 
     # an escaped token is one of the rare training tokens, or spelled: a mixture
     # by the share of rare occurrences that are not a token's only one
@@ -432,31 +434,41 @@ def scored(docs: DataFrame) -> DataFrame:
     rare_total = max(int(r.c or 0), 1)
     known_share = min(max(1 - r.once / rare_total, 0.05), 0.95) if r.c else 0.0
 
-    spelled = saved(rest.select("token", "c").mapInArrow(spell, "token binary, c long, cost double"), "lm-spelled")
+    spelled = saved(rest.select("token", "c", "freq").mapInArrow(
+        spell, "token binary, c long, freq long, cost double"), "lm-spelled")
     shipped_words = spark.sparkContext.broadcast(word_model)
     denominator = n + 0.5 * (v + 1)
+    often = most_frequent(spelled, SHIPPED).select("token", "c", "cost").toArrow()
+    shipped_rare = spark.sparkContext.broadcast((
+        {t: k for k, t in enumerate(often["token"].to_pylist())}, often["c"].to_numpy(), often["cost"].to_numpy()))
 
     def score(batches):
         import pyarrow as pa
         (heads, c), model = shipped_head.value, shipped_words.value
         base = np.log10((c + 0.5) / denominator)
-        get = heads.get
+        rare_at, rare_c, rare_cost = shipped_rare.value
+        rare_base = np.log10((rare_c + 0.5) / denominator)
+        get, get_rare = heads.get, rare_at.get
         for b in (x for batch in batches for x in slices(batch)):
-            n_tokens, n_known, base_sum, sequences, rare, freq, size = [], [], [], [], [], [], []
+            n_tokens, n_known, base_sum, spelled_sum, sequences, rare, freq, size = ([] for _ in range(8))
             for t in text_bytes(b.column("text")):
                 w = words(t or b"")
                 s = np.fromiter((get(x, 0) for x in w), np.int64, len(w))
                 s = np.append(s, 1)
-                escaped = Counter(x for x, k in zip(w, s.tolist()) if not k)
+                escaped = [w[k] for k in np.flatnonzero(s == 0).tolist()]
+                at = np.fromiter((get_rare(x, -1) for x in escaped), np.int64, len(escaped))
+                there = at[at >= 0]
+                escaped = Counter(x for x, k in zip(escaped, at.tolist()) if k < 0)
                 in_head = s[s > 0]
                 n_tokens.append(len(s))
-                n_known.append(int((c[in_head] > 0).sum()))
-                base_sum.append(float(base[in_head].sum()))
+                n_known.append(int((c[in_head] > 0).sum() + (rare_c[there] > 0).sum()))
+                base_sum.append(float(base[in_head].sum() + rare_base[there].sum()))
+                spelled_sum.append(float(rare_cost[there].sum()))
                 sequences.append(s)
                 rare.append(list(escaped))
                 freq.append(list(escaped.values()))
                 size.append(len(t or b""))
-            cost = cost_of(model, sequences)
+            cost = cost_of(model, sequences) + np.array(spelled_sum)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
                  pa.array(base_sum, pa.float64()), pa.array(cost, pa.float64()), pa.array(size, pa.int64()),
@@ -468,7 +480,7 @@ def scored(docs: DataFrame) -> DataFrame:
     rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
     tail = (rows.filter(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "freq")).alias("x"))
             .select("row", F.col("x.rare").alias("token"), F.col("x.freq").alias("f"))
-            .join(spelled, "token").groupBy("row").agg(
+            .join(spelled.drop("freq"), "token").groupBy("row").agg(
                 F.sum(F.when(F.col("c") > 0, F.col("f")).otherwise(0)).alias("k"),
                 F.sum(F.col("f") * F.log10((F.col("c") + 0.5) / F.lit(float(denominator)))).alias("b"),
                 F.sum(F.col("f") * F.col("cost")).alias("s")))
