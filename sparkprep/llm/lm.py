@@ -6,9 +6,9 @@ the end and an escape are leaves of one Huffman tree; an escaped token is spelle
 over a second tree of its bytes (or drawn from the rare training tokens; the two
 are mixed). Every decision is predicted by several
 predictors, each from counts under a hashed context (none, the last symbol, the
-last two, the last three) and the tree node; their stretched probabilities are
-summed with weights that a gate selects (how much is known of the two longest
-contexts), squashed, and refined by an adaptive table over gate and probability.
+last three) and the tree node; their stretched probabilities are
+summed with weights that a gate selects (how much is known of the
+two hashed contexts), squashed, and refined by an adaptive table over gate and probability.
 The log of all decisions is the score; -score / bytes * log2(10) the bits per
 byte.
 
@@ -44,10 +44,11 @@ FOLDS, HELD_OUT = 5, 1
 HEAD = 40_000               # leaves of the word tree
 SHIPPED = 200_000           # rare tokens whose scores the tasks hold
 SLOTS = 1 << 19             # per context order
-ORDERS = 3                  # hashed contexts besides the empty one
+DEPTHS = (1, 3)             # symbols that the hashed contexts look back
+ORDERS = len(DEPTHS)
 MIX_PARTS, MIX_PART = 16, 1     # texts in 1 of 16 hash parts train the mixer, the others the counts
 BLOCK = 1024                # decisions per online step
-RATE = 0.02
+RATE = 0.05
 GATES, BUCKETS = 16, 33
 
 
@@ -98,19 +99,20 @@ class Tree:
 
 
 def contexts(symbols, first):
-    """Hash of the last one, two and three symbols before each; ``first`` marks
-    where a new sequence begins."""
+    """Hashes of the last ``DEPTHS`` symbols before each; ``first`` marks where a
+    new sequence begins."""
     import numpy as np
     from .common import mix64
     prev, out = np.zeros(len(symbols), np.uint64), []
     place = np.arange(len(symbols)) - np.maximum.accumulate(np.where(first, np.arange(len(symbols)), 0))
     acc = np.zeros(len(symbols), np.uint64)
-    for k in range(1, ORDERS + 1):
+    for k in range(1, max(DEPTHS) + 1):
         prev = np.zeros(len(symbols), np.uint64)
         prev[k:] = symbols[:-k].astype(np.uint64) + np.uint64(1)
         prev[place < k] = 0
         acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + prev + np.uint64(k))
-        out.append(acc * np.uint64(0xD6E8FEB86659FD93))
+        if k in DEPTHS:
+            out.append(acc * np.uint64(0xD6E8FEB86659FD93))
     return out
 
 
@@ -135,7 +137,7 @@ class Mixer:
             n0, n1 = n[0].astype(np.float32), n[1].astype(np.float32)
             self.st.append(np.log((n1 + 0.4) / (n0 + 0.4)).astype(np.float32))
             self.conf.append(np.minimum(np.log2(n0 + n1 + 1), 3).astype(np.uint8))
-        self.weights = np.tile(np.array([0.2, 0.4, 0.4, 0.3], np.float32), (GATES, 1))
+        self.weights = np.tile(np.array([0.8, 0.3, 0.3], np.float32), (GATES, 1))
         self.refined = None
 
     def inputs(self, symbols, ctx):
