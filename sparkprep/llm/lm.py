@@ -5,10 +5,10 @@ token is a path of binary decisions: the ``HEAD`` most frequent training tokens,
 the end and an escape are leaves of one Huffman tree; an escaped token is spelled
 over a second tree of its bytes (or drawn from the rare training tokens; the two
 are mixed). Every decision is predicted by several
-predictors, each from counts under a hashed context (none, the last symbol, the
-last three) and the tree node; their stretched probabilities are
+predictors, each from counts under a hashed context (none, the last one, two and
+three symbols) and the tree node; their stretched probabilities are
 summed with weights that a gate selects (how much is known of the
-two hashed contexts), squashed, and refined by an adaptive table over gate and probability.
+first two hashed contexts), squashed, and refined by an adaptive table over gate and probability.
 The log of all decisions is the score; -score / bytes * log2(10) the bits per
 byte.
 
@@ -44,7 +44,7 @@ FOLDS, HELD_OUT = 5, 1
 HEAD = 40_000               # leaves of the word tree
 SHIPPED = 200_000           # rare tokens whose scores the tasks hold
 SLOTS = 1 << 19             # per context order
-DEPTHS = (1, 3)             # symbols that the hashed contexts look back
+DEPTHS = (1, 2, 3)          # symbols that the hashed contexts look back
 ORDERS = len(DEPTHS)
 MIX_PARTS, MIX_PART = 16, 1     # texts in 1 of 16 hash parts train the mixer, the others the counts
 BLOCK = 1024                # decisions per online step
@@ -137,7 +137,7 @@ class Mixer:
             n0, n1 = n[0].astype(np.float32), n[1].astype(np.float32)
             self.st.append(np.log((n1 + 0.4) / (n0 + 0.4)).astype(np.float32))
             self.conf.append(np.minimum(np.log2(n0 + n1 + 1), 3).astype(np.uint8))
-        self.weights = np.tile(np.array([0.8, 0.3, 0.3], np.float32), (GATES, 1))
+        self.weights = np.tile(np.array([0.8, 0.3, 0.2, 0.2], np.float32), (GATES, 1))
         self.refined = None
 
     def inputs(self, symbols, ctx):
