@@ -66,7 +66,7 @@ def crc(data: bytes) -> int:
 
 class WordHash(dict):
     """word -> 64-bit hash, remembered; forgotten when it grows too large."""
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

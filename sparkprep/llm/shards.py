@@ -42,7 +42,7 @@ def stride(length: int = LENGTH) -> int:
 class PieceIds(dict):
     """pre-token without its first space -> its ids as little-endian 16-bit
     bytes, remembered up to a limit and kept between the tasks of one worker."""
-    LIMIT = 1_000_000
+    LIMIT = 600_000
     _by_path: dict[str, PieceIds] = {}
 
     def __init__(self, path: str):

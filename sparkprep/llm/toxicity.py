@@ -59,7 +59,7 @@ FEATURES = ("log_words", "lexicon", "log_lexicon", "respelled", "learned", "log_
 
 class WordMarks(dict):
     """word as written -> bit set of what it is, remembered up to a limit."""
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __init__(self, learned=()):
         super().__init__()
