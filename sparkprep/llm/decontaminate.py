@@ -181,6 +181,6 @@ def contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """Rows of ``docs`` without a benchmark passage, same columns."""
     bad = contaminated(docs, bench).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct()
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) \
-        & (F.xxhash64(F.col("text").cast("string")) == F.col("_th"))
+    on = docs["doc_id"].cast("long").eqNullSafe(bad["_id"]) \
+        & (F.xxhash64(docs["text"].cast("string")) == bad["_th"])
     return docs.join(bad, on, "left_anti")

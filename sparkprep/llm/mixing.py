@@ -153,12 +153,11 @@ def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
 def mixed_rows(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The mix itself: ``docs`` with every row as often as it is taken, same
     columns. Only keys and sizes are shuffled; the texts stay in place."""
-    cols = docs.columns
-    d = keyed(docs, seed)
-    narrow = saved(d.select(F.col("doc_id").cast("long").alias("doc_id"),
-                            F.col("source").cast("string").alias("source"), *NARROW[2:]), "mix-keys")
+    d = keyed(id_text(docs, F.col("source").cast("string").alias("source"), F.struct("*").alias("_doc")), seed)
+    narrow = saved(d.select(*NARROW), "mix-keys")
     out = copies(d, *plan(narrow, **options))
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*cols)
+    copy = F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))
+    return out.select("_doc", copy).select("_doc.*")
 
 
 ORACLE = f"""

@@ -353,4 +353,4 @@ def groups(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are the first of their group, same columns."""
     gone = groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")

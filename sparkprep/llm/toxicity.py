@@ -212,6 +212,6 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are not predicted toxic, same columns."""
     bad = scored(docs, labels).filter("predicted = 1") \
         .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct()
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) \
-        & (F.xxhash64(F.col("text").cast("string")) == F.col("_th"))
+    on = docs["doc_id"].cast("long").eqNullSafe(bad["_id"]) \
+        & (F.xxhash64(docs["text"].cast("string")) == bad["_th"])
     return docs.join(bad, on, "left_anti")
