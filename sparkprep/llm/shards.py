@@ -217,21 +217,17 @@ def write_shards(slots: DataFrame, n: int, path: str, dictionary: bytes, per_sha
      .select(F.col("ids").cast("string").alias("value")).write.text(path))
 
 
-def read_slots(spark: SparkSession, path: str, first: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD):
-    """RDD of (slot, ids) from slot ``first`` on, read shard by shard."""
+def read_shard(spark: SparkSession, path: str, shard: int, first: int = 0, length: int = LENGTH,
+               per_shard: int = PER_SHARD):
+    """RDD of (slot, ids) of one shard in slot order, from slot ``first`` on."""
     import numpy as np
-    size = stride(length)
 
-    def one(record):
-        at, data = record
-        return at, np.frombuffer(data[:2 * length], dtype="<u2").tolist()
+    def one(x):
+        record, r = x
+        return shard * per_shard + r, np.frombuffer(record[:2 * length], dtype="<u2").tolist()
 
-    def rows(part, it):
-        return ((part * per_shard + r, x) for r, x in enumerate(it))
-
-    # a shard is far below a split, and files are listed by name: partition = shard
-    raw = spark.sparkContext.binaryRecords(path, size)
-    return raw.mapPartitionsWithIndex(rows).filter(lambda x: x[0] >= first).map(one)
+    records = spark.sparkContext.binaryRecords(f"{path}/part-{shard:05d}-*", stride(length))
+    return records.zipWithIndex().filter(lambda x: shard * per_shard + x[1] >= first).map(one)
 
 
 def materialise(docs: DataFrame, path: str, out: str | None = None, key: int = KEY,

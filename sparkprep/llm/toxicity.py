@@ -14,7 +14,8 @@ learned from (hash order, so a fixed sample); every text is scored.
 Null and empty texts have no words: all rates are 0 and they are scored like any
 other. Repeated rows get equal scores; an id with several labels counts as toxic
 if any of them says so; null labels and null ids teach nothing. With no usable
-labels, or one class only, the score is the share of toxic labels (0 if none).
+labels, or one class only, all get the share of toxic labels (0 if none), kept
+below the threshold: what cannot tell texts apart must not reject them.
 """
 
 from __future__ import annotations
@@ -191,7 +192,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     both = lambda part: count.get((part, 0.0)) and count.get((part, 1.0))
     if not both(TREE_FOLD):
         share = known.agg(F.avg("label")).first()[0] or 0.0
-        score = F.lit(float(share))
+        score = F.lit(min(float(share), THRESHOLD - 0.01))      # a constant accuses no text
     else:
         model = GBTClassifier(featuresCol="v", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP,
                               subsamplingRate=1.0, seed=1).fit(trees)

@@ -185,12 +185,13 @@ def test_decontamination_tolerates_substitutions(spark):
     d = spark.createDataFrame([(1, "some words before " + " ".join(noisy) + " and after"), (2, "clean " * 50),
                                (3, " ".join(item[:6]) + " else " * 30)], "doc_id long, text string")
     b = spark.createDataFrame([(7, " ".join(item).upper())], "item_id long, text string")
-    assert [(r.doc_id, r.item_id, r.matched) for r in decontaminate.contaminated(d, b).collect()] == [(1, 7, 36)]
+    # the two words after the last substitution do not pay for it
+    assert [(r.doc_id, r.item_id, r.matched) for r in decontaminate.contaminated(d, b).collect()] == [(1, 7, 34)]
     assert sorted(r.doc_id for r in decontaminate.clean(d, b).collect()) == [2, 3]
 
 
 def test_sketch_quantiles_and_merge(spark):
-    d = spark.createDataFrame([(i, " ".join(["w" * (1 + i % 12)] * 12 + [f"u{i}{k}" for k in range(40)]), "en", "s")
+    d = spark.createDataFrame([(i, " ".join("w" * (1 + i % 12) + f"{i}{k}" for k in range(40)), "en", "s")
                                for i in range(400)], "doc_id long, text string, lang string, source string")
     m = quality.measures(d).cache()
     whole = quality.sketches(m)
@@ -278,7 +279,8 @@ def test_shards_round_trip(spark, tmp_path):
     out = str(tmp_path / "shards")
     m = shards.materialise(d.coalesce(1), path, out=out, length=32, per_shard=16).collect()
     assert sorted(r.slot for r in m) == list(range(len(m)))
-    read = dict(shards.read_slots(spark, out, length=32, per_shard=16).collect())
+    n_shards = -(-len(m) // 16)
+    read = dict(x for k in range(n_shards) for x in shards.read_shard(spark, out, k, length=32, per_shard=16).collect())
     assert len(read) == len(m)
     for r in m:
         ids = read[r.slot]
@@ -290,5 +292,5 @@ def test_shards_round_trip(spark, tmp_path):
     stream = [x for i in range(len(m)) for x in read[slot_of[i]]]
     want = [x for r in sorted(d.collect()) for x in [*sp.encode(r.text), shards.END]]
     assert stream[:len(want)] == want and set(stream[len(want):]) <= {shards.PAD}
-    assert dict(shards.read_slots(spark, out, first=20, length=32, per_shard=16).collect()) == {
-        k: v for k, v in read.items() if k >= 20}
+    assert shards.read_shard(spark, out, 1, first=20, length=32, per_shard=16).collect() == [
+        (k, read[k]) for k in range(20, 32)]
