@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,8 +58,10 @@ def text_bytes(column) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
-def crc(data: bytes) -> int:
-    return zlib.crc32(data)
+def sliced(run, rows: int = 1000):
+    """``run`` over small slices of the Arrow batches: Python objects of few
+    texts exist at a time."""
+    return lambda batches: run(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
 
 
 class WordHash(dict):

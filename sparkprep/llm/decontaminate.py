@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, hash_words, mix64, saved, shipped, text_bytes, words
+from .common import hash_words, mix64, saved, shipped, sliced, text_bytes, WordHash, words
 
 # Fixed masks: 1 = the word takes part in the seed.
 MASKS = ("11100101011", "11011000111", "10110110101", "11010011011")
@@ -128,7 +128,7 @@ def stretches(docs: DataFrame, bitmap) -> DataFrame:
                     names=["doc_id", "text_hash", "words", "seeds", "places"])
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     d = d.withColumn("text_hash", F.xxhash64("text"))
-    return d.mapInArrow(run, "doc_id long, text_hash long, words binary, seeds array<long>, places array<int>")
+    return d.mapInArrow(sliced(run), "doc_id long, text_hash long, words binary, seeds array<long>, places array<int>")
 
 
 def verify(pairs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, hash_words, id_text, saved, shingle_hashes, shipped, text_bytes, words
+from .common import hash_words, id_text, saved, shingle_hashes, shipped, sliced, text_bytes, WordHash, words
 
 SHINGLE = 5
 LINK = 85                  # percent of the union
@@ -98,7 +98,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_shingles", "set_hash", "bands", "sig"])
 
     return id_text(docs).mapInArrow(
-        run, "doc_id long, n_shingles long, set_hash binary, bands array<long>, sig binary")
+        sliced(run), "doc_id long, n_shingles long, set_hash binary, bands array<long>, sig binary")
 
 
 def _agreement(pairs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, hash_words, saved, shingle_hashes, shipped, text_bytes
+from .common import hash_words, saved, shingle_hashes, shipped, sliced, text_bytes, WordHash
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20      # the base rule
 ACCURACY = 0.01                             # relative error of a sketch
@@ -86,7 +86,7 @@ def measures(docs: DataFrame) -> DataFrame:
 
     d = docs.select(*[F.col(c).cast(t).alias(c) for c, t in
                       (("doc_id", "long"), ("lang", "string"), ("source", "string"), ("text", "string"))])
-    return d.mapInArrow(run, _SCHEMA)
+    return d.mapInArrow(sliced(run), _SCHEMA)
 
 
 def base_failed() -> Column:

@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, saved, shipped, text_bytes
+from .common import id_text, saved, shipped, sliced, text_bytes
 
 LENGTH = 400
 ANCHOR = 32
@@ -143,7 +143,7 @@ def piece_rows(docs: DataFrame) -> DataFrame:
                     held = 0
             if held:
                 yield out()
-    return docs.select("doc", "text_hash", "text").mapInArrow(run, _PIECES)
+    return docs.select("doc", "text_hash", "text").mapInArrow(sliced(run), _PIECES)
 
 
 def _cut_pieces(texts: DataFrame) -> DataFrame:

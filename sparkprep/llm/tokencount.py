@@ -24,7 +24,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, saved, shipped, text_bytes
+from .common import id_text, saved, shipped, sliced, text_bytes
 
 HEAD = 200_000
 LIMIT = 4096
@@ -104,7 +104,7 @@ def vocabulary(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("token"), b.column("freq"), pa.array(n, pa.int64())],
                                              names=["token", "freq", "n"])
 
-    v = (docs.select(F.col("text").cast("string").alias("text")).mapInArrow(distinct, "token string, freq long")
+    v = (docs.select(F.col("text").cast("string").alias("text")).mapInArrow(sliced(distinct), "token string, freq long")
          .groupBy("token").agg(F.sum("freq").alias("freq")))
     return saved(v.mapInArrow(tokenized, "token string, freq long, n long"), "token-vocabulary")
 
@@ -155,7 +155,7 @@ def token_counts(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
                 names=["doc_id", "n_bytes", "head", "rest", "freq"])
 
     rows = id_text(docs).mapInArrow(
-        run, "doc_id long, n_bytes long, head long, rest array<string>, freq array<long>")
+        sliced(run), "doc_id long, n_bytes long, head long, rest array<string>, freq array<long>")
     # written once: rows get a number that stays the same however often they are read
     rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "token-frequencies")
     tail = (rows.filter(F.size("rest") > 0)

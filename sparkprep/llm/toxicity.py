@@ -28,7 +28,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, id_text, saved, shipped, text_bytes
+from .common import fold, id_text, saved, shipped, sliced, text_bytes
 
 HELD_OUT, FOLDS = 2, 4          # crc32(id) mod 4 == 2 is never learned from
 LEXICON_FOLD, TREE_FOLD, CALIBRATION_FOLD = 0, 1, 3
@@ -171,7 +171,7 @@ def features(docs: DataFrame, learned: list[str], *keep: str) -> DataFrame:
             x = [features_of(t or "", marks) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(x, pa.list_(pa.float64()))],
                                              names=[*keep, "x"])
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"{c} long" for c in keep) + ", x array<double>")
+    return docs.select(*keep, "text").mapInArrow(sliced(run), ", ".join(f"{c} long" for c in keep) + ", x array<double>")
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
