@@ -162,9 +162,8 @@ _TOKENIZERS: dict = {}
 
 def _tokenizer_for(make_tokenizer):
     """One tokenizer per Python worker for a nameable factory (else per batch)."""
-    name = f"{getattr(make_tokenizer, '__module__', '')}.{getattr(make_tokenizer, '__qualname__', '')}"
-    if "<lambda>" in name or "<locals>" in name or name == ".":
-        return make_tokenizer()
+    from pyspark import cloudpickle
+    name = cloudpickle.dumps(make_tokenizer)     # tells partials and callable objects apart
     if name not in _TOKENIZERS:
         _TOKENIZERS[name] = make_tokenizer()
     return _TOKENIZERS[name]

@@ -54,9 +54,8 @@ _MODELS: dict = {}
 
 
 def _model_for(make_model: ModelFactory):
-    name = f"{getattr(make_model, '__module__', '')}.{getattr(make_model, '__qualname__', '')}"
-    if "<lambda>" in name or "<locals>" in name or name == ".":
-        return make_model()  # not nameable: one per task
+    from pyspark import cloudpickle
+    name = cloudpickle.dumps(make_model)     # tells partials and callable objects apart
     if name not in _MODELS:
         _MODELS[name] = make_model()
     return _MODELS[name]

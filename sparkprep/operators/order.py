@@ -238,12 +238,16 @@ def shard_expr(pos, total: int, n: int) -> Column:
 
 def assign_shard(df: DataFrame, n: int, pos: str = "idx", name: str = "shard",
                  dense: bool = True) -> DataFrame:
-    """SH1: contiguous shard per row. ``pos`` must be a dense 0-based position
-    (``dense=True``); otherwise the position is computed first (WN1)."""
+    """SH1: contiguous shard per row by position. ``pos`` is used as it is when
+    it is a dense 0-based position, which the count checks; otherwise (or with
+    ``dense=False``) the position is computed first (WN1)."""
+    seen = df.agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("lo"), F.max(pos).alias("hi"),
+                  F.count(pos).alias("known")).first()
+    total = seen.n  # AG4
+    dense = dense and (total == 0 or (seen.known == total and seen.lo == 0 and seen.hi + 1 == total))
     if not dense:
         df = with_position(df, [pos], name="_pos")
         pos = "_pos"
-    total = df.count()  # AG4
     out = df.withColumn(name, shard_expr(pos, total, n))
     return out.drop("_pos") if not dense else out
 

@@ -23,7 +23,7 @@ _MODE_TAG = {T.TRAIN: "train", T.INFER: "infer"}
 def _pj1(spark, sf_dir, task, mode):
     ex = fx.examples(spark, sf_dir)
     if mode == T.INFER and T.task_kind(task).stage == 2:
-        df = stage2_inputs(ex, fx.sidecar(spark, sf_dir), task)
+        df = stage2_inputs(ex, fx.full_sidecar(spark, sf_dir), task)
     else:
         df = build_messages(ex, task, mode)
     return explode_messages(df)
@@ -32,8 +32,8 @@ def _pj1(spark, sf_dir, task, mode):
 def _pj1_sql(task, mode):
     if mode == T.INFER and T.task_kind(task).stage == 2:
         rcol = T.task_kind(task).rationale_column
-        src = f"(SELECT e.*, s.text AS {rcol} FROM examples e JOIN sidecar s ON e.idx = s.idx)"
-        return fx.with_fixtures(O.messages_long(task, mode, src), "examples", "sidecar")
+        src = f"(SELECT e.*, s.text AS {rcol} FROM examples e JOIN full_sidecar s ON e.idx = s.idx)"
+        return fx.with_fixtures(O.messages_long(task, mode, src), "examples", "full_sidecar")
     return fx.with_fixtures(O.messages_long(task, mode, "examples"), "examples")
 
 

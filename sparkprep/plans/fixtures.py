@@ -67,32 +67,38 @@ def sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit(" focus "), F.col("source"), F.lit(" ")).alias("text")))
 
 
+def full_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stage-1 output per example, for queries that do not study truncation."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("idx"), F.concat(F.lit(" focus "), F.col("source"), F.lit(" ")).alias("text"))
+
+
+FULL_SIDECAR_SQL = """
+SELECT doc_id AS idx, concat(' focus ', source, ' ') AS text FROM documents"""
+
 SIDECAR_SQL = """
 SELECT doc_id AS idx, concat(' focus ', source, ' ') AS text
 FROM documents WHERE doc_id * 10 < 9 * (SELECT count(*) FROM documents)"""
 
 
 # ---------------------------------------------------------------------------
-# pairs: preference pairs (news, chosen, rejected). The article is a document
-# labelled quality 1; chosen and rejected are the next two documents by id.
+# pairs: preference pairs (news, chosen, rejected). The article is any document
+# that has two successors; chosen and rejected are the next two documents by id.
 # Each join is on a unique key, so the result is linear in the input.
 # ---------------------------------------------------------------------------
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The offsets sit in the join conditions, not in the sides, so all three
     # sides are the same scan (same pushed filters) and share one exchange.
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lab = table(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id")
-    g = d.join(lab, "doc_id")
     c = d.select(F.col("doc_id").alias("c_id"), F.col("text").alias("chosen"))
     r = d.select(F.col("doc_id").alias("r_id"), F.col("text").alias("rejected"))
-    return (g.join(c, F.col("c_id") == F.col("doc_id") + 1).join(r, F.col("r_id") == F.col("doc_id") + 2)
+    return (d.join(c, F.col("c_id") == F.col("doc_id") + 1).join(r, F.col("r_id") == F.col("doc_id") + 2)
             .select(F.col("doc_id").alias("pair_id"), F.col("text").alias("news"), "chosen", "rejected"))
 
 
 PAIRS_SQL = """
 SELECT g.doc_id AS pair_id, g.text AS news, c.text AS chosen, r.text AS rejected
 FROM documents g
-JOIN labels l ON l.doc_id = g.doc_id AND l.quality = 1
 JOIN documents c ON c.doc_id = g.doc_id + 1
 JOIN documents r ON r.doc_id = g.doc_id + 2"""
 
@@ -192,7 +198,7 @@ WHERE a.turn = 0 AND b.turn > 0"""
 
 SQL = {
     "examples": EXAMPLES_SQL,
-    "sidecar": SIDECAR_SQL,
+    "full_sidecar": FULL_SIDECAR_SQL, "sidecar": SIDECAR_SQL,
     "pairs": PAIRS_SQL,
     "attempts": ATTEMPTS_SQL,
     "gold": GOLD_SQL,

@@ -32,10 +32,11 @@ def preference_sets(pairs: DataFrame, task: str, key: str = "pair_id", test_frac
 
 
 def two_stage_inference(records: DataFrame, stage1_task: str, stage2_task: str, make_model: ModelFactory,
-                        k: int = 1, batch_size: int = 16, num_check: bool = False) -> DataFrame:
+                        k: int = 1, batch_size: int = 16, num_check: bool = False,
+                        make_model2: ModelFactory | None = None) -> DataFrame:
     """§3.3: stage-1 rationales (k per record), attached to the records by key
     (not by file position), then stage-2 outputs. Returns (idx, rep, rationale,
-    text)."""
+    text). ``make_model2`` is the second stage's model (default: the same)."""
     if T.task_kind(stage1_task).stage != 1 or T.task_kind(stage2_task).stage != 2:
         raise ValueError("expected a stage-1 task and a stage-2 task")
     from ..session import shared_dir
@@ -47,9 +48,9 @@ def two_stage_inference(records: DataFrame, stage1_task: str, stage2_task: str,
     shared_dir(records.sparkSession)
     s1 = s1.checkpoint(eager=True)
     m2 = stage2_inputs(records, s1, stage2_task, k=k)
-    s2 = generate(m2.withColumn("_key", F.col("idx") * k + F.col("rep")), make_model, k=1,
+    s2 = generate(m2.withColumn("_key", F.col("idx") * k + F.col("rep")), make_model2 or make_model, k=1,
                   batch_size=batch_size, num_check=num_check, key="_key")
-    return (s2.select(F.floor(F.col("_key") / k).cast("bigint").alias("idx"),
+    return (s2.select(F.expr(f"_key div {int(k)}").alias("idx"),
                       (F.col("_key") % k).cast("bigint").alias("rep"), "text")
             .join(s1.select("idx", F.col("rep").cast("bigint").alias("rep"), F.col("text").alias("rationale")),
                   ["idx", "rep"]))

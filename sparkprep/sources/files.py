@@ -34,8 +34,12 @@ def _scan_order(df: DataFrame) -> DataFrame:
             .drop("_metadata"))
 
 
-# Offset tables up to this many splits are broadcast; larger ones are joined.
-_BROADCAST_MAX_SPLITS = 200_000
+def _natural(value):
+    """Sort key in which numbers inside names compare as numbers, so that
+    part-100000 comes after part-99999."""
+    if not isinstance(value, str):
+        return value
+    return [(int(x), "") if x.isdigit() else (-1, x) for x in re.split(r"(\d+)", value)]
 
 
 def _position_in_scan(tagged: DataFrame, split_cols: list, name: str) -> DataFrame:
@@ -48,22 +52,23 @@ def _position_in_scan(tagged: DataFrame, split_cols: list, name: str) -> DataFra
     recomputed. Rows are counted per split (one row per split, collected),
     the counts become offsets in split order, and a row's position is its
     split's offset plus its distance from the split's first id. The offset
-    table has one row per input split and is broadcast.
+    table has one row per input split (some 800,000 for 100 TB, tens of MB) and
+    is broadcast, so the text never moves.
     """
     spark = tagged.sparkSession
     per_split = (tagged.groupBy(*split_cols)
                  .agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_m0")).collect())
     rows, acc = [], 0
-    for r in sorted(per_split, key=lambda r: tuple(r[c] for c in split_cols)):
+    for r in sorted(per_split, key=lambda r: tuple(_natural(r[c]) for c in split_cols)):
         rows.append((*[r[c] for c in split_cols], int(r["_m0"]), acc))
         acc += int(r["_cnt"])
     fields = [tagged.schema[c] for c in split_cols] + [
         T.StructField("_m0", T.LongType()), T.StructField("_soff", T.LongType())]
     table = spark.createDataFrame(rows, T.StructType(fields))
-    if len(rows) <= _BROADCAST_MAX_SPLITS:
-        table = F.broadcast(table)
-    return (tagged.join(table, split_cols)
-            .withColumn(name, F.col("_soff") + F.col("_mid") - F.col("_m0"))
+    # a row whose split was not counted fails the job instead of vanishing
+    missing = F.raise_error(F.lit("input splits changed between counting and reading")).cast("bigint")
+    return (tagged.join(F.broadcast(table), split_cols, "left")
+            .withColumn(name, F.coalesce(F.col("_soff") + F.col("_mid") - F.col("_m0"), missing))
             .drop("_m0", "_soff", "_mid"))
 
 
@@ -120,7 +125,7 @@ def read_records(spark: SparkSession, path: str, fields=RECORD_FIELDS, idx: str
     """
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
     multi = fmt == "array"
-    raw = spark.read.schema(schema).option("multiLine", multi).json(path)
+    raw = spark.read.schema(schema).option("multiLine", multi).option("mode", "FAILFAST").json(path)
     inferred = spark.read.option("multiLine", multi).json(path).schema
     bool_cols = {f.name for f in inferred.fields if isinstance(f.dataType, T.BooleanType)}
     cols = []
@@ -198,11 +203,17 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # SR3 / SR4: string sidecar (JSON array of strings) and line files
 # ---------------------------------------------------------------------------
+def _string_array(column: str):
+    """A text column parsed as a JSON array of strings; a text that is none fails."""
+    bad = F.raise_error(F.lit("not a JSON array of strings")).cast("array<string>")
+    return F.coalesce(F.from_json(F.col(column), "array<string>", {"mode": "PERMISSIVE"}), bad)
+
+
 def read_string_list(spark: SparkSession, path: str, pos: str = "pos", text: str = "text") -> DataFrame:
     """SR3: a JSON array of strings -> (pos, text), one row per element.
     Each file is one whole-text row (the format cannot be split)."""
     raw = spark.read.text(path, wholetext=True)
-    arr = F.from_json(F.col("value"), "array<string>")
+    arr = _string_array("value")
     # posexplode_outer + null filter: the JSON is parsed once (a plain
     # posexplode adds an inferred size(from_json(...)) > 0 filter)
     return (raw.select(F.posexplode_outer(arr).alias(pos, text)).where(F.col(pos).isNotNull())
@@ -269,19 +280,23 @@ _RANK = re.compile(r"rank-(\d+)\.(json|txt)$")
 
 
 def read_rank_files(spark: SparkSession, directory: str, fmt: str, key: str = "idx",
-                    text: str = "text") -> DataFrame:
+                    text: str = "text", num_processes: int | None = None) -> DataFrame:
     """SO1 over files written by outside workers (``rank-<i>.json`` arrays or
     ``rank-<i>.txt`` lines): concatenated in rank order, order inside each
-    file kept, merged position as ``key``. The merged file (rank-c) is skipped."""
+    file kept, merged position as ``key``. The merged file (rank-c) is skipped.
+    With ``num_processes`` the ranks must be exactly 0 to num_processes - 1."""
     names = sorted((int(m.group(1)), n) for n in os.listdir(directory)
                    if (m := _RANK.search(n)) and m.group(2) == fmt)
     if not names:
         raise FileNotFoundError(f"no rank-*.{fmt} files in {directory}")
+    found = [i for i, _ in names]
+    if num_processes is not None and found != list(range(num_processes)):
+        raise FileNotFoundError(f"ranks {found} found, {num_processes} expected in {directory}")
     paths = [os.path.join(directory, n) for _, n in names]
     rank_of = F.regexp_extract(F.col("_metadata.file_path"), r"rank-(\d+)\.", 1).cast("int")
     if fmt == "json":
         raw = spark.read.text(paths, wholetext=True).select(rank_of.alias("shard"), "value")
-        rows = (raw.select("shard", F.posexplode_outer(F.from_json("value", "array<string>")).alias("pos", text))
+        rows = (raw.select("shard", F.posexplode_outer(_string_array("value")).alias("pos", text))
                 .where(F.col("pos").isNotNull()))
         return merge_shards(rows, "shard", "pos", key).select(key, text)
     raw = spark.read.text(paths)

@@ -138,3 +138,38 @@ def test_select_shard_prunes_files(spark, tmp_path):
     assert sorted(r.idx for r in one.collect()) == list(range(20, 30))
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(shard" in plan
+
+
+def test_corrupt_and_missing_inputs_fail(spark, tmp_path):
+    from sparkprep.sources import files as S
+    (tmp_path / "bad.json").write_text('["a", "b')
+    with pytest.raises(Exception, match="JSON array"):
+        S.read_string_list(spark, str(tmp_path / "bad.json")).collect()
+    ranks = tmp_path / "ranks"
+    ranks.mkdir()
+    for i in (0, 2):
+        (ranks / f"rank-{i}.json").write_text('["x"]')
+    with pytest.raises(FileNotFoundError):
+        S.read_rank_files(spark, str(ranks), "json", num_processes=3)
+    (tmp_path / "rec.jsonl").write_text('{"news": "a"}\n{"news": "b\n')
+    with pytest.raises(Exception):
+        S.read_records(spark, str(tmp_path / "rec.jsonl"), fmt="lines").collect()
+
+
+def test_part_files_sort_by_number():
+    from sparkprep.sources.files import _natural
+    names = ["part-99999-a.txt", "part-100000-a.txt", "part-00002-a.txt"]
+    assert sorted(names, key=_natural) == [names[2], names[0], names[1]]
+
+
+def test_sparse_ids_shard_by_position(spark):
+    from pyspark.sql import functions as F
+    from sparkprep.operators.order import assign_shard
+    d = spark.range(100).select((F.col("id") * 10).alias("idx"))
+    assert sorted(r["count"] for r in assign_shard(d, 4).groupBy("shard").count().collect()) == [25] * 4
+
+
+def test_factories_are_told_apart():
+    from functools import partial
+    from sparkprep.operators.generate import _model_for
+    assert _model_for(partial(str, "A")) == "A" and _model_for(partial(str, "B")) == "B"
