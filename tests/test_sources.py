@@ -1,3 +1,4 @@
+import pytest
 import json
 import os
 
