@@ -31,8 +31,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shipped(spark: SparkSession) -> None:
+    """Make the package importable on the executors, and keep the session's
+    Arrow batches (several copies of each exist at a time) to few texts."""
     ship_package(spark)
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
 def fold(doc_id: Column, mod: int) -> Column:

@@ -42,7 +42,7 @@ def stride(length: int = LENGTH) -> int:
 class PieceIds(dict):
     """pre-token without its first space -> its ids as little-endian 16-bit
     bytes, remembered up to a limit and kept between the tasks of one worker."""
-    LIMIT = 600_000
+    LIMIT = 300_000
     _by_path: dict[str, PieceIds] = {}
 
     def __init__(self, path: str):
@@ -56,6 +56,10 @@ class PieceIds(dict):
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
+    @classmethod
+    def forget(cls) -> None:
+        cls._by_path.clear()
+
     def learn(self, tokens: set[str]) -> None:
         """Tokenize the tokens not known yet, all in one call."""
         new = [t for t in tokens if t not in self]
@@ -205,6 +209,7 @@ def write_shards(slots: DataFrame, n: int, path: str, dictionary: bytes, per_sha
     """One file per shard (part number = shard number) of raw records."""
     def unpacked(batches):
         import pyarrow as pa
+        PieceIds.forget()       # the sequences are written: the worker's memory is free again
         unpack = Packer(dictionary).unpack
         for b in batches:
             yield pa.RecordBatch.from_arrays(
