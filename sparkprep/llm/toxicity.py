@@ -15,7 +15,9 @@ Null and empty texts have no words: all rates are 0 and they are scored like any
 other. Repeated rows get equal scores; an id with several labels counts as toxic
 if any of them says so; null labels and null ids teach nothing. With no usable
 labels, or one class only, all get the share of toxic labels (0 if none), kept
-below the threshold: what cannot tell texts apart must not reject them.
+below the threshold: what cannot tell texts apart must not reject them. Where the
+calibration part lacks a class, the trees' scores say nothing about a rate: they
+keep their order and are scaled to stay below the threshold.
 """
 
 from __future__ import annotations
@@ -198,7 +200,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
                               subsamplingRate=1.0, seed=1).fit(trees)
         raw = lambda df: model.transform(df).withColumn("raw", vector_to_array("probability")[1])
         out = raw(out.withColumn("v", array_to_vector("x")))
-        score = F.col("raw")
+        score = F.col("raw") * (THRESHOLD - 0.01)               # uncalibrated: an order, no verdict
         if both(CALIBRATION_FOLD):
             iso = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated")
             out = iso.fit(raw(calibration).select("raw", "label")).transform(out.drop("prediction"))
