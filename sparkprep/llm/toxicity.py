@@ -16,8 +16,9 @@ other. Repeated rows get equal scores; an id with several labels counts as toxic
 if any of them says so; null labels and null ids teach nothing. With no usable
 labels, or one class only, all get the share of toxic labels (0 if none), kept
 below the threshold: what cannot tell texts apart must not reject them. Where the
-calibration part lacks a class, the trees' scores say nothing about a rate: they
-keep their order and are scaled to stay below the threshold.
+calibration part lacks a class, or its isotonic fit has one step only (the trees
+do not order texts they have not seen), scores are no rates: they keep their order
+and are scaled to stay below the threshold.
 """
 
 from __future__ import annotations
@@ -203,9 +204,11 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
         score = F.col("raw") * (THRESHOLD - 0.01)               # uncalibrated: an order, no verdict
         if both(CALIBRATION_FOLD):
             iso = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated")
-            out = iso.fit(raw(calibration).select("raw", "label")).transform(out.drop("prediction"))
-            # isotonic steps tie scores; the trees' own order is kept inside a step
-            score = F.col("calibrated") * 0.999 + F.col("raw") * 0.001
+            steps = iso.fit(raw(calibration).select("raw", "label"))
+            if max(steps.predictions) > min(steps.predictions):
+                out = steps.transform(out.drop("prediction"))
+                # isotonic steps tie scores; the trees' own order is kept inside a step
+                score = F.col("calibrated") * 0.999 + F.col("raw") * 0.001
     score = F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
     return out.select("doc_id", "text_hash", "held_out", score.alias("score"),
                       F.when(score >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"))
