@@ -3,8 +3,8 @@
 Two modes: ``"extended"`` (default) adds the later refinements that the
 widely used NLTK implementation applies by default -- a few irregular forms,
 ``ies``/``ied`` on four-letter words, ``y -> i`` only after a consonant that
-is not the first letter, the ``bli``/``logi``/``fulli``/``lessli`` rules and
-two-letter consonant-vowel-consonant ends; ``"original"`` is the published
+is not the first letter, the ``bli``/``logi``/``fulli`` rules, ``alli`` taken
+off before the other second-step rules and two-letter consonant-vowel-consonant ends; ``"original"`` is the published
 1980 algorithm. Only tokens longer than three characters are stemmed, as
 unigram-overlap scorers do.
 """
@@ -69,8 +69,7 @@ _STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "an
           ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
           ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"),
           ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
-_STEP2_EXTENDED = [(("bli", "ble") if suf == "abli" else (suf, rep)) for suf, rep in _STEP2] + [
-    ("fulli", "ful"), ("lessli", "less")]
+_STEP2_EXTENDED = [(("bli", "ble") if suf == "abli" else (suf, rep)) for suf, rep in _STEP2] + [("fulli", "ful")]
 # Irregular forms mapped directly in the extended mode.
 _IRREGULAR = {"skies": "sky", "sky": "sky", "dying": "die", "lying": "lie", "tying": "tie",
               "news": "news", "innings": "inning", "inning": "inning", "outings": "outing",
@@ -123,7 +122,9 @@ def porter_stem(word: str, mode: str = "extended") -> str:
         stem = w[:-1]
         if (len(stem) > 1 and _cons(stem, len(stem) - 1)) if ext else _has_vowel(stem):
             w = stem + "i"
-    # step 2
+    # step 2; the extended mode takes "alli" off first and goes on with what is left
+    if ext and w.endswith("alli") and _m(w[:-4]) > 0:
+        w = w[:-2]
     if ext and w.endswith("logi"):
         if _m(w[:-3]) > 0:
             w = w[:-1]

@@ -42,10 +42,16 @@ def pair_length_profile(df: DataFrame, counter=token_count) -> DataFrame:
                   F.greatest(F.max(pc), F.max(pr)).cast("bigint").alias("max_pair_tokens"))
 
 
+def token_number(c, tokens=word_tokens):
+    """Number of tokens, without keeping them where only the default rule is used."""
+    return token_count(c) if tokens is word_tokens else F.size(tokens(c))
+
+
 def truncate_left(c, n: int, tokens=word_tokens):
-    """TR1: keep the last ``n`` tokens (joined by one space)."""
-    t = tokens(c)
-    return F.array_join(F.slice(t, F.greatest(F.size(t) - n + 1, F.lit(1)), n), " ")
+    """TR1: keep the last ``n`` tokens (joined by one space); texts of at most
+    ``n`` tokens stay byte for byte as they are."""
+    text = F.col(c) if isinstance(c, str) else c
+    return F.when(token_number(text, tokens) > n, F.array_join(F.slice(tokens(text), -n, n), " ")).otherwise(text)
 
 
 def pack(df: DataFrame, text: str = "text", order_by=("idx",), block: int = 2048,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import to_text
 from ..functions.tokens import word_tokens
 from . import templates as T
+from .lengths import token_number
 from .messages import IM_END, message, render
 
 # Tasks with a preference-stage system text.
@@ -38,24 +39,25 @@ def fit_pair(df: DataFrame, max_prompt: int = 1024, max_length: int = 1536,
              tokens=word_tokens) -> DataFrame:
     """TR2: if prompt + longer response exceeds ``max_length`` keep the last
     ``max_prompt`` prompt tokens; if still over, keep the first
-    ``max_length - max_prompt`` tokens of each response. Adds token arrays'
-    sizes and the fitted texts (tokens joined by one space)."""
-    p, c, r = tokens(prompt), tokens(chosen), tokens(rejected)
-    longer = F.greatest(F.size(c), F.size(r))
-    over = F.size(p) + longer > F.lit(max_length)
-    p2 = F.when(over, F.slice(p, F.greatest(F.size(p) - max_prompt + 1, F.lit(1)), max_prompt)).otherwise(p)
-    tmp = df.withColumn("_p", p2).withColumn("_c", c).withColumn("_r", r).withColumn("_long", longer)
-    still = F.size("_p") + F.col("_long") > F.lit(max_length)
+    ``max_length - max_prompt`` tokens of each response. Adds the token counts;
+    a text that is cut has its tokens joined by one space, every other text
+    stays byte for byte as it is."""
     keep_n = max_length - max_prompt
-    cut = lambda a: F.when(still, F.slice(F.col(a), 1, keep_n)).otherwise(F.col(a))
-    out = tmp.withColumn("_c", cut("_c")).withColumn("_r", cut("_r"))
-    return (out.withColumn(prompt, F.array_join("_p", " "))
-            .withColumn(chosen, F.array_join("_c", " "))
-            .withColumn(rejected, F.array_join("_r", " "))
-            .withColumn("prompt_tokens", F.size("_p").cast("bigint"))
-            .withColumn("chosen_tokens", F.size("_c").cast("bigint"))
-            .withColumn("rejected_tokens", F.size("_r").cast("bigint"))
-            .drop("_p", "_c", "_r", "_long"))
+    tmp = df.withColumns({"_p": token_number(prompt, tokens), "_c": token_number(chosen, tokens),
+                          "_r": token_number(rejected, tokens)})
+    longer = F.greatest("_c", "_r")
+    over = F.col("_p") + longer > F.lit(max_length)
+    fitted = F.when(over, F.least(F.col("_p"), F.lit(max_prompt))).otherwise(F.col("_p"))
+    still = fitted + longer > F.lit(max_length)
+    tail = F.array_join(F.slice(tokens(prompt), -max_prompt, max_prompt), " ")
+    head = lambda c: F.array_join(F.slice(tokens(c), 1, keep_n), " ")
+    count = lambda n: F.when(still, F.least(F.col(n), F.lit(keep_n))).otherwise(F.col(n)).cast("bigint")
+    text = lambda c, n: F.when(still & (F.col(n) > keep_n), head(c)).otherwise(F.col(c))
+    return tmp.withColumns({
+        prompt: F.when(over & (F.col("_p") > max_prompt), tail).otherwise(F.col(prompt)),
+        chosen: text(chosen, "_c"), rejected: text(rejected, "_r"),
+        "prompt_tokens": fitted.cast("bigint"), "chosen_tokens": count("_c"), "rejected_tokens": count("_r"),
+    }).drop("_p", "_c", "_r")
 
 
 def pairs_by_gap(scored: DataFrame, min_gap: float, key: str = "idx", rep: str = "rep",

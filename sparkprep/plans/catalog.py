@@ -528,8 +528,8 @@ def _trunc(spark, sf_dir):
 
 add("tr1_truncate_left_512", _trunc,
     f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, "
-    f"array_to_string(list_slice(t, greatest(len(t) - 512 + 1, 1), len(t)), ' ') AS text "
-    f"FROM (SELECT doc_id, {_toks_sql('text')} AS t FROM documents)", ("TR1",))
+    f"CASE WHEN len(t) > 512 THEN array_to_string(list_slice(t, len(t) - 511, len(t)), ' ') ELSE text END AS text "
+    f"FROM (SELECT doc_id, text, {_toks_sql('text')} AS t FROM documents)", ("TR1",))
 
 
 def _fit(spark, sf_dir):
@@ -537,21 +537,23 @@ def _fit(spark, sf_dir):
         "pair_id", "prompt_tokens", "chosen_tokens", "rejected_tokens", "prompt", "chosen", "rejected")
 
 
-add("tr2_fit_pair", _fit, fx.with_fixtures(f"""
-SELECT pair_id, CAST(len(p2) AS BIGINT) AS prompt_tokens, CAST(len(c2) AS BIGINT) AS chosen_tokens,
-       CAST(len(r2) AS BIGINT) AS rejected_tokens, array_to_string(p2, ' ') AS prompt,
-       array_to_string(c2, ' ') AS chosen, array_to_string(r2, ' ') AS rejected
+def _fit_sql_body():
+    """Only texts that lose tokens are rewritten; the others are the input's."""
+    return f"""
+SELECT pair_id, CAST(np AS BIGINT) AS prompt_tokens,
+       CAST(CASE WHEN still THEN least(len(c), 512) ELSE len(c) END AS BIGINT) AS chosen_tokens,
+       CAST(CASE WHEN still THEN least(len(r), 512) ELSE len(r) END AS BIGINT) AS rejected_tokens,
+       CASE WHEN np < len(p) THEN array_to_string(list_slice(p, len(p) - np + 1, len(p)), ' ') ELSE prompt END AS prompt,
+       CASE WHEN still AND len(c) > 512 THEN array_to_string(c[1:512], ' ') ELSE chosen END AS chosen,
+       CASE WHEN still AND len(r) > 512 THEN array_to_string(r[1:512], ' ') ELSE rejected END AS rejected
 FROM (
-  SELECT pair_id, p2,
-         CASE WHEN len(p2) + lng > 1536 THEN list_slice(c, 1, 512) ELSE c END AS c2,
-         CASE WHEN len(p2) + lng > 1536 THEN list_slice(r, 1, 512) ELSE r END AS r2
-  FROM (
-    SELECT pair_id, c, r, lng,
-           CASE WHEN len(p) + lng > 1536 THEN list_slice(p, greatest(len(p) - 1024 + 1, 1), greatest(len(p) - 1024 + 1, 1) + 1024 - 1)
-                ELSE p END AS p2
-    FROM (SELECT pair_id, {_toks_sql('prompt')} AS p, {_toks_sql('chosen')} AS c, {_toks_sql('rejected')} AS r,
-                 greatest(len({_toks_sql('chosen')}), len({_toks_sql('rejected')})) AS lng
-          FROM ({TEMPLATED_SQL}))))""", "pairs"), ("TR2",))
+  SELECT *, np + greatest(len(c), len(r)) > 1536 AS still FROM (
+    SELECT *, CASE WHEN len(p) + greatest(len(c), len(r)) > 1536 THEN least(len(p), 1024) ELSE len(p) END AS np
+    FROM (SELECT *, {_toks_sql('prompt')} AS p, {_toks_sql('chosen')} AS c, {_toks_sql('rejected')} AS r
+          FROM ({TEMPLATED_SQL}))))"""
+
+
+add("tr2_fit_pair", _fit, fx.with_fixtures(_fit_sql_body(), "pairs"), ("TR2",))
 
 
 def _pack(spark, sf_dir):
@@ -732,24 +734,6 @@ def _flow_pref_sql():
         f"SELECT f.*, s.split FROM ({fit}) f JOIN ({split}) s USING (pair_id)", "pairs")
 
 
-def _fit_sql_body():
-    return f"""
-SELECT pair_id, CAST(len(p2) AS BIGINT) AS prompt_tokens, CAST(len(c2) AS BIGINT) AS chosen_tokens,
-       CAST(len(r2) AS BIGINT) AS rejected_tokens, array_to_string(p2, ' ') AS prompt,
-       array_to_string(c2, ' ') AS chosen, array_to_string(r2, ' ') AS rejected
-FROM (
-  SELECT pair_id, p2,
-         CASE WHEN len(p2) + lng > 1536 THEN list_slice(c, 1, 512) ELSE c END AS c2,
-         CASE WHEN len(p2) + lng > 1536 THEN list_slice(r, 1, 512) ELSE r END AS r2
-  FROM (
-    SELECT pair_id, c, r, lng,
-           CASE WHEN len(p) + lng > 1536 THEN list_slice(p, greatest(len(p) - 1024 + 1, 1), greatest(len(p) - 1024 + 1, 1) + 1024 - 1)
-                ELSE p END AS p2
-    FROM (SELECT pair_id, {_toks_sql('prompt')} AS p, {_toks_sql('chosen')} AS c, {_toks_sql('rejected')} AS r,
-                 greatest(len({_toks_sql('chosen')}), len({_toks_sql('rejected')})) AS lng
-          FROM ({TEMPLATED_SQL}))))"""
-
-
 add("flow_preference_sets", _flow_pref, _flow_pref_sql(), ("OS2", "PJ4", "PJ5", "TR2"))
 
 STG1, STG2 = "rationale_hg_stg1_ecnc", "rationale_hg_stg2_ecnc"

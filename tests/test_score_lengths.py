@@ -99,6 +99,24 @@ def test_fit_pair(spark):
     assert (got[2].prompt_tokens, got[2].chosen_tokens) == (4, 2)
 
 
+def test_texts_within_budget_stay_as_they_are(spark):
+    text = "<s>system\nx  y</s>\n"
+    df = spark.createDataFrame([(1, text, " a\tb \n", None), (2, text, text, text)],
+                               "id int, prompt string, chosen string, rejected string")
+    got = sorted(fit_pair(df, 4, 8).collect(), key=lambda r: r.id)
+    assert (got[0].prompt, got[0].chosen, got[0].rejected) == (text, " a\tb \n", None)
+    assert (got[1].prompt, got[1].chosen, got[1].rejected) == (text, text, text)
+    assert got[1].prompt_tokens == 2 and got[1].chosen_tokens == 2
+    assert [r[0] for r in df.select(truncate_left("chosen", 2)).collect()] == [" a\tb \n", text]
+
+
+def test_adverbs_share_the_stem_of_their_adjectives():
+    from sparkprep.functions.stem import porter_stem
+    assert [porter_stem(w) for w in ("additionally", "additional", "conditionally", "conditional")] == \
+        ["addit", "addit", "condit", "condit"]
+    assert porter_stem("carelessly") == "carelessli" and porter_stem("really") == "realli"
+
+
 def test_pairs_by_gap_ties_lowest_rep(spark):
     df = spark.createDataFrame([(1, 1, 0.5, "a"), (1, 2, 0.5, "b"), (1, 3, 0.1, "c"), (1, 4, 0.1, "d"),
                                 (2, 1, 0.3, "e"), (2, 2, 0.29, "f")],
