@@ -1,4 +1,4 @@
-"""Porter suffix stripping, applied once per distinct token (SC14).
+"""Porter suffix stripping of tokens (SC14).
 
 Two modes: ``"extended"`` (default) adds the later refinements that the
 widely used NLTK implementation applies by default -- a few irregular forms,
@@ -11,6 +11,8 @@ unigram-overlap scorers do.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 _VOWELS = set("aeiou")
 
 
@@ -150,5 +152,6 @@ def porter_stem(word: str, mode: str = "extended") -> str:
     return w
 
 
+@lru_cache(maxsize=1 << 18)
 def stem_token(tok: str) -> str:
     return porter_stem(tok) if len(tok) > 3 else tok

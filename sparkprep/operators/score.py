@@ -6,24 +6,20 @@ from pyspark.sql import functions as F
 from ..functions.text import numerals
 from ..functions.tokens import overlap_tokens
 
-# Vocabularies up to this many distinct tokens are broadcast to the stemming
-# join; larger ones use a shuffle join (AQE splits hot tokens).
-STEM_BROADCAST_MAX_TOKENS = 2_000_000
 
-
-def stem_vocabulary(tokens: DataFrame, tok: str = "tok") -> DataFrame:
-    """(tok, stem) for the distinct tokens; the stemmer runs once per distinct
-    token in an Arrow-batched pandas UDF."""
+def stemmed(tokens, spark):
+    """Array column of tokens -> array of their stems, inside the row: an
+    Arrow-batched UDF whose worker remembers the stems of recent tokens."""
     import pandas as pd
     from ..session import ship_package
-    ship_package(tokens.sparkSession)
+    ship_package(spark)
 
-    @F.pandas_udf("string")
-    def _stem(s: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<string>")
+    def _stems(s: pd.Series) -> pd.Series:
         from sparkprep.functions.stem import stem_token
-        return s.map(stem_token)
+        return s.map(lambda tokens: [stem_token(t) for t in tokens])
 
-    return tokens.select(tok).distinct().withColumn("stem", _stem(F.col(tok)))
+    return _stems(tokens)
 
 
 def _empty():
@@ -66,52 +62,40 @@ def sorted_overlap(h, r):
 
 
 def rouge1(df: DataFrame, hyp: str = "hyp", ref: str = "ref", key: str = "pair_id",
-           stem: bool = False, split_contractions: bool = True, method: str | None = None) -> DataFrame:
+           stem: bool = False, split_contractions: bool = True, method: str = "merge", keep=()) -> DataFrame:
     """AG3: ROUGE-1 precision, recall and F per row (``ref`` is the target).
 
-    ``method="merge"`` (default without stemming) scores each row inside the
-    row: sorted token arrays walked together, no shuffle at all, whatever the
-    text length. ``method="aggregate"`` (always used with ``stem``, whose
-    stems come from a vocabulary join) counts per (row, token) with a grouped
-    aggregation (partial aggregation before the shuffle), then sums per row:
-    no pairwise join of token lists, and a frequent token only meets its own
-    row. Both give the same numbers; rows without tokens score 0.
+    ``method="merge"`` scores each row inside the row: sorted token arrays
+    walked together, no shuffle at all, whatever the text length; it can carry
+    the columns ``keep`` along. ``method="aggregate"`` counts per (row, token)
+    with a grouped aggregation (partial aggregation before the shuffle), then
+    sums per row: no pairwise join of token lists, and a frequent token only
+    meets its own row. Both give the same numbers; rows without tokens score 0.
     """
-    keys = [key] if isinstance(key, str) else list(key)
-    method = method or ("aggregate" if stem else "merge")
-    if method == "merge" and not stem:
-        toks = df.select(*keys,
-                         F.coalesce(overlap_tokens(hyp, split_contractions), _empty()).alias("_h"),
-                         F.coalesce(overlap_tokens(ref, split_contractions), _empty()).alias("_r"))
-        counted = toks.select(*keys, sorted_overlap(F.col("_h"), F.col("_r")).alias("overlap"),
-                              F.size("_h").alias("n_hyp"), F.size("_r").alias("n_ref"))
-        return _scores(counted, keys)
     if method not in ("merge", "aggregate"):
         raise ValueError("method must be 'merge' or 'aggregate'")
-    return _rouge_by_aggregation(df, hyp, ref, keys, stem, split_contractions)
-
-
-def _rouge_by_aggregation(df: DataFrame, hyp: str, ref: str, keys: list, stem: bool,
-                          split_contractions: bool) -> DataFrame:
-    # One row per (row, side) first, so the tokenizer appears once in the
-    # plan (half the generated code, half the compile time). explode_outer:
-    # a plain explode makes the optimizer infer a size(...) > 0 filter and
-    # evaluate the array expression a second time.
-    sides = (df.select(*keys, F.explode_outer(F.array(
-        F.struct(F.lit(0).alias("side"), F.col(hyp).alias("text")),
-        F.struct(F.lit(1).alias("side"), F.col(ref).alias("text")))).alias("_x"))
-        .select(*keys, F.col("_x.side").alias("side"), F.col("_x.text").alias("text")))
-    toks = sides.select(*keys, "side", F.explode_outer(overlap_tokens("text", split_contractions)).alias("tok"))
+    if keep and method != "merge":
+        raise ValueError("only method='merge' carries further columns")
+    keys = [key] if isinstance(key, str) else list(key)
+    tokens = lambda c: F.coalesce(overlap_tokens(c, split_contractions), _empty())
+    toks = df.select(*keys, *keep, tokens(hyp).alias("_h"), tokens(ref).alias("_r"))
     if stem:
-        from ..session import shared_dir
-        shared_dir(df.sparkSession)
-        # the vocabulary is small next to the token stream: stem it once,
-        # keep it in the shared folder, and broadcast it if its size allows
-        vocab = stem_vocabulary(toks.where(F.col("tok").isNotNull())).checkpoint(eager=True)
-        n_vocab = vocab.count()
-        vocab = F.broadcast(vocab) if n_vocab <= STEM_BROADCAST_MAX_TOKENS else vocab
-        toks = (toks.join(vocab, "tok", "left")
-                .select(*keys, "side", F.coalesce("stem", "tok").alias("tok")))
+        toks = toks.withColumns({c: stemmed(F.col(c), df.sparkSession) for c in ("_h", "_r")})
+    if method == "aggregate":
+        return _rouge_by_aggregation(toks, keys)
+    counted = toks.select(*keys, *keep, sorted_overlap(F.col("_h"), F.col("_r")).alias("overlap"),
+                          F.size("_h").alias("n_hyp"), F.size("_r").alias("n_ref"))
+    return _scores(counted, [*keys, *keep])
+
+
+def _rouge_by_aggregation(toks: DataFrame, keys: list) -> DataFrame:
+    # explode_outer: a plain explode makes the optimizer infer a size(...) > 0
+    # filter and evaluate the array expression a second time, and drops rows
+    # without tokens
+    sides = toks.select(*keys, F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("_h").alias("toks")),
+        F.struct(F.lit(1).alias("side"), F.col("_r").alias("toks")))).alias("_x"))
+    toks = sides.select(*keys, F.col("_x.side").alias("side"), F.explode_outer("_x.toks").alias("tok"))
     present = F.col("tok").isNotNull()
     per_tok = toks.groupBy(*keys, "tok").agg(
         F.sum(F.when(present & (F.col("side") == 0), 1).otherwise(0)).alias("h"),

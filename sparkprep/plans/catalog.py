@@ -488,9 +488,8 @@ add("ag5_number_accuracy", _accuracy, fx.with_fixtures(
 
 def _by_gap(spark, sf_dir):
     c = fx.candidates(spark, sf_dir)
-    s = rouge1(c, "candidate", "ref", ["idx", "rep"]).select("idx", "rep", F.col("f1").alias("score"))
-    scored = c.join(s, ["idx", "rep"])
-    return pairs_by_gap(scored, 0.05)
+    scored = rouge1(c, "candidate", "ref", ["idx", "rep"], keep=("candidate", "ref"))
+    return pairs_by_gap(scored.withColumnRenamed("f1", "score"), 0.05)
 
 
 def _by_gap_sql():

@@ -63,6 +63,6 @@ def gap_pairs_templated(candidates: DataFrame, task: str, min_gap: float, key: s
     and template the (news, chosen, rejected) pairs for the preference stage."""
     from ..operators.pairs import pairs_by_gap
     from ..operators.score import rouge1
-    scores = rouge1(candidates, candidate, ref, [key, rep]).select(key, rep, F.col("f1").alias("score"))
-    pairs = pairs_by_gap(candidates.join(scores, [key, rep]), min_gap, key, rep, "score", candidate, ref)
+    scored = rouge1(candidates, candidate, ref, [key, rep], keep=(candidate, ref))
+    pairs = pairs_by_gap(scored, min_gap, key, rep, "f1", candidate, ref)
     return template_pairs(pairs, task, keep=(key, "chosen_rep", "rejected_rep"))

@@ -106,8 +106,8 @@ def test_texts_within_budget_stay_as_they_are(spark):
     got = sorted(fit_pair(df, 4, 8).collect(), key=lambda r: r.id)
     assert (got[0].prompt, got[0].chosen, got[0].rejected) == (text, " a\tb \n", None)
     assert (got[1].prompt, got[1].chosen, got[1].rejected) == (text, text, text)
-    assert got[1].prompt_tokens == 2 and got[1].chosen_tokens == 2
-    assert [r[0] for r in df.select(truncate_left("chosen", 2)).collect()] == [" a\tb \n", text]
+    assert got[1].prompt_tokens == 3 and got[1].chosen_tokens == 3
+    assert [r[0] for r in df.select(truncate_left("chosen", 3)).collect()] == [" a\tb \n", text]
 
 
 def test_adverbs_share_the_stem_of_their_adjectives():
