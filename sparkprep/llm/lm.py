@@ -345,6 +345,17 @@ def _spelled(token: bytes) -> list[int]:
     return [*token, SPELL_END]
 
 
+def escaped_cost(c, spelled, known_share: float, rare_total: int):
+    """log10 probability of escaped tokens of training count ``c`` and log10
+    spelling probability ``spelled``: the mixture, in the log domain."""
+    import numpy as np
+    cost = np.log10(1 - known_share) + spelled
+    drawn = np.flatnonzero(c > 0)
+    ln10 = np.log(10.0)
+    cost[drawn] = np.logaddexp(ln10 * np.log10(known_share * c[drawn] / rare_total), ln10 * cost[drawn]) / ln10
+    return cost
+
+
 def token_table(d: DataFrame) -> DataFrame:
     """token (bytes), c (in training texts), freq (in all), of all words."""
     def run(batches):
@@ -425,8 +436,7 @@ def scored(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         for b in batches:
             c = b.column("c").to_numpy(zero_copy_only=False)
-            cost = np.log10(known_share * c / rare_total
-                            + (1 - known_share) * np.power(10.0, np.maximum(cost_of(shipped_spell.value, spell_symbols(b)), -300)))
+            cost = escaped_cost(c, cost_of(shipped_spell.value, spell_symbols(b)), known_share, rare_total)
             yield pa.RecordBatch.from_arrays([b.column("token"), b.column("c"), b.column("freq"), pa.array(cost, pa.float64())],
                                              names=["token", "c", "freq", "cost"])
 

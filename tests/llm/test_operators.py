@@ -248,6 +248,16 @@ def test_lm_base_and_probabilities(spark):
     assert sum(r.score for r in out if r.held_out) > sum(r.base_score for r in out if r.held_out)
 
 
+def test_lm_long_unknown_words_cost_all_their_bytes(spark):
+    held = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows = [(i, " ".join(f"k{(i * j) % 23}" for j in range(60)) + f" rare{i}") for i in range(60)]
+    rows += [(i, ("qzj" * n)[:n]) for i, n in zip(held, (5000, 10_000))]
+    out = {r.doc_id: r for r in lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    short, long = (out[i] for i in held)
+    assert short.score < -1000 and 1.9 < long.score / short.score < 2.1
+    assert math.isclose(short.bits_per_byte, long.bits_per_byte, rel_tol=0.05)
+
+
 def test_tree_codes_are_complete():
     tree = lm.Tree([5, 1, 1, 9, 3])
     assert math.isclose(sum(2.0 ** -n for n in tree.length.tolist()), 1.0)
