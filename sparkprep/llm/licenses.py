@@ -12,6 +12,8 @@ columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +75,35 @@ SENTENCES = [
     ("ALLRIGHTS", "all rights reserved"),
 ]
 
+# Published wordings that hold a sentence end inside: the cutter below makes
+# several sentences of each, with an identifier in turn (None: the sentence has
+# no letters and names no licence). The keys above match wordings without one.
+_FREE = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation{2} either version {3} of the License, or (at your option) any later version."
+PUBLISHED = [
+    (("GPLfree", "GPL3later"), _FREE.format("program", "", ",", "3")),
+    (("GPLfree", "GPL2later"), _FREE.format("program", "", ",", "2")),
+    (("LGPLfree", "LGPL21later"), _FREE.format("library", "Lesser ", ",", "2.1")),
+    (("GPLfree", "GPLterms", "V3later"), _FREE.format("program", "", ";", "3")),
+    (("GPLfree", "GPLterms", "V2later"), _FREE.format("program", "", ";", "2")),
+    (("LGPLfree", "LGPLterms", "V21later"), _FREE.format("library", "Lesser ", ";", "2.1")),
+    (("GPLwarranty", "GPLimplied"), "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    (("MPL2ref", None), "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+]
+
+
+def keys(raw: str) -> list[str]:
+    """The normalised sentences of a licence text, cut as ``sentences`` cuts."""
+    cut = re.sub(r"\n[ \t\x0B\f\r]*\n", "\x01", re.sub(r"([.!?:;])[ \t\n\x0B\f\r]+", "\\1\x01", raw.lower()))
+    return [re.sub("[^a-z0-9]+", " ", s).strip() for s in cut.split("\x01")]
+
+
+_seen = {s for _, s in SENTENCES}
+for _ids, _raw in PUBLISHED:
+    for _id, _key in zip(_ids, keys(_raw), strict=True):
+        if _id and _key not in _seen:
+            _seen.add(_key)
+            SENTENCES.append((_id, _key))
+
 # Ordered rules over the identifier sequence, written "<A><B><C>": the licence
 # and a pattern whose matches it consumes (first rule first).
 RULES = [
@@ -83,9 +114,9 @@ RULES = [
     ("ISC", "<ISCgrant>(<MITasis>)?"),
     ("Zlib", "<ZLIBasis><ZLIBgrant>"),
     ("Apache-2.0", "<APACHE2ref>(<APACHE2may>)?(<APACHE2copy>)?(<APACHE2asis>)?(<APACHE2see>)?"),
-    ("LGPL-2.1-or-later", "<LGPL21later>(<GPLwarranty>)?"),
-    ("GPL-3.0-or-later", "<GPL3later>(<GPLwarranty>)?(<GPLdetails>)?(<GPLreceived>)?"),
-    ("GPL-2.0-or-later", "<GPL2later>(<GPLwarranty>)?(<GPLdetails>)?(<GPLreceived>)?"),
+    ("LGPL-2.1-or-later", "(<LGPLfree>)?(<LGPL21later>|<LGPLterms><V21later>)(<GPLwarranty>)?(<GPLimplied>)?"),
+    ("GPL-3.0-or-later", "(<GPLfree>)?(<GPL3later>|<GPLterms><V3later>)(<GPLwarranty>)?(<GPLimplied>)?(<GPLdetails>)?(<GPLreceived>)?"),
+    ("GPL-2.0-or-later", "(<GPLfree>)?(<GPL2later>|<GPLterms><V2later>)(<GPLwarranty>)?(<GPLimplied>)?(<GPLdetails>)?(<GPLreceived>)?"),
     ("GPL-3.0-only", "<GPL3only>"),
     ("GPL-2.0-only", "<GPL2only>"),
     ("LGPL-3.0-only", "<LGPL3ref>"),
@@ -106,7 +137,7 @@ RULES = [
 # A text without any of these has no known sentence (a test checks that every
 # sentence above holds one), so it is not cut into sentences at all.
 CUES = ["licen[cs]e", "copyright", "permission", "redistribut", "warrant", "public domain",
-        "terms of", "advertising", "rights reserved", "licensed under", "mpl"]
+        "terms of", "advertising", "rights reserved", "licensed under", "mpl", "free software"]
 
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 CUT = "\x01"

@@ -101,6 +101,122 @@ def test_license_wrapped_sentence_and_rule_order(spark):
     assert r.sentence_ids == "MITgrant,MITnotice,ALLRIGHTS" and r.licenses == "MIT,Proprietary" and r.unmatched == ""
 
 
+MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+"""
+AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ADVERT = """3. All advertising materials mentioning features or use of this software must
+   display the following acknowledgement:
+   This product includes software developed by the organization.
+"""
+ENDORSE = """4. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+
+
+def gnu(what, name, end, version):
+    return f"""    This {what} is free software{':' if version == 3 else ';'} you can redistribute it and/or modify
+    it under the terms of the GNU {name} as published by
+    the Free Software Foundation{end} either version {version} of the License, or
+    (at your option) any later version.
+
+    This {what} is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU {name} for more details.
+
+    You should have received a copy of the GNU {name}
+    along with this {what}.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+HEADERS = [
+    ("BSD-4-Clause", BSD_2 + ADVERT + ENDORSE), ("BSD-3-Clause", BSD_2 + ENDORSE), ("BSD-2-Clause", BSD_2),
+    ("MIT", MIT_GRANT + AS_IS),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""),
+    ("Zlib", """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""),
+    ("LGPL-2.1-or-later", gnu("library", "Lesser General Public License", ";", 2.1)),
+    ("LGPL-2.1-or-later", gnu("library", "Lesser General Public License", ",", 2.1)),
+    ("GPL-3.0-or-later", gnu("program", "General Public License", ",", 3)),
+    ("GPL-3.0-or-later", gnu("program", "General Public License", ";", 3)),
+    ("GPL-2.0-or-later", gnu("program", "General Public License", ";", 2)),
+    ("GPL-2.0-or-later", gnu("program", "General Public License", ",", 2)),
+    ("GPL-3.0-only", "Licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0-only", "Licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0-only", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0-only", "Licensed under the GNU Affero General Public License, version 3."),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""),
+    ("BSL-1.0", """Distributed under the Boost Software License, Version 1.0.
+(See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"""),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n"),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."), ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("Proprietary", "Copyright 2020 Example. All rights reserved.\n"),
+]
+
+
+def test_license_rules_on_published_headers(spark):
+    assert {name for name, _ in HEADERS} == {name for name, _ in licenses.RULES}
+    # the same in a comment block; sentences that span lines begin after an end or an empty line
+    texts = [(name, t) for name, t in HEADERS] + [(name, "# " + t.replace("\n", "\n# ").replace("# \n", "\n")) for name, t in HEADERS]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert [(texts[r.doc_id][0], r.unmatched) for r in got] == [(r.licenses, "") for r in got]
+
+
 def test_mixing_reaches_targets(spark):
     rows = [(i, "w " * (1 + i * 37 % 50), f"s{i % 5}" if i % 11 else None) for i in range(3000)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
