@@ -7,9 +7,13 @@ quantile is right to within ``ACCURACY`` of its value), so the sketches are an
 ordinary distributed aggregation and do not depend on row order. The thresholds
 are joined back to the measures and filter the documents.
 
-A group is judged by Tukey fences on the log scale, widened by ``FENCE`` and
-never tighter than ``FLOOR`` / ``CEILING``: prose that is only a little unusual
-for its group is kept, and small groups cannot reject themselves.
+A measure is judged by Tukey fences, the quartiles widened by ``FENCE`` quartile
+ranges, in both directions. A group that is too small (fewer than ``BEYOND``
+documents beyond a quantile), or whose quartiles are equal, is judged by the
+merged sketch of its language: by its quartiles, and where these are equal (a
+measure that is mostly zero) by the first of the wider ``TAILS`` that differ, with
+the fence that a normal distribution would have; then likewise by that of all
+documents. A measure equal for all but a thousandth of them rejects nothing.
 
 Null texts count as empty (0 words: they fail the base rule). Null languages
 and sources form groups of their own. Repeated rows are measured alike; other
@@ -19,6 +23,7 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,10 +35,11 @@ ACCURACY = 0.01                             # relative error of a sketch
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
 SMALLEST = 1e-4                             # smaller values share the zero bin
 FENCE = 3.0                                 # widths of the quartile range
-# measure -> (lowest upper limit, highest lower limit or None)
-CEILING = {"word_len": 15.0, "symbol_share": 0.1, "dup_line_share": 0.5, "repeat_share": 0.2}
-FLOOR = {"word_len": 2.0}
-MEASURES = tuple(CEILING)
+TAILS = (0.25, 0.05, 0.01, 0.001)           # quantiles from both ends, the quartiles first
+BEYOND = 5                                  # documents beyond a quantile that is trusted
+MEASURES = ("word_len", "symbol_share", "dup_line_share", "repeat_share")
+LOW = ("word_len",)                         # measures with a lower limit as well
+ZERO = -(1 << 20)                           # the bin of zero
 
 _SCHEMA = ("doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, "
            "n_lines long, n_dup_lines long, n_repeat_words long")
@@ -104,46 +110,71 @@ def _values() -> dict[str, Column]:
 def sketches(m: DataFrame) -> DataFrame:
     """lang, source, measure, bin, n: the mergeable sketches as rows. Only
     documents that pass the base rule are learned from."""
-    bin_of = lambda v: F.when(v <= SMALLEST, -(1 << 20)).otherwise(
+    bin_of = lambda v: F.when(v <= SMALLEST, ZERO).otherwise(
         F.ceil(F.log(v) / math.log(GAMMA))).cast("int")
     each = F.array(*[F.struct(F.lit(k).alias("measure"), bin_of(v).alias("bin")) for k, v in _values().items()])
     return (m.filter(~base_failed()).select("lang", "source", F.explode(each).alias("x"))
             .groupBy("lang", "source", "x.measure", "x.bin").agg(F.count("*").alias("n")))
 
 
-def quantiles(sketch: DataFrame, qs: dict[str, float]) -> DataFrame:
-    """Quantiles of each (lang, source, measure), one column per name in ``qs``."""
-    key = ["lang", "source", "measure"]
+def quantiles(sketch: DataFrame, qs: dict[str, float], key=("lang", "source", "measure")) -> DataFrame:
+    """Quantiles of each (lang, source, measure), one column per name in ``qs``,
+    and n, the number of values."""
     upto = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     s = sketch.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy(*key))})
-    value = F.when(F.col("bin") == -(1 << 20), 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bin")) / (GAMMA + 1))
+    value = F.when(F.col("bin") == ZERO, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bin")) / (GAMMA + 1))
     s = s.withColumn("value", value)
     at = lambda q: F.min(F.when(F.col("upto") > q * (F.col("all") - 1), F.col("value")))
-    return s.groupBy(*key).agg(*[at(q).alias(name) for name, q in qs.items()])
+    return s.groupBy(*key).agg(F.first("all").alias("n"), *[at(q).alias(name) for name, q in qs.items()])
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """lang, source and <measure>_low / <measure>_high limits, one row a group."""
-    q = quantiles(sketch, {"q1": 0.25, "q3": 0.75})
-    width = F.col("q3") - F.col("q1")
-    low, high = F.col("q1") - FENCE * width, F.col("q3") + FENCE * width
-    pick = lambda m, c: F.max(F.when(F.col("measure") == m, c))
-    out = [F.greatest(pick(m, high), F.lit(CEILING[m])).alias(f"{m}_high") for m in MEASURES]
-    out += [F.least(pick(m, low), F.lit(FLOOR[m])).alias(f"{m}_low") for m in FLOOR]
-    return q.groupBy("lang", "source").agg(*out)
+    """lang, source and <measure>_low / <measure>_high limits, one row a group
+    (null: no limit)."""
+    # sketches merge: group, language, all
+    none = F.lit(None).cast("string")
+    each = F.array(*[F.struct(F.lit(k).alias("level"), a.alias("lang"), b.alias("source")) for k, (a, b) in
+                     enumerate(((F.col("lang"), F.col("source")), (F.col("lang"), none), (none, none)))])
+    merged = (sketch.select("measure", "bin", "n", F.explode(each).alias("x"))
+              .groupBy("x.level", "x.lang", "x.source", "measure", "bin").agg(F.sum("n").alias("n")))
+    qs = {f"{side}{k}": q for k, p in enumerate(TAILS) for side, q in (("a", p), ("z", 1 - p))}
+    q = quantiles(merged, qs, ("level", "lang", "source", "measure"))
+    z = [-NormalDist().inv_cdf(p) for p in TAILS]
+    limits = []
+    for k, p in enumerate(TAILS):
+        a, b = F.col(f"a{k}"), F.col(f"z{k}")
+        fence = ((2 * FENCE + 1) * z[0] / z[k] - 1) / 2         # FENCE for the quartiles
+        trusted = (F.col("n") * p >= BEYOND) & (b > a)
+        limits.append(F.when(trusted if k == 0 else trusted & (F.col("level") > 0),
+                             F.struct((a - fence * (b - a)).alias("low"), (b + fence * (b - a)).alias("high"))))
+    q = q.select("level", "lang", "source", "measure", F.coalesce(*limits).alias("limits"))
+    pick = lambda m: F.max(F.when(F.col("measure") == m, F.col("limits")))
+    out, best = sketch.select("lang", "source").distinct(), {m: [] for m in MEASURES}
+    for k, on in enumerate((("lang", "source"), ("lang",), ())):
+        t = q.filter(F.col("level") == k).groupBy(*on).agg(*[pick(m).alias(f"{m}_{k}") for m in MEASURES])
+        t = t.withColumnsRenamed({c: f"_{c}" for c in on})
+        match = F.lit(True)
+        for c in on:
+            match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        out = out.join(t, match, "left").drop(*[f"_{c}" for c in on])
+        for m in MEASURES:
+            best[m].append(F.col(f"{m}_{k}"))
+    limits = {m: F.coalesce(*best[m]) for m in MEASURES}
+    return out.select("lang", "source", *[limits[m].high.alias(f"{m}_high") for m in MEASURES],
+                      *[limits[m].low.alias(f"{m}_low") for m in LOW])
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Measures of every document with base_failed and kept."""
     m = saved(measures(docs), "quality-measures")
-    t = thresholds(sketches(m)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    t = thresholds(saved(sketches(m), "quality-sketches")).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     d = m.join(t, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     v = _values()
-    outside = F.lit(False)
+    outside = F.lit(False)      # no limit compares as null: not outside
     for k in MEASURES:
-        outside = outside | (v[k] > F.col(f"{k}_high"))
-    for k in FLOOR:
-        outside = outside | (v[k] < F.col(f"{k}_low"))
+        outside = outside | F.coalesce(v[k] > F.col(f"{k}_high"), F.lit(False))
+    for k in LOW:
+        outside = outside | F.coalesce(v[k] < F.col(f"{k}_low"), F.lit(False))
     return (d.withColumn("base_failed", base_failed())
-            .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outside, F.lit(False)))
+            .withColumn("kept", ~F.col("base_failed") & ~outside)
             .drop("_lang", "_source"))

@@ -319,6 +319,18 @@ def test_sketch_quantiles_and_merge(spark):
     assert abs(q - exact) <= 2 * quality.ACCURACY * exact
 
 
+def test_quality_limits_follow_the_data_in_both_directions(spark):
+    def text(i, size):      # 40 words of about this length, all different
+        return " ".join(f"{i}x{k}".ljust(int(size * (1 + i % 20 / 100) + k % 10 / 10), "w") for k in range(40))
+    rows = [(i, text(i, 6), "en", "s") for i in range(200)] + [(1000 + i, text(i, 20), "long", "s") for i in range(200)]
+    rows += [(500, text(500, 13), "en", "s"), (501, text(501, 13), "en", "tiny"), (1500, text(5, 8), "long", "s")]
+    kept = {r.doc_id: r.kept for r in quality.judge(
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    # words of 13 are below the former fixed 15, also in a group of one text;
+    # words of 20 are above it but usual in their language, words of 8 are not
+    assert sorted(i for i, k in kept.items() if not k) == [500, 501, 1500]
+
+
 def brute_repeats(rows):
     count = Counter(t[k:k + 400] for t in rows for k in range(len(t) - 399))
     out = []
