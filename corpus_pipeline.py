@@ -23,12 +23,15 @@ from sparkprep.llm.common import saved, table  # noqa: E402
 from sparkprep.llm.queries import tokenizer  # noqa: E402
 
 
+SIMILAR = 80                # percent at which texts are near copies
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.one_of_each(docs)
+    return neardup.one_of_each(docs, SIMILAR)
 
 
 def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@
    components are joined once more: no link between components is lost, while
    groups that hang together cost one comparison per member and bucket.
 
-At ``LINK`` = 85 % similarity a pair misses all bands with probability 4e-7.
+A pair misses all bands with probability 4e-7 at 85 % similarity, 5e-5 at 80 %.
 
 Texts without words (null, empty, white space) have no shingles and stay alone.
 Rows with a null id are alone as well and get no component. Rows that share an
@@ -23,21 +23,31 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_words, id_text, saved, shingle_hashes, shipped, sliced, text_bytes, WordHash, words
 
 SHINGLE = 5
-LINK = 85                  # percent of the union
+LINK = 85                  # percent of the union, unless the caller names another
 BANDS, ROWS = 25, 5
-AGREE = 86                 # of 125 minima; 85 % similar sets agree less with p < 1e-6
 SEED = 7
 BLOCK = 384                # members of an open bucket that one task holds, twice at most
 STRIP = 16_384             # shingles looked at together inside a block
 WANTED_BITS = 24           # of the bitmap of ids whose texts are read again
 
 
+def agree(link: int) -> int:
+    """Of ``BANDS * ROWS`` minima: sets of ``link`` % similarity agree in fewer
+    places with p < 1e-6."""
+    n, p, below, k = BANDS * ROWS, link / 100, 0.0, 0
+    while k < n and (below := below + math.comb(n, k) * p ** k * (1 - p) ** (n - k)) < 1e-6:
+        k += 1
+    return k
+
+
 def hash_family(n: int = BANDS * ROWS, seed: int = SEED):
     import numpy as np
     rng = np.random.default_rng(seed)
@@ -101,15 +111,17 @@ def signatures(docs: DataFrame) -> DataFrame:
         sliced(run), "doc_id long, n_shingles long, set_hash binary, bands array<long>, sig binary")
 
 
-def _agreement(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, ga, gb) whose signatures agree in ``AGREE`` places or more."""
+def _agreement(pairs: DataFrame, link: int) -> DataFrame:
+    """Pairs (a, b, ga, gb) whose signatures agree in ``agree(link)`` places or more."""
+    least = agree(link)
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
                     for c in ("ga", "gb"))
-            ok = pa.array((x == y).sum(axis=1) >= AGREE)
+            ok = pa.array((x == y).sum(axis=1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -148,7 +160,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             .mapInArrow(of_class, "cls long, text string").dropDuplicates(["cls"]))
 
 
-def _similar(pairs: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, link: int) -> DataFrame:
     """Pairs (a, b, ta, tb) of texts whose full shingle sets are linked."""
     def run(batches):
         import numpy as np
@@ -161,7 +173,7 @@ def _similar(pairs: DataFrame) -> DataFrame:
                     last = a, shingle_set(x, cache)
                 x, y = last[1], shingle_set(y, cache)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= LINK * (len(x) + len(y) - both))
+                ok.append(100 * both >= link * (len(x) + len(y) - both))
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
     return pairs.mapInArrow(run, "a long, b long")
@@ -202,12 +214,12 @@ def components(links: DataFrame) -> DataFrame:
     return stars.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, link: int) -> DataFrame:
     """The pairs (a, b) of classes that are links: signatures, then full sets."""
     sig = lambda c: classes.select(F.col("cls").alias(c), F.col("sig").alias(f"g{c}"))
-    near = saved(_agreement(pairs.join(sig("a"), "a").join(sig("b"), "b")), "near-pairs")
+    near = saved(_agreement(pairs.join(sig("a"), "a").join(sig("b"), "b"), link), "near-pairs")
     side = lambda c: texts.select(F.col("cls").alias(c), F.col("text").alias(f"t{c}"))
-    return _similar(near.join(side("b"), "b").join(side("a"), "a"))
+    return _similar(near.join(side("b"), "b").join(side("a"), "a"), link)
 
 
 def _open(buckets: DataFrame, of: DataFrame | None) -> DataFrame:
@@ -220,7 +232,7 @@ def _open(buckets: DataFrame, of: DataFrame | None) -> DataFrame:
     return b.join(mixed.select("key", "n"), "key")
 
 
-def block_links(rows: list[tuple]) -> list[tuple[int, int]]:
+def block_links(rows: list[tuple], link: int = LINK) -> list[tuple[int, int]]:
     """Links between members (cls, component, side, text) of different
     components, just enough to connect what is connected. Sides 0 and 1 are two
     blocks of a bucket, of which only pairs across are looked at; with one side,
@@ -247,7 +259,7 @@ def block_links(rows: list[tuple]) -> list[tuple[int, int]]:
             strip[owner[at], col[at] - lo] = 1
             both += strip @ strip.T
     both = both.astype(np.int64)
-    ok = 100 * both >= LINK * (size[:, None] + size[None, :] - both)
+    ok = 100 * both >= link * (size[:, None] + size[None, :] - both)
     ok &= comp[:, None] != comp[None, :]
     if side.any():
         ok &= side[:, None] != side[None, :]
@@ -267,7 +279,7 @@ def block_links(rows: list[tuple]) -> list[tuple[int, int]]:
     return out
 
 
-def _compared(opened: DataFrame, texts: DataFrame) -> DataFrame:
+def _compared(opened: DataFrame, texts: DataFrame, link: int) -> DataFrame:
     """Links (a, b) across components inside the open buckets. A bucket is cut
     into blocks of about ``BLOCK`` members, and every two blocks meet in one
     group, so a group is small however large the bucket."""
@@ -283,7 +295,7 @@ def _compared(opened: DataFrame, texts: DataFrame) -> DataFrame:
         group, rows = None, []
 
         def done():
-            found = block_links(rows) if len(rows) > 1 else []
+            found = block_links(rows, link) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
@@ -301,7 +313,7 @@ def _compared(opened: DataFrame, texts: DataFrame) -> DataFrame:
             .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long"))
 
 
-def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
+def class_links(classes: DataFrame, docs: DataFrame, link: int) -> DataFrame:
     """Links (a, b) between classes, enough of them for the components.
 
     First every bucket compares its members with its leader: that joins nearly
@@ -319,14 +331,15 @@ def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
         .select("key", (-F.col("x.c")).alias("leader"))
     pairs = (buckets.join(leaders, "key").filter("cls <> leader")
              .select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct())
-    links = saved(_linked(pairs, classes, texts), "leader-links")
+    links = saved(_linked(pairs, classes, texts, link), "leader-links")
     of = saved(components(links).select(F.col("id").alias("cls"), "component"), "class-components")
     opened = saved(_open(buckets, of), "open-bands")
-    return links.union(saved(_compared(opened, texts).distinct(), "block-links"))
+    return links.union(saved(_compared(opened, texts, link).distinct(), "block-links"))
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+def groups(docs: DataFrame, link: int = LINK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row. Texts are linked at
+    ``link`` % similarity."""
     d = id_text(docs)
     rows = saved(signatures(d), "signatures")
     real = rows.filter("n_shingles > 0 and doc_id is not null")
@@ -334,7 +347,7 @@ def groups(docs: DataFrame) -> DataFrame:
     classes = real.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"),
                                            F.first("sig").alias("sig"))
     classes = saved(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    links = class_links(classes, d)
+    links = class_links(classes, d, link)
     of = saved(real.select("doc_id", "set_hash").join(classes.select("set_hash", "cls"), "set_hash")
                .select("doc_id", "cls").distinct(), "document-classes")
     # an id with several texts joins their classes
@@ -350,7 +363,7 @@ def groups(docs: DataFrame) -> DataFrame:
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, link: int = LINK) -> DataFrame:
     """Rows of ``docs`` that are the first of their group, same columns."""
-    gone = groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    gone = groups(docs, link).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")

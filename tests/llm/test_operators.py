@@ -269,6 +269,22 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == brute_components(rows)
 
 
+def test_pipeline_links_pairs_of_80_percent(spark):
+    import corpus_pipeline
+    assert (neardup.agree(85), neardup.agree(80)) == (85, 77)
+    rows = []
+    for g in range(20):         # 100 shingles each, of which the copy lacks 9 or 10 and has as many others
+        base = [f"g{g}w{k}" for k in range(104)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:94 + g % 2] + [f"n{k}" for k in range(10 - g % 2)]))]
+    rows += [(100, " ".join(f"far{k}" for k in range(104))), (101, " ".join(f"far{k}" for k in range(80)))]
+    sets = {i: {tuple(w[j:j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    like = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in (*range(0, 40, 2), 100)]
+    assert all(.8 <= x < .85 for x in like[:-1]) and like[-1] < .8
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.one_per_group(spark, d, "").collect())
+    assert kept == [*range(0, 40, 2), 100, 101]
+
+
 def test_block_links_are_exact(monkeypatch, spark):
     monkeypatch.setattr(neardup, "STRIP", 7)
     rows = [(i, i, 0, " ".join(f"a{j}" for j in range(i // 2, 120)).encode()) for i in range(30)]
