@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lm, mixing, neardup, quality, repeats, shards, tokencount, toxicity
+from . import (bpe, decontaminate, licenses, lm, mixing, neardup, quality, repeats, search, shards, spelling,
+               tokencount, toxicity)
 from .common import table
 
 
@@ -60,6 +61,22 @@ def op10_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.materialise(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.groups(table(spark, sf_dir, "documents"))
+
+
+def op12_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "item_id", "rank", "doc_id", "score")
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    tokens = bpe.read_ranks(tokenizer("byte_bpe_multi_50k.tiktoken"))
+    ids = bpe.encode(table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(ids, tokens))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_mixing": op2_mixing,
@@ -71,9 +88,13 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_toxicity": op9_toxicity,
     "op10_training_shards": op10_training_shards,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_reversed_search": op12_reversed_search,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE_SQL = {
     "op1_license_scan": licenses.oracle(),
     "op2_mixing": mixing.ORACLE,
+    "op12_reversed_search": search.ORACLE,
 }
