@@ -1,13 +1,12 @@
 """Byte-level BPE encoding by corpus-level merge replay, and decoding.
 
-``replay`` encodes a set of distinct pre-tokens at once. An inverted index holds,
-per rank, the positions of all adjacent token pairs whose bytes make the token of
-that rank. Ranks are taken in rising order; the positions of a rank are merged from
-left to right, and a merge touches only its two neighbours, whose new pairs
-enter the index. A merge can make a pair of a lower rank than the one at work (the
-same bytes, cut differently); the rest of that pre-token then waits until the
-lower rank is done, so the result is that of merging the lowest rank of each
-pre-token first, leftmost first.
+``Merges.replay`` encodes a set of distinct pre-tokens at once. An inverted index
+holds the positions of all adjacent token pairs whose bytes make a token, by the
+rank of that token. Ranks are taken in rising order; a merge touches only its two
+neighbours, whose new pairs enter the index. A merge can make a pair of a lower
+rank than the one at work (the same bytes, cut differently); that is then next in its
+pre-token, so the result is that of merging the lowest rank of each pre-token
+first, leftmost first.
 
 1. The distinct pre-tokens of the corpus are counted (one aggregation).
 2. The most frequent ones, at most ``HEAD`` (so a proven bound), are replayed once
@@ -41,6 +40,10 @@ _HELD = 300_000             # distinct pre-tokens that a task counts before it h
 _RARE = 200_000             # other pre-tokens that a worker remembers, each of at most
 _RARE_LENGTH = 64           # so many characters
 _SHIFT = 20                 # bits of a token number in a pair
+_LONG = 200                 # bytes from which a pre-token is merged by lists, not in sweeps
+_WINDOWS = 8                # windows of ranks
+STOP = (1 << _SHIFT) - 1    # stands between words, in no pair
+NONE = 1 << _SHIFT
 _CLASS = re.compile(r"\\p\{\w+\}|\\[sS]|\\.|.", re.S)
 
 
@@ -50,11 +53,18 @@ def read_ranks(path: str) -> list[bytes]:
     with open(path, "rb") as f:
         ranks = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, f)}
     tokens = [ranks[i] for i in range(len(ranks))]
-    if len(set(tokens)) != len(tokens) or len(tokens) >= 1 << _SHIFT or {bytes([b]) for b in range(256)} - set(tokens):
+    if len(set(tokens)) != len(tokens) or len(tokens) >= STOP or {bytes([b]) for b in range(256)} - set(tokens):
         raise ValueError("not a byte-level rank file: ranks must be dense and cover all bytes")
     return tokens
 
 
+def distinct(parts: list):
+    """The sorted distinct values of some integer arrays."""
+    import numpy as np
+    x = np.sort(np.concatenate(parts), kind="stable")
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 class Merges:
     """The merges of a vocabulary: token pair -> rank, for every way to cut a token in two tokens."""
 
@@ -71,6 +81,13 @@ class Merges:
         order = np.argsort(self.keys)
         self.keys, self.ranks = self.keys[order], self.ranks[order]
 
+    def rank(self, left, right):
+        """Rank of each token pair, ``NONE`` where the vocabulary has none."""
+        import numpy as np
+        pair = (left << _SHIFT) | right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.ranks[at], NONE)
+
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word."""
         import numpy as np
@@ -78,29 +95,71 @@ class Merges:
         open_words = [w for w, i in zip(words, whole) if i is None]
         if not open_words:
             return [[i] for i in whole]
+        if not len(self.keys):
+            done = iter([self.byte[list(w)].tolist() for w in open_words])
+            return [[i] if i is not None else next(done) for i in whole]
         # all words in one row of positions, a stop after each and one in front
         size = np.fromiter(map(len, open_words), dtype=np.int64, count=len(open_words))
         begin = np.cumsum(size + 1) - size
         raw = np.frombuffer(b"\0" + b"\0".join(open_words) + b"\0", dtype=np.uint8)
-        stop = len(self.tokens)                     # in no pair
         token = self.byte[raw]
-        token[begin - 1] = stop
-        token[-1] = stop
-        # the index: rank -> positions of its pairs
-        pair = (token[:-1] << _SHIFT) | token[1:]
-        at = np.minimum(np.searchsorted(self.keys, pair), max(len(self.keys) - 1, 0))
-        found = np.flatnonzero(self.keys[at] == pair) if len(self.keys) else np.zeros(0, dtype=np.int64)
-        rank = self.ranks[at[found]] if len(found) else found
-        order = np.argsort(rank, kind="stable")
-        cuts = np.flatnonzero(np.diff(rank[order])) + 1
-        index = {int(rank[p[0]]): found[p].tolist() for p in np.split(order, cuts)} if len(found) else {}
+        token[begin[0] - 1], token[begin + size] = STOP, STOP
         owner = np.zeros(len(raw), dtype=np.int64)
         owner[begin] = 1
-        owner = np.cumsum(owner).tolist()
-        self._merge(token := token.tolist(), index, owner)
-        done = iter([[t for t in token[b:b + s] if t >= 0] for b, s in zip(begin.tolist(), size.tolist())])
+        owner = np.cumsum(owner)
+        rank = np.append(self.rank(token[:-1], token[1:]), NONE)
+        long = np.append(False, size > _LONG)[owner]
+        pairs = rank < NONE
+        self._sweep(token, rank, owner, np.flatnonzero(pairs & ~long))
+        if long.any():
+            self._merge_long(token, rank, owner, np.flatnonzero(pairs & long))
+        kept = token >= 0
+        kept[begin[0] - 1], kept[begin + size] = False, False
+        ends = np.cumsum(np.add.reduceat(kept, begin)).tolist()
+        flat = token[kept].tolist()
+        done = iter([flat[a:b] for a, b in zip([0, *ends], ends)])
         return [[i] if i is not None else next(done) for i in whole]
 
+    def _sweep(self, token, rank, owner, index) -> None:
+        """Replay the merges of ``index`` (positions of pairs) for short words, many words
+        at a time. Ranks are taken in windows, lowest first; inside a window each sweep
+        merges the leftmost pair of lowest rank of every word that has one. Words do
+        not meet, so the order that counts, that inside each word, is that of the ranks."""
+        import numpy as np
+        after, before = np.arange(1, len(token) + 1), np.arange(-1, len(token) - 1)
+        edges = np.unique(np.quantile(rank[index], np.arange(1, _WINDOWS) / _WINDOWS).astype(np.int64)) if len(index) else []
+        later = [index]
+        for most in [*edges, NONE - 1]:
+            index = distinct(later)
+            now = rank[index] <= most
+            later, index = [index[~now & (rank[index] < NONE)]], index[now]
+            while len(index):
+                r, w = rank[index], owner[index]
+                first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+                lowest = np.flatnonzero(r == np.repeat(np.minimum.reduceat(r, first), np.diff(np.append(first, len(w)))))
+                at = index[lowest[np.append(True, w[lowest][1:] != w[lowest][:-1])]]
+                gone = after[at]
+                nxt, prev = after[gone], before[at]
+                token[at], token[gone] = rank[at], -1
+                rank[gone] = NONE
+                after[at], before[nxt] = nxt, at
+                rank[at], rank[prev] = self.rank(token[at], token[nxt]), self.rank(token[prev], token[at])
+                touched = np.concatenate([at, prev])
+                here = rank[touched]
+                later.append(touched[(here > most) & (here < NONE)])
+                index = distinct([index, touched])
+                index = index[rank[index] <= most]
+
+    def _merge_long(self, token, rank, owner, index) -> None:
+        """The same for long words, with a list of positions per rank."""
+        import numpy as np
+        order = index[np.argsort(rank[index], kind="stable")]
+        cuts = np.flatnonzero(np.diff(rank[order])) + 1
+        lists = {int(rank[p[0]]): p.tolist() for p in np.split(order, cuts)} if len(order) else {}
+        plain = token.tolist()
+        self._merge(plain, lists, owner.tolist())
+        token[:] = plain
+
     def _merge(self, token: list[int], index: dict[int, list[int]], owner: list[int]) -> None:
         """Replay all merges of the index on ``token``; merged-away positions become -1."""
         rank_of = self.pairs.get
@@ -287,12 +346,19 @@ def decode(encoded: DataFrame, tokens: list[bytes]) -> DataFrame:
     shared = spark.sparkContext.broadcast(tokens)
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
-        piece = shared.value.__getitem__
+        tokens = shared.value
+        size = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
         for b in batches:
-            out = [b"".join(map(piece, ids or ())) for ids in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(out, pa.binary())],
-                                             names=["doc_id", "ids", "bytes"])
+            col = b.column("ids")
+            flat = col.flatten().to_numpy(zero_copy_only=False)
+            many = np.nan_to_num(col.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            raw = b"".join(map(tokens.__getitem__, flat.tolist()))
+            place = np.append(0, np.cumsum(size[flat]))[np.append(0, np.cumsum(many))]
+            out = pa.Array.from_buffers(pa.large_binary(), b.num_rows,
+                                        [None, pa.py_buffer(place.astype(np.int64)), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), col, out.cast(pa.binary())], names=["doc_id", "ids", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(sliced(run), "doc_id long, ids array<int>, bytes binary")
 
