@@ -7,12 +7,20 @@ is not the first letter, the ``bli``/``logi``/``fulli`` rules, ``alli`` taken
 off before the other second-step rules and two-letter consonant-vowel-consonant ends; ``"original"`` is the published
 1980 algorithm. Only tokens longer than three characters are stemmed, as
 unigram-overlap scorers do.
+
+``porter_stem`` is the plain function, ``stem_column`` the same as a column
+expression.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .tokens import let
+
 _VOWELS = set("aeiou")
 
 
@@ -155,3 +163,106 @@ def porter_stem(word: str, mode: str = "extended") -> str:
 @lru_cache(maxsize=1 << 18)
 def stem_token(tok: str) -> str:
     return porter_stem(tok) if len(tok) > 3 else tok
+
+# ---------------------------------------------------------------------------
+# The same stems as column expressions (no Python in the plan)
+# ---------------------------------------------------------------------------
+# Words carry a mark: a y that counts as a consonant is written Y. Then vowels
+# are [aeiouy], all other characters consonants, and the measure is a pattern.
+_ABOVE_0 = "^[^aeiouy]*[aeiouy]+[^aeiouy]"
+_ABOVE_1 = "^[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]+[^aeiouy]"
+_IS_1 = "^[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]*$"
+_VOWEL = "[aeiouy]"
+_DOUBLE = r"([^aeiouy])\1$|yY$"
+_CVC = "[^aeiouy][aeiouy][^aeiouywxY]$"
+_VC = "^[aeiouy][^aeiouy]$"
+
+
+def _alternatives(suffixes) -> str:
+    """Any of the suffixes; anchored at the end, the longest one matches."""
+    return "(" + "|".join(suffixes) + ")$"
+
+
+def _may_end(w: Column, suffixes) -> Column:
+    """A cheap test that leaves out most words that end in none of the suffixes."""
+    return F.right(w, F.lit(2)).isin(sorted({s[-2:] for s in suffixes}))
+
+
+def _less(w: Column, n: int) -> Column:
+    return F.left(w, F.length(w) - n)
+
+
+def _suffix_step(w: Column, rules: list[tuple[str, str]]) -> Column:
+    """The suffix that ends the word replaced, if what stands before has a measure above 0."""
+    found = F.regexp_extract(w, _alternatives([s for s, _ in rules]), 1)
+
+    def replace(x):
+        stem = F.left(w, F.length(w) - F.length(x))
+        new = F.element_at(F.create_map(*[F.lit(v) for rule in rules for v in rule]), x)
+        return F.when((x != "") & stem.rlike(_ABOVE_0), F.concat(stem, new)).otherwise(w)
+    return F.when(_may_end(w, [s for s, _ in rules]), let(found, replace)).otherwise(w)
+
+
+def _step_1(w: Column, ext: bool) -> Column:
+    plural = F.when(w.endswith("s"), F.regexp_replace(w, "(ss|i)es$|([^s])s$", "$1$2")).otherwise(w)
+    if ext:
+        plural = F.when(w.endswith("ies") & (F.length(w) == 4), F.left(w, F.lit(3))).otherwise(plural)
+
+    def past(w):
+        def mend(stem):
+            cvc = stem.rlike(f"{_CVC}|{_VC}" if ext else _CVC)
+            return (F.when(stem.rlike("(at|bl|iz)$"), F.concat(stem, F.lit("e")))
+                    .when(stem.rlike(_DOUBLE) & ~stem.rlike("[lsz]$"), _less(stem, 1))
+                    .when(stem.rlike(_IS_1) & cvc, F.concat(stem, F.lit("e"))).otherwise(stem))
+        eed = F.when(_less(w, 3).rlike(_ABOVE_0), _less(w, 1)).otherwise(w)
+        out = F.when(w.endswith("eed"), eed)
+        if ext:
+            out = (F.when(w.endswith("ied"), F.when(F.length(w) == 4, _less(w, 1)).otherwise(_less(w, 2)))
+                   .when(w.endswith("eed"), eed))
+        return (out.when(w.endswith("ed") & _less(w, 2).rlike(_VOWEL), let(_less(w, 2), mend))
+                .when(w.endswith("ing") & _less(w, 3).rlike(_VOWEL), let(_less(w, 3), mend)).otherwise(w))
+
+    def final_y(w):
+        turns = ((w.endswith("y") | w.endswith("Y"))
+                 & (w.rlike("^.+[^aeiouy].$") if ext else _less(w, 1).rlike(_VOWEL)))
+        return F.when(turns, F.concat(_less(w, 1), F.lit("i"))).otherwise(w)
+    return let(let(plural, past), final_y)
+
+
+def _step_2(w: Column, ext: bool) -> Column:
+    if not ext:
+        return _suffix_step(w, _STEP2)
+    alli = F.when(w.endswith("alli") & _less(w, 4).rlike(_ABOVE_0), _less(w, 2)).otherwise(w)
+    logi = lambda w: F.when(_less(w, 3).rlike(_ABOVE_0), _less(w, 1)).otherwise(w)
+    return let(alli, lambda w: F.when(w.endswith("logi"), logi(w)).otherwise(_suffix_step(w, _STEP2_EXTENDED)))
+
+
+def _step_4(w: Column) -> Column:
+    def cut(x):
+        stem = F.left(w, F.length(w) - F.length(x))
+        may = (x != "") & stem.rlike(_ABOVE_1) & ((x != "ion") | stem.rlike("[st]$"))
+        return F.when(may, stem).otherwise(w)
+    found = F.regexp_extract(w, _alternatives(_STEP4), 1)
+    return F.when(_may_end(w, _STEP4), let(found, cut)).otherwise(w)
+
+
+def _step_5(w: Column, ext: bool) -> Column:
+    def final_e(w):
+        stem = _less(w, 1)
+        goes = stem.rlike(_ABOVE_1) | (stem.rlike(_IS_1) & ~stem.rlike(f"{_CVC}|{_VC}" if ext else _CVC))
+        return F.when(w.endswith("e") & goes, stem).otherwise(w)
+    return let(final_e(w), lambda w: F.when(w.endswith("ll") & w.rlike(_ABOVE_1), _less(w, 1)).otherwise(w))
+
+
+def stem_column(w: Column, mode: str = "extended") -> Column:
+    """Stem of a lower-case token; tokens of up to three characters stay."""
+    ext = mode == "extended"
+    marked = F.when(w.contains("y"), F.regexp_replace(F.regexp_replace(w, "(^|[aeiou])y", "$1Y"), "yy", "yY")).otherwise(w)
+    out = let(marked, lambda w: _step_1(w, ext))
+    for step in (lambda w: _step_2(w, ext), lambda w: _suffix_step(w, _STEP3), _step_4, lambda w: _step_5(w, ext)):
+        out = let(out, step)
+    out = F.translate(out, "Y", "y")
+    if ext:
+        irregular = F.create_map(*[F.lit(v) for rule in _IRREGULAR.items() for v in rule])
+        out = F.coalesce(F.try_element_at(irregular, w), out)
+    return F.when(F.length(w) > 3, out).otherwise(w)

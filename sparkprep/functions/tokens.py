@@ -75,30 +75,231 @@ def concat_token_count(a, b, count_a: Column | None = None, count_b: Column | No
     return ca + cb - fuse
 
 
-TokenCounter = Callable[[Column], Column]
+# ---------------------------------------------------------------------------
+# Tokens with their place in the text: counts, ids, and cuts that keep the text
+# ---------------------------------------------------------------------------
+def let(value, body):
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def pandas_token_counter(make_tokenizer: Callable[[], Callable[[str], list]]) -> TokenCounter:
-    """Wrap a real tokenizer as a token counter (an Arrow-batched pandas UDF).
+class Words:
+    """The default rule (white-space words), JVM side. Cuts keep the text's own
+    characters: white space maps to single spaces one for one, so a joined run
+    of parts is as long as the text it stands for."""
+
+    array = staticmethod(word_tokens)
+    count = staticmethod(token_count)
+
+    @staticmethod
+    def _cut(c, n: int, take) -> Column:
+        text = _c(c)
+
+        def of(parts):
+            # places (from 0) of the parts that are words
+            at = F.filter(F.transform(parts, lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull())
+            return F.when(F.size(at) > n, take(text, parts, at)).otherwise(text)
+        return let(F.split(spaced(text), " "), of)
+
+    def last(self, c, n: int) -> Column:
+        """From the start of the n-th last word to the end of the text; the
+        whole text if it has no more words."""
+        if n <= 0:
+            return F.when(token_count(c) > 0, F.lit("")).otherwise(_c(c))
+        return self._cut(c, n, lambda text, parts, at: F.right(text, F.length(F.array_join(
+            F.slice(parts, F.element_at(at, -n) + 1, F.size(parts)), " "))))
+
+    def first(self, c, n: int) -> Column:
+        """From the start of the text to the end of its n-th word."""
+        if n <= 0:
+            return F.when(token_count(c) > 0, F.lit("")).otherwise(_c(c))
+        return self._cut(c, n, lambda text, parts, at: F.left(text, F.length(F.array_join(
+            F.slice(parts, 1, F.element_at(at, n) + 1), " "))))
+
+
+WORDS = Words()
+
+# text batch -> per text (ids, starts, ends): 0-based code points, end exclusive
+SpanBatch = Callable[[list], list]
+SPANS = "array<struct<id:int,start:int,end:int>>"
 
-    ``make_tokenizer`` is called once per Python worker; it returns a function
-    text -> token ids. Use only where the whitespace count is not enough.
+
+class TokenHook:
+    """A tokenizer as column functions. ``make()`` is called once per Python
+    worker and gives a function from a list of texts to one (ids, starts, ends)
+    per text; Arrow batches are passed to it whole, nulls left out.
+
+    ``array`` gives ids, ``spans`` ids with their offsets, ``count`` their number.
+    ``last`` and ``first`` keep n tokens and cut the text itself at an offset; a
+    token that holds part of a character keeps the whole character.
     """
-    import pandas as pd
-    from pyspark.sql import SparkSession
-    from ..session import ship_package
 
+    def __init__(self, make: Callable[[], SpanBatch]):
+        import uuid
+        import pyarrow as pa
+        from pyspark.sql import SparkSession
+        from ..session import ship_package
+        active = SparkSession.getActiveSession()
+        if active is not None:
+            ship_package(active)
+        name = uuid.uuid4().hex
+
+        @F.arrow_udf(SPANS)
+        def spans(texts: pa.Array) -> pa.Array:
+            from sparkprep.functions.tokens import spans_array
+            return spans_array(name, make, texts)
+
+        @F.arrow_udf("array<int>")
+        def ids(texts: pa.Array) -> pa.Array:
+            from sparkprep.functions.tokens import spans_array
+            return spans_array(name, make, texts, ids_only=True)
+
+        self._spans, self._ids = spans, ids
+
+    def spans(self, c) -> Column:
+        return self._spans(_c(c))
+
+    def array(self, c) -> Column:
+        return self._ids(_c(c))
+
+    def count(self, c) -> Column:
+        ids = self.array(c)
+        return F.when(ids.isNotNull(), F.size(ids))
+
+    def last(self, c, n: int) -> Column:
+        text, spans = _c(c), self.spans(c)
+        kept = F.lit("") if n <= 0 else F.right(text, F.length(text) - F.element_at(spans, -n)["start"])
+        return F.when(F.size(spans) > max(n, 0), kept).otherwise(text)
+
+    def first(self, c, n: int) -> Column:
+        text, spans = _c(c), self.spans(c)
+        kept = F.lit("") if n <= 0 else F.left(text, F.element_at(spans, n)["end"])
+        return F.when(F.size(spans) > max(n, 0), kept).otherwise(text)
+
+
+_MADE: dict = {}
+_MADE_MOST = 2              # tokenizers that a worker keeps
+
+
+def made_once(name: str, make):
+    """The worker's tokenizer of this name; the one used longest ago makes way."""
+    if name not in _MADE:
+        while len(_MADE) >= _MADE_MOST:
+            _MADE.pop(next(iter(_MADE)))
+        _MADE[name] = make()
+    _MADE[name] = _MADE.pop(name)
+    return _MADE[name]
+
+
+def spans_array(name: str, make, texts, ids_only: bool = False):
+    """One Arrow batch through the worker's tokenizer."""
+    import numpy as np
+    import pyarrow as pa
+    values = texts.to_pylist()
+    known = [t for t in values if t is not None]
+    got = iter(made_once(name, make)(known) if known else [])
+    per_text = [((), (), ()) if t is None else next(got) for t in values]
+    ends = np.cumsum([0] + [len(ids) for ids, _, _ in per_text])
+
+    def flat(k):
+        parts = [np.asarray(x[k], dtype=np.int32) for x in per_text if len(x[k])]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32))
+
+    inner = flat(0) if ids_only else pa.StructArray.from_arrays([flat(0), flat(1), flat(2)], names=["id", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner,
+                                    mask=pa.array([t is None for t in values], pa.bool_()))
+
+
+def utf8_tokens(offset: int = 3) -> TokenHook:
+    """Byte tokenizer: the id of a byte of the text is its value plus ``offset``
+    (the ids below it are a vocabulary's special tokens)."""
+    def make():
+        import numpy as np
+
+        def batch(texts):
+            out = []
+            for t in texts:
+                raw = np.frombuffer(t.encode(), dtype=np.uint8)
+                char = np.cumsum((raw & 0xC0) != 0x80) - 1      # a character begins at each byte but 10xxxxxx
+                out.append((raw.astype(np.int32) + offset, char, char + 1))
+            return out
+        return batch
+    return TokenHook(make)
+
+
+def _shipped_file(path: str):
+    """``path`` for executors: sent with ``addFile``, no shared folder needed."""
+    import os
+    from pyspark.sql import SparkSession
     active = SparkSession.getActiveSession()
     if active is not None:
-        ship_package(active)
+        active.sparkContext.addFile(path)
+    name = os.path.basename(path)
+
+    def here():
+        from pyspark import SparkFiles
+        sent = SparkFiles.get(name)
+        return sent if os.path.exists(sent) else path
+    return here
 
-    @F.pandas_udf("long")
-    def _count(s: pd.Series) -> pd.Series:
-        from sparkprep.functions.tokens import _tokenizer_for
-        tok = _tokenizer_for(make_tokenizer)
-        return s.map(lambda x: None if x is None else len(tok(x))).astype("Int64")
 
-    return lambda c: _count(_c(c))
+def tokenizer_file(path: str, add_special_tokens: bool = False) -> TokenHook:
+    """A tokenizer JSON file (the ``tokenizers`` format); special tokens have the
+    empty span that the library gives them."""
+    here = _shipped_file(path)
+
+    def make():
+        from tokenizers import Tokenizer
+        tok = Tokenizer.from_file(here())
+
+        def batch(texts):
+            return [(e.ids, [s for s, _ in e.offsets], [t for _, t in e.offsets])
+                    for e in tok.encode_batch(texts, add_special_tokens=add_special_tokens)]
+        return batch
+    return TokenHook(make)
+
+
+def piece_model_file(path: str) -> TokenHook:
+    """A sentencepiece model file."""
+    here = _shipped_file(path)
+
+    def make():
+        import numpy as np
+        import sentencepiece
+        sp = sentencepiece.SentencePieceProcessor(model_file=here())
+
+        def batch(texts):
+            out = []
+            for text, found in zip(texts, sp.encode(texts, return_type="proto", num_threads=1)):
+                pieces = list(found.pieces)
+                begin, end = [p.begin for p in pieces], [p.end for p in pieces]     # in bytes
+                if not text.isascii():
+                    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+                    char = np.cumsum((raw & 0xC0) != 0x80) - 1
+                    last = char[-1] + 1
+                    begin, end = ([int(char[b]) if b < len(raw) else last for b in begin],
+                                  [int(char[e - 1]) + 1 if e > b else int(char[b]) if b < len(raw) else last
+                                   for b, e in zip(begin, end)])
+                out.append(([p.id for p in pieces], begin, end))
+            return out
+        return batch
+    return TokenHook(make)
+
+
+TokenCounter = Callable[[Column], Column]
+
+
+def pandas_token_counter(make_tokenizer: Callable[[], Callable[[str], list]]) -> TokenCounter:
+    """A tokenizer of one text at a time (text -> ids) as a token counter; one
+    that takes batches is better given to ``TokenHook``."""
+    def make():
+        one = make_tokenizer()
+
+        def batch(texts):
+            ids = [[0] * len(one(t)) for t in texts]
+            return [(i, i, i) for i in ids]
+        return batch
+    return TokenHook(make).count
 
 
 def overlap_tokens(c, split_contractions: bool = True) -> Column:
@@ -127,54 +328,6 @@ def overlap_tokens(c, split_contractions: bool = True) -> Column:
 
 
 def tokenizer_file_counter(path: str, add_special_tokens: bool = False) -> TokenCounter:
-    """UD2 with a real tokenizer: a tokenizer JSON file (the ``tokenizers``
-    format) loaded once per Python worker; each Arrow batch is encoded in one
-    batched call. Returns a ``Column -> Column`` token counter for
-    ``length_profile`` / ``pair_length_profile``. The file is shipped to the
-    executors with ``addFile`` (no shared file system needed)."""
-    import os
-    import pandas as pd
-    from pyspark.sql import SparkSession
-    from ..session import ship_package
-
-    active = SparkSession.getActiveSession()
-    if active is not None:
-        ship_package(active)
-        active.sparkContext.addFile(path)
-    name = os.path.basename(path)
-
-    @F.pandas_udf("long")
-    def _count(s: pd.Series) -> pd.Series:
-        from sparkprep.functions.tokens import _load_tokenizer
-        tok = _load_tokenizer(path, name)
-        mask = s.notna()
-        out = pd.Series([None] * len(s), index=s.index, dtype="object")
-        if mask.any():
-            enc = tok.encode_batch(s[mask].tolist(), add_special_tokens=add_special_tokens)
-            out[mask] = [len(e.ids) for e in enc]
-        return out.astype("Int64")
-
-    return lambda c: _count(_c(c))
-
-
-_TOKENIZERS: dict = {}
-
-
-def _tokenizer_for(make_tokenizer):
-    """One tokenizer per Python worker for a nameable factory (else per batch)."""
-    from pyspark import cloudpickle
-    name = cloudpickle.dumps(make_tokenizer)     # tells partials and callable objects apart
-    if name not in _TOKENIZERS:
-        _TOKENIZERS[name] = make_tokenizer()
-    return _TOKENIZERS[name]
-
-
-def _load_tokenizer(path: str, name: str):
-    tok = _TOKENIZERS.get(path)
-    if tok is None:
-        import os
-        from pyspark import SparkFiles
-        from tokenizers import Tokenizer
-        local = path if os.path.exists(path) else SparkFiles.get(name)
-        tok = _TOKENIZERS[path] = Tokenizer.from_file(local)
-    return tok
+    """UD2 with a real tokenizer: a ``Column -> Column`` token counter for
+    ``length_profile`` / ``pair_length_profile`` from a tokenizer JSON file."""
+    return tokenizer_file(path, add_special_tokens).count

@@ -5,13 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tokens import concat_token_count, token_count, word_tokens
-from .order import _integral_key, running_total_table, with_running_total
-
-
-def let(value, body):
-    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+from ..functions.tokens import WORDS, concat_token_count, token_count
+from .ranges import running_total, written
 
 
 def length_profile(df: DataFrame, messages: str = "messages", counter=token_count) -> DataFrame:
@@ -42,39 +37,30 @@ def pair_length_profile(df: DataFrame, counter=token_count) -> DataFrame:
                   F.greatest(F.max(pc), F.max(pr)).cast("bigint").alias("max_pair_tokens"))
 
 
-def token_number(c, tokens=word_tokens):
-    """Number of tokens, without keeping them where only the default rule is used."""
-    return token_count(c) if tokens is word_tokens else F.size(tokens(c))
-
-
-def truncate_left(c, n: int, tokens=word_tokens):
-    """TR1: keep the last ``n`` tokens (joined by one space); texts of at most
-    ``n`` tokens stay byte for byte as they are."""
-    text = F.col(c) if isinstance(c, str) else c
-    return F.when(token_number(text, tokens) > n, F.array_join(F.slice(tokens(text), -n, n), " ")).otherwise(text)
+def truncate_left(c, n: int, tokens=WORDS):
+    """TR1: keep the last ``n`` tokens. The result is a suffix of the text, from the
+    start of its n-th last token on; a text of at most ``n`` tokens stays whole.
+    ``tokens`` counts and cuts: words, or a ``TokenHook``."""
+    return tokens.last(c, n)
 
 
 def pack(df: DataFrame, text: str = "text", order_by=("idx",), block: int = 2048,
-         keep_partial: bool = False, tokens=word_tokens) -> DataFrame:
+         keep_partial: bool = False, tokens=WORDS) -> DataFrame:
     """WN3: concatenate the token sequences of all rows in ``order_by`` order
     and cut the stream into blocks of ``block`` tokens, no separator token.
-    The last, partial block is dropped unless ``keep_partial``. ``order_by``
-    must identify rows uniquely (texts are re-joined to their offsets by it).
+    The last, partial block is dropped unless ``keep_partial``. ``order_by`` may be
+    any orderable columns, null first; rows that tie come in one arbitrary order.
+    ``tokens`` gives the array: words by default, ids with a ``TokenHook``. Null and empty texts add nothing.
 
-    Each row's start offset in the stream is a two-phase running sum; a row is
-    then exploded into the blocks it touches, and each block is gathered by a
-    grouped aggregation whose groups hold at most ``block`` tokens.
+    Each row's start offset in the stream is a running sum over ranges of equal
+    share; a row is then exploded into the blocks it touches, and each block is
+    gathered by an aggregation whose groups hold at most ``block`` tokens.
     """
     order = list(order_by)
-    # phase 1: start offsets from (key, length) only -- the texts do not go
-    # through the two-phase running sum, only a few numbers per row do
-    count = token_count(text) if tokens is word_tokens else F.size(tokens(text))
-    lens = df.select(*order, count.alias("_n")).where(F.col("_n") > 0)
-    key = _integral_key(df, order)
-    starts = (running_total_table(lens, key, "_n", name="_s") if key is not None
-              else with_running_total(lens, order, "_n", name="_s"))
-    # phase 2: rejoin the texts by key (unique), cut each row into the blocks it touches
-    rows = df.select(*order, text).join(starts, order)
+    # the tokens are made and written once; boundaries and totals read the keys
+    # and the counts only, and each row's tokens are cut where its range is sorted
+    made = df.select(*order, tokens.array(text).alias("_tokens")).withColumn("_n", F.size("_tokens"))
+    rows = running_total(written(made, "pack").where(F.col("_n") > 0), [F.col(c) for c in order], F.col("_n"), "_s")
     first = F.floor(F.col("_s") / block).cast("bigint")
     last = F.floor((F.col("_s") + F.col("_n") - 1) / block).cast("bigint")
     s, n = F.col("_s"), F.col("_n")
@@ -87,12 +73,8 @@ def pack(df: DataFrame, text: str = "text", order_by=("idx",), block: int = 2048
                             F.slice(t, (lo - s + 1).cast("int"), (hi - lo).cast("int")).alias("_piece"))
         return F.transform(F.sequence(first, last), piece)
 
-    # Tokenize once per row and cut all of the row's pieces in one
-    # projection; the token array is bound as a lambda variable (let) so the
-    # optimizer cannot inline the tokenizer into the per-block lambda, and
-    # only the small pieces are exploded (the full array is never copied
-    # into each exploded row).
-    cut = rows.select("_s", let(tokens(text), pieces_of).alias("_pieces"))
+    # only the pieces are exploded: the whole array is never copied per piece
+    cut = rows.select("_s", pieces_of(F.col("_tokens")).alias("_pieces"))
     pieces = cut.select("_s", F.inline_outer("_pieces")).where(F.col("block_id").isNotNull())
     blocks = (pieces.groupBy("block_id")
               .agg(F.collect_list(F.struct("_s", "_piece")).alias("_parts"),

@@ -16,9 +16,8 @@ group inside a partition is a window over (partition, group), and a group
 that runs across a partition boundary takes its start from a table with at
 most one row per partition. A hot group is therefore split over many tasks.
 
-Running sums over an integral key use value buckets instead (no sort of the
-whole table); positions of rows read from files need no shuffle at all (see
-``sources.files``).
+Running sums use ranges of equal share (see ``ranges``); positions of rows read
+from files need no shuffle at all (see ``sources.files``).
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..session import shared_dir
+from ..session import scratch_path, shared_dir
 
 _ROW_BITS = 33
 # Tables built on the driver (offsets, carried starts) are broadcast only up
@@ -71,11 +70,10 @@ def sorted_checkpoint(df: DataFrame, order_by, partitions: int | None = None) ->
     return tagged.checkpoint(eager=True)
 
 
-def _offsets(tagged: DataFrame, weight: Column | None = None) -> DataFrame:
-    """Exclusive running totals per partition, as a small broadcastable table."""
+def _offsets(tagged: DataFrame) -> DataFrame:
+    """Exclusive running counts per partition, as a small broadcastable table."""
     spark = tagged.sparkSession
-    w = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    per_part = tagged.groupBy("_pid").agg(w.alias("n")).collect()  # one row per partition
+    per_part = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per partition
     rows, acc = [], 0
     for r in sorted(per_part, key=lambda r: r["_pid"]):
         rows.append((int(r["_pid"]), acc))
@@ -169,46 +167,37 @@ def shuffle_position(df: DataFrame, key: str, seed: int = 42, name: str = "pos")
     return with_position(df.withColumn("_h", shuffle_key(key, seed)), ["_h", key], name=name).drop("_h")
 
 
-_BUCKET_CHARS = 4  # 16^4 = 65,536 hash buckets, counted in one small aggregate
-# A boundary bucket up to this many rows is ranked in one task (its size is
-# known from the bucket counts); a larger one (many duplicated keys) uses the
-# two-phase position.
-_ONE_TASK_RANK_MAX_ROWS = 1_000_000
+def _order_code(df: DataFrame, key: str, seed: int) -> Column:
+    """The place of a row in the seeded order as 48 hexadecimal characters: hash
+    of the key (null first), then hash of the whole row (signed, so shifted)."""
+    row = F.hex(row_hash(df).bitwiseXOR(F.lit(-2 ** 63)))
+    return F.concat(F.coalesce(shuffle_key(key, seed), F.lit("0" * 32)), F.lpad(F.lower(row), 16, "0"))
 
 
 def split_exact(df: DataFrame, key: str, test_fraction: float = 0.02, seed: int = 42,
                 name: str = "split") -> DataFrame:
-    """OS2: test = the ceil(fraction * n) rows with the smallest (hash, key),
-    train = the rest. Exact sizes, disjoint, independent of partitioning.
+    """OS2: test = the ceil(fraction * n) rows with the smallest (hash, row
+    hash), train = the rest. Exact sizes, disjoint, independent of partitioning.
 
-    Only one hash bucket (about n / 65,536 rows) needs ranking; every other
-    bucket is wholly test or wholly train by its prefix.
+    The last test row is found by radix selection over the codes alone (written
+    once, 48 characters a row); every row then compares its own code with that
+    one value. Only if copies of one row (equal in all columns) lie on both
+    sides of the cut do these copies get positions.
     """
-    h = shuffle_key(key, seed)
-    hashed = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, _BUCKET_CHARS))
-    counts = sorted((r["_b"], int(r["n"])) for r in
-                    hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect())
-    total = sum(n for _, n in counts)
-    n_test = math.ceil(test_fraction * total) if total else 0
-    acc, boundary, need, bsize = 0, None, 0, 0
-    for b, n in counts:
-        if acc + n >= n_test:
-            boundary, need, bsize = b, n_test - acc, n
-            break
-        acc += n
-    if boundary is None or n_test == 0:
-        lab = F.lit("test") if n_test and n_test >= total else F.lit("train")
-        return hashed.withColumn(name, lab).drop("_h", "_b")
-    outside = (hashed.where(F.col("_b") != boundary)
-               .withColumn(name, F.when(F.col("_b") < boundary, "test").otherwise("train")))
-    in_bucket = hashed.where(F.col("_b") == boundary)
-    if bsize <= _ONE_TASK_RANK_MAX_ROWS:
-        rank = F.row_number().over(Window.orderBy("_h", key, row_hash(df))) - 1
-        inside = in_bucket.withColumn("_r", rank)
-    else:
-        inside = with_position(in_bucket, ["_h", key], name="_r")
-    inside = inside.withColumn(name, F.when(F.col("_r") < need, "test").otherwise("train")).drop("_r")
-    return outside.unionByName(inside).drop("_h", "_b")
+    from .ranges import kth_code
+    spark = df.sparkSession
+    path = scratch_path(spark, "split-codes")
+    df.select(_order_code(df, key, seed).alias("code")).write.parquet(path)
+    cut, taken, there = kth_code(spark.read.parquet(path), lambda n: math.ceil(test_fraction * n))
+    if cut is None:
+        return df.withColumn(name, F.lit("train"))
+    coded = df.withColumn("_code", _order_code(df, key, seed))
+    labelled = coded.withColumn(name, F.when(F.col("_code") <= cut, "test").otherwise("train"))
+    if taken == there:
+        return labelled.drop("_code")
+    copies = (with_position(coded.where(F.col("_code") == cut), ["_code"], name="_r")
+              .withColumn(name, F.when(F.col("_r") < taken, "test").otherwise("train")).drop("_r"))
+    return labelled.where(F.col("_code") != cut).unionByName(copies).drop("_code")
 
 
 def preview(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
@@ -275,80 +264,10 @@ def merge_shards(df: DataFrame, shard: str = "shard", pos: str = "pos", name: st
             .withColumn(name, F.col("_soff") + F.col(pos)).drop("_soff"))
 
 
-# Value buckets for the integral-key path: about _ROWS_PER_BUCKET rows each,
-# at least _MIN_BUCKETS and at most _MAX_BUCKETS of them; the per-bucket
-# totals (one row per bucket) are collected and broadcast.
-_ROWS_PER_BUCKET = 1_000_000
-_MIN_BUCKETS = 4096
-_MAX_BUCKETS = 1_000_000
-
-
-def _integral_key(df: DataFrame, order_by) -> str | None:
-    from pyspark.sql.types import IntegralType
-    if isinstance(order_by, (list, tuple)) and len(order_by) == 1:
-        order_by = order_by[0]
-    if isinstance(order_by, str) and isinstance(df.schema[order_by].dataType, IntegralType):
-        return order_by
-    return None
-
-
-def _running_by_value_buckets(df: DataFrame, key: str, weight: Column | None, name: str) -> DataFrame:
-    """Exclusive running sum (or count) in ``key`` order for an integral key.
-
-    Rows are bucketed by key value (``bucket = (key - min) // width``), which
-    is deterministic, so no sampling pass, range shuffle or checkpoint is
-    needed: per-bucket totals (at most ~4,096 rows) become offsets, and the
-    in-bucket sum is a window over one bucket. The bucket count grows with the
-    row count (about a million rows per bucket), and a unique key bounds each
-    bucket by ``width`` rows; with duplicated keys ties share a bucket.
-    """
-    spark = df.sparkSession
-    lo, hi, rows = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    if lo is None:
-        return df.withColumn(name, F.lit(None).cast("bigint"))
-    buckets = min(max(_MIN_BUCKETS, -(-int(rows) // _ROWS_PER_BUCKET)), _MAX_BUCKETS)
-    width = max(1, -(-(int(hi) - int(lo) + 1) // buckets))
-    w = F.lit(1) if weight is None else weight
-    b = df.withColumn("_b", ((F.col(key) - F.lit(int(lo))) / F.lit(width)).cast("long")).withColumn("_w", w)
-    totals = sorted((r["_b"], int(r["t"] or 0)) for r in b.groupBy("_b").agg(F.sum("_w").alias("t")).collect())
-    rows, acc = [], 0
-    for bk, t in totals:
-        rows.append((bk, acc))
-        acc += t
-    offs = spark.createDataFrame(rows, "_b long, _off bigint")
-    win = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return (b.join(_small(offs, len(rows)), "_b")
-            .withColumn(name, (F.col("_off") + F.coalesce(F.sum("_w").over(win), F.lit(0))).cast("bigint"))
-            .drop("_b", "_w", "_off"))
-
-
-def running_total_table(narrow: DataFrame, key: str, weight: str, name: str = "start") -> DataFrame:
-    """(key, weight) -> (key, weight, exclusive running sum) for a unique
-    integral key. The narrow table is checkpointed once to the shared folder
-    (its producer, often expensive, runs once); the bucketed sum then reads
-    only the checkpoint."""
-    shared_dir(narrow.sparkSession)
-    fixed = narrow.checkpoint(eager=True)
-    return _running_by_value_buckets(fixed, key, F.col(weight), name)
-
-
 def with_running_total(df: DataFrame, order_by, weight: str, name: str = "start",
                        partitions: int | None = None) -> DataFrame:
-    """Exclusive running sum of ``weight`` in ``order_by`` order.
-
-    Integral single-column keys use value buckets (no sort of the whole
-    table); other keys use the two-phase sorted form: within a partition the
-    sum is a window over that partition only, across partitions it comes from
-    the per-partition totals."""
-    key = _integral_key(df, order_by)
-    if key is not None:
-        narrow = running_total_table(df.select(key, weight), key, weight, name)
-        return df.join(narrow.drop(weight), key)
-    tagged = sorted_checkpoint(df, _cols(order_by), partitions)
-    offs = _offsets(tagged, F.col(weight))
-    w = (Window.partitionBy("_pid").orderBy("_mid")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    local = F.coalesce(F.sum(weight).over(w), F.lit(0))
-    return (tagged.join(offs, "_pid")
-            .withColumn(name, (F.col("_off") + local).cast("bigint"))
-            .drop("_pid", "_mid", "_off"))
+    """Exclusive running sum of ``weight`` (null as 0) in ``order_by`` order; ties
+    are broken arbitrarily but consistently. Keys of any orderable type, null
+    first. The rows are written once and sorted in ranges of equal share."""
+    from .ranges import running_total, written
+    return running_total(written(df, "running-total"), _cols(order_by), F.col(weight), name, partitions)

@@ -7,9 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import to_text
-from ..functions.tokens import word_tokens
+from ..functions.tokens import WORDS
 from . import templates as T
-from .lengths import token_number
 from .messages import IM_END, message, render
 
 # Tasks with a preference-stage system text.
@@ -36,25 +35,22 @@ def template_pairs(df: DataFrame, task: str, eos: str = IM_END, keep=("pair_id",
 
 def fit_pair(df: DataFrame, max_prompt: int = 1024, max_length: int = 1536,
              prompt: str = "prompt", chosen: str = "chosen", rejected: str = "rejected",
-             tokens=word_tokens) -> DataFrame:
+             tokens=WORDS) -> DataFrame:
     """TR2: if prompt + longer response exceeds ``max_length`` keep the last
     ``max_prompt`` prompt tokens; if still over, keep the first
-    ``max_length - max_prompt`` tokens of each response. Adds the token counts;
-    a text that is cut has its tokens joined by one space, every other text
-    stays byte for byte as it is."""
+    ``max_length - max_prompt`` tokens of each response. Adds the token counts.
+    A cut prompt is a suffix and a cut response a prefix of its text, byte for
+    byte; every other text stays as it is. ``tokens``: words, or a ``TokenHook``."""
     keep_n = max_length - max_prompt
-    tmp = df.withColumns({"_p": token_number(prompt, tokens), "_c": token_number(chosen, tokens),
-                          "_r": token_number(rejected, tokens)})
+    tmp = df.withColumns({"_p": tokens.count(prompt), "_c": tokens.count(chosen), "_r": tokens.count(rejected)})
     longer = F.greatest("_c", "_r")
     over = F.col("_p") + longer > F.lit(max_length)
     fitted = F.when(over, F.least(F.col("_p"), F.lit(max_prompt))).otherwise(F.col("_p"))
     still = fitted + longer > F.lit(max_length)
-    tail = F.array_join(F.slice(tokens(prompt), -max_prompt, max_prompt), " ")
-    head = lambda c: F.array_join(F.slice(tokens(c), 1, keep_n), " ")
     count = lambda n: F.when(still, F.least(F.col(n), F.lit(keep_n))).otherwise(F.col(n)).cast("bigint")
-    text = lambda c, n: F.when(still & (F.col(n) > keep_n), head(c)).otherwise(F.col(c))
+    text = lambda c, n: F.when(still & (F.col(n) > keep_n), tokens.first(c, keep_n)).otherwise(F.col(c))
     return tmp.withColumns({
-        prompt: F.when(over & (F.col("_p") > max_prompt), tail).otherwise(F.col(prompt)),
+        prompt: F.when(over & (F.col("_p") > max_prompt), tokens.last(prompt, max_prompt)).otherwise(F.col(prompt)),
         chosen: text(chosen, "_c"), rejected: text(rejected, "_r"),
         "prompt_tokens": fitted.cast("bigint"), "chosen_tokens": count("_c"), "rejected_tokens": count("_r"),
     }).drop("_p", "_c", "_r")

@@ -47,7 +47,8 @@ for _task in T.TASKS:
 # Flagship (entry): stage-1 inference prompts, rendered with generation prompt
 # ---------------------------------------------------------------------------
 from ..functions import text as TX  # noqa: E402
-from ..functions.tokens import TOKEN_PATTERN, CONTRACTION_RULES, OVERLAP_SEPARATOR  # noqa: E402
+from ..functions.text import WS29  # noqa: E402
+from ..functions.tokens import TOKEN_PATTERN, CONTRACTION_RULES, OVERLAP_SEPARATOR, utf8_tokens  # noqa: E402
 from ..operators import generate as G  # noqa: E402
 from ..operators import order as OR  # noqa: E402
 from ..operators.align import replicate, zip_join  # noqa: E402
@@ -518,6 +519,15 @@ def _toks_sql(expr):
     return f"regexp_extract_all({expr}, '{TOKEN_PATTERN}')"
 
 
+def _word_places_sql(expr, ends=False):
+    """Places (from 1) of the first, or last, character of every word: found
+    character by character, unlike the operator's array of parts."""
+    chars = f"string_split(translate({expr}, {O.WS}, '{' ' * len(WS29)}'), '')"
+    beside = "i = len(c) OR c[i + 1] = ' '" if ends else "i = 1 OR c[i - 1] = ' '"
+    return (f"(SELECT list_filter(range(1, len(c) + 1), lambda i: c[i] <> ' ' AND ({beside})) "
+            f"FROM (SELECT {chars} AS c))")
+
+
 def _trunc(spark, sf_dir):
     d = fx.table(spark, sf_dir, "documents")
     from ..functions.tokens import token_count
@@ -526,49 +536,106 @@ def _trunc(spark, sf_dir):
 
 
 add("tr1_truncate_left_512", _trunc,
-    f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, "
-    f"CASE WHEN len(t) > 512 THEN array_to_string(list_slice(t, len(t) - 511, len(t)), ' ') ELSE text END AS text "
-    f"FROM (SELECT doc_id, text, {_toks_sql('text')} AS t FROM documents)", ("TR1",))
+    f"SELECT doc_id, CAST(len(p) AS BIGINT) AS n_tokens, "
+    f"CASE WHEN len(p) > 512 THEN substr(text, p[len(p) - 511]) ELSE text END AS text "
+    f"FROM (SELECT doc_id, text, {_word_places_sql('text')} AS p FROM documents)", ("TR1",))
+
+
+def _trunc_ids(spark, sf_dir):
+    tokens = utf8_tokens()
+    return fx.table(spark, sf_dir, "documents").select(
+        "doc_id", tokens.count("text").cast("bigint").alias("n_tokens"),
+        truncate_left("text", 512, tokens).alias("text"))
+
+
+def _last_bytes_sql(text, n):
+    """Shortest suffix of at least n bytes (a cut character stays whole)."""
+    return (f"right({text}, list_filter(range({n} // 4, {n} + 1), "
+            f"lambda k: strlen(right({text}, k)) >= {n})[1])")
+
+
+def _first_bytes_sql(text, n):
+    return (f"left({text}, list_filter(range({n} // 4, {n} + 1), "
+            f"lambda k: strlen(left({text}, k)) >= {n})[1])")
+
+
+add("tr1_truncate_left_ids_512", _trunc_ids,
+    f"SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_tokens, CASE WHEN strlen(text) > 512 THEN "
+    f"{_last_bytes_sql('text', 512)} ELSE text END AS text FROM documents", ("TR1", "UD2"))
+
+_FIT_COLUMNS = ("pair_id", "prompt_tokens", "chosen_tokens", "rejected_tokens", "prompt", "chosen", "rejected")
 
 
 def _fit(spark, sf_dir):
-    return fit_pair(_templated(spark, sf_dir), 1024, 1536).select(
-        "pair_id", "prompt_tokens", "chosen_tokens", "rejected_tokens", "prompt", "chosen", "rejected")
+    return fit_pair(_templated(spark, sf_dir), 1024, 1536).select(*_FIT_COLUMNS)
 
 
-def _fit_sql_body():
-    """Only texts that lose tokens are rewritten; the others are the input's."""
+def _budget_sql(counted, max_prompt, max_length, last, first):
+    """Only texts that lose tokens are cut; the others are the input's. ``counted``
+    has the counts p, c, r beside the texts; last/first cut a text."""
+    keep = max_length - max_prompt
+    cut = lambda t, n: f"CASE WHEN still AND {n} > {keep} THEN {first(t, keep)} ELSE {t} END AS {t}"
     return f"""
 SELECT pair_id, CAST(np AS BIGINT) AS prompt_tokens,
-       CAST(CASE WHEN still THEN least(len(c), 512) ELSE len(c) END AS BIGINT) AS chosen_tokens,
-       CAST(CASE WHEN still THEN least(len(r), 512) ELSE len(r) END AS BIGINT) AS rejected_tokens,
-       CASE WHEN np < len(p) THEN array_to_string(list_slice(p, len(p) - np + 1, len(p)), ' ') ELSE prompt END AS prompt,
-       CASE WHEN still AND len(c) > 512 THEN array_to_string(c[1:512], ' ') ELSE chosen END AS chosen,
-       CASE WHEN still AND len(r) > 512 THEN array_to_string(r[1:512], ' ') ELSE rejected END AS rejected
+       CAST(CASE WHEN still THEN least(c, {keep}) ELSE c END AS BIGINT) AS chosen_tokens,
+       CAST(CASE WHEN still THEN least(r, {keep}) ELSE r END AS BIGINT) AS rejected_tokens,
+       CASE WHEN np < p THEN {last('prompt', max_prompt)} ELSE prompt END AS prompt,
+       {cut('chosen', 'c')}, {cut('rejected', 'r')}
 FROM (
-  SELECT *, np + greatest(len(c), len(r)) > 1536 AS still FROM (
-    SELECT *, CASE WHEN len(p) + greatest(len(c), len(r)) > 1536 THEN least(len(p), 1024) ELSE len(p) END AS np
-    FROM (SELECT *, {_toks_sql('prompt')} AS p, {_toks_sql('chosen')} AS c, {_toks_sql('rejected')} AS r
-          FROM ({TEMPLATED_SQL}))))"""
+  SELECT *, np + greatest(c, r) > {max_length} AS still FROM (
+    SELECT *, CASE WHEN p + greatest(c, r) > {max_length} THEN least(p, {max_prompt}) ELSE p END AS np
+    FROM ({counted})))"""
+
+
+def _fit_sql_body():
+    places = (f"{_word_places_sql('prompt')} AS ps, {_word_places_sql('chosen', True)} AS cs, "
+              f"{_word_places_sql('rejected', True)} AS rs")
+    return _budget_sql(
+        f"SELECT *, len(ps) AS p, len(cs) AS c, len(rs) AS r FROM (SELECT *, {places} FROM ({TEMPLATED_SQL}))", 1024, 1536,
+        lambda t, n: f"substr({t}, ps[p - {n} + 1])", lambda t, n: f"left({t}, {t[0]}s[{n}])")
 
 
 add("tr2_fit_pair", _fit, fx.with_fixtures(_fit_sql_body(), "pairs"), ("TR2",))
 
 
+def _fit_ids(spark, sf_dir):
+    return fit_pair(_templated(spark, sf_dir), 1024, 1536, tokens=utf8_tokens()).select(*_FIT_COLUMNS)
+
+
+add("tr2_fit_pair_ids", _fit_ids, fx.with_fixtures(_budget_sql(
+    f"SELECT *, strlen(prompt) AS p, strlen(chosen) AS c, strlen(rejected) AS r FROM ({TEMPLATED_SQL})", 1024, 1536,
+    _last_bytes_sql, _first_bytes_sql), "pairs"), ("TR2", "UD2"))
+
+
 def _pack(spark, sf_dir):
     return pack(_render_full(spark, sf_dir), "text", ["idx"], 2048).select(
         "block_id", "n_tokens", F.array_join("tokens", " ").alias("text"))
 
 
-add("wn3_pack_2048", _pack, fx.with_fixtures(f"""
+def _pack_sql(tokens):
+    """``tokens``: SQL for the token list of the column text."""
+    return fx.with_fixtures(f"""
 SELECT CAST(block_id AS BIGINT) AS block_id, CAST(count(*) AS BIGINT) AS n_tokens,
        string_agg(tok, ' ' ORDER BY g) AS text
 FROM (
   SELECT tok, g, g // 2048 AS block_id FROM (
     SELECT tok, row_number() OVER (ORDER BY idx, i) - 1 AS g FROM (
       SELECT idx, unnest(t) AS tok, generate_subscripts(t, 1) AS i
-      FROM (SELECT idx, {_toks_sql('text')} AS t FROM ({_render_full_sql()})))))
-GROUP BY block_id HAVING count(*) = 2048""", "examples"), ("WN3",))
+      FROM (SELECT idx, {tokens} AS t FROM ({_render_full_sql()})))))
+GROUP BY block_id HAVING count(*) = 2048""", "examples")
+
+
+add("wn3_pack_2048", _pack, _pack_sql(_toks_sql("text")), ("WN3",))
+
+
+def _pack_ids(spark, sf_dir):
+    return pack(_render_full(spark, sf_dir), "text", ["idx"], 2048, tokens=utf8_tokens()).select(
+        "block_id", "n_tokens", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("text"))
+
+
+add("wn3_pack_ids_2048", _pack_ids, _pack_sql(
+    "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST(CAST('0x' || h AS INTEGER) + 3 AS VARCHAR))"),
+    ("WN3", "UD2"))
 
 
 # ---------------------------------------------------------------------------

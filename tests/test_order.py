@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkprep.operators import order as OR
+from sparkprep.operators import ranges
 
 
 def _skewed(spark, n=3000, seed=7):
@@ -124,12 +125,79 @@ def test_shard_then_merge_is_identity(spark, n, shards):
     assert sorted((r.m, r.idx) for r in merged) == [(i, i) for i in range(n)]
 
 
-def test_split_exact_large_boundary_bucket_path(spark, monkeypatch):
-    monkeypatch.setattr(OR, "_ONE_TASK_RANK_MAX_ROWS", 0)
-    df = spark.range(500).withColumnRenamed("id", "k")
-    test = {r.k for r in OR.split_exact(df, "k", 0.1).collect() if r.split == "test"}
-    order = [r.k for r in df.orderBy(OR.shuffle_key("k", 42), "k").collect()]
-    assert test == set(order[:50])
+def test_split_exact_of_repeated_rows_and_null_keys(spark):
+    rows = [(7, "x")] * 400 + [(None, "y")] * 30 + [(i, "z") for i in range(570)]
+    for fraction in (0.01, 0.02, 0.3, 0.5, 0.77):
+        got = OR.split_exact(spark.createDataFrame(rows, "k long, v string"), "k", fraction).collect()
+        assert len(got) == 1000 and sum(r.split == "test" for r in got) == math.ceil(fraction * 1000)
+        assert sorted((r.k is None, r.k or 0, r.v) for r in got) == sorted((k is None, k or 0, v) for k, v in rows)
+
+
+def test_split_exact_has_neither_window_nor_union(spark):
+    df = spark.range(3000).withColumnRenamed("id", "k")
+    plan = OR.split_exact(df, "k", 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Union" not in plan and "Exchange" not in plan
+
+
+def test_kth_code_by_radix(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "_FEW", 0)          # every round by histogram
+    rnd = random.Random(5)
+    codes = [f"{rnd.choice([1, 2, 3, rnd.randrange(16 ** 4)]):04x}{rnd.randrange(3):04x}{rnd.randrange(2):04x}" for _ in range(700)]
+    df = spark.createDataFrame([(c,) for c in codes], "code string")
+    for k in (1, 2, 99, 350, 700):
+        code, taken, there = ranges.kth_code(df, lambda n: k)
+        assert code == sorted(codes)[k - 1]
+        assert there == codes.count(code) and taken == k - sum(c < code for c in codes)
+    assert ranges.kth_code(df, lambda n: 0) == (None, 0, 0)
+
+
+def _hand_totals(rows, key):
+    """Running totals of (key, weight, ...) rows; ties may come in any order."""
+    out, acc = {}, 0
+    for r in sorted(rows, key=key):
+        out[r[2]] = acc
+        acc += r[1] or 0
+    return out, acc
+
+
+KEYS = {
+    "outlier long": ("long", lambda i, rnd: 2 ** 62 if i == 0 else -2 ** 63 if i == 1 else i),
+    "64-bit hash long": ("long", lambda i, rnd: rnd.randrange(-2 ** 63, 2 ** 63)),
+    "null long": ("long", lambda i, rnd: None if i == 5 else i),
+    "string": ("string", lambda i, rnd: f"k{rnd.random()}é" if i else None),
+    "double": ("double", lambda i, rnd: float("nan") if i == 3 else rnd.gauss(0, 1e6)),
+    "decimal(30,4)": ("decimal(30,4)", lambda i, rnd: __import__("decimal").Decimal(rnd.randrange(10 ** 20)) / 1000),
+}
+
+
+@pytest.mark.parametrize("kind", list(KEYS))
+def test_running_total_over_any_key(spark, kind):
+    sql, make = KEYS[kind]
+    rnd = random.Random(3)
+    rows = [(make(i, rnd), rnd.choice([None, 0, 1, 7]), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, f"k {sql}, w long, id long")
+    nan = lambda k: isinstance(k, float) and math.isnan(k)
+    want, _ = _hand_totals(rows, lambda r: (r[0] is not None, nan(r[0]), 0 if r[0] is None or nan(r[0]) else r[0]))
+    got = {r.id: r.start for r in OR.with_running_total(df, ["k"], "w", partitions=16).collect()}
+    assert got == want
+
+
+def test_no_range_holds_more_than_twice_its_share(spark):
+    # a third of the rows share one key, some rows are equal in all columns, and one key is far off
+    rows = [(2 ** 62,)] + [(5,)] * 10_000 + [(i * i,) for i in range(20_000)]
+    table = ranges.written(spark.createDataFrame(rows, "k long").repartition(5), "test")
+    key = ranges.sort_key([F.col("k")])
+    sizes = [r["count"] for r in ranges.with_range(table, key, 25).groupBy("_range").count().collect()]
+    assert len(sizes) == 25 and max(sizes) <= 2 * len(rows) / 25
+    wrong = ranges.with_range(table, key, 25).groupBy("_range").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).collect()
+    ends = [(r.lo, r.hi) for r in sorted(wrong, key=lambda r: r._range)]
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_running_total_sorts_each_range_only(spark):
+    df = spark.range(5000).select("id", F.lit(1).alias("w"))
+    plan = OR.with_running_total(df, ["id"], "w", partitions=12)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_range") == 1 and "rangepartitioning" not in plan
 
 
 def test_position_with_two_group_columns(spark):

@@ -84,7 +84,7 @@ def test_pack_conserves_tokens(spark):
 
 def test_truncate_left(spark):
     df = spark.createDataFrame([("a b  c\td",), ("",), ("x",)], "t string")
-    assert [r[0] for r in df.select(truncate_left("t", 2)).collect()] == ["c d", "", "x"]
+    assert [r[0] for r in df.select(truncate_left("t", 2)).collect()] == ["c\td", "", "x"]
 
 
 def test_fit_pair(spark):
@@ -117,6 +117,96 @@ def test_adverbs_share_the_stem_of_their_adjectives():
     assert porter_stem("carelessly") == "carelessli" and porter_stem("really") == "realli"
 
 
+CUTS = ["a b  c\td", "", "x", " \n lead \u3000 and trail \t ", "\u00e9\u00e8 \U0001f389x \u4e2d\u6587 end", None, "   ", "one\x1ctwo\x85three"]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 50])
+def test_word_cuts_are_true_suffixes_and_prefixes(spark, n):
+    import re
+    from sparkprep.functions.tokens import WORDS
+    df = spark.createDataFrame([(t,) for t in CUTS], "t string")
+    got = df.select("t", WORDS.last("t", n).alias("last"), WORDS.first("t", n).alias("first")).collect()
+    for r in got:
+        spans = [m.span() for m in re.finditer(r"\S+", r.t)] if r.t is not None else []
+        if len(spans) <= n:
+            assert (r.last, r.first) == (r.t, r.t)
+        else:
+            assert r.last == (r.t[spans[-n][0]:] if n else "")
+            assert r.first == (r.t[:spans[n - 1][1]] if n else "")
+
+
+def _hooks():
+    import public_tokenizers
+    from sparkprep.functions.tokens import piece_model_file, tokenizer_file, utf8_tokens
+    return {"utf8": utf8_tokens, "json": lambda: tokenizer_file(public_tokenizers.path("byte_bpe_50k.json")),
+            "model": lambda: piece_model_file(public_tokenizers.path("piece_bpe_32k.model"))}
+
+
+def _encode(name, text):
+    """(ids, spans) by the library itself, one text at a time."""
+    import public_tokenizers
+    if name == "utf8":
+        return [b + 3 for b in text.encode()], [(i, i + 1) for i, c in enumerate(text) for _ in c.encode()]
+    if name == "json":
+        from tokenizers import Tokenizer
+        e = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False)
+        return e.ids, e.offsets
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    pieces = sp.encode(text, return_type="proto").pieces
+    raw = text.encode()
+    at = lambda b: len(raw[:b].decode(errors="ignore"))
+    up = lambda e: next(k for k in range(len(text) + 1) if len(text[:k].encode()) >= e)
+    return sp.encode(text), [(at(p.begin), up(p.end) if p.end > p.begin else at(p.begin)) for p in pieces]
+
+
+@pytest.mark.parametrize("name", ["utf8", "json", "model"])
+def test_token_hook_ids_counts_and_cuts(spark, name):
+    hook = _hooks()[name]()
+    df = spark.createDataFrame([(t,) for t in CUTS], "t string").repartition(3)
+    got = df.select("t", hook.array("t").alias("ids"), hook.count("t").alias("n"), truncate_left("t", 4, hook).alias("last"),
+                    hook.first("t", 4).alias("first")).collect()
+    assert len(got) == len(CUTS)
+    for r in got:
+        if r.t is None:
+            assert (r.ids, r.n, r.last, r.first) == (None, None, None, None)
+            continue
+        ids, spans = _encode(name, r.t)
+        assert r.ids == list(ids) and r.n == len(ids)
+        cut = len(ids) > 4
+        assert r.last == (r.t[spans[-4][0]:] if cut else r.t)
+        assert r.first == (r.t[:spans[3][1]] if cut else r.t)
+
+
+def test_pair_budget_in_ids(spark):
+    from sparkprep.functions.tokens import utf8_tokens
+    df = spark.createDataFrame([(1, "p\u00e9" * 10, "c" * 3, "r\u4e2d" * 4), (2, "pp", "cc", None)],
+                               "id int, prompt string, chosen string, rejected string")
+    got = {r.id: r for r in fit_pair(df, 6, 10, tokens=utf8_tokens()).collect()}
+    assert (got[1].prompt, got[1].prompt_tokens) == ("p\u00e9" * 2, 6)
+    assert (got[1].chosen, got[1].rejected) == ("ccc", "r\u4e2d") and (got[1].chosen_tokens, got[1].rejected_tokens) == (3, 4)
+    assert (got[2].prompt, got[2].chosen, got[2].rejected) == ("pp", "cc", None)
+
+
+def test_pack_of_ids_under_hash_and_null_keys(spark):
+    from sparkprep.functions.tokens import utf8_tokens
+    import random
+    rnd = random.Random(2)
+    rows = [(rnd.randrange(-2 ** 63, 2 ** 63) if i else None, f"text {i} \u00e9" * (i % 9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "h long, text string")
+    blocks = pack(df, "text", ["h"], 64, keep_partial=True, tokens=utf8_tokens()).orderBy("block_id").collect()
+    stream = [b + 3 for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)) for b in t.encode()]
+    assert [t for b in blocks for t in b.tokens] == stream
+    assert all(b.n_tokens == 64 for b in blocks[:-1])
+
+
+def test_pack_reads_its_input_once(spark, tmp_path):
+    df = spark.createDataFrame([(i, "w " * i) for i in range(50)], "idx long, text string")
+    df.write.parquet(str(tmp_path / "in"))
+    plan = pack(spark.read.parquet(str(tmp_path / "in")), "text", ["idx"], 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert str(tmp_path) not in plan and plan.count("Relation") == 1
+
+
 def test_pairs_by_gap_ties_lowest_rep(spark):
     df = spark.createDataFrame([(1, 1, 0.5, "a"), (1, 2, 0.5, "b"), (1, 3, 0.1, "c"), (1, 4, 0.1, "d"),
                                 (2, 1, 0.3, "e"), (2, 2, 0.29, "f")],
