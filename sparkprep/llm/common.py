@@ -68,8 +68,27 @@ def text_bytes(column) -> list:
 
 def sliced(run, rows: int = 1000):
     """``run`` over small slices of the Arrow batches: Python objects of few
-    texts exist at a time."""
-    return lambda batches: run(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+    texts exist at a time. What the task took is given back at its end."""
+    def over(batches):
+        try:
+            yield from run(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+        finally:
+            give_back()
+    return over
+
+
+def give_back() -> None:
+    """Return free memory of this worker to the machine. Workers stay for later
+    tasks, and neither Arrow's pool nor the C library gives it back by itself."""
+    import ctypes
+    import gc
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):       # another C library
+        pass
 
 
 class WordHash(dict):

@@ -44,7 +44,7 @@ LEAST_LENGTH = 7
 LEAST_COUNT = 2
 FORM_FACTOR = 10
 _PLACE_BITS = 40
-_HELD = 300_000             # distinct words that a task counts before it hands them on
+_HELD = 150_000             # distinct words that a task counts before it hands them on
 PLAIN, SKIP, LATER_SKIP = 0, 1, 3
 
 
