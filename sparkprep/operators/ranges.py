@@ -24,6 +24,7 @@ from ..session import scratch_path
 # Rows of a range (about), and sampled keys per range: 64 make a range of twice
 # its share about as likely as one in 10^10.
 ROWS_PER_RANGE = 4_000_000
+ROWS_WORTH_A_RANGE = 1_000
 SAMPLE_PER_RANGE = 64
 ROW = "_row"
 
@@ -47,7 +48,7 @@ def _constant(spark: SparkSession, value, kind) -> Column:
 
 
 def n_ranges(spark: SparkSession, rows: int) -> int:
-    least = min(rows, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    least = min(rows // ROWS_WORTH_A_RANGE, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     return max(1, least, math.ceil(rows / ROWS_PER_RANGE))
 
 
@@ -57,6 +58,8 @@ def with_range(table: DataFrame, key: Column, ranges: int | None = None, name: s
     spark = table.sparkSession
     rows = table.count()
     ranges = ranges or n_ranges(spark, rows)
+    if ranges == 1:
+        return table.withColumn(name, F.lit(0))
     every = max(1, rows // (ranges * SAMPLE_PER_RANGE))
     step = max(1, rows // every // ranges)
     sample = (table.select(key.alias("k"), F.xxhash64(ROW).alias("_h")).where(F.pmod("_h", F.lit(every)) == 0)

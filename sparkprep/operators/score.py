@@ -3,23 +3,14 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stem import stem_column
 from ..functions.text import numerals
 from ..functions.tokens import overlap_tokens
 
 
-def stemmed(tokens, spark):
-    """Array column of tokens -> array of their stems, inside the row: an
-    Arrow-batched UDF whose worker remembers the stems of recent tokens."""
-    import pandas as pd
-    from ..session import ship_package
-    ship_package(spark)
-
-    @F.pandas_udf("array<string>")
-    def _stems(s: pd.Series) -> pd.Series:
-        from sparkprep.functions.stem import stem_token
-        return s.map(lambda tokens: [stem_token(t) for t in tokens])
-
-    return _stems(tokens)
+def stemmed(tokens):
+    """Array column of tokens -> array of their stems, inside the row."""
+    return F.transform(tokens, lambda t: stem_column(t))
 
 
 def _empty():
@@ -80,7 +71,7 @@ def rouge1(df: DataFrame, hyp: str = "hyp", ref: str = "ref", key: str = "pair_i
     tokens = lambda c: F.coalesce(overlap_tokens(c, split_contractions), _empty())
     toks = df.select(*keys, *keep, tokens(hyp).alias("_h"), tokens(ref).alias("_r"))
     if stem:
-        toks = toks.withColumns({c: stemmed(F.col(c), df.sparkSession) for c in ("_h", "_r")})
+        toks = toks.withColumns({c: stemmed(F.col(c)) for c in ("_h", "_r")})
     if method == "aggregate":
         return _rouge_by_aggregation(toks, keys)
     counted = toks.select(*keys, *keep, sorted_overlap(F.col("_h"), F.col("_r")).alias("overlap"),

@@ -443,13 +443,17 @@ def _overlap_tokens_sql(expr):
     return f"list_filter(string_split({t}, ' '), lambda x: x <> '')"
 
 
-def _rouge_sql(src, keys, hyp, ref):
+def _rouge_sql(src, keys, hyp, ref, stem=False):
     kl = ", ".join(keys)
+    tokens = "raw_toks" if stem else "toks"
+    stemmed = f"""
+{STEM_SQL},
+toks AS (SELECT {kl}, side, coalesce(stem, tok) AS tok FROM raw_toks LEFT JOIN stems USING (tok)),""" if stem else ""
     return f"""
-toks AS (
+{tokens} AS (
   SELECT {kl}, 0 AS side, unnest({_overlap_tokens_sql(hyp)}) AS tok FROM {src}
   UNION ALL
-  SELECT {kl}, 1 AS side, unnest({_overlap_tokens_sql(ref)}) AS tok FROM {src}),
+  SELECT {kl}, 1 AS side, unnest({_overlap_tokens_sql(ref)}) AS tok FROM {src}),{stemmed}
 per_tok AS (SELECT {kl}, tok, sum(CASE WHEN side = 0 THEN 1 ELSE 0 END) AS h,
                    sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS r FROM toks GROUP BY ALL),
 per_row AS (SELECT {kl}, sum(least(h, r)) AS o, sum(h) AS nh, sum(r) AS nr FROM per_tok GROUP BY ALL),
@@ -460,17 +464,103 @@ scored AS (
   FROM {src} s LEFT JOIN per_row USING ({kl}))"""
 
 
+# Porter's steps for SQL, in the letters of the published description: a shape of
+# C and V per word (y is V after C), the measure m as the count of "VC" in it. One
+# row per distinct token; each step is a table.
+def _shape_sql(w):
+    """C/V shape: y's are settled from left to right, alternately inside a run of y's."""
+    plain = f"translate({w}, 'aeiou', 'VVVVV')"
+    return (f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({plain}, '(^|V)y', '\\1C', 'g'), "
+            f"'([^Vy])yy', '\\1VC', 'g'), 'y', 'V', 'g'), '[^V]', 'C', 'g')")
+
+
+def _m_sql(w):
+    return f"len(regexp_extract_all({_shape_sql(w)}, 'V+C'))"
+
+
+def _cvc_sql(w):
+    return f"(({_shape_sql(w)} LIKE '%CVC' AND right({w}, 1) NOT IN ('w', 'x', 'y')) OR {_shape_sql(w)} = 'VC')"
+
+
+def _cut_sql(n):
+    return f"left(w, len(w) - {n})"
+
+
+def _swap_sql(rules, least=0):
+    """CASE branches: the longest suffix that fits decides, and only if m is above ``least``."""
+    out = []
+    for suffix, new in sorted(rules, key=lambda r: -len(r[0])):
+        stem = _cut_sql(len(suffix))
+        extra = f" AND right({stem}, 1) IN ('s', 't')" if suffix == "ion" else ""
+        out.append(f"WHEN suffix(w, '{suffix}') THEN CASE WHEN {_m_sql(stem)} > {least}{extra} "
+                   f"THEN {stem} || '{new}' ELSE w END")
+    return "\n".join(out)
+
+
+# The suffix tables of the published algorithm (with bli, fulli and
+# the irregular forms of the widely used implementation), as the SQL has them.
+_SQL_STEP2 = ("ational ate,tional tion,enci ence,anci ance,izer ize,bli ble,alli al,entli ent,eli e,ousli ous,"
+              "ization ize,ation ate,ator ate,alism al,iveness ive,fulness ful,ousness ous,aliti al,iviti ive,"
+              "biliti ble,fulli ful")
+_SQL_STEP3 = "icate ic,ative ,alize al,iciti ic,ical ic,ful ,ness "
+_SQL_STEP4 = "al,ance,ence,er,ic,able,ible,ant,ement,ment,ent,ion,ou,ism,ate,iti,ous,ive,ize"
+_SQL_IRREGULAR = ("skies sky,sky sky,dying die,lying lie,tying tie,news news,innings inning,inning inning,outings outing,"
+                  "outing outing,cannings canning,canning canning,howe howe,proceed proceed,exceed exceed,succeed succeed")
+
+
+def _stem_sql():
+    pairs = lambda text: [tuple(x.split(" ")) for x in text.split(",")]
+    whens = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in pairs(_SQL_IRREGULAR))
+    return f"""
+words AS (SELECT DISTINCT tok, tok AS w FROM raw_toks WHERE len(tok) > 3),
+s1a AS (SELECT tok, CASE
+  WHEN suffix(w, 'ies') AND len(w) = 4 THEN {_cut_sql(1)}
+  WHEN suffix(w, 'sses') OR suffix(w, 'ies') THEN {_cut_sql(2)}
+  WHEN suffix(w, 's') AND NOT suffix(w, 'ss') THEN {_cut_sql(1)} ELSE w END AS w FROM words),
+s1b AS (SELECT tok, CASE
+  WHEN suffix(w, 'ied') THEN CASE WHEN len(w) = 4 THEN {_cut_sql(1)} ELSE {_cut_sql(2)} END
+  WHEN suffix(w, 'eed') THEN CASE WHEN {_m_sql(_cut_sql(3))} > 0 THEN {_cut_sql(1)} ELSE w END
+  WHEN suffix(w, 'ed') AND contains({_shape_sql(_cut_sql(2))}, 'V') THEN {_cut_sql(2)}
+  WHEN suffix(w, 'ing') AND contains({_shape_sql(_cut_sql(3))}, 'V') THEN {_cut_sql(3)} ELSE w END AS w,
+  CASE WHEN suffix(w, 'ied') OR suffix(w, 'eed') THEN false
+  WHEN suffix(w, 'ed') THEN contains({_shape_sql(_cut_sql(2))}, 'V')
+  WHEN suffix(w, 'ing') THEN contains({_shape_sql(_cut_sql(3))}, 'V') ELSE false END AS bare FROM s1a),
+s1m AS (SELECT tok, CASE WHEN NOT bare THEN w
+  WHEN suffix(w, 'at') OR suffix(w, 'bl') OR suffix(w, 'iz') THEN w || 'e'
+  WHEN len(w) > 1 AND right(w, 1) = left(right(w, 2), 1) AND suffix({_shape_sql('w')}, 'C')
+       AND right(w, 1) NOT IN ('l', 's', 'z') THEN {_cut_sql(1)}
+  WHEN {_m_sql('w')} = 1 AND {_cvc_sql('w')} THEN w || 'e' ELSE w END AS w FROM s1b),
+s1c AS (SELECT tok, CASE WHEN suffix(w, 'y') AND len(w) > 2 AND suffix({_shape_sql(_cut_sql(1))}, 'C')
+  THEN {_cut_sql(1)} || 'i' ELSE w END AS w FROM s1m),
+s2a AS (SELECT tok, CASE WHEN suffix(w, 'alli') AND {_m_sql(_cut_sql(4))} > 0 THEN {_cut_sql(2)} ELSE w END AS w FROM s1c),
+s2 AS (SELECT tok, CASE
+  WHEN suffix(w, 'logi') THEN CASE WHEN {_m_sql(_cut_sql(3))} > 0 THEN {_cut_sql(1)} ELSE w END
+  {_swap_sql(pairs(_SQL_STEP2))} ELSE w END AS w FROM s2a),
+s3 AS (SELECT tok, CASE {_swap_sql(pairs(_SQL_STEP3))} ELSE w END AS w FROM s2),
+s4 AS (SELECT tok, CASE {_swap_sql([(x, '') for x in _SQL_STEP4.split(',')], 1)} ELSE w END AS w FROM s3),
+s5a AS (SELECT tok, CASE WHEN suffix(w, 'e') AND ({_m_sql(_cut_sql(1))} > 1 OR {_m_sql(_cut_sql(1))} = 1
+  AND NOT {_cvc_sql(_cut_sql(1))}) THEN {_cut_sql(1)} ELSE w END AS w FROM s3_4),
+stems AS (SELECT tok, CASE tok {whens} ELSE CASE WHEN suffix(w, 'll') AND {_m_sql('w')} > 1
+  THEN {_cut_sql(1)} ELSE w END END AS stem FROM s5a)""".replace("FROM s3_4", "FROM s4").strip()
+
+
+STEM_SQL = _stem_sql()
+
+
 def _rouge(spark, sf_dir):
     return rouge1(fx.rouge_pairs(spark, sf_dir), "hyp", "ref", "pair_id")
 
 
-add("ag3_rouge1", _rouge, "WITH " + ",\n".join(
-    f"{n} AS ({fx.SQL[n]}\n)" for n in ["rouge_pairs"]) + "," + _rouge_sql("rouge_pairs", ["pair_id"], "hyp", "ref") +
-    "\nSELECT pair_id, overlap, n_hyp, n_ref, round(p, 6) AS precision, round(rc, 6) AS recall, "
-    "round(CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END, 6) AS f1 FROM scored",
-    ("AG3", "JN4", "SC13", "SC3"))
+def _rouge_query_sql(stem):
+    return ("WITH " + ",\n".join(f"{n} AS ({fx.SQL[n]}\n)" for n in ["rouge_pairs"]) + ","
+            + _rouge_sql("rouge_pairs", ["pair_id"], "hyp", "ref", stem)
+            + "\nSELECT pair_id, overlap, n_hyp, n_ref, round(p, 6) AS precision, round(rc, 6) AS recall, "
+            "round(CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END, 6) AS f1 FROM scored")
+
+
+add("ag3_rouge1", _rouge, _rouge_query_sql(False), ("AG3", "JN4", "SC13", "SC3"))
 
-add("ag3_rouge1_stemmed", lambda spark, sf_dir: rouge1(fx.rouge_pairs(spark, sf_dir), stem=True), None,
+add("ag3_rouge1_stemmed", lambda spark, sf_dir: rouge1(fx.rouge_pairs(spark, sf_dir), stem=True), _rouge_query_sql(True),
     ("AG3", "SC14"))
 
 
@@ -643,6 +733,7 @@ add("wn3_pack_ids_2048", _pack_ids, _pack_sql(
 # ---------------------------------------------------------------------------
 from ..session import scratch_path  # noqa: E402
 from ..sources import files as S  # noqa: E402
+from ..sources import sinks as K  # noqa: E402
 
 
 def _outputs(spark, sf_dir):
@@ -860,6 +951,69 @@ add("sr1_records_jsonl_roundtrip", _sr1, fx.with_fixtures(f"SELECT {_REC_COLS} F
     ("SR1",))
 
 
+_OUTPUTS_IN_ORDER = fx.with_fixtures(
+    "SELECT CAST(row_number() OVER (ORDER BY idx) - 1 AS BIGINT) AS idx, news AS text FROM examples", "examples")
+
+
+def _sr1_array(spark, sf_dir):
+    path = scratch_path(spark, "sr1-array")
+    cols = [F.col(f.replace(" ", "_")).alias(f) for f in S.RECORD_FIELDS]
+    K.write_json_arrays(fx.examples(spark, sf_dir).select("idx", F.to_json(F.struct(*cols)).alias("record")), path,
+                        value="record", raw=True)
+    return S.read_records(spark, path).select(*[c.strip() for c in _REC_COLS.split(",")])
+
+
+add("sr1_records_array", _sr1_array, fx.with_fixtures(f"SELECT {_REC_COLS} FROM examples", "examples"), ("SR1",))
+
+
+def _sr1_mixed(spark, sf_dir):
+    """One field holds booleans, texts that spell booleans, numbers and nulls."""
+    path = scratch_path(spark, "sr1-mixed")
+    kind = F.pmod("doc_id", F.lit(5))
+    ecnc = (F.when(kind == 0, "true").when(kind == 1, '"true"').when(kind == 2, "false").when(kind == 3, "null")
+            .otherwise(F.concat("doc_id", F.lit(".50"))))
+    line = F.concat(F.lit('{"news": '), K.json_string("text"), F.lit(', "ecnc": '), ecnc, F.lit("}"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (fx.table(spark, sf_dir, "documents").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+     .select(line.alias("value")).write.text(path))
+    return S.read_records(spark, path, fmt="lines").select("idx", "news", "ecnc")
+
+
+add("sr1_mixed_types", _sr1_mixed, """
+SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx, text AS news,
+       CASE doc_id % 5 WHEN 0 THEN 'True' WHEN 1 THEN 'true' WHEN 2 THEN 'False' WHEN 4 THEN doc_id || '.5' END AS ecnc
+FROM documents""", ("SR1", "SC1"))
+
+
+def _sr3(spark, sf_dir):
+    path = scratch_path(spark, "sr3-strings")
+    K.write_json_arrays(_outputs(spark, sf_dir), path)
+    return S.read_string_list(spark, path, pos="idx")
+
+
+add("sr3_string_list", _sr3, _OUTPUTS_IN_ORDER, ("SR3", "SC15", "SK1"))
+
+
+def _rank_files(spark, sf_dir):
+    path = scratch_path(spark, "rank-files")
+    K.write_json_arrays(_outputs(spark, sf_dir), path)
+    return S.read_rank_files(spark, path, "json")
+
+
+add("so1_rank_files", _rank_files, _OUTPUTS_IN_ORDER, ("SO1", "SK1"))
+
+
+def _sr2_arrow(spark, sf_dir):
+    path = scratch_path(spark, "sr2-arrow")
+    K.write_arrow_shards(fx.pairs(spark, sf_dir).select("pair_id", "news", "chosen", "rejected"), path, "pair_id")
+    return S.read_pairs(spark, path).select("idx", "news", "chosen", "rejected")
+
+
+add("sr2_pairs_arrow_shards", _sr2_arrow, fx.with_fixtures(
+    "SELECT CAST(row_number() OVER (ORDER BY pair_id) - 1 AS BIGINT) AS idx, news, chosen, rejected FROM pairs",
+    "pairs"), ("SR2",))
+
+
 def _sr2(spark, sf_dir):
     path = scratch_path(spark, "sr2-pairs")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

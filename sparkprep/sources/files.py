@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import json
 import os
-import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import flatten_newlines, full_strip
+from ..functions.tokens import let
 from ..operators.order import merge_shards
+from ..operators.ranges import ROW, running_total, written
+from ..session import scratch_path
+from .arrays import array_elements
+from .arrays import natural as _natural
 
 # The field names of an example record; "masked headline" is
 # renamed to masked_headline on read.
@@ -34,41 +38,32 @@ def _scan_order(df: DataFrame) -> DataFrame:
             .drop("_metadata"))
 
 
-def _natural(value):
+def _natural_order(name: Column) -> Column:
     """Sort key in which numbers inside names compare as numbers, so that
     part-100000 comes after part-99999."""
-    if not isinstance(value, str):
-        return value
-    return [(int(x), "") if x.isdigit() else (-1, x) for x in re.split(r"(\d+)", value)]
-
-
-def _position_in_scan(tagged: DataFrame, split_cols: list, name: str) -> DataFrame:
-    """Position of each row in the order (split_cols..., row within split),
-    without moving the data.
-
-    Inside one file split rows keep their order and take consecutive
-    ``monotonically_increasing_id`` values, and a file scan assigns rows to
-    tasks deterministically, so the ids are the same whenever the scan is
-    recomputed. Rows are counted per split (one row per split, collected),
-    the counts become offsets in split order, and a row's position is its
-    split's offset plus its distance from the split's first id. The offset
-    table has one row per input split (some 800,000 for 100 TB, tens of MB) and
-    is broadcast, so the text never moves.
+    parts = F.regexp_extract_all(name, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    return F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 20, "0")).otherwise(x))
+
+
+def _positioned(tagged: DataFrame, split_cols: list, name: str) -> DataFrame:
+    """Position of each row in the order (split_cols..., row within split).
+
+    The rows are written once with their split and their number in the scan.
+    From this copy the rows of each split are counted (its rows took consecutive
+    numbers), the counts are summed up in split order, and a row's position is
+    its split's offset plus its distance from the split's first number. All
+    reads see the copy, so it does not matter if the input would be split
+    otherwise a second time.
     """
-    spark = tagged.sparkSession
-    per_split = (tagged.groupBy(*split_cols)
-                 .agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_m0")).collect())
-    rows, acc = [], 0
-    for r in sorted(per_split, key=lambda r: tuple(_natural(r[c]) for c in split_cols)):
-        rows.append((*[r[c] for c in split_cols], int(r["_m0"]), acc))
-        acc += int(r["_cnt"])
-    fields = [tagged.schema[c] for c in split_cols] + [
-        T.StructField("_m0", T.LongType()), T.StructField("_soff", T.LongType())]
-    table = spark.createDataFrame(rows, T.StructType(fields))
-    # a row whose split was not counted fails the job instead of vanishing
-    missing = F.raise_error(F.lit("input splits changed between counting and reading")).cast("bigint")
-    return (tagged.join(F.broadcast(table), split_cols, "left")
-            .withColumn(name, F.coalesce(F.col("_soff") + F.col("_mid") - F.col("_m0"), missing))
+    path = scratch_path(tagged.sparkSession, "positions")
+    tagged.write.parquet(path)
+    copy = tagged.sparkSession.read.parquet(path)
+    splits = copy.groupBy(*split_cols).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_m0"))
+    kinds = {f.name: f.dataType for f in splits.schema}
+    order = [_natural_order(F.col(c)) if isinstance(kinds[c], T.StringType) else F.col(c) for c in split_cols]
+    offsets = running_total(written(splits, "splits"), order, F.col("_cnt"), "_soff").drop("_cnt")
+    return (copy.join(offsets, split_cols)
+            .withColumn(name, F.col("_soff") + F.col("_mid") - F.col("_m0"))
             .drop("_m0", "_soff", "_mid"))
 
 
@@ -117,25 +112,72 @@ def read_records(spark: SparkSession, path: str, fields=RECORD_FIELDS, idx: str
     """SR1: a JSON array of objects (``fmt="array"``) or JSON Lines
     (``fmt="lines"``, splittable) -> rows in file order with ``idx``.
 
-    Every field is read as text (str() semantics): integers keep their form,
-    a column of JSON booleans becomes True/False, a missing field or null
-    becomes the text 'None' only when rendered (to_text). A JSON array file
-    cannot be split, so one file is one task: convert large inputs once with
-    ``records_to_table`` and read the table from then on.
+    Every field is read as text, rendered by the type of its own value as str() of a
+    loaded record renders it: texts as they are, booleans as True/False (also where
+    other records hold texts in the same field), integers as spelled, other numbers as
+    floats print (1.50 as 1.5, 1e3 as 1000.0); lists and objects as their JSON. A
+    missing field or null becomes the text 'None' only when rendered (to_text).
+    Broken records fail. An array is cut into its elements in parallel (see
+    ``arrays``); lines are scanned once.
     """
+    if fmt == "array":
+        rows = array_elements(spark, path).select(F.col("idx").alias(idx), "text")
+    else:
+        lines = spark.read.text(path).where(F.btrim("value") != "")
+        rows = _positioned(_scan_order(lines.select(F.col("value").alias("text"), "_metadata")),
+                           ["_file", "_block"], idx).select(idx, "text")
+    return rows.select(*record_columns("text", fields), idx)
+
+
+def record_columns(text: str, fields=RECORD_FIELDS) -> list[Column]:
+    """The fields of a JSON object in the column ``text``, as text columns."""
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    multi = fmt == "array"
-    raw = spark.read.schema(schema).option("multiLine", multi).option("mode", "FAILFAST").json(path)
-    inferred = spark.read.option("multiLine", multi).json(path).schema
-    bool_cols = {f.name for f in inferred.fields if isinstance(f.dataType, T.BooleanType)}
+    broken = F.raise_error(F.lit("not a JSON object")).cast("string")
+    whole = F.when(F.ltrim(F.col(text)).startswith("{"), F.col(text)).otherwise(broken)
+    record = F.from_json(whole, schema, {"mode": "FAILFAST"})
+    typed = F.try_parse_json(F.col(text))
     cols = []
     for f in fields:
-        c = F.col(f"`{f}`")
-        if f in bool_cols:
-            c = F.when(c == "true", "True").when(c == "false", "False").otherwise(c)
-        cols.append(c.alias(f.replace(" ", "_")))
-    ordered = _scan_order(raw.select(*cols, "_metadata"))
-    return _position_in_scan(ordered, ["_file", "_block"], idx).drop("_file", "_block")
+        value, path = record[f], f"$[{json.dumps(f)}]"
+        # the value's own type decides whether a spelled true or 1.0 is a text or not
+        kind = F.schema_of_variant(F.try_variant_get(typed, path, "variant"))
+        spelled = F.try_variant_get(typed, path, "string")
+        short = kind.startswith("DECIMAL") & (F.length(F.translate(spelled, "-.", "")) <= 17)   # a float's own digits
+        digits = F.when(short, spelled).otherwise(value)
+        cols.append(F.when(value.isin("true", "false"), F.when(kind == "BOOLEAN", F.initcap(value)).otherwise(value))
+                    .when(value.rlike(r"^-?[0-9]+(\.[0-9]|E)"),
+                          F.when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), float_text(value, digits)).otherwise(value))
+                    .otherwise(value).alias(f.replace(" ", "_")))
+    return cols
+
+
+def float_text(value: Column, digits: Column) -> Column:
+    """A float as Python prints it: plain from 1e-04 to below 1e+16, else with an
+    exponent. ``digits`` has its digits, in plain or E notation."""
+    part = lambda i: F.regexp_extract(digits, r"^-?([0-9]+)(?:\.([0-9]+))?(?:E([-+]?[0-9]+))?$", i)
+
+    def of(x):
+        all_digits = F.concat(x["whole"], x["fraction"])
+        kept = F.regexp_replace(all_digits, "^0+", "")
+        point = F.length(x["whole"]) + x["exponent"] - (F.length(all_digits) - F.length(kept))
+        return F.struct(F.regexp_replace(kept, "0+$", "").alias("d"), point.alias("point"))
+
+    def spell(x):
+        d, point = x["d"], x["point"]
+        zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+        plain = (F.when(point <= 0, F.concat(F.lit("0."), zeros(-point), d))
+                 .when(point >= F.length(d), F.concat(d, zeros(point - F.length(d)), F.lit(".0")))
+                 .otherwise(F.concat(F.left(d, point), F.lit("."), F.substr(d, point + 1))))
+        rest = F.substr(d, F.lit(2))
+        power = F.abs(point - 1).cast("string")
+        power = F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power)
+        science = F.concat(F.left(d, F.lit(1)), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(F.lit("")),
+                           F.when(point > 0, F.lit("e+")).otherwise(F.lit("e-")), power)
+        sign = F.when(digits.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+        return F.concat(sign, F.when((point > -4) & (point <= 16), plain).otherwise(science))
+    exponent = F.coalesce(part(3).try_cast("int"), F.lit(0))
+    parts = F.struct(part(1).alias("whole"), part(2).alias("fraction"), exponent.alias("exponent"))
+    return F.when(value.isin("0.0", "-0.0"), value).otherwise(let(let(parts, of), spell))
 
 
 def write_records(df: DataFrame, path: str, key: str = "idx", fields=RECORD_FIELDS, mode: str = "overwrite") -> None:
@@ -161,63 +203,64 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """SR2: preference pairs (news, chosen, rejected) with ``idx``.
 
     Parquet input is read directly. A saved Arrow dataset directory (shards
-    listed in its state file) is read in parallel: the shard paths become rows,
-    each task streams its own shard through ``mapInArrow``, and the row order
-    of the dataset becomes ``idx`` via shard offsets.
+    listed in its state file) is opened with Spark's own reader of binary files,
+    so any path that Spark can open will do: one row per shard, whose record
+    batches are decoded in the task. The row order of the dataset becomes ``idx``.
     """
-    state = os.path.join(path, "state.json")
-    if not os.path.exists(state):
+    state = spark.read.format("binaryFile").option("pathGlobFilter", "state.json").load(path).select("content").first()
+    if state is None:
         df = spark.read.schema(PAIR_SCHEMA).parquet(path)
-        return _position_in_scan(_scan_order(df.select("*", "_metadata")), ["_file", "_block"],
-                                 "idx").drop("_file", "_block")
-    with open(state) as f:
-        files = [d["filename"] for d in json.load(f).get("_data_files", [])]
-    paths = spark.createDataFrame([(i, os.path.join(path, fn)) for i, fn in enumerate(files)],
-                                  "shard int, path string").repartition(max(len(files), 1), "shard")
+        return _positioned(_scan_order(df.select("*", "_metadata")), ["_file", "_block"], "idx").drop("_file", "_block")
+    names = [d["filename"] for d in json.loads(bytes(state.content)).get("_data_files", [])]
+    order = spark.createDataFrame(list(enumerate(names)), "shard int, name string")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(path)
+    shards = (files.withColumn("name", F.element_at(F.split("path", "/"), -1))
+              .join(F.broadcast(order), "name").select("shard", "content"))     # one name per shard
 
     def read_shards(batches):
         import pyarrow as pa
         for b in batches:
-            for shard, p in zip(b.column("shard").to_pylist(), b.column("path").to_pylist()):
-                with pa.memory_map(p) as src:
-                    try:
-                        reader = pa.ipc.open_stream(src)
-                    except pa.ArrowInvalid:
-                        reader = pa.ipc.open_file(src)
-                        reader = (reader.get_batch(i) for i in range(reader.num_record_batches))
-                    pos = 0
-                    for rb in reader:
-                        n = rb.num_rows
-                        cols = {c: rb.column(c).cast(pa.string()) for c in ("news", "chosen", "rejected")}
-                        yield pa.RecordBatch.from_pydict({
-                            "shard": pa.array([shard] * n, pa.int32()),
-                            "pos": pa.array(range(pos, pos + n), pa.int64()), **cols})
-                        pos += n
+            for shard, content in zip(b.column("shard"), b.column("content")):
+                data = pa.BufferReader(content.as_buffer())
+                try:
+                    reader = pa.ipc.open_stream(data)
+                except pa.ArrowInvalid:
+                    file = pa.ipc.open_file(pa.BufferReader(content.as_buffer()))
+                    reader = (file.get_batch(i) for i in range(file.num_record_batches))
+                pos = 0
+                for rb in reader:
+                    cols = [rb.column(c).cast(pa.string()) for c in ("news", "chosen", "rejected")]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([shard.as_py()] * rb.num_rows, pa.int32()),
+                         pa.array(range(pos, pos + rb.num_rows), pa.int64()), *cols],
+                        names=["shard", "pos", "news", "chosen", "rejected"])
+                    pos += rb.num_rows
 
     from ..session import ship_package
     ship_package(spark)
-    rows = paths.mapInArrow(read_shards, f"shard int, pos bigint, {PAIR_SCHEMA}")
+    missing = order.join(files.select(F.element_at(F.split("path", "/"), -1).alias("name")), "name", "left_anti").first()
+    if missing is not None:
+        raise FileNotFoundError(f"{path} has no shard {missing.name}")
+    rows = written(shards.mapInArrow(read_shards, f"shard int, pos bigint, {PAIR_SCHEMA}"), "pairs").drop(ROW)
     return merge_shards(rows, "shard", "pos", "idx").drop("shard", "pos")
 
 
 # ---------------------------------------------------------------------------
 # SR3 / SR4: string sidecar (JSON array of strings) and line files
 # ---------------------------------------------------------------------------
-def _string_array(column: str):
-    """A text column parsed as a JSON array of strings; a text that is none fails."""
-    bad = F.raise_error(F.lit("not a JSON array of strings")).cast("array<string>")
-    return F.coalesce(F.from_json(F.col(column), "array<string>", {"mode": "PERMISSIVE"}), bad)
+def _string(column: str) -> Column:
+    """The string that a JSON text stands for (null for null); other texts fail."""
+    c = F.col(column)
+    bad = F.raise_error(F.concat(F.lit("not a JSON string: "), F.left(c, F.lit(80)))).cast("string")
+    parsed = F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>", {"mode": "FAILFAST"})
+    return F.when(c == "null", F.lit(None)).when(c.startswith('"'), F.element_at(parsed, 1)).otherwise(bad)
 
 
 def read_string_list(spark: SparkSession, path: str, pos: str = "pos", text: str = "text") -> DataFrame:
-    """SR3: a JSON array of strings -> (pos, text), one row per element.
-    Each file is one whole-text row (the format cannot be split)."""
-    raw = spark.read.text(path, wholetext=True)
-    arr = _string_array("value")
-    # posexplode_outer + null filter: the JSON is parsed once (a plain
-    # posexplode adds an inferred size(from_json(...)) > 0 filter)
-    return (raw.select(F.posexplode_outer(arr).alias(pos, text)).where(F.col(pos).isNotNull())
-            .withColumn(pos, F.col(pos).cast("bigint")))
+    """SR3, SC15: a JSON array of strings -> (pos, text), one row per element;
+    several files are put one after the other in natural order of their names.
+    Large files are read in parallel (see ``arrays``)."""
+    return array_elements(spark, path).select(F.col("idx").alias(pos), _string("text").alias(text))
 
 
 def read_lines(spark: SparkSession, path: str, pos: str = "pos", text: str = "text",
@@ -228,7 +271,7 @@ def read_lines(spark: SparkSession, path: str, pos: str = "pos", text: str = "te
     raw = spark.read.text(path)
     t = full_strip("value") if strip else F.col("value")
     ordered = _scan_order(raw.select(t.alias(text), "_metadata"))
-    return _position_in_scan(ordered, ["_file", "_block"], pos).drop("_file", "_block")
+    return _positioned(ordered, ["_file", "_block"], pos).drop("_file", "_block")
 
 
 # ---------------------------------------------------------------------------
@@ -262,7 +305,7 @@ def read_outputs(spark: SparkSession, path: str, fmt: str = "json", key: str = "
     lines = _scan_order(raw.select(full_strip("value").alias(text), F.col(shard).cast("int").alias(shard),
                                    "_metadata"))
     lines = lines.withColumn("_name", F.element_at(F.split("_file", "/"), -1))
-    return _position_in_scan(lines, [shard, "_name", "_block"], key).drop("_file", "_name", "_block")
+    return _positioned(lines, [shard, "_name", "_block"], key).drop("_file", "_name", "_block")
 
 
 def write_merged(df: DataFrame, path: str, fmt: str = "json", key: str = "idx", text: str = "text",
@@ -276,32 +319,30 @@ def write_merged(df: DataFrame, path: str, fmt: str = "json", key: str = "idx",
         out.select(flatten_newlines(text).alias(text)).write.mode(mode).text(path)
 
 
-_RANK = re.compile(r"rank-(\d+)\.(json|txt)$")
+_RANK = r"rank-(\d+)\.(json|txt)$"
 
 
 def read_rank_files(spark: SparkSession, directory: str, fmt: str, key: str = "idx",
                     text: str = "text", num_processes: int | None = None) -> DataFrame:
     """SO1 over files written by outside workers (``rank-<i>.json`` arrays or
     ``rank-<i>.txt`` lines): concatenated in rank order, order inside each
-    file kept, merged position as ``key``. The merged file (rank-c) is skipped.
-    With ``num_processes`` the ranks must be exactly 0 to num_processes - 1."""
-    names = sorted((int(m.group(1)), n) for n in os.listdir(directory)
-                   if (m := _RANK.search(n)) and m.group(2) == fmt)
-    if not names:
+    file kept, merged position as ``key``. Other files (a merged one, rank-c) are
+    skipped. With ``num_processes`` the ranks must be exactly 0 to num_processes - 1.
+    Any path that Spark can open will do."""
+    listed = (spark.read.format("binaryFile").option("pathGlobFilter", f"rank-*.{fmt}").load(directory)
+              .select("path", F.regexp_extract("path", _RANK, 1).alias("rank")).where(F.col("rank") != "").collect())
+    paths = [r.path for r in sorted(listed, key=lambda r: int(r["rank"]))]
+    if not paths:
         raise FileNotFoundError(f"no rank-*.{fmt} files in {directory}")
-    found = [i for i, _ in names]
+    found = sorted(int(r["rank"]) for r in listed)
     if num_processes is not None and found != list(range(num_processes)):
         raise FileNotFoundError(f"ranks {found} found, {num_processes} expected in {directory}")
-    paths = [os.path.join(directory, n) for _, n in names]
-    rank_of = F.regexp_extract(F.col("_metadata.file_path"), r"rank-(\d+)\.", 1).cast("int")
     if fmt == "json":
-        raw = spark.read.text(paths, wholetext=True).select(rank_of.alias("shard"), "value")
-        rows = (raw.select("shard", F.posexplode_outer(_string_array("value")).alias("pos", text))
-                .where(F.col("pos").isNotNull()))
-        return merge_shards(rows, "shard", "pos", key).select(key, text)
+        return array_elements(spark, paths).select(F.col("idx").alias(key), _string("text").alias(text))
     raw = spark.read.text(paths)
+    rank_of = F.regexp_extract(F.col("_metadata.file_path"), _RANK, 1).cast("int")
     lines = _scan_order(raw.select(full_strip("value").alias(text), rank_of.alias("shard"), "_metadata"))
-    return _position_in_scan(lines, ["shard", "_block"], key).select(key, text)
+    return _positioned(lines, ["shard", "_block"], key).select(key, text)
 
 
 def read_gold(spark: SparkSession, gt_path: str, type_path: str, strict: bool = True) -> DataFrame:

@@ -63,6 +63,25 @@ def test_porter_modes(word, original, extended):
     assert porter_stem(word) == extended
 
 
+def test_stem_column_equals_the_plain_function(spark):
+    import random
+    from sparkprep.functions.stem import _IRREGULAR, _STEP2_EXTENDED, _STEP3, _STEP4, stem_column
+    rnd = random.Random(1)
+    ends = [s for s, _ in _STEP2_EXTENDED + _STEP3] + _STEP4 + ["ies", "sses", "s", "ied", "eed", "ed", "ing", "y", "yy", "ll", "e"]
+    words = {"".join(rnd.choice("aeiouybcdlstzwvx1\u00e9") for _ in range(rnd.randrange(0, 6)))
+             + "".join(rnd.choice(ends) for _ in range(rnd.randrange(1, 3))) for _ in range(6000)} | set(_IRREGULAR) | {"", "a"}
+    df = spark.createDataFrame([(w,) for w in sorted(words)], "w string")
+    for mode in ("extended", "original"):
+        for r in df.select("w", stem_column(F.col("w"), mode).alias("s")).collect():
+            assert r.s == (porter_stem(r.w, mode) if len(r.w) > 3 else r.w), r.w
+
+
+def test_stemmed_rouge_runs_no_python(spark):
+    df = spark.createDataFrame([(1, "running cats", "cat runs")], "pair_id long, hyp string, ref string")
+    plan = rouge1(df, stem=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
 def test_number_accuracy(spark):
     preds = spark.createDataFrame([(0, "total 1,000"), (1, "x 5 and 6"), (2, "got 7"), (3, "n/a")],
                                   "idx long, text string")

@@ -174,3 +174,175 @@ def test_factories_are_told_apart():
     from functools import partial
     from sparkprep.operators.generate import _model_for
     assert _model_for(partial(str, "A")) == "A" and _model_for(partial(str, "B")) == "B"
+
+
+def _small_splits(spark, size="300"):
+    import contextlib
+
+    @contextlib.contextmanager
+    def held():
+        keys = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": "1"}
+        old = {k: spark.conf.get(k) for k in keys}
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        try:
+            yield
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
+    return held()
+
+
+def _json_value(rnd, depth=0):
+    k = rnd.randrange(9 if depth < 3 else 6)
+    if k < 3:
+        return "".join(rnd.choice('ab,"\\[]{} \u00e9\n\t\U0001f389:') for _ in range(rnd.randrange(0, 30)))
+    if k == 3:
+        return rnd.choice([None, True, False])
+    if k < 6:
+        return rnd.choice([rnd.randrange(-10, 10 ** 6), rnd.random()])
+    if k < 8:
+        return {f'k{i},"': _json_value(rnd, depth + 1) for i in range(rnd.randrange(4))}
+    return [_json_value(rnd, depth + 1) for _ in range(rnd.randrange(4))]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_json_arrays_cut_in_many_splits(spark, tmp_path, seed):
+    """Elements of any kind, files of any layout: as json.load, in file order."""
+    import random
+    from sparkprep.sources.arrays import array_elements
+    rnd, want = random.Random(seed), []
+    for i in range(11):
+        values = [_json_value(rnd) for _ in range(rnd.choice([0, 1, 2, 40]))]
+        want += values
+        text = json.dumps(values, ensure_ascii=rnd.random() < 0.5, indent=rnd.choice([None, 2]))
+        (tmp_path / f"rank-{i}.json").write_text(rnd.choice(["", "\ufeff", " \n"]) + text + rnd.choice(["", "\n"]))
+    with _small_splits(spark):
+        got = sorted((r.idx, r.text) for r in array_elements(spark, str(tmp_path)).collect())
+    assert [i for i, _ in got] == list(range(len(want)))
+    assert [json.loads(t) for _, t in got] == want
+
+
+def test_split_sums_compose():
+    """The start of any split follows from the sums of those before it."""
+    import random
+    import pyarrow as pa
+    from sparkprep.sources import arrays
+    rnd = random.Random(4)
+    text = json.dumps([_json_value(rnd) for _ in range(60)])
+    pieces = text.split(",")
+    cuts = sorted(rnd.sample(range(1, len(pieces)), 7))
+    blocks = [i for a, b, i in zip([0, *cuts], [*cuts, len(pieces)], range(99)) for _ in range(b - a)]
+    batch = pa.RecordBatch.from_pydict({"file": ["f"] * len(pieces), "block": blocks, "value": pieces})
+    (out,) = arrays.split_sums(iter([batch]))
+    begin, last = arrays.starts([type("R", (), {"__getitem__": lambda s, k: s.d[k], "d": d})() for d in out.to_pylist()])
+    assert last["f"] == 59
+    for block, cut in enumerate([0, *cuts]):
+        inside, depth, before = begin[("f", block)]
+        head = ",".join(pieces[:cut])
+        whole = arrays._ESCAPE.sub("", head)
+        assert inside == whole.count('"') % 2
+        free = "".join(whole.split('"')[0::2])
+        assert depth == sum(free.count(c) for c in "[{") - sum(free.count(c) for c in "]}")
+
+
+@pytest.mark.parametrize("text", ['["a", "b', "[1, 2", "[1]]", '{"a": 1}', "1, 2"])
+def test_files_that_are_no_array_fail(spark, tmp_path, text):
+    from sparkprep.sources.arrays import array_elements
+    (tmp_path / "bad.json").write_text(text)
+    with pytest.raises(Exception, match="JSON array"):
+        array_elements(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_empty_arrays_and_large_array_in_many_tasks(spark, tmp_path):
+    (tmp_path / "a.json").write_text(" [ \n] ")
+    assert S.read_string_list(spark, str(tmp_path / "a.json")).count() == 0
+    texts = [f'line {i}, "quoted" \\ [x' * (i % 5) for i in range(3000)]
+    (tmp_path / "b.json").write_text(json.dumps(texts))
+    with _small_splits(spark, "16384"):
+        pieces = spark.read.option("lineSep", ",").text(str(tmp_path / "b.json"))
+        assert pieces.rdd.getNumPartitions() > 5
+        got = sorted((r.pos, r.text) for r in S.read_string_list(spark, str(tmp_path / "b.json")).collect())
+    assert got == list(enumerate(texts))
+    (tmp_path / "c.json").write_text('["a", 3]')
+    with pytest.raises(Exception, match="JSON string"):
+        S.read_string_list(spark, str(tmp_path / "c.json")).collect()
+
+
+MIXED = [{"news": "a", "ecnc": True, "ans": 1.50}, {"news": "true", "ecnc": "true", "ans": "1.50"},
+         {"news": True, "ecnc": "False", "ans": None}, {"ecnc": False, "ans": [1, True], "masked headline": False}]
+
+
+@pytest.mark.parametrize("fmt", ["array", "lines"])
+def test_records_render_each_value_by_its_own_type(spark, tmp_path, fmt):
+    p = tmp_path / "r.json"
+    p.write_text(json.dumps(MIXED) if fmt == "array" else "\n".join(map(json.dumps, MIXED)) + "\n\n")
+    got = S.read_records(spark, str(p), fmt=fmt).orderBy("idx").collect()
+    assert [r.ecnc for r in got] == ["True", "true", "False", "False"]
+    assert [r.news for r in got] == ["a", "true", "True", None]
+    assert [r.ans for r in got] == ["1.5", "1.50", None, "[1,true]"]
+    assert [r.masked_headline for r in got] == [None, None, None, "False"]
+
+
+def test_floats_read_as_python_prints_them(spark, tmp_path):
+    spelled = ["1.50", "10000000000.0", "1e3", "2.5", "3", "-0.0", "0.0001", "0.00001", "1e16", "123456789012345678.5", "1.5E-7",
+               "-12.0340", "1e22", "0.1", "5e-324", "1.7976931348623157e308", "12345678901234567890123", "100.0", "9999999999999998.0"]
+    p = tmp_path / "f.jsonl"
+    p.write_text("\n".join('{"ans": %s, "news": "%s"}' % (x, x) for x in spelled))
+    got = S.read_records(spark, str(p), fmt="lines").orderBy("idx").collect()
+    assert [r.news for r in got] == spelled
+    assert [(x, r.ans) for x, r in zip(spelled, got)] == [(x, str(json.loads(x))) for x in spelled]
+
+
+def test_records_of_lines_are_scanned_once(spark, tmp_path):
+    p = tmp_path / "r.jsonl"
+    p.write_text("\n".join(map(json.dumps, MIXED * 50)))
+    plan = S.read_records(spark, str(p), fmt="lines")._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan.split("Relation")[0] or str(p) not in plan      # only the written copy is read later
+
+
+def test_positions_do_not_depend_on_later_split_settings(spark, tmp_path):
+    p = tmp_path / "big.txt"
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(5000)]
+    p.write_text("\n".join(lines))
+    with _small_splits(spark, "8192"):
+        df = S.read_lines(spark, str(p))
+    with _small_splits(spark, "1024"):
+        assert {r.pos: r.text for r in df.collect()} == {i: x.strip() for i, x in enumerate(lines)}
+
+
+def test_natural_order_as_a_column(spark):
+    from pyspark.sql import functions as F
+    names = ["part-99999-a.txt", "part-100000-a.txt", "part-00002-a.txt", "part-2b", ""]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r.n for r in df.orderBy(S._natural_order(F.col("n"))).collect()]
+    assert got == ["", "part-2b", names[2], names[0], names[1]] or got == ["", names[2], "part-2b", names[0], names[1]]
+
+
+def test_json_array_files_round_trip(spark, tmp_path):
+    from sparkprep.sources.sinks import write_json_arrays
+    rows = [(i, None if i == 3 else f'text, "{i}" [\n\u00e9') for i in range(40)]
+    df = spark.createDataFrame(rows, "idx long, text string").repartition(5)
+    write_json_arrays(df, str(tmp_path / "out"))
+    names = sorted(os.listdir(tmp_path / "out"))
+    assert names and all(n.startswith("rank-") for n in names)
+    merged = [x for n in sorted(names, key=S._natural) for x in json.load(open(tmp_path / "out" / n))]
+    assert merged == [t for _, t in rows]
+    got = S.read_rank_files(spark, str(tmp_path / "out"), "json", num_processes=len(names)).collect()
+    assert sorted((r.idx, r.text) for r in got) == rows
+
+
+def test_arrow_shards_round_trip_by_a_path_only_spark_can_open(spark, tmp_path):
+    from sparkprep.sources.sinks import write_arrow_shards
+    rows = [(i, f"news {i}", f"c{i}", None if i == 7 else f"r{i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "pair_id long, news string, chosen string, rejected string").repartition(4)
+    write_arrow_shards(df, str(tmp_path / "pairs"), "pair_id")
+    state = json.load(open(tmp_path / "pairs" / "state.json"))
+    assert len(state["_data_files"]) > 1
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.pairs.link./in", f"file://{tmp_path}")
+    for path in (str(tmp_path / "pairs"), "viewfs://pairs/in/pairs"):
+        assert sorted(map(tuple, S.read_pairs(spark, path).select("idx", "news", "chosen", "rejected").collect())) == rows
+    os.rename(tmp_path / "pairs" / state["_data_files"][0]["filename"], tmp_path / "pairs" / "other.arrow")
+    with pytest.raises(FileNotFoundError):
+        S.read_pairs(spark, str(tmp_path / "pairs"))
