@@ -48,15 +48,21 @@ def echo_model() -> EchoModel:
     return EchoModel()
 
 
-# Models already built in this Python worker, by factory name. With worker
-# reuse (Spark's default) a model is loaded once per worker, not per task.
+# The model of this Python worker, by the name of its factory. With worker reuse
+# (Spark's default) a model is loaded once per worker, not per task; a second
+# model (another stage) takes the place of the first.
 _MODELS: dict = {}
 
 
-def _model_for(make_model: ModelFactory):
+def _model_name(make_model: ModelFactory) -> bytes:
     from pyspark import cloudpickle
-    name = cloudpickle.dumps(make_model)     # tells partials and callable objects apart
+    return cloudpickle.dumps(make_model)     # tells partials and callable objects apart
+
+
+def _model_for(make_model: ModelFactory, name: bytes | None = None):
+    name = name or _model_name(make_model)
     if name not in _MODELS:
+        _MODELS.clear()
         _MODELS[name] = make_model()
     return _MODELS[name]
 
@@ -70,6 +76,21 @@ def _single_numeral(text: str, _pat=re.compile(NUMERAL_PATTERN)) -> bool:
     return len(_pat.findall(text)) == 1
 
 
+def model_texts(model, prompts: list, num_check: bool, max_retries: int) -> tuple[list, list]:
+    """One batch through the model: texts, and retries of each. With ``num_check``
+    the prompts whose cleaned text lacks its one numeral are tried again."""
+    gen, n_try = list(model(prompts, 0)), [0] * len(prompts)
+    todo = range(len(prompts)) if num_check else ()
+    for a in range(max_retries + 1):
+        if a and todo:
+            for i, g in zip(todo, model([prompts[i] for i in todo], a)):
+                gen[i], n_try[i] = g, a
+        todo = [i for i in todo if not _single_numeral(gen[i][len(prompts[i]):].strip(WS29))]
+        if not todo:
+            break
+    return gen, n_try
+
+
 def batch_generate(df: DataFrame, make_model: ModelFactory, prompt: str = "prompt",
                    batch_size: int = 16, num_check: bool = False, max_retries: int = MAX_RETRIES,
                    out: str = "generated") -> DataFrame:
@@ -82,25 +103,16 @@ def batch_generate(df: DataFrame, make_model: ModelFactory, prompt: str = "promp
     ship_package(df.sparkSession)
     schema = StructType(list(df.schema.fields)).add(out, StringType()).add("attempts", IntegerType())
 
+    name = _model_name(make_model)
+
     def run(batches: Iterator) -> Iterator:
-        from sparkprep.operators.generate import _model_for
-        model = _model_for(make_model)
+        from sparkprep.operators.generate import _model_for, model_texts
+        model = _model_for(make_model, name)
         for pdf in batches:
             prompts = pdf[prompt].fillna("None").astype(str).tolist()
             texts, tries = [], []
             for chunk in _chunks(prompts, batch_size):
-                gen = list(model(chunk, 0))
-                n_try = [0] * len(chunk)
-                if num_check:
-                    todo = [i for i, (p, g) in enumerate(zip(chunk, gen))
-                            if not _single_numeral(g[len(p):].strip(WS29))]
-                    for a in range(1, max_retries + 1):
-                        if not todo:
-                            break
-                        regen = model([chunk[i] for i in todo], a)
-                        for i, g in zip(todo, regen):
-                            gen[i], n_try[i] = g, a
-                        todo = [i for i in todo if not _single_numeral(gen[i][len(chunk[i]):].strip(WS29))]
+                gen, n_try = model_texts(model, chunk, num_check, max_retries)
                 texts.extend(gen)
                 tries.extend(n_try)
             yield pdf.assign(**{out: texts, "attempts": tries})
@@ -130,6 +142,83 @@ def generate(df: DataFrame, make_model: ModelFactory, messages: str = "messages"
     return raw.select(key, "rep", "prompt", strip_prompt("generated", "prompt").alias("text"), "attempts")
 
 
+def generate_resumable(df: DataFrame, make_model: ModelFactory, path: str, messages: str = "messages", k: int = 1,
+                       batch_size: int = 16, num_check: bool = False, key: str = "idx",
+                       max_retries: int = MAX_RETRIES) -> DataFrame:
+    """``generate`` into the shared folder ``path``, model batch by model batch.
+
+    The prompts are written there once, dealt into numbered batches; every batch
+    that the model has finished is one file, put in place whole. A run, be it
+    the first, one after a crash or a repeated task, generates the batches that
+    have no file yet, so a lost run costs at most the batches that were at the
+    model, and no text or attempt count of a finished one is ever made again.
+    Another input than the first run's fails. Returns what ``generate`` does.
+    """
+    from pyspark.errors import AnalysisException
+    from ..session import ship_package
+    from ..sources.sinks import _folder
+    spark = df.sparkSession
+    ship_package(spark)
+    reps = replicate(df.select(key, render(prompt_messages(messages), add_generation_prompt=True).alias("prompt")),
+                     k, key=key).select(key, "rep", "prompt")
+    digest = [F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64(key, "rep", "prompt").cast("decimal(20,0)")), F.lit(0))]
+    todo = f"{path}/prompts"
+    try:
+        prompts = spark.read.parquet(todo)
+    except AnalysisException:
+        row = F.monotonically_increasing_id()
+        batch = F.shiftleft(F.shiftright(row, 33), 33).bitwiseOR(F.floor(row % (1 << 33) / batch_size))
+        reps.withColumns({"_row": row, "_batch": batch}).write.mode("overwrite").parquet(todo)
+        prompts = spark.read.parquet(todo)
+    if tuple(prompts.agg(*digest).first()) != tuple(reps.agg(*digest).first()):
+        raise ValueError(f"{path} holds the outputs of another input")
+
+    def finished() -> DataFrame:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "batch-*.parquet")
+        return listed.load(path).select(F.regexp_extract("path", r"batch-([0-9]+)\.parquet$", 1).cast("long").alias("_batch"))
+
+    name, keyed = _model_name(make_model), prompts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        import uuid
+        from pyarrow import fs
+        from sparkprep.operators.generate import _model_for, model_texts
+        system, folder = _folder(f"{path}/done")
+        system.create_dir(folder, recursive=True)
+
+        def whole():
+            """The rows of one batch at a time, whatever the cuts of the input."""
+            held = None
+            for pdf in batches:
+                held = pdf if held is None else pd.concat([held, pdf])
+                last = held["_batch"].iloc[-1] if len(held) else None
+                for number, rows in held[held["_batch"] != last].groupby("_batch", sort=False):
+                    yield number, rows
+                held = held[held["_batch"] == last]
+            if held is not None and len(held):
+                yield held["_batch"].iloc[0], held
+
+        for number, rows in whole():
+            target = f"{folder}/batch-{number}.parquet"
+            if system.get_file_info(target).type == fs.FileType.NotFound:       # else an earlier attempt of this task did it
+                gen, n_try = model_texts(_model_for(make_model, name), rows["prompt"].fillna("None").tolist(), num_check, max_retries)
+                table = pa.Table.from_pandas(rows[[key, "rep", "prompt"]].assign(generated=gen, attempts=n_try), preserve_index=False)
+                part = f"{folder}/_{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    pq.write_table(table.set_column(4, "attempts", table["attempts"].cast(pa.int32())), out)
+                system.move(part, target)
+            yield pd.DataFrame({"_batch": [number]})
+
+    left = (prompts.join(finished(), "_batch", "left_anti").repartition("_batch").sortWithinPartitions("_batch", "_row"))
+    left.mapInPandas(run, "_batch long").write.format("noop").mode("overwrite").save()
+    fields = f"{key} {keyed}, rep {prompts.schema['rep'].dataType.simpleString()}, prompt string, generated string, attempts int"
+    done = spark.read.schema(fields).option("pathGlobFilter", "batch-*.parquet").parquet(f"{path}/done")
+    return done.select(key, "rep", "prompt", strip_prompt("generated", "prompt").alias("text"), "attempts")
+
+
 def preview_generate(df: DataFrame, make_model: ModelFactory, sample_num: int, messages: str = "messages",
                      key: str = "idx", seed: int = 42, num_check: bool = False) -> DataFrame:
     """GN4 preview: ``sample_num`` seeded examples generated (with the numeral

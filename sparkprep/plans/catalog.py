@@ -56,6 +56,7 @@ from ..operators.lengths import length_profile, pack, pair_length_profile, trunc
 from ..operators.messages import IM_END, messages_by_task_column, prompt_messages, render  # noqa: E402
 from ..operators.pairs import fit_pair, pairs_by_gap, template_pairs  # noqa: E402
 from ..operators.score import number_accuracy, rouge1  # noqa: E402
+from ..session import scratch_path  # noqa: E402
 
 
 def flagship(spark, sf_dir):
@@ -272,6 +273,15 @@ def _gen_sql():
 add("gn3_generate_k2", _gen, _gen_sql(), ("GN3", "PJ2", "PJ3", "PJ7", "GN1"))
 
 
+def _gen_resumable(spark, sf_dir):
+    m = build_messages(fx.examples(spark, sf_dir), "hg", T.INFER)
+    out = G.generate_resumable(m, G.echo_model, scratch_path(spark, "gn3-resumable"), k=2, batch_size=64)
+    return out.select("idx", F.col("rep").cast("bigint").alias("rep"), "text")
+
+
+add("gn3_generate_resumable", _gen_resumable, _gen_sql(), ("GN3", "PJ7"))
+
+
 def _gen_retry(spark, sf_dir):
     ex = fx.examples(spark, sf_dir)
     m = build_messages(ex, "hg", T.INFER)
@@ -731,7 +741,6 @@ add("wn3_pack_ids_2048", _pack_ids, _pack_sql(
 # ---------------------------------------------------------------------------
 # SK1 / SK2 / SK3 / SR4 / SO1 over files: write outputs by shard, read back
 # ---------------------------------------------------------------------------
-from ..session import scratch_path  # noqa: E402
 from ..sources import files as S  # noqa: E402
 from ..sources import sinks as K  # noqa: E402
 

@@ -33,15 +33,17 @@ def preference_sets(pairs: DataFrame, task: str, key: str = "pair_id", test_frac
 
 def two_stage_inference(records: DataFrame, stage1_task: str, stage2_task: str, make_model: ModelFactory,
                         k: int = 1, batch_size: int = 16, num_check: bool = False,
-                        make_model2: ModelFactory | None = None) -> DataFrame:
+                        make_model2: ModelFactory | None = None, num_check1: bool = False,
+                        batch_size2: int | None = None) -> DataFrame:
     """§3.3: stage-1 rationales (k per record), attached to the records by key
     (not by file position), then stage-2 outputs. Returns (idx, rep, rationale,
-    text). ``make_model2`` is the second stage's model (default: the same)."""
+    text). ``make_model2`` and ``batch_size2`` are the second stage's (default: the
+    first's); ``num_check1`` asks the first stage for one numeral, ``num_check`` the second."""
     if T.task_kind(stage1_task).stage != 1 or T.task_kind(stage2_task).stage != 2:
         raise ValueError("expected a stage-1 task and a stage-2 task")
     from ..session import shared_dir
     m1 = build_messages(records, stage1_task, T.INFER)
-    s1 = generate(m1, make_model, k=k, batch_size=batch_size).select("idx", "rep", "text")
+    s1 = generate(m1, make_model, k=k, batch_size=batch_size, num_check=num_check1).select("idx", "rep", "text")
     # Stage-1 outputs are used twice (stage-2 prompts and the returned
     # rationale); a sampling model must not run twice, so they are written
     # once to the shared folder (reliable checkpoint) and read from there.
@@ -49,7 +51,7 @@ def two_stage_inference(records: DataFrame, stage1_task: str, stage2_task: str,
     s1 = s1.checkpoint(eager=True)
     m2 = stage2_inputs(records, s1, stage2_task, k=k)
     s2 = generate(m2.withColumn("_key", F.col("idx") * k + F.col("rep")), make_model2 or make_model, k=1,
-                  batch_size=batch_size, num_check=num_check, key="_key")
+                  batch_size=batch_size2 or batch_size, num_check=num_check, key="_key")
     return (s2.select(F.expr(f"_key div {int(k)}").alias("idx"),
                       (F.col("_key") % k).cast("bigint").alias("rep"), "text")
             .join(s1.select("idx", F.col("rep").cast("bigint").alias("rep"), F.col("text").alias("rationale")),

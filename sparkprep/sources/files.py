@@ -126,29 +126,37 @@ def read_records(spark: SparkSession, path: str, fields=RECORD_FIELDS, idx: str
         lines = spark.read.text(path).where(F.btrim("value") != "")
         rows = _positioned(_scan_order(lines.select(F.col("value").alias("text"), "_metadata")),
                            ["_file", "_block"], idx).select(idx, "text")
-    return rows.select(*record_columns("text", fields), idx)
+    return record_fields(rows, "text", fields).select(*[f.replace(" ", "_") for f in fields], idx)
 
 
-def record_columns(text: str, fields=RECORD_FIELDS) -> list[Column]:
-    """The fields of a JSON object in the column ``text``, as text columns."""
+def record_fields(rows: DataFrame, text: str, fields=RECORD_FIELDS) -> DataFrame:
+    """``rows`` with the fields of the JSON object in the column ``text``, as text."""
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
     broken = F.raise_error(F.lit("not a JSON object")).cast("string")
     whole = F.when(F.ltrim(F.col(text)).startswith("{"), F.col(text)).otherwise(broken)
-    record = F.from_json(whole, schema, {"mode": "FAILFAST"})
-    typed = F.try_parse_json(F.col(text))
-    cols = []
-    for f in fields:
-        value, path = record[f], f"$[{json.dumps(f)}]"
-        # the value's own type decides whether a spelled true or 1.0 is a text or not
-        kind = F.schema_of_variant(F.try_variant_get(typed, path, "variant"))
-        spelled = F.try_variant_get(typed, path, "string")
-        short = kind.startswith("DECIMAL") & (F.length(F.translate(spelled, "-.", "")) <= 17)   # a float's own digits
-        digits = F.when(short, spelled).otherwise(value)
-        cols.append(F.when(value.isin("true", "false"), F.when(kind == "BOOLEAN", F.initcap(value)).otherwise(value))
-                    .when(value.rlike(r"^-?[0-9]+(\.[0-9]|E)"),
-                          F.when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), float_text(value, digits)).otherwise(value))
-                    .otherwise(value).alias(f.replace(" ", "_")))
-    return cols
+    parsed = rows.withColumn("_record", F.from_json(whole, schema, {"mode": "FAILFAST"}))
+    # the value's own type decides whether a spelled true or 1.0 is a text or not;
+    # records whose texts spell neither are not parsed again
+    value = {f: F.col("_record")[f] for f in fields}
+    spells = {f: c.rlike(r"^(true|false)$|^-?[0-9]+(\.[0-9]|E)") for f, c in value.items()}
+    some = F.greatest(*[F.coalesce(c, F.lit(False)) for c in spells.values()], F.lit(False))
+    typed = parsed.withColumn("_typed", F.when(some, F.try_parse_json(F.col(text))))
+    paths = {f: f"$[{json.dumps(f)}]" for f in fields}
+    parts = F.array(*[F.struct(
+        value[f].alias("text"),
+        F.when(spells[f], F.schema_of_variant(F.try_variant_get("_typed", paths[f], "variant"))).alias("kind"),
+        F.when(spells[f], F.try_variant_get("_typed", paths[f], "string")).alias("spelled")) for f in fields])
+
+    def render(x):
+        short = x["kind"].startswith("DECIMAL") & (F.length(F.translate(x["spelled"], "-.", "")) <= 17)
+        digits = F.when(short, x["spelled"]).otherwise(x["text"])           # a float's own digits
+        return (F.when(x["kind"] == "BOOLEAN", F.initcap(x["text"]))
+                .when(x["kind"].rlike("^(DECIMAL|DOUBLE|FLOAT)") & x["text"].rlike("[.E]"), float_text(x["text"], digits))
+                .otherwise(x["text"]))
+    shown = typed.withColumn("_shown", F.transform(parts, render))
+    names = [f.replace(" ", "_") for f in fields]
+    return (shown.withColumns({n: F.col("_shown")[i] for i, n in enumerate(names)})
+            .drop("_record", "_typed", "_shown"))
 
 
 def float_text(value: Column, digits: Column) -> Column:

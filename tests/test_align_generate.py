@@ -62,3 +62,72 @@ def test_generate_partitions(spark):
     m = build_messages(ex, "hg", T.INFER)
     out = G.generate(m, G.echo_model, k=2, partitions=3)
     assert out.rdd.getNumPartitions() == 3 and out.count() == 78
+
+
+def counting(log, dies_at=None):
+    """Factory of an echo model that notes every prompt it is given, and dies at its n-th call."""
+    def make():
+        from sparkprep.operators.generate import EchoModel
+        calls = []
+
+        def model(prompts, attempt=0):
+            calls.append(attempt)
+            if len(calls) == dies_at:
+                raise RuntimeError("killed")
+            with open(log, "a") as f:
+                f.writelines(f"{attempt} {len(p)}\n" for p in prompts)
+            return EchoModel()(prompts, attempt)
+        return model
+    return make
+
+
+@pytest.mark.parametrize("num_check", [False, True])
+def test_killed_generation_resumes(spark, tmp_path, num_check):
+    """One task, killed at its 12th model call: no prompt is generated twice, none is missing."""
+    ex = spark.createDataFrame([(i, "x" * i, "h") for i in range(1, 120)], "idx long, news string, headline string").coalesce(1)
+    m = build_messages(ex, "hg", T.INFER)
+    log, path = str(tmp_path / "log"), str(tmp_path / "out")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        with pytest.raises(Exception, match="killed"):
+            G.generate_resumable(m, counting(log, 12), path, batch_size=5, num_check=num_check)
+        first = len(open(log).readlines())
+        assert 0 < first
+        out = G.generate_resumable(m, counting(log), path, batch_size=5, num_check=num_check)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    got = {(r.idx, r.rep): (r.text, r.attempts) for r in out.collect()}
+    want = {(r.idx, r.rep): (r.text, r.attempts) for r in G.generate(m, G.echo_model, num_check=num_check, batch_size=5).collect()}
+    assert got == want and out.count() == 119
+    asked = open(log).read().split("\n")[:-1]
+    if not num_check:       # every prompt has a length of its own
+        assert len(asked) == len(set(asked)) == 119
+    again = len(asked)
+    assert G.generate_resumable(m, counting(log), path, batch_size=5, num_check=num_check).count() == 119
+    assert len(open(log).readlines()) == again
+    with pytest.raises(ValueError, match="another input"):
+        G.generate_resumable(m.limit(5), G.echo_model, path, batch_size=5)
+
+
+def test_killed_generation_in_many_tasks_loses_and_repeats_nothing_finished(spark, tmp_path):
+    ex = spark.createDataFrame([(i, "x" * i, "h") for i in range(1, 200)], "idx long, news string, headline string").repartition(4)
+    m = build_messages(ex, "hg", T.INFER)
+    path = str(tmp_path / "out")
+    with pytest.raises(Exception, match="killed"):
+        G.generate_resumable(m, counting(str(tmp_path / "log"), 6), path, k=2, batch_size=3)
+    out = G.generate_resumable(m, G.echo_model, path, k=2, batch_size=3)
+    rows = [(r.idx, r.rep, r.text) for r in out.collect()]
+    assert len(rows) == len(set(rows)) == 398
+    assert sorted(rows) == sorted((r.idx, r.rep, r.text) for r in G.generate(m, G.echo_model, k=2).collect())
+
+
+def test_stages_have_their_own_settings(spark):
+    from sparkprep.plans.flows import two_stage_inference
+    recs = spark.createDataFrame([(i, "n" * i, "h", "m", "1", "s", "r", "c", "e") for i in range(1, 20)],
+                                 "idx long, news string, headline string, masked_headline string, ans string, summary string, "
+                                 "rationale_hg string, rationale_cal string, ecnc string")
+    free = two_stage_inference(recs, "rationale_hg_stg1_ecnc", "rationale_hg_stg2_ecnc", G.echo_model).collect()
+    held = two_stage_inference(recs, "rationale_hg_stg1_ecnc", "rationale_hg_stg2_ecnc", G.echo_model, num_check1=True,
+                               batch_size2=3).collect()
+    assert sum(" and " in r.rationale for r in held) < sum(" and " in r.rationale for r in free)
