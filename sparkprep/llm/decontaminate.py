@@ -11,9 +11,17 @@ A bitmap of the benchmark's seeds (fixed size, whatever the benchmark's) keeps
 documents' other seeds out of the join; a full bitmap would only cost time.
 Matched pairs come back per document and item.
 
-Null and empty texts have no seeds, nor have texts of fewer than ``SPAN`` words
-(too short to be evidence). Words are compared with A-Z lower-cased. Null ids
-are reported as null; repeated rows give their pairs once per id and text.
+Items shorter than a mask have one seed each, of all their words, and are found
+where a document has exactly these words in a row; for that, documents also get
+the seeds of the lengths that such items have. Items of fewer than ``LEAST`` words
+are found only in documents of just these words: one word that occurs somewhere is
+no evidence.
+
+Null and empty texts have no seeds. Words are compared with A-Z lower-cased. Null
+ids of documents and items are reported as null; repeated rows give their pairs
+once per id and text. Very long texts are searched whole; an empty table gives no
+rows; ties between equally good overlaps go to the longer one; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +29,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix64, saved, shipped, sliced, text_bytes, WordHash, words
+from .common import hash_words, mix64, saved, shipped, sliced, text_bytes, word_count, WordHash, words
 
 # Fixed masks: 1 = the word takes part in the seed.
 MASKS = ("11100101011", "11011000111", "10110110101", "11010011011")
 SPAN = 11
 MIN_MATCH = 11
+LEAST = 5             # words of an item that may be found inside a longer document
 SUBSTITUTION = -2
 CONTEXT = 40          # words kept on either side of a document's hits
 JOIN_GAP = 120        # hits closer than this share one stretch of context
@@ -49,6 +58,22 @@ def seeds(h):
     return out
 
 
+def short_seeds(h, lengths) -> list:
+    """Seeds of all runs of k words, for each k of ``lengths`` (of the whole text, for k below LEAST)."""
+    import numpy as np
+    out = []
+    for k in lengths:
+        n = len(h) - k + 1
+        if n <= 0 or k < LEAST and n > 1:
+            out.append(np.zeros(0, dtype=np.uint64))
+            continue
+        acc = np.full(n, np.uint64(1000 + k))
+        for o in range(k):
+            acc = acc * np.uint64(0x9E3779B97F4A7C15) + h[o:o + n]
+        out.append(mix64(acc))
+    return out
+
+
 def best_segment(a, b) -> tuple[int, int]:
     """Equal words and length of the best-scoring aligned segment."""
     import numpy as np
@@ -69,7 +94,8 @@ def benchmark_seeds(bench: DataFrame) -> DataFrame:
         for b in batches:
             item, seed, off = [], [], []
             for i, t in zip(b.column("item_id").to_pylist(), text_bytes(b.column("text"))):
-                for s in seeds(hash_words(words(t or b""), cache)):
+                h = hash_words(words(t or b""), cache)
+                for s in seeds(h) if len(h) >= SPAN else short_seeds(h, [len(h)] if len(h) else []):
                     item += [i] * len(s)
                     seed.append(s.view(np.int64))
                     off.append(np.arange(len(s), dtype=np.int32))
@@ -90,7 +116,13 @@ def benchmark_words(bench: DataFrame) -> DataFrame:
     return bench.mapInArrow(run, "item_id long, item binary")
 
 
-def stretches(docs: DataFrame, bitmap) -> DataFrame:
+def short_lengths(bench: DataFrame) -> list[int]:
+    """Lengths in words, below SPAN, that items have (ten numbers at most)."""
+    n = word_count(F.col("text"))
+    return sorted(r.n for r in bench.select(n.alias("n")).filter((F.col("n") > 0) & (F.col("n") < SPAN)).distinct().collect())
+
+
+def stretches(docs: DataFrame, bitmap, lengths: list[int]) -> DataFrame:
     """Stretches of documents around seeds that the bitmap lets through:
     doc_id, text_hash, words (hashes as bytes), seed and its place in the stretch."""
     def run(batches):
@@ -106,7 +138,7 @@ def stretches(docs: DataFrame, bitmap) -> DataFrame:
                                 text_bytes(b.column("text"))):
                 h = hash_words(words(t or b""), cache)
                 at, seed = [], []
-                for s in seeds(h):
+                for s in (seeds(h) + short_seeds(h, lengths)):
                     ok = np.flatnonzero(here((s >> first).astype(np.int64)))
                     ok = ok[here(((s[ok] >> second) & low).astype(np.int64)) == 1]
                     at.append(ok)
@@ -155,7 +187,10 @@ def contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     passage of a benchmark item, with the best overlap of each such pair."""
     spark = docs.sparkSession
     shipped(spark)
-    bench = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    # a number of its own for each row of the benchmark: ids may repeat or be null
+    named = saved(bench.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("name"),
+                               F.col("text").cast("string").alias("text")), "benchmark-items")
+    bench = named.select(F.col("item").alias("item_id"), "text")
     bs = saved(benchmark_seeds(bench), "benchmark-seeds")
     first = F.shiftrightunsigned("seed", 64 - BITMAP_BITS)
     second = F.shiftrightunsigned("seed", 64 - 2 * BITMAP_BITS).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
@@ -163,7 +198,7 @@ def contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     bits = bytearray(1 << BITMAP_BITS - 3)
     for r in slots.toLocalIterator():       # at most 2^BITMAP_BITS numbers
         bits[r.s >> 3] |= 1 << (r.s & 7)
-    st = saved(stretches(docs, spark.sparkContext.broadcast(bytes(bits)))
+    st = saved(stretches(docs, spark.sparkContext.broadcast(bytes(bits)), short_lengths(bench))
                .withColumn("stretch", F.monotonically_increasing_id()), "decontamination-stretches")
     hits = (st.select("stretch", F.explode(F.arrays_zip("seeds", "places")).alias("x"))
             .select("stretch", F.col("x.seeds").alias("seed"), F.col("x.places").alias("place"))
@@ -171,9 +206,11 @@ def contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
             .select("stretch", "item_id", (F.col("place") - F.col("off")).alias("diagonal")).distinct())
     pairs = (hits.join(st.select("stretch", "doc_id", "text_hash", "words"), "stretch")
              .join(benchmark_words(bench), "item_id"))
-    return (verify(pairs.select("doc_id", "text_hash", "item_id", "words", "item", "diagonal"))
-            .filter(F.col("matched") >= MIN_MATCH)
-            .groupBy("doc_id", "text_hash", "item_id")
+    found = verify(pairs.select("doc_id", "text_hash", "item_id", "words", "item", "diagonal"))
+    enough = F.least(F.lit(MIN_MATCH), word_count(F.col("text")))
+    return (found.join(named.withColumnRenamed("item", "_item"), F.col("item_id") == F.col("_item"))
+            .filter(F.col("matched") >= enough)
+            .groupBy("doc_id", "text_hash", F.col("name").alias("item_id"))
             .agg(F.max(F.struct("matched", "length")).alias("x"))
             .select("doc_id", "text_hash", "item_id", "x.matched", "x.length"))
 

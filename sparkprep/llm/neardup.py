@@ -364,6 +364,10 @@ def groups(docs: DataFrame, link: int = LINK) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, link: int = LINK) -> DataFrame:
-    """Rows of ``docs`` that are the first of their group, same columns."""
-    gone = groups(docs, link).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")
+    """One row of each group of near copies, same columns. Rows are told apart by a
+    number of their own, so copies that share an id, or have none, are a group as
+    well; the row of smallest number stays."""
+    rows = saved(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")), "numbered-rows")
+    own = rows.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text"))
+    gone = groups(own, link).filter(~F.col("kept")).select(F.col("doc_id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select("_doc.*")

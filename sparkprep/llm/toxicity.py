@@ -185,10 +185,10 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = saved(usable_labels(labels), "toxic-labels")
     n_labels = known.count()
     x = saved(features(d, learned_lexicon(d, known, n_labels), "doc_id", "text_hash"), "toxic-features")
-    train = (x.join(known, F.col("doc_id") == F.col("_id")).select("_id", "part", "label", "x")
-             .filter(F.col("part") != LEXICON_FOLD))
-    train = saved(_bounded(train, n_labels, MAX_TRAIN_ROWS).coalesce(4).withColumn("v", array_to_vector("x")).drop("x"),
-                  "toxic-train")
+    # labels are filtered before the join; only its bounded result is read by few tasks
+    chosen = _bounded(known.filter(F.col("part") != LEXICON_FOLD), n_labels, MAX_TRAIN_ROWS)
+    train = saved(x.join(chosen, F.col("doc_id") == F.col("_id")).select("_id", "part", "label", "x"), "toxic-train")
+    train = train.coalesce(4).withColumn("v", array_to_vector("x")).drop("x")
     trees, calibration = train.filter(F.col("part") == TREE_FOLD), train.filter(F.col("part") == CALIBRATION_FOLD)
     out = x.withColumn("held_out", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)))
     count = {(r.part, r.label): r["count"] for r in train.groupBy("part", "label").count().collect()}
