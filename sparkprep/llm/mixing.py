@@ -11,7 +11,8 @@ ordered.
 
 Null texts have size 0; a null source is a source of its own (ordered last);
 null ids are sampled like any other row; repeated rows (same id and text) share a
-key and are taken together; an empty table gives no rows.
+key, and where the budget ends among them the first of them are taken; an empty
+table gives no rows. Texts of any length count whole; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,30 +113,56 @@ def plan(narrow: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
                                                  F.first("_coarse_before").alias("_coarse_before"))
     fine_cut = _crossing(fine, "_fine", F.col("_coarse_before"))
     cut = saved(_same_source(cut, fine_cut, "left"), "mix-cuts")
+    # rows that are copies of each other (same id and text) share a key and stand as one line
     w = Window.partitionBy("source").orderBy("_key", F.col("doc_id").asc_nulls_last(), "_size") \
         .rowsBetween(Window.unboundedPreceding, 0)
-    edge = (_same_source(n, cut.select("source", "rest", "_fine_cut", "_fine_before"))
-            .filter(F.col("_fine") == F.col("_fine_cut"))
-            .withColumn("end", F.col("_fine_before") + F.sum("_size").over(w))
-            # the document that the budget ends in is taken if that comes nearer to it
-            .filter(F.col("end") - F.col("rest") < F.col("rest") - (F.col("end") - F.col("_size"))))
-    # a key that repeats (rows that are copies of each other) is taken as often as it fits
-    edge = saved(edge.groupBy("source", "_key").agg(F.max("end").alias("edge_end")), "mix-edge")
-    return cut, edge
+    lines = (_same_source(n, cut.select("source", F.col("rest").alias("_rest"), "_fine_cut", "_fine_before"))
+             .filter(F.col("_fine") == F.col("_fine_cut"))
+             .groupBy("source", "_key", "doc_id", "_size", "_rest", "_fine_before").agg(F.count(F.lit(1)).alias("m")))
+    lines = lines.withColumn("start", F.col("_fine_before") + F.sum(F.col("m") * F.col("_size")).over(w)
+                             - F.col("m") * F.col("_size"))
+    # the copy that the budget ends in is taken if that comes nearer to it
+    fit = F.ceil((F.col("_rest") - F.col("start")) / F.col("_size") - 0.5)
+    fit = F.when(F.col("_size") > 0, F.least(F.greatest(fit, F.lit(0)), F.col("m"))).otherwise(
+        F.when(F.col("start") < F.col("_rest"), F.col("m")).otherwise(0))
+    edge = lines.withColumn("q", fit.cast("long")).filter("q > 0").select("source", "_key", "q", "m")
+    return cut, saved(edge, "mix-edge")
+
+
+def _first_copies(narrow: DataFrame, part: DataFrame) -> DataFrame:
+    """_row of the first q rows of each line (source, _key, q) of ``part``. Copies are
+    counted per part of the written table, then numbered inside each part, so a
+    line of very many copies is spread over its parts."""
+    p = part.select(F.col("source").alias("_src"), F.col("_key").alias("_line"), "q")
+    rows = (narrow.join(p, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_key") == F.col("_line")))
+            .select("_src", "_line", "q", "_row", F.shiftright("_row", 33).alias("_part")))
+    line = ("_src", "_line")
+    before = Window.partitionBy(*line).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (rows.groupBy(*line, "_part").agg(F.count(F.lit(1)).alias("c"))
+             .withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
+             .select(F.col("_src").alias("_s"), F.col("_line").alias("_l"), F.col("_part").alias("_p"), "before"))
+    inside = F.row_number().over(Window.partitionBy(*line, "_part").orderBy("_row"))
+    return (rows.withColumn("i", inside)
+            .join(parts, F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_line") == F.col("_l")) & (F.col("_part") == F.col("_p")))
+            .filter(F.col("before") + F.col("i") <= F.col("q")).select(F.col("_row").alias("_taken")))
 
 
 def copies(rows: DataFrame, cut: DataFrame, edge: DataFrame) -> DataFrame:
     """Adds source_size, target and _copies (how often the mix takes the row).
-    ``cut`` has a row per source and ``edge`` the rows of one fine bucket per
+    ``cut`` has a row per source and ``edge`` the lines of one fine bucket per
     source; the planner broadcasts them if their measured size allows it."""
     d = _same_source(rows, cut.select("source", "source_size", "target", "epochs", "_coarse_cut", "_fine_cut"), "left")
-    e = edge.select(F.col("source").alias("_src"), F.col("_key").alias("_edge_key"))
+    e = edge.filter("q = m").select(F.col("source").alias("_src"), F.col("_key").alias("_edge_key"))
     d = d.join(e, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_key") == F.col("_edge_key")), "left")
     partial = (F.col("_coarse") < F.col("_coarse_cut")) \
         | ((F.col("_coarse") == F.col("_coarse_cut")) & (F.col("_fine") < F.col("_fine_cut"))) \
         | F.col("_edge_key").isNotNull()
+    part = edge.filter("q < m")
+    if not part.isEmpty():          # a budget ends among copies: at most one line per source
+        d = d.join(_first_copies(rows.select("source", "_key", "_row"), part), F.col("_row") == F.col("_taken"), "left")
+        partial = partial | F.col("_taken").isNotNull()
     return d.withColumn("_copies", F.col("epochs") + F.when(partial, 1).otherwise(0)) \
-        .drop("_src", "_edge_key", "_coarse_cut", "_fine_cut", "epochs")
+        .drop("_src", "_edge_key", "_coarse_cut", "_fine_cut", "epochs", "_taken")
 
 
 NARROW = ("doc_id", "source", "_size", "_key", "_coarse", "_fine")
@@ -144,7 +171,7 @@ NARROW = ("doc_id", "source", "_size", "_key", "_coarse", "_fine")
 def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """Per document: doc_id, size, source, source_size, target, taken."""
     d = id_text(docs, F.col("source").cast("string").alias("source"))
-    narrow = saved(keyed(d, seed).select(*NARROW), "mix-keys")
+    narrow = saved(keyed(d, seed).select(*NARROW, F.monotonically_increasing_id().alias("_row")), "mix-keys")
     out = copies(narrow, *plan(narrow, **options))
     return out.select("doc_id", F.col("_size").alias("size"), "source", "source_size", "target",
                       (F.col("_copies") * F.col("_size")).alias("taken"))
@@ -152,10 +179,10 @@ def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The mix itself: ``docs`` with every row as often as it is taken, same
-    columns. Only keys and sizes are shuffled; the texts stay in place."""
+    columns. Rows are written once with their number; only keys and sizes are shuffled."""
     d = keyed(id_text(docs, F.col("source").cast("string").alias("source"), F.struct("*").alias("_doc")), seed)
-    narrow = saved(d.select(*NARROW), "mix-keys")
-    out = copies(d, *plan(narrow, **options))
+    rows = saved(d.select(*NARROW, "_doc", F.monotonically_increasing_id().alias("_row")), "mix-rows")
+    out = copies(rows, *plan(rows.select(*NARROW), **options))
     copy = F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))
     return out.select("_doc", copy).select("_doc.*")
 

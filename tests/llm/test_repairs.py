@@ -132,3 +132,29 @@ def test_texts_of_megabytes(spark):
     for i, t in rows:
         assert gone[i].kept_sha256 == hashlib.sha256(bytes(gone[i].kept)).hexdigest()
     assert {r.doc_id: r.size for r in mixing.mix(docs).collect()} == {i: len(t.split()) for i, t in rows}
+
+
+@pytest.mark.parametrize("rows_of_one", [500, 3])
+def test_mix_of_repeated_rows_reaches_its_targets(spark, rows_of_one):
+    """A source of equal rows, beside others: taken words differ from the target by less than one text."""
+    rnd = random.Random(8)
+    same = [(1, "ten words are in this text as you can see", "en", "a", 1)] * rows_of_one
+    rows = same + [(10 + i, prose(rnd, rnd.randrange(1, 30)), "en", rnd.choice(["b", "c", None]), 1) for i in range(300)]
+    rows += [(900, None, "en", "b", 1), (900, None, "en", "b", 1), (901, "", "en", "c", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    out = mixing.mix(docs).collect()
+    assert len(out) == len(rows)
+    by = {}
+    for r in out:
+        by.setdefault(r.source, []).append(r)
+        assert r.taken in (0, r.size, 2 * r.size)
+    for source, rs in by.items():
+        assert abs(sum(r.taken for r in rs) - rs[0].target) <= max(r.size for r in rs), source
+        assert rs[0].source_size == sum(r.size for r in rs)
+    again = mixing.mix(docs.repartition(3)).collect()
+    assert Counter(map(str, out)) == Counter(map(str, again))
+    taken = Counter((r.doc_id, r.text, r.source) for r in mixing.mixed_rows(docs).collect())
+    sizes = Counter()
+    for (i, t, source), n in taken.items():
+        sizes[source] += n * len((t or "").split())
+    assert sizes == Counter({source: sum(r.taken for r in rs) for source, rs in by.items()})
