@@ -141,25 +141,31 @@ class Mixer:
         self.refined = None
 
     def inputs(self, symbols, ctx):
-        """Stretched predictions (decisions x predictors), gate, bit, owner."""
+        """Stretched predictions (predictors x decisions), gate, bit, owner."""
         import numpy as np
         node, spread, bit, who = self.tree.decisions(symbols)
-        x = np.empty((len(node), ORDERS + 1), np.float32)
-        x[:, 0] = self.st[0][node]
+        x = np.empty((ORDERS + 1, len(node)), np.float32)
+        np.take(self.st[0], node, out=x[0], mode="clip")      # places are valid; the default mode copies
         gate = np.zeros(len(node), np.int64)
         for k in range(1, ORDERS + 1):
             s = slots(ctx[k - 1], spread, who)
-            x[:, k] = self.st[k][s]
-            if k == 1:
-                gate += self.conf[k][s]
-            if k == 2:
-                gate += 4 * self.conf[k][s].astype(np.int64)
+            np.take(self.st[k], s, out=x[k], mode="clip")
+            if k <= 2:
+                gate += self.conf[k][s] * np.uint8(4 if k == 2 else 1)
         return x, gate, bit, who
 
+    def stretched(self, x, gate):
+        """The mixed prediction of each decision before it is squashed."""
+        import numpy as np
+        z = x[0] * self.weights[:, 0][gate]
+        for k in range(1, ORDERS + 1):
+            z += x[k] * self.weights[:, k][gate]
+        return np.clip(z, -12, 12, out=z)
+
     def cost(self, x, gate, bit):
         """log10 probability of each decision."""
         import numpy as np
-        z = np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -12, 12)
+        z = self.stretched(x, gate)
         p = 1 / (1 + np.exp(-z))
         if self.refined is not None:
             place = (z + 12) * np.float32((BUCKETS - 1) / 24)
@@ -168,19 +174,19 @@ class Mixer:
             flat, at = self.refined, gate * BUCKETS + lo
             low = flat[at]
             p = np.float32(0.5) * (p + low + (flat[at + 1] - low) * part)
-        p = np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6))
+        np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6), out=p)
         return np.log10(np.where(bit == 1, p, 1 - p))
 
     def learn(self, x, gate, bit, seen):
         """Online steps over blocks of decisions; ``seen`` gathers refinement counts."""
         import numpy as np
         for i in range(0, len(bit), BLOCK):
-            xb, gb, yb = x[i:i + BLOCK], gate[i:i + BLOCK], bit[i:i + BLOCK].astype(np.float32)
-            z = np.clip(np.einsum("ij,ij->i", xb, self.weights[gb]), -12, 12)
+            xb, gb, yb = x[:, i:i + BLOCK], gate[i:i + BLOCK], bit[i:i + BLOCK].astype(np.float32)
+            z = self.stretched(xb, gb)
             error = yb - 1 / (1 + np.exp(-z))
             n = np.bincount(gb, minlength=GATES)
             for k in range(ORDERS + 1):
-                step = np.bincount(gb, weights=error * xb[:, k], minlength=GATES)
+                step = np.bincount(gb, weights=error * xb[k], minlength=GATES)
                 self.weights[:, k] += RATE * (step / np.sqrt(np.maximum(n, 1))).astype(np.float32)
             at = gb * BUCKETS + np.rint((z + 12) * ((BUCKETS - 1) / 24)).astype(np.int64)
             seen[0] += np.bincount(at, minlength=GATES * BUCKETS)
