@@ -84,10 +84,25 @@ def _offsets(tagged: DataFrame) -> DataFrame:
 
 
 def with_position(df: DataFrame, order_by, partition_by=None, name: str = "pos",
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, unique: bool = False) -> DataFrame:
     """WN1: 0-based position in ``order_by`` order, over the whole table or
     within each ``partition_by`` group. Ties are broken arbitrarily but
-    consistently (the positions are a permutation)."""
+    consistently (the positions are a permutation).
+
+    With ``unique`` the order columns (names; group columns included) tell all
+    rows apart: then only they are sorted and checkpointed, and the positions are
+    joined to the rows; rows that share them after all fail."""
+    if unique:
+        keys = list(dict.fromkeys([*([order_by] if isinstance(order_by, str) else order_by),
+                                   *([partition_by] if isinstance(partition_by, str) else partition_by or [])]))
+        if len(keys) < len(df.columns):
+            pos = with_position(df.select(*keys), order_by, partition_by, name, partitions)
+            again = pos.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(name).alias(name))
+            twice = F.raise_error(F.lit("with_position: rows share their order columns")).cast("bigint")
+            once = again.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                                F.when(F.col("_n") == 1, F.col(name)).otherwise(twice).alias(name))
+            same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+            return df.join(once, same).drop(*[f"_k{i}" for i in range(len(keys))])
     group = _cols(partition_by) if partition_by else []
     tagged = sorted_checkpoint(df, group + _cols(order_by), partitions)
     spark = df.sparkSession

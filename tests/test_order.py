@@ -34,7 +34,24 @@ def test_position_in_hot_group_matches_row_number(spark):
 def test_position_plan_has_no_unpartitioned_window(spark):
     df = _skewed(spark, 200)
     plan = OR.with_position(df, ["v"])._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan or "partitionBy" in plan
+    assert "Window" not in plan
+    grouped = OR.with_position(df, ["v"], partition_by=["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in grouped and "SinglePartition" not in grouped
+
+
+def test_position_by_unique_keys_moves_keys_only(spark):
+    rows = [(None if i == 7 else i * 37 % 1000, i % 3, "wide " * 20) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, g int, text string")
+    got = OR.with_position(df, ["k"], unique=True, partitions=5)
+    assert got.columns == ["k", "g", "text", "pos"]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    assert {(r.k, r.pos) for r in got.collect()} == {(k, i) for i, (k, _, _) in enumerate(order)}
+    inside = OR.with_position(df, ["k"], partition_by=["g"], unique=True, partitions=5).collect()
+    for g in range(3):
+        part = [k for k, h, _ in order if h == g]
+        assert {(r.k, r.pos) for r in inside if r.g == g} == {(k, i) for i, k in enumerate(part)}
+    with pytest.raises(Exception, match="share their order columns"):
+        OR.with_position(df.withColumn("k", F.lit(1)), ["k"], unique=True).collect()
 
 
 @pytest.mark.parametrize("total,n", [(10, 3), (2, 8), (16, 8), (0, 3), (1000, 8), (7, 7)])
