@@ -66,7 +66,7 @@ def flagship(spark, sf_dir):
 
 
 def _prompt_sql(task, mode, source="examples", keys="idx"):
-    user, _ = T.layout(task, mode)
+    user, _ = O.layout(task, mode)
     sys_text = TX.sql_str(T.SYSTEM_TEXTS[(task, mode)])
     return f"SELECT {keys}, " + O.chatml([("'system'", sys_text), ("'user'", O.content(user))], True) + \
         f" AS prompt FROM {source}"
@@ -83,7 +83,7 @@ def _render_full(spark, sf_dir):
 
 
 def _render_full_sql(task="hg", mode=T.TRAIN):
-    user, asst = T.layout(task, mode)
+    user, asst = O.layout(task, mode)
     sys_text = TX.sql_str(T.SYSTEM_TEXTS[(task, mode)])
     return ("SELECT idx, " + O.chatml([("'system'", sys_text), ("'user'", O.content(user)),
                                        ("'assistant'", O.content(asst))]) + " AS text FROM examples")
@@ -137,7 +137,7 @@ def _by_task_column_sql():
 
     def case(which):
         return "CASE " + " ".join(
-            f"WHEN task = '{t}' THEN {O.content(T.layout(t, T.TRAIN)[which])}"
+            f"WHEN task = '{t}' THEN {O.content(O.layout(t, T.TRAIN)[which])}"
             for t in T.TASKS) + " END"
     src = (f"(SELECT e.*, {case_task} AS task FROM examples e JOIN documents d ON d.doc_id = e.idx)")
     routed = (f"(SELECT *, CASE WHEN contains(task, 'stg2') THEN 2 ELSE 1 END AS stage, "
@@ -394,7 +394,7 @@ def _profile(spark, sf_dir):
 
 
 def _profile_sql():
-    user, asst = T.layout(PAIR_TASK, T.TRAIN)
+    user, asst = O.layout(PAIR_TASK, T.TRAIN)
     sys_text = TX.sql_str(T.SYSTEM_TEXTS[(PAIR_TASK, T.TRAIN)])
     return fx.with_fixtures(
         f"SELECT CAST(max({_tok_count_sql(sys_text)}) AS BIGINT) AS max_system_tokens, "
@@ -852,7 +852,7 @@ def _preview_gen(spark, sf_dir):
 
 
 def _preview_gen_sql():
-    user, asst = T.layout("hg", T.INFER)
+    user, asst = O.layout("hg", T.INFER)
     inner = _prompt_sql("hg", T.INFER, source="few", keys=f"idx, {O.content(user)} AS user, {O.content(asst)} AS ground_truth")
     return fx.with_fixtures(
         f"SELECT idx, user, ground_truth, CASE WHEN L % 7 <> 0 THEN 'answer ' || (L + L % 4) "
