@@ -133,6 +133,8 @@ RULES = [
     ("CC-BY-4.0", "<CCBY4ref>"),
     ("Proprietary", "<ALLRIGHTS>"),
 ]
+# This rule names no licence where another rule did: open licences are headed by the same line.
+ALONE = "Proprietary"
 
 # A text without any of these has no known sentence (a test checks that every
 # sentence above holds one), so it is not cut into sentences at all.
@@ -173,7 +175,8 @@ def scan(docs: DataFrame, known=SENTENCES, rules=RULES) -> DataFrame:
     def apply(state: Column, rule: Column) -> Column:
         return F.struct(
             F.regexp_replace(state.seq, rule.pattern, F.lit("")).alias("seq"),
-            F.when(F.rlike(state.seq, rule.pattern), F.concat(state.lic, F.array(rule["name"])))
+            F.when(F.rlike(state.seq, rule.pattern) & ((rule["name"] != ALONE) | (F.size(state.lic) == 0)),
+                   F.concat(state.lic, F.array(rule["name"])))
             .otherwise(state.lic).alias("lic"))
 
     d = (id_text(docs).withColumn("low", low)
@@ -201,8 +204,9 @@ def oracle(known=SENTENCES, rules=RULES) -> str:
              f"""k AS (SELECT doc_id, list_filter(list_transform(p, lambda x: map_extract(MAP([{keys}], [{vals}]), trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g')))[1]), lambda y: y IS NOT NULL) AS ids FROM l)""",
              """r0 AS (SELECT doc_id, ids, CASE WHEN len(ids) > 0 THEN '<' || array_to_string(ids, '><') || '>' ELSE '' END AS seq, CAST([] AS VARCHAR[]) AS lic FROM k)"""]
     for n, (name, pattern) in enumerate(rules):
+        alone = " AND len(lic) = 0" if name == ALONE else ""
         steps.append(f"""r{n + 1} AS (SELECT doc_id, ids, regexp_replace(seq, {q(pattern)}, '', 'g') AS seq,
-  CASE WHEN regexp_matches(seq, {q(pattern)}) THEN list_append(lic, {q(name)}) ELSE lic END AS lic FROM r{n})""")
+  CASE WHEN regexp_matches(seq, {q(pattern)}){alone} THEN list_append(lic, {q(name)}) ELSE lic END AS lic FROM r{n})""")
     return "WITH " + ",\n".join(steps) + f"""
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_known, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
   coalesce(array_to_string(lic, ','), '') AS licenses, seq AS unmatched FROM r{len(rules)}"""

@@ -98,7 +98,8 @@ def test_license_wrapped_sentence_and_rule_order(spark):
     grant, notice = (s for i, s in licenses.SENTENCES if i in ("MITgrant", "MITnotice"))
     wrapped = grant.replace(" to ", "\n# to ") + ":\n\n" + notice.upper() + ".\nNo end here\nAll rights reserved"
     r = licenses.scan(spark.createDataFrame([(1, wrapped)], "doc_id long, text string")).first()
-    assert r.sentence_ids == "MITgrant,MITnotice,ALLRIGHTS" and r.licenses == "MIT,Proprietary" and r.unmatched == ""
+    # "All rights reserved" beside an open licence names no licence of its own
+    assert r.sentence_ids == "MITgrant,MITnotice,ALLRIGHTS" and r.licenses == "MIT" and r.unmatched == ""
 
 
 MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
@@ -217,6 +218,14 @@ def test_license_rules_on_published_headers(spark):
     assert [(texts[r.doc_id][0], r.unmatched) for r in got] == [(r.licenses, "") for r in got]
 
 
+def test_rights_line_of_a_published_header_is_no_licence(spark):
+    texts = ["Copyright (c) 2019, The Authors\nAll rights reserved.\n\n" + t for name, t in HEADERS if name != "Proprietary"]
+    texts += [t + "\nAll rights reserved.\n" for name, t in HEADERS if name != "Proprietary"]
+    names = [name for name, _ in HEADERS if name != "Proprietary"] * 2
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(names[r.doc_id], r.unmatched) for r in got] == [(r.licenses, "") for r in got]
+
+
 def test_mixing_reaches_targets(spark):
     rows = [(i, "w " * (1 + i * 37 % 50), f"s{i % 5}" if i % 11 else None) for i in range(3000)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
