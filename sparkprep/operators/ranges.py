@@ -58,8 +58,9 @@ def with_range(table: DataFrame, key: Column, ranges: int | None = None, name: s
     spark = table.sparkSession
     rows = table.count()
     ranges = ranges or n_ranges(spark, rows)
+    one = F.least(F.col(ROW), F.lit(0)).cast("int")         # 0, but not a constant: a window over it is a grouped one
     if ranges == 1:
-        return table.withColumn(name, F.lit(0))
+        return table.withColumn(name, one)
     every = max(1, rows // (ranges * SAMPLE_PER_RANGE))
     step = max(1, rows // every // ranges)
     sample = (table.select(key.alias("k"), F.xxhash64(ROW).alias("_h")).where(F.pmod("_h", F.lit(every)) == 0)
@@ -68,7 +69,7 @@ def with_range(table: DataFrame, key: Column, ranges: int | None = None, name: s
     bounds = sample.first().k[:ranges - 1]
     kind = sample.schema["k"].dataType
     if not bounds:
-        return table.withColumn(name, F.lit(0))
+        return table.withColumn(name, one)
     # two lists instead of one: every wide-th boundary, then those between two of these
     wide = math.isqrt(len(bounds)) + 1
     coarse = _constant(spark, bounds[wide - 1::wide], kind)
