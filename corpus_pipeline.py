@@ -6,7 +6,8 @@ and returns a DataFrame; all but the last return the columns of documents.
 back as the next one's input, so a lost executor costs a re-read, not a re-run.
 
 Nulls, empty tables, repeated rows and further columns: see the operators; no
-stage drops a row for any of these alone.
+stage drops a row for any of these alone (repeated rows are near copies of each
+other, of which one stays).
 """
 
 from __future__ import annotations
@@ -54,8 +55,8 @@ STAGES = [
     ("training_shards", write_training_order),
 ]
 
-# Learned scores, minhashes and token ids are beyond SQL; tests compare each
-# stage with a brute-force version instead.
+# Learned scores, minhashes and token ids are beyond SQL; tests hold the stages and
+# the run against brute force over a small table instead.
 ORACLE_SQL = None
 
 
