@@ -210,15 +210,20 @@ def records_to_table(spark: SparkSession, path: str, out: str, fields=RECORD_FIE
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """SR2: preference pairs (news, chosen, rejected) with ``idx``.
 
-    Parquet input is read directly. A saved Arrow dataset directory (shards
+    Parquet input is read directly, in natural order of its files. A saved Arrow dataset directory (shards
     listed in its state file) is opened with Spark's own reader of binary files,
     so any path that Spark can open will do: one row per shard, whose record
     batches are decoded in the task. The row order of the dataset becomes ``idx``.
     """
     state = spark.read.format("binaryFile").option("pathGlobFilter", "state.json").load(path).select("content").first()
     if state is None:
-        df = spark.read.schema(PAIR_SCHEMA).parquet(path)
-        return _positioned(_scan_order(df.select("*", "_metadata")), ["_file", "_block"], "idx").drop("_file", "_block")
+        # Parquet knows each row's place in its file, however the file is split
+        df = spark.read.schema(PAIR_SCHEMA).parquet(path).select(
+            "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+        files = written(df.groupBy("_file").agg(F.count(F.lit(1)).alias("_cnt")), "pair-files")
+        before = running_total(files, [_natural_order(F.col("_file"))], F.col("_cnt"), "_before").drop("_cnt")
+        return (df.join(before, "_file").withColumn("idx", F.col("_before") + F.col("_place"))
+                .drop("_file", "_place", "_before"))
     names = [d["filename"] for d in json.loads(bytes(state.content)).get("_data_files", [])]
     order = spark.createDataFrame(list(enumerate(names)), "shard int, name string")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(path)
