@@ -271,3 +271,49 @@ def test_rouge_merge_and_aggregate_methods_agree(spark):
     agg = {r.pair_id: tuple(r[1:]) for r in rouge1(df, method="aggregate").collect()}
     assert merge == agg and len(merge) == 123
     assert merge[502][0] == 3  # {a, b, c} with b twice in hyp, c twice in ref
+
+
+def test_token_hook_gives_its_tokenizer_few_texts_at_a_time(spark):
+    from sparkprep.functions.tokens import TokenHook
+
+    def make():
+        def batch(texts):
+            if len(texts) > 1000 or len(texts) > 1 and sum(map(len, texts)) > 1 << 20:
+                raise ValueError("too many texts together")
+            return [([ord(c) for c in t], list(range(len(t))), list(range(1, len(t) + 1))) for t in texts]
+        return batch
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    hook = TokenHook(make)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 1000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 4 << 20
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")         # whatever the batches are
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    df = spark.range(0, 3000, 1, 1).selectExpr(
+        "id", "CASE WHEN id % 7 = 0 THEN NULL WHEN id = 1 THEN repeat('y', 2000000) ELSE repeat('x', cast(id as int)) END AS t")
+    got = df.select("id", hook.count("t").alias("n"), F.length(hook.last("t", 5)).alias("last"),
+                    F.length(hook.first("t", 5)).alias("first"), F.size(hook.array("t")).alias("ids")).collect()
+    for r in got:
+        n = None if r.id % 7 == 0 else 2_000_000 if r.id == 1 else r.id
+        assert r.n == n and (n is None or r.ids == n)
+        assert r.last == r.first == (None if n is None else min(n, 5))
+
+
+def test_counts_and_cuts_hand_back_no_tokens(spark):
+    from sparkprep.functions.tokens import utf8_tokens
+    df = spark.createDataFrame([(1, "p", "c", "r")], "id int, prompt string, chosen string, rejected string")
+    plan = fit_pair(df, 6, 10, tokens=utf8_tokens())._jdf.queryExecution().optimizedPlan()
+    udfs = [a.dataType().simpleString() for a in _outputs(plan, "ArrowEvalPython")]
+    assert len(udfs) == 6 and not [t for t in udfs if "array" in t]
+
+
+def _outputs(plan, node):
+    """Attributes that the Python steps of a plan add."""
+    got = []
+    if plan.nodeName() == node:
+        attrs = plan.resultAttrs()
+        got += [attrs.apply(i) for i in range(attrs.size())]
+    children = plan.children()
+    for i in range(children.size()):
+        got += _outputs(children.apply(i), node)
+    return got
