@@ -131,3 +131,23 @@ def test_stages_have_their_own_settings(spark):
     held = two_stage_inference(recs, "rationale_hg_stg1_ecnc", "rationale_hg_stg2_ecnc", G.echo_model, num_check1=True,
                                batch_size2=3).collect()
     assert sum(" and " in r.rationale for r in held) < sum(" and " in r.rationale for r in free)
+
+
+def test_generation_takes_few_rows_at_a_time_in_whole_model_batches(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def make():
+        def model(prompts, attempt=0):
+            with open(log, "a") as f:
+                f.write(f"{len(prompts)}\n")
+            return [p + " answer 1" for p in prompts]
+        return model
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(rows, "10000")
+    spark.conf.set(size, "64m")
+    ex = spark.range(0, 2600, 1, 1).selectExpr("id AS idx", "repeat('n', 50) AS news", "'h' AS headline")
+    out = G.generate(build_messages(ex, "hg", T.INFER), make, k=1, batch_size=1300)
+    assert int(spark.conf.get(rows)) == 1000 and int(spark.conf.get(size)) == 4 << 20
+    got = out.select("idx", "text").collect()
+    assert sorted(r.idx for r in got) == list(range(2600)) and {r.text for r in got} == {"answer 1"}
+    assert open(log).read().split() == ["1300", "1300"]
