@@ -346,3 +346,34 @@ def test_arrow_shards_round_trip_by_a_path_only_spark_can_open(spark, tmp_path):
     os.rename(tmp_path / "pairs" / state["_data_files"][0]["filename"], tmp_path / "pairs" / "other.arrow")
     with pytest.raises(FileNotFoundError):
         S.read_pairs(spark, str(tmp_path / "pairs"))
+
+
+def test_pairs_are_joined_without_a_second_shuffle_of_the_joined_texts(spark, tmp_path):
+    from sparkprep.plans import fixtures as fx
+    rows = [(i, f"t{i}") for i in range(30) if i != 11] + [(3, "again"), (None, "none")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = fx.pairs(spark, str(tmp_path))
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 3
+        got = sorted(map(tuple, pairs.select("pair_id", "news", "chosen", "rejected").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == sorted((a, t, u, v) for a, t in rows for b, u in rows for c, v in rows
+                         if None not in (a, b, c) and b == a + 1 and c == a + 2)
+
+
+def test_arrow_pairs_are_read_without_a_copy(spark, tmp_path):
+    import glob
+    from sparkprep.session import shared_dir
+    from sparkprep.sources.sinks import write_arrow_shards
+    rows = [(i, f"news {i}", f"c{i}", f"r{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "pair_id long, news string, chosen string, rejected string")
+    write_arrow_shards(df, str(tmp_path / "pairs"), "pair_id")
+    folder = shared_dir(spark).replace("file:", "")
+    before = set(glob.glob(folder + "/*"))
+    got = S.read_pairs(spark, str(tmp_path / "pairs"))
+    assert sorted(map(tuple, got.select("idx", "news", "chosen", "rejected").collect())) == rows
+    assert set(glob.glob(folder + "/*")) == before
