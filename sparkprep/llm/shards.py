@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import id_text, saved, shipped
+from .common import id_text, saved, shipped, sliced
 from .tokencount import PRE_TOKEN, check_model
 
 LENGTH = 1024
 PER_SHARD = 8192
+TEXTS = 64                  # texts that are split and looked up together: their words stay in the processor's cache
 END, PAD = 2, 0
 KEY = 20240917
 ROUNDS = 4
@@ -142,21 +143,19 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH, dictionary: byte
                  pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.int64())],
                 names=["doc_ids", "n_tokens", "ids", "crc"])
 
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                texts = [keys_of(t) for t in part.column("text").to_pylist()]
-                ids_of.learn(set(chain.from_iterable(texts)))
-                for doc_id, tokens in zip(part.column("doc_id").to_pylist(), texts):
-                    buffer += b"".join(map(ids_of.__getitem__, tokens))
-                    buffer += end
-                    owners.append((doc_id, len(buffer)))
-                if len(buffer) >= 256 * size:
-                    yield cut(len(buffer) // size)
+        for part in batches:
+            texts = [keys_of(t) for t in part.column("text").to_pylist()]
+            ids_of.learn(set(chain.from_iterable(texts)))
+            for doc_id, tokens in zip(part.column("doc_id").to_pylist(), texts):
+                buffer += b"".join(map(ids_of.__getitem__, tokens))
+                buffer += end
+                owners.append((doc_id, len(buffer)))
+            if len(buffer) >= 256 * size:
+                yield cut(len(buffer) // size)
         if buffer:
             yield cut(-(-len(buffer) // size))
 
-    return id_text(docs).mapInArrow(run, "doc_ids array<long>, n_tokens int, ids binary, crc long")
+    return id_text(docs).mapInArrow(sliced(run, TEXTS), "doc_ids array<long>, n_tokens int, ids binary, crc long")
 
 
 def feistel(index, n: int, key: int = KEY):
@@ -217,7 +216,7 @@ def write_shards(slots: DataFrame, n: int, path: str, dictionary: bytes, per_sha
 
     shards = max(1, -(-n // per_shard))
     (slots.select("slot", "shard", "ids").repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
-     .select("ids").mapInArrow(unpacked, "ids binary")
+     .select("ids").mapInArrow(sliced(unpacked), "ids binary")
      # the text writer puts out a value's bytes as they are and a line feed
      .select(F.col("ids").cast("string").alias("value")).write.text(path))
 
