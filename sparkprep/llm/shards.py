@@ -18,7 +18,6 @@ columns do not matter; an empty table writes no shards and gives no rows.
 from __future__ import annotations
 
 import zlib
-from array import array
 from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,7 +29,7 @@ from .tokencount import PRE_TOKEN, check_model
 
 LENGTH = 1024
 PER_SHARD = 8192
-TEXTS = 64                  # texts that are split and looked up together: their words stay in the processor's cache
+WORDS = 1 << 18             # words whose ids are put together at a time
 END, PAD = 2, 0
 KEY = 20240917
 ROUNDS = 4
@@ -40,16 +39,22 @@ def stride(length: int = LENGTH) -> int:
     return 2 * length + 1
 
 
-class PieceIds(dict):
-    """pre-token without its first space -> its ids as little-endian 16-bit
-    bytes, remembered up to a limit and kept between the tasks of one worker."""
+class PieceIds:
+    """Ids of pre-tokens without their first space, remembered up to a limit and
+    kept between the tasks of one worker. Words are an Arrow array, so that those of
+    a whole batch are looked up at once; number 0 is the end of a text, number k the
+    word k - 1, and its ids lie at ``start[k]``, ``length[k]`` of them."""
     LIMIT = 300_000
     _by_path: dict[str, PieceIds] = {}
 
     def __init__(self, path: str):
+        import numpy as np
+        import pyarrow as pa
         import sentencepiece
-        super().__init__()
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.space = [self.sp.piece_to_id("▁")]
+        self.words, self.uses = pa.array([], pa.string()), np.zeros(0, np.int64)
+        self.ids, self.start, self.length = np.array([END], "<u2"), np.array([0]), np.array([1])
 
     @classmethod
     def of(cls, path: str) -> PieceIds:
@@ -61,15 +66,49 @@ class PieceIds(dict):
     def forget(cls) -> None:
         cls._by_path.clear()
 
-    def learn(self, tokens: set[str]) -> None:
-        """Tokenize the tokens not known yet, all in one call."""
-        new = [t for t in tokens if t not in self]
-        if len(self) + len(new) > self.LIMIT:
-            self.clear()
-            new = list(tokens)
-        space = [self.sp.piece_to_id("▁")]
-        for t, ids in zip(new, self.sp.encode(new, num_threads=1)):
-            self[t] = array("H", ids or space).tobytes()
+    def halve(self) -> None:
+        """Forget all but the words that were in the most batches."""
+        import numpy as np
+        import pyarrow as pa
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[:self.LIMIT // 2])
+        self.words, self.uses = self.words.take(pa.array(keep)), self.uses[keep] // 2
+        k = np.append(0, keep + 1)
+        self.ids, n = self.ids_of(k), self.length[k]
+        self.start, self.length = np.cumsum(n) - n, n
+
+    def learn(self, new) -> None:
+        import numpy as np
+        import pyarrow as pa
+        got = self.sp.encode(new.to_numpy(zero_copy_only=False).tolist(), num_threads=1)
+        got = [ids or self.space for ids in got]
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        self.start = np.append(self.start, len(self.ids) + np.cumsum(n) - n)
+        self.length = np.append(self.length, n)
+        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(got), "<u2", int(n.sum())))
+        self.words, self.uses = pa.concat_arrays([self.words, new]), np.append(self.uses, np.zeros(len(new), np.int64))
+
+    def numbers(self, words):
+        """The number of each of the distinct ``words``; valid until the next call."""
+        import numpy as np
+        import pyarrow.compute as pc
+        at = pc.index_in(words, value_set=self.words)
+        if len(self.words) + at.null_count > self.LIMIT and len(self.words):
+            self.halve()
+            at = pc.index_in(words, value_set=self.words)
+        known, new = len(self.words), words.filter(pc.is_null(at))
+        if len(new):
+            self.learn(new)
+        at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[at < 0] = known + np.arange(len(new))
+        self.uses[at] += 1
+        return at + 1
+
+    def ids_of(self, numbers):
+        """The ids of the numbers, one after the other."""
+        import numpy as np
+        n = self.length[numbers]
+        place = np.arange(int(n.sum())) + np.repeat(self.start[numbers] - (np.cumsum(n) - n), n)
+        return self.ids[place]
 
 
 def keys_of(text: str | None) -> list[str]:
@@ -77,9 +116,23 @@ def keys_of(text: str | None) -> list[str]:
     its input anyway."""
     if not text:
         return []
-    if "  " in text or "▁" in text or text[0] == " " or text[-1] == " ":
-        return [t[1:] for t in PRE_TOKEN.findall(" " + text)]
-    return text.split(" ")
+    return [t[1:] for t in PRE_TOKEN.findall(" " + text)]
+
+
+def keys_of_all(texts):
+    """``keys_of`` of an Arrow array of texts: texts whose spaces stand alone between
+    words are just split."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    keys = pc.split_pattern(texts, " ")
+    odd = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, "  |▁|^ | $|^$"), True).to_numpy(zero_copy_only=False))
+    if len(odd):
+        others = pa.array([keys_of(t) for t in texts.take(pa.array(odd)).to_pylist()], keys.type)
+        order = np.arange(len(texts))
+        order[odd] = len(texts) + np.arange(len(odd))
+        keys = pa.concat_arrays([keys, others]).take(pa.array(order))
+    return keys
 
 
 # Sequences wait compressed until they are written; a dictionary trained on a
@@ -117,8 +170,8 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH, dictionary: byte
 
     def run(batches):
         import pyarrow as pa
-        ids_of, pack = PieceIds.of(path), Packer(dictionary).pack
-        end = END.to_bytes(2, "little")
+        import numpy as np
+        pieces, pack = PieceIds.of(path), Packer(dictionary).pack
         buffer, owners = bytearray(), []        # owners: (doc_id, end of its ids in buffer)
         size = 2 * length
 
@@ -144,18 +197,21 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH, dictionary: byte
                 names=["doc_ids", "n_tokens", "ids", "crc"])
 
         for part in batches:
-            texts = [keys_of(t) for t in part.column("text").to_pylist()]
-            ids_of.learn(set(chain.from_iterable(texts)))
-            for doc_id, tokens in zip(part.column("doc_id").to_pylist(), texts):
-                buffer += b"".join(map(ids_of.__getitem__, tokens))
-                buffer += end
-                owners.append((doc_id, len(buffer)))
+            keys = keys_of_all(part.column("text").cast(pa.string()))
+            n_words = keys.value_lengths().to_numpy()
+            words = keys.flatten().dictionary_encode()
+            numbers = pieces.numbers(words.dictionary)[words.indices.to_numpy()]
+            numbers = np.insert(numbers, np.cumsum(n_words), 0)
+            n_ids = np.cumsum(pieces.length[numbers])[np.cumsum(n_words + 1) - 1]
+            owners += zip(part.column("doc_id").to_pylist(), (len(buffer) + 2 * n_ids).tolist())
+            for at in range(0, len(numbers), WORDS):
+                buffer += pieces.ids_of(numbers[at:at + WORDS]).tobytes()
             if len(buffer) >= 256 * size:
                 yield cut(len(buffer) // size)
         if buffer:
             yield cut(-(-len(buffer) // size))
 
-    return id_text(docs).mapInArrow(sliced(run, TEXTS), "doc_ids array<long>, n_tokens int, ids binary, crc long")
+    return id_text(docs).mapInArrow(sliced(run), "doc_ids array<long>, n_tokens int, ids binary, crc long")
 
 
 def feistel(index, n: int, key: int = KEY):
