@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix64, saved, shipped, sliced, text_bytes, word_count, WordHash, words
+from .common import hash_words, mix64, saved, settled, shipped, sliced, text_bytes, word_count, WordHash, words
 
 # Fixed masks: 1 = the word takes part in the seed.
 MASKS = ("11100101011", "11011000111", "10110110101", "11010011011")
@@ -217,7 +217,8 @@ def contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """Rows of ``docs`` without a benchmark passage, same columns."""
-    bad = contaminated(docs, bench).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct()
+    bad = settled(docs.sparkSession, lambda: contaminated(docs, bench).select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct(), "contaminated-rows")
     on = docs["doc_id"].cast("long").eqNullSafe(bad["_id"]) \
         & (F.xxhash64(docs["text"].cast("string")) == bad["_th"])
     return docs.join(bad, on, "left_anti")

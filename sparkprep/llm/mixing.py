@@ -147,10 +147,12 @@ def _first_copies(narrow: DataFrame, part: DataFrame) -> DataFrame:
             .filter(F.col("before") + F.col("i") <= F.col("q")).select(F.col("_row").alias("_taken")))
 
 
-def copies(rows: DataFrame, cut: DataFrame, edge: DataFrame) -> DataFrame:
+def copies(rows: DataFrame, cut: DataFrame, edge: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
     """Adds source_size, target and _copies (how often the mix takes the row).
     ``cut`` has a row per source and ``edge`` the lines of one fine bucket per
-    source; the planner broadcasts them if their measured size allows it."""
+    source; the planner broadcasts them if their measured size allows it.
+    ``numbered``: a written table of the rows of the lines that a budget ends in
+    (default: of all rows)."""
     d = _same_source(rows, cut.select("source", "source_size", "target", "epochs", "_coarse_cut", "_fine_cut"), "left")
     e = edge.filter("q = m").select(F.col("source").alias("_src"), F.col("_key").alias("_edge_key"))
     d = d.join(e, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_key") == F.col("_edge_key")), "left")
@@ -159,7 +161,7 @@ def copies(rows: DataFrame, cut: DataFrame, edge: DataFrame) -> DataFrame:
         | F.col("_edge_key").isNotNull()
     part = edge.filter("q < m")
     if not part.isEmpty():          # a budget ends among copies: at most one line per source
-        d = d.join(_first_copies(rows.select("source", "_key", "_row"), part), F.col("_row") == F.col("_taken"), "left")
+        d = d.join(_first_copies((rows if numbered is None else numbered).select("source", "_key", "_row"), part), F.col("_row") == F.col("_taken"), "left")
         partial = partial | F.col("_taken").isNotNull()
     return d.withColumn("_copies", F.col("epochs") + F.when(partial, 1).otherwise(0)) \
         .drop("_src", "_edge_key", "_coarse_cut", "_fine_cut", "epochs", "_taken")
@@ -179,10 +181,18 @@ def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The mix itself: ``docs`` with every row as often as it is taken, same
-    columns. Rows are written once with their number; only keys and sizes are shuffled."""
-    d = keyed(id_text(docs, F.col("source").cast("string").alias("source"), F.struct("*").alias("_doc")), seed)
-    rows = saved(d.select(*NARROW, "_doc", F.monotonically_increasing_id().alias("_row")), "mix-rows")
-    out = copies(rows, *plan(rows.select(*NARROW), **options))
+    columns. Only keys and sizes are written and shuffled; rows are read again with
+    their keys. Those of a line that a budget ends in (one per source) are written."""
+    d = keyed(id_text(docs, F.col("source").cast("string").alias("source"), F.struct("*").alias("_doc")), seed) \
+        .select(*NARROW, "_doc")
+    cut, edge = plan(saved(d.select(*NARROW), "mix-keys"), **options)
+    part, lines = edge.filter("q < m"), None
+    if not part.isEmpty():
+        p = part.select(F.col("source").alias("_src"), F.col("_key").alias("_line"))
+        on = F.col("source").eqNullSafe(F.col("_src")) & (F.col("_key") == F.col("_line"))
+        lines = saved(d.join(p, on, "left_semi").withColumn("_row", F.monotonically_increasing_id()), "mix-lines")
+        d = d.join(p, on, "left_anti").withColumn("_row", F.lit(-1).cast("long")).unionByName(lines)
+    out = copies(d, cut, edge, lines)
     copy = F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))
     return out.select("_doc", copy).select("_doc.*")
 

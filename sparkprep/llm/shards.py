@@ -29,7 +29,8 @@ from .tokencount import PRE_TOKEN, check_model
 
 LENGTH = 1024
 PER_SHARD = 8192
-WORDS = 1 << 18             # words whose ids are put together at a time
+TEXTS = 250                 # texts whose words are looked up together
+WORDS = 1 << 16             # words whose ids are put together at a time
 END, PAD = 2, 0
 KEY = 20240917
 ROUNDS = 4
@@ -211,7 +212,7 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH, dictionary: byte
         if buffer:
             yield cut(-(-len(buffer) // size))
 
-    return id_text(docs).mapInArrow(sliced(run), "doc_ids array<long>, n_tokens int, ids binary, crc long")
+    return id_text(docs).mapInArrow(sliced(run, TEXTS), "doc_ids array<long>, n_tokens int, ids binary, crc long")
 
 
 def feistel(index, n: int, key: int = KEY):

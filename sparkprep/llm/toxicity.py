@@ -31,7 +31,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, id_text, saved, shipped, sliced, text_bytes
+from .common import fold, id_text, saved, settled, shipped, sliced, text_bytes
 
 HELD_OUT, FOLDS = 2, 4          # crc32(id) mod 4 == 2 is never learned from
 LEXICON_FOLD, TREE_FOLD, CALIBRATION_FOLD = 0, 1, 3
@@ -216,8 +216,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are not predicted toxic, same columns."""
-    bad = scored(docs, labels).filter("predicted = 1") \
-        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct()
+    bad = settled(docs.sparkSession, lambda: scored(docs, labels).filter("predicted = 1").select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct(), "toxic-rows")
     on = docs["doc_id"].cast("long").eqNullSafe(bad["_id"]) \
         & (F.xxhash64(docs["text"].cast("string")) == bad["_th"])
-    return docs.join(bad, on, "left_anti")
+    return docs.join(bad.hint("merge"), on, "left_anti")     # the same plan at all sizes
