@@ -94,8 +94,8 @@ class Tree:
         import numpy as np
         n = self.length[symbols]
         who = np.repeat(np.arange(len(symbols)), n)
-        at = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + self.start[symbols][who]
-        return self.nodes[at], self.spread[at], self.bits[at], who
+        at = np.arange(len(who)) + np.repeat(self.start[symbols] - (np.cumsum(n) - n), n)
+        return (*(np.take(x, at, mode="clip") for x in (self.nodes, self.spread, self.bits)), who)
 
 
 def contexts(symbols, first):
@@ -119,7 +119,10 @@ def contexts(symbols, first):
 def slots(context, spread, who):
     """Slot of each decision in a context's table."""
     import numpy as np
-    return ((context[who] + spread) >> np.uint64(64 - SLOTS.bit_length() + 1)).view(np.int64)
+    s = np.take(context, who, mode="clip")
+    s += spread
+    s >>= np.uint64(64 - SLOTS.bit_length() + 1)
+    return s.view(np.int64)
 
 
 # ---- model -----------------------------------------------------------------
@@ -151,15 +154,16 @@ class Mixer:
             s = slots(ctx[k - 1], spread, who)
             np.take(self.st[k], s, out=x[k], mode="clip")
             if k <= 2:
-                gate += self.conf[k][s] * np.uint8(4 if k == 2 else 1)
+                gate += np.take(self.conf[k], s, mode="clip") * np.uint8(4 if k == 2 else 1)
         return x, gate, bit, who
 
     def stretched(self, x, gate):
         """The mixed prediction of each decision before it is squashed."""
         import numpy as np
-        z = x[0] * self.weights[:, 0][gate]
+        weights = np.ascontiguousarray(self.weights.T)
+        z = x[0] * np.take(weights[0], gate, mode="clip")
         for k in range(1, ORDERS + 1):
-            z += x[k] * self.weights[:, k][gate]
+            z += x[k] * np.take(weights[k], gate, mode="clip")
         return np.clip(z, -12, 12, out=z)
 
     def cost(self, x, gate, bit):
@@ -172,8 +176,8 @@ class Mixer:
             lo = np.minimum(place.astype(np.int32), BUCKETS - 2)
             part = place - lo
             flat, at = self.refined, gate * BUCKETS + lo
-            low = flat[at]
-            p = np.float32(0.5) * (p + low + (flat[at + 1] - low) * part)
+            low = np.take(flat, at, mode="clip")
+            p = np.float32(0.5) * (p + low + (np.take(flat, at + 1, mode="clip") - low) * part)
         np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6), out=p)
         return np.log10(np.where(bit == 1, p, 1 - p))
 
