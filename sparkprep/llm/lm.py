@@ -32,12 +32,12 @@ spelling), which is still a proper score.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
+from itertools import repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, id_text, saved, shipped, text_bytes, words
+from .common import fold, id_text, saved, shipped, sliced
 from .tokencount import most_frequent
 
 FOLDS, HELD_OUT = 5, 1
@@ -50,6 +50,7 @@ MIX_PARTS, MIX_PART = 16, 1     # texts in 1 of 16 hash parts train the mixer, t
 BLOCK = 1024                # decisions per online step
 RATE = 0.05
 GATES, BUCKETS = 16, 33
+HELD = 250_000              # tokens after which a task sums up; it hands on what is then more than twice this
 
 
 # ---- trees -----------------------------------------------------------------
@@ -86,16 +87,26 @@ def huffman(freq: list[int]):
 class Tree:
     def __init__(self, freq: list[int]):
         import numpy as np
-        self.start, self.length, self.nodes, self.bits, self.n_nodes = huffman(freq)
-        self.spread = self.nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        self.start, self.length, nodes, bits, self.n_nodes = huffman(freq)
+        self.path = (2 * nodes + bits).astype(np.int32)
 
     def decisions(self, symbols):
-        """node, its hash, bit and place in ``symbols`` of every decision."""
+        """node, its hash and bit of every decision, and how many each symbol has."""
         import numpy as np
-        n = self.length[symbols]
-        who = np.repeat(np.arange(len(symbols)), n)
-        at = np.arange(len(who)) + np.repeat(self.start[symbols] - (np.cumsum(n) - n), n)
-        return (*(np.take(x, at, mode="clip") for x in (self.nodes, self.spread, self.bits)), who)
+        n = np.take(self.length, symbols)
+        at = np.repeat(np.take(self.start, symbols) - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        path = np.take(self.path, at, mode="clip")      # places are valid; the default mode copies
+        node = path >> 1
+        spread = node.astype(np.uint64)
+        spread *= np.uint64(0x9E3779B97F4A7C15)
+        path &= 1
+        return node, spread, path, n
+
+    def counts(self, times):
+        """Decisions per node and bit (at 2 * node + bit) of symbols met ``times`` times."""
+        import numpy as np
+        return np.bincount(self.path, weights=np.repeat(times, self.length), minlength=2 * self.n_nodes)
 
 
 def contexts(symbols, first):
@@ -116,10 +127,10 @@ def contexts(symbols, first):
     return out
 
 
-def slots(context, spread, who):
-    """Slot of each decision in a context's table."""
+def slots(context, spread, n):
+    """Slot of each decision in a context's table; symbol i has ``n[i]`` of them."""
     import numpy as np
-    s = np.take(context, who, mode="clip")
+    s = np.repeat(context, n)
     s += spread
     s >>= np.uint64(64 - SLOTS.bit_length() + 1)
     return s.view(np.int64)
@@ -133,29 +144,35 @@ class Mixer:
 
     def __init__(self, tree: Tree, counts: list | None):
         import numpy as np
-        self.tree, self.st, self.conf = tree, [], []
+        self.tree, self.tables = tree, []
         for k in range(ORDERS + 1):
             size = tree.n_nodes if k == 0 else SLOTS
             n = counts[k] if counts is not None else np.zeros((2, size))
             n0, n1 = n[0].astype(np.float32), n[1].astype(np.float32)
-            self.st.append(np.log((n1 + 0.4) / (n0 + 0.4)).astype(np.float32))
-            self.conf.append(np.minimum(np.log2(n0 + n1 + 1), 3).astype(np.uint8))
+            st = np.log((n1 + 0.4) / (n0 + 0.4)).astype(np.float32)
+            if k in (1, 2):     # beside it what the slot adds to the gate: one place in memory is looked up, not two
+                conf = np.floor(np.minimum(np.log2(n0 + n1 + 1), 3))
+                st = np.stack([st, conf * np.float32(4 if k == 2 else 1)], axis=1)
+            self.tables.append(st)
         self.weights = np.tile(np.array([0.8, 0.3, 0.2, 0.2], np.float32), (GATES, 1))
         self.refined = None
 
     def inputs(self, symbols, ctx):
-        """Stretched predictions (predictors x decisions), gate, bit, owner."""
+        """Stretched predictions (predictors x decisions), gate, bit, decisions per symbol."""
         import numpy as np
-        node, spread, bit, who = self.tree.decisions(symbols)
+        node, spread, bit, n = self.tree.decisions(symbols)
         x = np.empty((ORDERS + 1, len(node)), np.float32)
-        np.take(self.st[0], node, out=x[0], mode="clip")      # places are valid; the default mode copies
-        gate = np.zeros(len(node), np.int64)
+        np.take(self.tables[0], node, out=x[0], mode="clip")
+        gate = np.zeros(len(node), np.float32)
         for k in range(1, ORDERS + 1):
-            s = slots(ctx[k - 1], spread, who)
-            np.take(self.st[k], s, out=x[k], mode="clip")
-            if k <= 2:
-                gate += np.take(self.conf[k], s, mode="clip") * np.uint8(4 if k == 2 else 1)
-        return x, gate, bit, who
+            s = slots(ctx[k - 1], spread, n)
+            if k in (1, 2):
+                both = np.take(self.tables[k], s, axis=0, mode="clip")
+                x[k] = both[:, 0]
+                gate += both[:, 1]
+            else:
+                np.take(self.tables[k], s, out=x[k], mode="clip")
+        return x, gate.astype(np.int64), bit, n
 
     def stretched(self, x, gate):
         """The mixed prediction of each decision before it is squashed."""
@@ -170,16 +187,26 @@ class Mixer:
         """log10 probability of each decision."""
         import numpy as np
         z = self.stretched(x, gate)
-        p = 1 / (1 + np.exp(-z))
+        p = np.exp(-z)
+        p += 1
+        np.divide(1, p, out=p)
         if self.refined is not None:
-            place = (z + 12) * np.float32((BUCKETS - 1) / 24)
-            lo = np.minimum(place.astype(np.int32), BUCKETS - 2)
-            part = place - lo
-            flat, at = self.refined, gate * BUCKETS + lo
-            low = np.take(flat, at, mode="clip")
-            p = np.float32(0.5) * (p + low + (np.take(flat, at + 1, mode="clip") - low) * part)
+            z += 12
+            z *= np.float32((BUCKETS - 1) / 24)
+            lo = z.astype(np.int32)
+            np.minimum(lo, BUCKETS - 2, out=lo)
+            at = gate * BUCKETS
+            at += lo
+            p += np.take(self.refined, at, mode="clip")
+            part = z - lo                       # in doubles from here on
+            part *= np.take(self.steps, at, mode="clip")
+            part += p
+            part *= 0.5
+            p = part
         np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6), out=p)
-        return np.log10(np.where(bit == 1, p, 1 - p))
+        p -= (1 - bit).astype(p.dtype)          # p, or p - 1 for a 0
+        np.abs(p, out=p)
+        return np.log10(p, out=p)
 
     def learn(self, x, gate, bit, seen):
         """Online steps over blocks of decisions; ``seen`` gathers refinement counts."""
@@ -205,6 +232,7 @@ class Mixer:
             z = np.tile(np.linspace(-12, 12, BUCKETS), GATES)
             prior = 1 / (1 + np.exp(-z))
             self.refined = ((seen[1] + 20 * prior) / (seen[0] + 20)).astype(np.float32)
+            self.steps = np.append(np.diff(self.refined), np.float32(0))
         return self
 
 
@@ -225,34 +253,59 @@ def chunks(symbols, first, most: int = CHUNK):
         yield at, symbols[at], [c[at] for c in ctx]
 
 
-def _sequence_arrays(texts: list) -> tuple:
-    """Concatenated symbols of many sequences, where each begins, and its number."""
+def _pieces(symbols, n, most: int = 60_000):
+    """Groups of sequences with a bounded number of symbols together, from
+    concatenated symbols and the length of each sequence: symbols, where a sequence
+    begins, lengths. Longer sequences are groups of their own."""
+    import numpy as np
+    end = np.cumsum(n)
+    lo, begin = 0, 0
+    while lo < len(n):
+        hi = max(int(np.searchsorted(end, begin + most, side="right")), lo + 1)
+        part, upto = n[lo:hi], int(end[hi - 1])
+        first = np.zeros(upto - begin, bool)
+        first[(end[lo:hi] - part - begin)[part > 0]] = True
+        yield symbols[begin:upto], first, part
+        lo, begin = hi, upto
+
+
+def coded(column):
+    """The words of an Arrow column of texts: number of each word among the distinct
+    ones, these (an Arrow array of bytes), and the number of words per text. Arrow's
+    ASCII functions have the rules of ``common.words``."""
     import numpy as np
-    n = np.array([len(t) for t in texts], np.int64)
-    symbols = np.concatenate([np.asarray(t, np.int64) for t in texts]) if len(texts) else np.empty(0, np.int64)
-    first = np.zeros(len(symbols), bool)
-    first[(np.cumsum(n) - n)[n > 0]] = True
-    return symbols, first, np.repeat(np.arange(len(texts)), n)
-
-
-def _pieces(texts, most: int = 60_000):
-    """Groups of sequences with a bounded number of symbols together. Longer
-    sequences are groups of their own."""
-    held, n = [], 0
-    for t in texts:
-        if held and n + len(t) > most:
-            yield held
-            held, n = [], 0
-        held.append(t)
-        n += len(t)
-    if held:
-        yield held
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.string())))
+    found = lists.flatten().cast(pa.binary())
+    text = pc.list_parent_indices(lists).to_numpy()
+    full = pc.not_equal(found, b"")         # white space at the ends leaves empty ones
+    found, text = found.filter(full), text[full.to_numpy(zero_copy_only=False)]
+    distinct = found.dictionary_encode()
+    return distinct.indices.to_numpy().astype(np.int64), distinct.dictionary, np.bincount(text, minlength=len(column))
+
+
+def looked_up(get, tokens, other: int):
+    """``get`` of each of an Arrow array of bytes, ``other`` where it has none."""
+    import numpy as np
+    keys = tokens.to_numpy(zero_copy_only=False).tolist()       # a fifth of the time of to_pylist
+    return np.fromiter(map(get, keys, repeat(other)), np.int64, len(keys))
+
+
+def with_ends(symbols, n, end: int):
+    """Concatenated sequences of lengths ``n``, each with ``end`` behind it."""
+    import numpy as np
+    out = np.full(len(symbols) + len(n), end, np.int64)
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(n + 1) - 1] = False
+    out[inside] = symbols
+    return out, n + 1
 
 
 def fitted(rows: DataFrame, columns: tuple, symbols_of, tree: Tree) -> Mixer:
     """Counts, weights and refinement from ``rows``; ``symbols_of(batch)`` gives
-    the symbol sequences of an Arrow batch; the column ``mixing`` tells the rows
-    of step 3."""
+    the symbols of an Arrow batch's sequences and their lengths; the column
+    ``mixing`` tells the rows of step 3."""
     import numpy as np
     spark = rows.sparkSession
     sizes = [tree.n_nodes] + [SLOTS] * ORDERS
@@ -261,25 +314,28 @@ def fitted(rows: DataFrame, columns: tuple, symbols_of, tree: Tree) -> Mixer:
     def count(batches):
         import pyarrow as pa
         tree = shipped_tree.value
-        held = [np.zeros(2 * z, np.uint32) for z in sizes]      # of slot s: bit 0 at 2s, bit 1 at 2s + 1
+        held = [np.zeros(2 * z, np.int64) for z in sizes]       # of slot s: bit 0 at 2s, bit 1 at 2s + 1
+        met = np.zeros(len(tree.length), np.int64)
         any_rows = False
         for b in batches:
             any_rows = any_rows or b.num_rows > 0
-            for part in (p for x in slices(b) for p in _pieces(symbols_of(x))):
-                s, first, _ = _sequence_arrays(part)
-                for _, s, ctx in chunks(s, first, 6 * CHUNK):
-                    node, spread, bit, who = tree.decisions(s)
-                    for k in range(ORDERS + 1):
-                        at = node if k == 0 else slots(ctx[k - 1], spread, who)
-                        n = np.bincount(2 * at + bit)
-                        held[k][:len(n)] += n.astype(np.uint32)
+            for s, first, _ in (p for x in slices(b) for p in _pieces(*symbols_of(x))):
+                met += np.bincount(s, minlength=len(met))
+                for _, s, ctx in chunks(s, first):
+                    _, spread, bit, n = tree.decisions(s)
+                    for k in range(1, ORDERS + 1):
+                        at = slots(ctx[k - 1], spread, n)
+                        at <<= 1
+                        at |= bit
+                        np.add.at(held[k], at, 1)
         if any_rows:        # a row per table and part of it, so that sums meet in many tasks
+            held[0] += tree.counts(met).astype(np.int64)
             step = 1 << 16
             for k, t in enumerate(held):
                 for lo in range(0, sizes[k], step):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([k], pa.int32()), pa.array([lo], pa.int32()),
-                         pa.array([t[2 * lo:2 * (lo + step)].tobytes()], pa.binary())],
+                         pa.array([t[2 * lo:2 * (lo + step)].astype(np.uint32).tobytes()], pa.binary())],
                         names=["k", "lo", "n"])
 
     def summed(batches):
@@ -294,8 +350,8 @@ def fitted(rows: DataFrame, columns: tuple, symbols_of, tree: Tree) -> Mixer:
                                               pa.array([v.tobytes()], pa.binary())], names=["k", "lo", "n"])
 
     schema = "k int, lo int, n binary"
-    tables = saved(rows.filter(~F.col("mixing")).select(*columns).mapInArrow(count, schema)
-                   .repartition("k", "lo").mapInArrow(summed, schema), "bit-counts")
+    tables = saved(rows.filter(~F.col("mixing")).select(*columns).mapInArrow(sliced(count), schema)
+                   .repartition("k", "lo").mapInArrow(sliced(summed), schema), "bit-counts")
     counts = [np.zeros((2, z), np.float64) for z in sizes]
     for r in tables.toLocalIterator():          # a fixed number of rows
         n = np.frombuffer(bytes(r.n), np.uint64).reshape(-1, 2).T
@@ -310,8 +366,7 @@ def fitted(rows: DataFrame, columns: tuple, symbols_of, tree: Tree) -> Mixer:
         m.weights = m.weights.copy()
         seen, n = np.zeros((2, GATES * BUCKETS)), 0
         for b in batches:
-            for part in (p for x in slices(b) for p in _pieces(symbols_of(x))):
-                s, first, _ = _sequence_arrays(part)
+            for s, first, _ in (p for x in slices(b) for p in _pieces(*symbols_of(x))):
                 for _, s, ctx in chunks(s, first):
                     x, gate, bit, _ = m.inputs(s, ctx)
                     m.learn(x, gate, bit, seen)
@@ -321,7 +376,7 @@ def fitted(rows: DataFrame, columns: tuple, symbols_of, tree: Tree) -> Mixer:
                 [pa.array([n], pa.int64()), pa.array([(m.weights.astype(np.float64) * n).ravel().tolist()], pa.list_(pa.float64())),
                  pa.array([seen.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "w", "seen"])
 
-    learned = rows.filter("mixing").select(*columns).mapInArrow(mix, "n long, w array<double>, seen array<double>")
+    learned = rows.filter("mixing").select(*columns).mapInArrow(sliced(mix), "n long, w array<double>, seen array<double>")
     sums = (learned.select(F.explode(F.array(
         F.struct(F.lit("n").alias("c"), F.array(F.col("n").cast("double")).alias("v")),
         F.struct(F.lit("w").alias("c"), F.col("w").alias("v")), F.struct(F.lit("s").alias("c"), F.col("seen").alias("v")))).alias("x"))
@@ -332,16 +387,15 @@ def fitted(rows: DataFrame, columns: tuple, symbols_of, tree: Tree) -> Mixer:
     return model.finish((got["w"] / got["n"][0]).reshape(GATES, ORDERS + 1), got["s"].reshape(2, -1))
 
 
-def cost_of(model: Mixer, texts: list):
-    """log10 probability of each sequence."""
+def cost_of(model: Mixer, symbols, lengths):
+    """log10 probability of each sequence, from concatenated symbols and lengths."""
     import numpy as np
     out = []
-    for part in _pieces(texts):
-        s, first, number = _sequence_arrays(part)
-        cost = np.zeros(len(part))
+    for s, first, n in _pieces(symbols, lengths):
+        number, cost = np.repeat(np.arange(len(n)), n), np.zeros(len(n))
         for at, s, ctx in chunks(s, first):
-            x, gate, bit, who = model.inputs(s, ctx)
-            cost += np.bincount(number[at][who], weights=model.cost(x, gate, bit), minlength=len(part))
+            x, gate, bit, each = model.inputs(s, ctx)
+            cost += np.bincount(np.repeat(number[at], each), weights=model.cost(x, gate, bit), minlength=len(n))
         out.append(cost)
     return np.concatenate(out) if out else np.empty(0)
 
@@ -351,8 +405,16 @@ def cost_of(model: Mixer, texts: list):
 SPELL_END = 256
 
 
-def _spelled(token: bytes) -> list[int]:
-    return [*token, SPELL_END]
+def spelled_symbols(tokens):
+    """The bytes and end of each token of an Arrow array, concatenated, and the lengths."""
+    import numpy as np
+    import pyarrow.compute as pc
+    n = pc.binary_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    return with_ends(np.frombuffer(joined(tokens), np.uint8), n, SPELL_END)
+
+
+def joined(tokens) -> bytes:
+    return b"".join(tokens.to_numpy(zero_copy_only=False).tolist())
 
 
 def escaped_cost(c, spelled, known_share: float, rare_total: int):
@@ -369,23 +431,34 @@ def escaped_cost(c, spelled, known_share: float, rare_total: int):
 def token_table(d: DataFrame) -> DataFrame:
     """token (bytes), c (in training texts), freq (in all), of all words."""
     def run(batches):
+        import numpy as np
         import pyarrow as pa
-        seen = Counter(), Counter()         # of training texts, of the others
-
-        def out():
-            for own, counts in zip((1, 0), seen):
-                n = list(counts.values())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(counts), pa.binary()), pa.array(n if own else [0] * len(n), pa.int64()),
-                     pa.array(n, pa.int64())], names=["token", "c", "freq"])
-                counts.clear()
+        import pyarrow.compute as pc
+
+        def summed(tables):         # in the order in which the tokens were first met, which numbers them later
+            t = pa.concat_tables(tables)
+            t = t.append_column("at", pa.array(np.arange(len(t)))).group_by("token", use_threads=False).aggregate(
+                [("c", "sum"), ("freq", "sum"), ("at", "min")]).sort_by("at_min")
+            return pa.table({"token": t["token"], "c": t["c_sum"], "freq": t["freq_sum"]})
+
+        parts, new = ([], []), 0            # of training texts, of the others
         for b in (x for batch in batches for x in slices(batch)):
-            for t, held in zip(text_bytes(b.column("text")), b.column("held_out").to_pylist()):
-                seen[held].update(words(t or b""))
-            if len(seen[0]) + len(seen[1]) > 500_000:
-                yield from out()
-        yield from out()
-    return (d.select("text", "held_out").mapInArrow(run, "token binary, c long, freq long")
+            text, held = b.column("text"), b.column("held_out")
+            for own, tables, texts in zip((1, 0), parts, (text.filter(pc.invert(held)), text.filter(held))):
+                at, distinct, _ = coded(texts)
+                freq = np.bincount(at, minlength=len(distinct))
+                tables.append(pa.table({"token": distinct, "c": freq * own, "freq": freq}))
+                new += len(distinct)
+            if new > HELD:
+                new = 0
+                for tables in parts:
+                    tables[:] = [summed(tables)]
+                if sum(len(t) for tables in parts for t in tables) > 2 * HELD:
+                    for tables in parts:
+                        yield from tables.pop().to_batches()
+        for tables in filter(None, parts):
+            yield from summed(tables).to_batches()
+    return (d.select("text", "held_out").mapInArrow(sliced(run), "token binary, c long, freq long")
             .groupBy("token").agg(F.sum("c").alias("c"), F.sum("freq").alias("freq")))
 
 
@@ -413,7 +486,8 @@ def scored(docs: DataFrame) -> DataFrame:
 
     def word_symbols(b):
         get = shipped_head.value[0].get
-        return [[*(get(w, 0) for w in words(t or b"")), 1] for t in text_bytes(b.column("text"))]
+        at, distinct, n = coded(b.column("text"))
+        return with_ends(looked_up(get, distinct, 0)[at], n, 1)
 
     train = d.filter(~F.col("held_out")).withColumn("mixing", mixing)
     word_model = fitted(train, ("text",), word_symbols, tree)
@@ -428,16 +502,16 @@ def scored(docs: DataFrame) -> DataFrame:
     def bytes_of(batches):
         import pyarrow as pa
         for b in batches:
-            n = np.bincount(np.frombuffer(b"".join(b.column("token").to_pylist()), np.uint8), minlength=256)
+            n = np.bincount(np.frombuffer(joined(b.column("token")), np.uint8), minlength=256)
             yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(n, pa.int64())], names=["x", "n"])
 
-    for r in (spell_rows.select("token").mapInArrow(bytes_of, "x int, n long").groupBy("x")
+    for r in (spell_rows.select("token").mapInArrow(sliced(bytes_of), "x int, n long").groupBy("x")
               .agg(F.sum("n").alias("n")).collect()):       # 256 rows at most
         byte_freq[r.x] += r.n
     byte_freq[SPELL_END] += spell_rows.count()
 
     def spell_symbols(b):
-        return [_spelled(t) for t in b.column("token").to_pylist()]
+        return spelled_symbols(b.column("token"))
 
     spell_model = fitted(spell_rows, ("token",), spell_symbols, Tree(byte_freq))
     shipped_spell = spark.sparkContext.broadcast(spell_model)
@@ -446,7 +520,7 @@ def scored(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         for b in batches:
             c = b.column("c").to_numpy(zero_copy_only=False)
-            cost = escaped_cost(c, cost_of(shipped_spell.value, spell_symbols(b)), known_share, rare_total)
+            cost = escaped_cost(c, cost_of(shipped_spell.value, *spell_symbols(b)), known_share, rare_total)
             yield pa.RecordBatch.from_arrays([b.column("token"), b.column("c"), b.column("freq"), pa.array(cost, pa.float64())],
                                              names=["token", "c", "freq", "cost"])
 
@@ -457,7 +531,7 @@ def scored(docs: DataFrame) -> DataFrame:
     known_share = min(max(1 - r.once / rare_total, 0.05), 0.95) if r.c else 0.0
 
     spelled = saved(rest.select("token", "c", "freq").mapInArrow(
-        spell, "token binary, c long, freq long, cost double"), "lm-spelled")
+        sliced(spell), "token binary, c long, freq long, cost double"), "lm-spelled")
     shipped_words = spark.sparkContext.broadcast(word_model)
     denominator = n + 0.5 * (v + 1)
     often = most_frequent(spelled, SHIPPED).select("token", "c", "cost").toArrow()
@@ -466,38 +540,38 @@ def scored(docs: DataFrame) -> DataFrame:
 
     def score(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         (heads, c), model = shipped_head.value, shipped_words.value
         base = np.log10((c + 0.5) / denominator)
         rare_at, rare_c, rare_cost = shipped_rare.value
         rare_base = np.log10((rare_c + 0.5) / denominator)
         get, get_rare = heads.get, rare_at.get
         for b in (x for batch in batches for x in slices(batch)):
-            n_tokens, n_known, base_sum, spelled_sum, sequences, rare, freq, size = ([] for _ in range(8))
-            for t in text_bytes(b.column("text")):
-                w = words(t or b"")
-                s = np.fromiter((get(x, 0) for x in w), np.int64, len(w))
-                s = np.append(s, 1)
-                escaped = [w[k] for k in np.flatnonzero(s == 0).tolist()]
-                at = np.fromiter((get_rare(x, -1) for x in escaped), np.int64, len(escaped))
-                there = at[at >= 0]
-                escaped = Counter(x for x, k in zip(escaped, at.tolist()) if k < 0)
-                in_head = s[s > 0]
-                n_tokens.append(len(s))
-                n_known.append(int((c[in_head] > 0).sum() + (rare_c[there] > 0).sum()))
-                base_sum.append(float(base[in_head].sum() + rare_base[there].sum()))
-                spelled_sum.append(float(rare_cost[there].sum()))
-                sequences.append(s)
-                rare.append(list(escaped))
-                freq.append(list(escaped.values()))
-                size.append(len(t or b""))
-            cost = cost_of(model, sequences) + np.array(spelled_sum)
+            at, distinct, n = coded(b.column("text"))
+            # each distinct word: its symbol, its place among the shipped rare ones, what it adds to the sums
+            symbol = looked_up(get, distinct, 0)
+            place = np.where(symbol > 0, -1, looked_up(get_rare, distinct, -1))
+            there, in_head = np.flatnonzero(place >= 0), symbol > 0
+            known, base_of, cost_of_word = in_head & (c[symbol] > 0), np.where(in_head, base[symbol], 0), np.zeros(len(distinct))
+            known[there] = rare_c[place[there]] > 0
+            base_of[there], cost_of_word[there] = rare_base[place[there]], rare_cost[place[there]]
+            text = np.repeat(np.arange(len(n)), n)
+            per_text = lambda of, at=at, text=text, n=n: np.bincount(text, weights=of[at], minlength=len(n))
+            cost = cost_of(model, *with_ends(symbol[at], n, 1)) + per_text(cost_of_word)
+            n_known, base_sum = per_text(known).astype(np.int64) + int(c[1] > 0), per_text(base_of) + base[1]
+            # the other words of each text, once each
+            other = np.flatnonzero(((place < 0) & ~in_head)[at])
+            pair, freq = np.unique(text[other] * len(distinct) + at[other], return_counts=True)
+            offsets = pa.array(np.searchsorted(pair, np.arange(len(n) + 1) * len(distinct)), pa.int32())
+            rare = pa.ListArray.from_arrays(offsets, distinct.take(pa.array(pair % max(len(distinct), 1))))
+            freq = pa.ListArray.from_arrays(offsets, pa.array(freq, pa.int64()))
+            size = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
-                 pa.array(base_sum, pa.float64()), pa.array(cost, pa.float64()), pa.array(size, pa.int64()),
-                 pa.array(rare, pa.list_(pa.binary())), pa.array(freq, pa.list_(pa.int64()))],
+                [b.column("doc_id"), b.column("held_out"), pa.array(n + 1, pa.int64()), pa.array(n_known, pa.int64()),
+                 pa.array(base_sum, pa.float64()), pa.array(cost, pa.float64()), size, rare, freq],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "base", "cost", "n_bytes", "rare", "freq"])
 
-    rows = d.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, cost double, "
+    rows = d.mapInArrow(sliced(score), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, cost double, "
                                "n_bytes long, rare array<binary>, freq array<long>")
     rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
     tail = (rows.filter(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "freq")).alias("x"))

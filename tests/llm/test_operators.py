@@ -411,6 +411,68 @@ def test_lm_long_unknown_words_cost_all_their_bytes(spark):
     assert math.isclose(short.bits_per_byte, long.bits_per_byte, rel_tol=0.05)
 
 
+def test_lm_words_and_decisions_are_found_array_wise():
+    import numpy as np
+    import pyarrow as pa
+    texts = [" A  b\x0bA\x1cé É\n", "", None, " \t ", "b\u00a0b b\u2003A a", "x" * 3000]
+    at, distinct, n = lm.coded(pa.array(["left out", *texts])[1:])
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert [distinct[k].as_py() for k in at.tolist()] == [w for ws in want for w in ws]
+    assert n.tolist() == [len(ws) for ws in want]
+    symbols, n = lm.with_ends(at, n, 99)
+    assert symbols.tolist() == [x for ws in want for x in [*(distinct.index(pa.scalar(w, pa.binary())).as_py() for w in ws), 99]]
+    for most in (1, 5, 100):        # whole sequences, as many as fit
+        parts = list(lm._pieces(symbols, n, most))
+        assert np.concatenate([p[0] for p in parts]).tolist() == symbols.tolist()
+        assert all(p[1].sum() == len(p[2]) and (len(p[2]) == 1 or p[2].sum() <= most) for p in parts)
+    tree = lm.Tree([5, 1, 1, 9, 3])
+    s = np.array([3, 0, 3, 4, 2, 1])
+    node, _, bit, length = tree.decisions(s)
+    assert np.bincount(2 * node + bit, minlength=2 * tree.n_nodes).tolist() == tree.counts(np.bincount(s, minlength=5)).tolist()
+    assert length.tolist() == tree.length[s].tolist()
+
+
+def test_lm_costs_equal_a_plain_sum_over_decisions():
+    import numpy as np
+    rng = np.random.default_rng(8)
+    tree = lm.Tree([50, 20, 9, 3, 1])
+    counts = [rng.integers(0, 9, (2, z)).astype(float) for z in [tree.n_nodes] + [lm.SLOTS] * lm.ORDERS]
+    model = lm.Mixer(tree, counts).finish(None, np.sort(rng.integers(0, 50, (2, lm.GATES * lm.BUCKETS)), axis=0)[::-1])
+    texts = [rng.integers(0, 5, k).tolist() for k in (1, 40, 7)]
+    symbols, n = np.concatenate(texts), np.array([len(t) for t in texts])
+    got = lm.cost_of(model, symbols, n)
+    for t, value in zip(texts, got.tolist()):
+        total, ctx = 0.0, lm.contexts(np.array(t), np.arange(len(t)) == 0)
+        for i, x in enumerate(t):
+            node, spread, bit, _ = tree.decisions(np.array([x]))
+            for j in range(len(node)):
+                at = [int(lm.slots(c[i:i + 1], spread[j:j + 1], np.array([1]))[0]) for c in ctx]
+                n0, n1 = zip(*((c[0][a], c[1][a]) for c, a in zip(counts, [node[j], *at])))
+                conf = [min(int(math.log2(a + b + 1)), 3) for a, b in zip(n0, n1)]
+                gate = conf[1] + 4 * conf[2]
+                z = sum(w * math.log((b + .4) / (a + .4)) for w, a, b in zip((.8, .3, .2, .2), n0, n1))
+                z = min(max(z, -12), 12)
+                place = (z + 12) * (lm.BUCKETS - 1) / 24
+                lo = min(int(place), lm.BUCKETS - 2)
+                low, high = model.refined[gate * lm.BUCKETS + lo:][:2].astype(float)
+                p = .5 * (1 / (1 + math.exp(-z)) + low + (high - low) * (place - lo))
+                p = min(max(p, 1e-6), 1 - 1e-6)
+                total += math.log10(p if bit[j] else 1 - p)
+        assert math.isclose(value, total, rel_tol=1e-5)
+
+
+def test_lm_token_table_counts_across_its_sums(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HELD", 10)
+    rows = [(f"w{i % 7} W{i % 5} once{i}", i % 3 == 0) for i in range(600)] + [(None, False), ("", True)]
+    got = {bytes(r.token): (r.c, r.freq) for r in lm.token_table(spark.createDataFrame(rows, "text string, held_out boolean")).collect()}
+    c, freq = Counter(), Counter()
+    for t, held in rows:
+        ws = (t or "").encode().lower().split()
+        freq.update(ws)
+        c.update([] if held else ws)
+    assert got == {w: (c[w], f) for w, f in freq.items()}
+
+
 def test_tree_codes_are_complete():
     tree = lm.Tree([5, 1, 1, 9, 3])
     assert math.isclose(sum(2.0 ** -n for n in tree.length.tolist()), 1.0)
