@@ -156,7 +156,9 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     few = (docs.filter("doc_id is not null")
            .select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED_BITS)).cast("int").alias("s"))
            .mapInArrow(let_through, "doc_id long, text string, s int"))
-    return (few.join(wanted, F.col("doc_id") == F.col("rep")).select("cls", "text", "set_hash")
+    # a merge join at all sizes: a broadcast would put both Python steps into one task, and
+    # a second worker a core that stays for all later stages
+    return (few.join(wanted.hint("merge"), F.col("doc_id") == F.col("rep")).select("cls", "text", "set_hash")
             .mapInArrow(of_class, "cls long, text string").dropDuplicates(["cls"]))
 
 

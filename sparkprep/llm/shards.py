@@ -153,9 +153,14 @@ class Packer:
 
 def trained(docs: DataFrame, path: str, length: int) -> bytes:
     """A compression dictionary, or none where the sample is too small."""
+    import pyarrow as pa
     import zstandard
     plain = Packer(b"")
-    first = docs.sparkSession.createDataFrame(id_text(docs).take(SAMPLE_TEXTS), "doc_id long, text string")
+    # an Arrow table goes to the tasks as it is; rows would pass through further Python
+    # workers, which stay and then fill their own ``PieceIds``
+    rows = id_text(docs).take(SAMPLE_TEXTS)
+    first = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array([r.doc_id for r in rows], pa.int64()),
+                                                        "text": pa.array([r.text for r in rows], pa.string())}))
     rows = sequences(first, path, length).select("ids").take(SAMPLE_SEQUENCES)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [plain.unpack(bytes(r.ids)) for r in rows]).as_bytes()

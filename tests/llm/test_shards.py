@@ -65,3 +65,12 @@ def test_a_batch_of_odd_texts_as_sequences(spark):
         end = at + len(sp.encode(t or "")) + 1
         assert all(i in out[k].doc_ids for k in range(at // 16, (end - 1) // 16 + 1))
         at = end
+
+
+def test_the_sample_for_the_dictionary_starts_no_further_workers(spark, monkeypatch):
+    d = spark.createDataFrame([(i, f"a text {i} of some words " * 40) for i in range(300)] + [(None, None), (7, "")],
+                              "doc_id long, text string")
+    rows = lambda *a, **b: pytest.fail("rows are sent through Python workers")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", rows)
+    assert len(shards.trained(d, PATH, 16)) > 0
+    assert shards.trained(d.limit(0), PATH, 16) == b""

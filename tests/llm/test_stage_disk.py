@@ -43,6 +43,18 @@ def test_near_copies_go_without_a_copy_of_the_texts(spark, rows):
     assert left < 0.2 * sum(len(r[1] or "") for r in rows)
 
 
+def test_wanted_texts_take_one_worker_a_core(spark, rows):
+    d = spark.createDataFrame(rows, SCHEMA)
+    sets = neardup.signatures(d).filter("n_shingles > 0 and doc_id < 30").select(
+        F.col("doc_id").alias("cls"), F.col("doc_id").alias("rep"), "set_hash").distinct()
+    out = neardup._texts(d, saved(sets, "wanted"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    one, other = (plan.index(x) for x in ("of_class", "let_through"))
+    assert "Exchange" in plan[one:other] and "BroadcastHashJoin" not in plan[one:other]
+    want = {r[0]: r[1] for r in rows if r[0] is not None and r[0] < 30 and (r[1] or "").split()}
+    assert {r.cls: r.text for r in out.collect()} == want
+
+
 def test_the_mix_is_not_written_before(spark, rows):
     d = spark.createDataFrame(rows, SCHEMA)
     left, got = written(spark, lambda: mixing.mixed_rows(d))
