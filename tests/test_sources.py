@@ -377,3 +377,67 @@ def test_arrow_pairs_are_read_without_a_copy(spark, tmp_path):
     got = S.read_pairs(spark, str(tmp_path / "pairs"))
     assert sorted(map(tuple, got.select("idx", "news", "chosen", "rejected").collect())) == rows
     assert set(glob.glob(folder + "/*")) == before
+
+
+def test_no_arrow_shard_is_held_whole_to_read_it(spark, tmp_path):
+    from sparkprep.sources.sinks import write_arrow_shards
+    rows = [(i, f"news {i} " + "é\0x" * (i % 40), "" if i % 3 else None, f"r{i}") for i in range(12000)]
+    df = spark.createDataFrame(rows, "pair_id long, news string, chosen string, rejected string")
+    settings = {"spark.sql.sources.binaryFile.maxLength": "4096",       # the longest file that Spark holds whole
+                "spark.sql.files.maxPartitionBytes": "16k", "spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        write_arrow_shards(df, str(tmp_path / "pairs"), "pair_id")
+        got = S.read_pairs(spark, str(tmp_path / "pairs"))
+        assert sorted(map(tuple, got.select("idx", "news", "chosen", "rejected").collect()), key=lambda r: r[0]) == rows
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for name in (f for f in os.listdir(tmp_path / "pairs") if f.endswith(".arrow")):
+        assert os.path.getsize(tmp_path / "pairs" / name) > 16 << 10
+        assert max(b.num_rows for b in pa.ipc.open_stream(str(tmp_path / "pairs" / name))) <= 1000
+
+
+def test_arrow_shards_of_other_writers(spark, tmp_path):
+    """Files and streams, compressed, cut after the last batch, of any name, listed twice or not at all."""
+    def table(s, n=2500):
+        return pa.table({"news": [f"n{s} {i}" for i in range(n)], "more": pa.array(range(n), pa.int64()),
+                         "chosen": pa.array(["a", "b"] * (n // 2) + ["c"] * (n % 2)).dictionary_encode(),
+                         "rejected": pa.array([None if i % 5 else "r" * i for i in range(n)], pa.large_string())})
+
+    def save(name, t, new=pa.ipc.new_stream, cut=0, **options):
+        buf = pa.BufferOutputStream()
+        with new(buf, t.schema, options=pa.ipc.IpcWriteOptions(**options)) as w:
+            w.write_table(t, max_chunksize=1200)
+        data = buf.getvalue().to_pybytes()
+        (tmp_path / name).write_bytes(data[:len(data) - cut])
+
+    save("data 1%20+ü.arrow", table(0))
+    save("file.arrow", table(1), pa.ipc.new_file)
+    save("packed.arrow", table(2), compression="zstd")
+    save("no end.arrow", table(3), cut=8)
+    save("none.arrow", table(4, 0))
+    save("not listed.arrow", table(5))
+    names = ["file.arrow", "none.arrow", "no end.arrow", "file.arrow", "data 1%20+ü.arrow", "packed.arrow"]
+    state = lambda names: (tmp_path / "state.json").write_text(json.dumps({"_data_files": [{"filename": n} for n in names]}))
+    state(names)
+    want = [r for s in (1, 3, 1, 0, 2) for r in table(s).select(["news", "chosen", "rejected"]).to_pylist()]
+    got = sorted(S.read_pairs(spark, str(tmp_path)).collect())
+    assert [tuple(r) for r in got] == [(i, r["news"], r["chosen"], r["rejected"]) for i, r in enumerate(want)]
+    state([])
+    assert S.read_pairs(spark, str(tmp_path)).collect() == []
+
+    def fails():
+        with pytest.raises(Exception):
+            S.read_pairs(spark, str(tmp_path)).collect()
+    save("cut.arrow", table(6), cut=100)
+    state(["file.arrow", "cut.arrow"])
+    fails()
+    (tmp_path / "nothing.arrow").write_bytes(b"")
+    state(["nothing.arrow"])
+    fails()
+    (tmp_path / "text.arrow").write_bytes(b"no Arrow at all")
+    state(["text.arrow"])
+    fails()
